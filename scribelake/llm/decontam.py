@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,15 +20,18 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 #: Items of one index block.
 BLOCK = 32
+#: Words of the long stretches that are tried before their passages.
+STRETCH = 512
 #: Items that one pass over the documents holds in memory, and their characters.
 PASS_ITEMS, PASS_CHARS = 50_000, 64 << 20
 
-_TOKEN = re.compile(r"\w+")
+_NOISE = re.compile(r"[\W_]+")
 _QUESTION = re.compile(r"\?|\n")
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    """Lower-case words between white space, without their non-word characters."""
+    return [w for w in (_NOISE.sub("", w) for w in text.lower().split()) if w]
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -47,87 +50,83 @@ def _windows(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
-@dataclass
-class Index:
-    """Postings by term over blocks of items, with block maxima and each item's threshold."""
-
-    ids: list
-    items: list[tuple[list[str], list[str]]]
-    thresholds: np.ndarray
-    postings: dict[str, list[tuple[int, np.ndarray, np.ndarray, float]]]
-    highest: dict[str, float]
-    least: float
-    passage: int
-
-
-def build_index(ids: list, texts: list[str], share: float) -> Index:
-    """``share`` of the score that an item gives itself is its threshold."""
-    items = [question_and_answer(t) for t in texts]
-    words = [q + a for q, a in items]
-    n, mean = len(words), max(1.0, sum(map(len, words)) / max(1, len(words)))
-    df: dict[str, int] = {}
-    for w in words:
-        for t in set(w):
-            df[t] = df.get(t, 0) + 1
-    idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
-    thresholds, by_term = np.zeros(n), {}
-    for i, w in enumerate(words):
-        tf: dict[str, int] = {}
-        for t in w:
-            tf[t] = tf.get(t, 0) + 1
-        own = 0.0
-        for t, f in tf.items():
-            s = idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean))
-            own += s
-            by_term.setdefault(t, []).append((i, s))
-        thresholds[i] = share * own if w else np.inf
-    postings, highest = {}, {}
-    for t, p in by_term.items():
-        blocks: dict[int, list[tuple[int, float]]] = {}
-        for i, s in p:
-            blocks.setdefault(i // BLOCK, []).append((i, s))
-        postings[t] = [(b, np.array([i for i, _ in x]), np.array([s for _, s in x]), max(s for _, s in x)) for b, x in sorted(blocks.items())]
-        highest[t] = max(s for _, s in p)
-    finite = thresholds[np.isfinite(thresholds)]
-    return Index(ids, items, thresholds, postings, highest, float(finite.min()) if len(finite) else math.inf, 2 * max([32, *map(len, words)]))
-
-
-def search(index: Index, query: set[str], block_least: np.ndarray) -> list[int]:
-    """Items whose BM25 score over the query's terms reaches their threshold.
-
-    Terms are summed block by block. A block is left unscored when the sum of its terms' maxima is
-    below the least threshold inside it, so no item that reaches its threshold is lost.
-    """
-    bound: dict[int, float] = {}
-    lists: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for t in query:
-        for b, items, scores, most in index.postings.get(t, ()):
-            bound[b] = bound.get(b, 0.0) + most
-            lists.setdefault(b, []).append((items, scores))
-    out = []
-    for b, most in bound.items():
-        if most < block_least[b]:
-            continue
-        total = np.zeros(BLOCK)
-        for items, scores in lists[b]:
-            total[items - b * BLOCK] += scores
-        limit = index.thresholds[b * BLOCK : (b + 1) * BLOCK]
-        out += [b * BLOCK + int(i) for i in np.flatnonzero(total[: len(limit)] >= limit - 1e-9)]
-    return out
+class _Lists:
+    """Postings of all terms end to end: ``owner`` and ``score`` from ``start[term]``, ``length[term]`` of them."""
 
+    def __init__(self, by_term: list[list[tuple[int, float]]]):
+        self.length = np.array([len(p) for p in by_term], dtype=np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.owner = np.array([i for p in by_term for i, _ in p], dtype=np.int64)
+        self.score = np.array([s for p in by_term for _, s in p], dtype=np.float64)
 
-def _find(index: Index, block_least: np.ndarray, words: list[str]) -> set[int]:
-    """Candidate items of a document: passages overlap by half, each is a query."""
-    high = index.highest
-    value = np.array([high.get(w, 0.0) for w in words])
-    half = index.passage // 2
-    sums = np.concatenate([[0.0], np.cumsum(value)])
-    found: set[int] = set()
-    for start in range(0, max(1, len(words) - half), half):
-        end = min(len(words), start + index.passage)
-        if sums[end] - sums[start] >= index.least - 1e-6:  # repeats only raise this bound
-            found.update(search(index, {w for w in words[start:end] if w in high}, block_least))
-    return found
+    def sums(self, terms: np.ndarray, size: int) -> np.ndarray:
+        """Score of each owner, summed over the terms."""
+        length = self.length[terms]
+        ends = np.cumsum(length)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[terms] - (ends - length), length)
+        return np.bincount(self.owner[at], weights=self.score[at], minlength=size)
+
+
+class Index:
+    """BM25 postings of the test items, with the maxima of blocks of ``BLOCK`` items and each item's threshold."""
+
+    def __init__(self, ids: list, texts: list[str], share: float):
+        """``share`` of the score that an item gives itself is its threshold."""
+        self.ids, self.items = ids, [question_and_answer(t) for t in texts]
+        words = [q + a for q, a in self.items]
+        n, mean = len(words), max(1.0, sum(map(len, words)) / max(1, len(words)))
+        df = Counter(t for w in words for t in set(w))
+        self.term = {t: k for k, t in enumerate(sorted(df))}
+        self.thresholds, postings = np.full(n, np.inf), [[] for _ in df]
+        for i, w in enumerate(words):
+            own = 0.0
+            for t, f in Counter(w).items():
+                idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
+                s = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean))
+                own += s
+                postings[self.term[t]].append((i, s))
+            if w:
+                self.thresholds[i] = share * own
+        blocks = []
+        for p in postings:
+            most: dict[int, float] = {}
+            for i, s in p:
+                most[i // BLOCK] = max(s, most.get(i // BLOCK, 0.0))
+            blocks.append(sorted(most.items()))
+        self.postings, self.maxima = _Lists(postings), _Lists(blocks)
+        self.block_least = np.array([self.thresholds[b : b + BLOCK].min() for b in range(0, n, BLOCK)])
+        self.passage = 2 * max([32, *map(len, words)])
+
+    def search(self, terms: np.ndarray) -> np.ndarray:
+        """Items whose score over the distinct ``terms`` reaches their threshold.
+
+        A block is passed over when the sum of its terms' maxima is below the least threshold inside
+        it; items are scored only if some block is left, so none that reaches its threshold is lost.
+        """
+        if not len(terms) or not (self.maxima.sums(terms, len(self.block_least)) >= self.block_least - 1e-9).any():
+            return np.empty(0, dtype=np.int64)
+        return np.flatnonzero(self.postings.sums(terms, len(self.ids)) >= self.thresholds - 1e-9)
+
+    def find(self, terms: np.ndarray) -> set[int]:
+        """Items that some passage of a document retrieves; ``terms`` has -1 for words that no item has.
+
+        Passages overlap by half. A stretch of passages is tried first: its terms include theirs, so
+        where it retrieves nothing they don't either.
+        """
+        half, found = self.passage // 2, set()
+        step = max(STRETCH, half)
+        for start in range(0, max(1, len(terms) - half), step):
+            stretch = terms[start : start + step + half]
+            if not len(self.search(_distinct(stretch))):
+                continue
+            for at in range(0, max(1, min(step, len(stretch) - half)), half):
+                found.update(self.search(_distinct(stretch[at : at + self.passage])).tolist())
+        return found
+
+
+def _distinct(terms: np.ndarray) -> np.ndarray:
+    out = np.unique(terms)
+    return out[1:] if len(out) and out[0] < 0 else out
 
 
 def _passes(benchmark: DataFrame):
@@ -142,23 +141,41 @@ def _passes(benchmark: DataFrame):
         yield spark.sparkContext.broadcast(([r["item_id"] for r in held], [r["text"] for r in held]))
 
 
+class _Known(dict):
+    """Raw word -> term number, -1 where no item has it, -2 where nothing is left of the word."""
+
+    def __init__(self, terms: dict[str, int]):
+        super().__init__()
+        self.terms = terms
+
+    def __missing__(self, word: str) -> int:
+        bare = _NOISE.sub("", word)
+        self[word] = number = self.terms.get(bare, -1) if bare else -2
+        return number
+
+
 class Matcher:
     """Verified test items of a text."""
 
     def __init__(self, ids: list, texts: list[str], threshold: float, overlap: float, width: int):
-        self.index, self.overlap, self.width = build_index(ids, texts, threshold), overlap, width
-        limits = self.index.thresholds
-        self.block_least = np.array([limits[b : b + BLOCK].min() for b in range(0, len(limits), BLOCK)])
+        self.index, self.overlap, self.width = Index(ids, texts, threshold), overlap, width
         self.parts: dict[int, tuple] = {}
+        self.known = _Known(self.index.term)
+
+    def _terms(self, words: list[str]) -> np.ndarray:
+        """Term numbers of raw words; words of nothing but other characters are left out."""
+        if len(self.known) > 1_000_000:
+            self.known.clear()
+        out = np.fromiter(map(self.known.__getitem__, words), dtype=np.int32, count=len(words))
+        return out[out != -2]
 
     def __call__(self, text: str | None) -> list[tuple]:
         if not text:
             return []
-        words = tokens(text)
-        found = _find(self.index, self.block_least, words)
+        found = self.index.find(self._terms(text.lower().split()))
         if not found:
             return []
-        grams, out = _windows(words, self.width), []
+        grams, out = _windows(tokens(text), self.width), []
         for i in sorted(found):
             if i not in self.parts:
                 q, a = self.index.items[i]

@@ -25,8 +25,9 @@ def _strip(line: Column) -> Column:
 
 
 def _fold(line: Column) -> Column:
-    """A-Z lower-cased, other letters untouched."""
-    return F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z lower-cased, other letters untouched. lower() does just that to an ASCII line, and faster."""
+    other = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(line.rlike(r"[^\x00-\x7F]"), other).otherwise(F.lower(line))
 
 
 def _row_id() -> Column:

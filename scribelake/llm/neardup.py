@@ -21,18 +21,21 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, materialize, mix64
+from .common import materialize, mix64
 from .components import connected_components
 
 #: Members of a bucket or group that one block holds at most on average.
 BLOCK = 256
 #: Shingles that one block holds at most on average.
 BLOCK_SHINGLES = 400_000
-_WORDS: dict[str, int] = {}
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Rows (some 100 bytes each) up to which a side of a join is broadcast.
+BROADCAST_ROWS = 250_000
+#: Words of a batch whose hashes are held at once.
+CHUNK_WORDS = 1 << 18
+_MULT, _SALT, _HI, _LO = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
 def choose_bands(threshold: float, recall: float, rows: int) -> int:
@@ -40,44 +43,92 @@ def choose_bands(threshold: float, recall: float, rows: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)))
 
 
-def shingle_set(words: list[str], width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word windows; fewer words than ``width`` make one window."""
+class _WordHashes(dict):
+    """Word as bytes -> 64-bit hash; its lowest bit says whether a long line may be cut after the word."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        ends = (h >> 8) % (4 if word[-1:] in b".!?" else 16) == 0
+        self[word] = h = h & ~1 | ends
+        return h
+
+
+_WORDS = _WordHashes()
+
+
+def hash_words(line: bytes) -> np.ndarray:
+    """Hashes of the words between ASCII white space."""
     if len(_WORDS) > 1_000_000:
         _WORDS.clear()
-    get, made = _WORDS.get, []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-        made.append(h)
-    h = np.array(made, dtype=np.uint64)
-    n = max(1, len(h) - width + 1)
-    out = np.full(n, len(h) if len(h) < width else width, dtype=np.uint64)
-    for k in range(min(width, len(h))):
-        out = out * _MULT + h[k : k + n]
-    return np.unique(mix64(out))
-
-
-def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(7)
-    return rng.integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, count, dtype=np.uint64)
+    words = line.split()
+    return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(shingles), 4096):
-        part = shingles[i : i + 4096]
-        np.minimum(low, (a[:, None] * part[None, :] + b[:, None]).min(axis=1), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32)
+#: text -> [(item number, word hashes)]
+Splitter = Callable[[str], list[tuple[int, np.ndarray]]]
 
 
-#: text -> [(item number, words)]
-Splitter = Callable[[str], list[tuple[int, list[str]]]]
+def folded(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "surrogatepass")
 
 
-def whole_text(text: str) -> list[tuple[int, list[str]]]:
+def whole_text(text: str | None) -> list[tuple[int, np.ndarray]]:
     """The document as one item: its lower-cased words."""
-    return [(0, WORD_RE.findall(text.lower()))]
+    return [(0, hash_words(folded(text)))]
+
+
+def shingles(items: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all word windows, and where each item's begin. Fewer words than ``width`` make one window."""
+    lengths = np.array([len(x) for x in items], dtype=np.int64)
+    short = np.flatnonzero(lengths < width)
+    words = np.concatenate(items) if lengths.sum() else np.empty(0, dtype=np.uint64)
+    owner = np.repeat(np.arange(len(items)), lengths)
+    n = max(0, len(words) - width + 1)
+    s = np.full(n, width, dtype=np.uint64)
+    for k in range(width):
+        s = s * _MULT + words[k : k + n]
+    inside = owner[:n] == owner[len(owner) - n :] if n else np.empty(0, dtype=bool)
+    s, owner = s[inside], owner[:n][inside]
+    if len(short):
+        extra = []
+        for i in short:
+            v = np.full(1, len(items[i]), dtype=np.uint64)
+            for h in items[i]:
+                v = v * _MULT + h
+            extra.append(v[0])
+        owner = np.concatenate([owner, short])
+        s = np.concatenate([s, np.array(extra, dtype=np.uint64)])
+        order = np.argsort(owner, kind="stable")
+        s, owner = s[order], owner[order]
+    return mix64(s), np.searchsorted(owner, np.arange(len(items)))
+
+
+def distinct_mask(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """1 for the first of equal shingles of an item, else 0."""
+    owner = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.append(starts, len(s))))
+    key = mix64(s + owner * _SALT)
+    order = np.argsort(key)
+    first = np.ones(len(s), dtype=np.uint64)
+    first[order[1:][key[order[1:]] == key[order[:-1]]]] = 0
+    return first
+
+
+def digests(s: np.ndarray, first: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128-bit hash of each item's shingle set, whatever its order, and the size of the set."""
+    hi = np.add.reduceat(mix64(s ^ _HI) * first, starts)
+    lo = np.add.reduceat(mix64(s ^ _LO) * first, starts)
+    return hi.view(np.int64), lo.view(np.int64), np.add.reduceat(first, starts).astype(np.int32)
+
+
+def signatures(s: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
+    """MinHash of each item under ``count`` permutations, 16 bits of each."""
+    rng = np.random.default_rng(7)
+    a = rng.integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 2**63, count, dtype=np.uint64)
+    out = np.empty((len(starts), count), dtype=np.uint16)
+    for j in range(count):
+        out[:, j] = mix64(np.minimum.reduceat(s * a[j] + b[j], starts)) >> np.uint64(48)
+    return out
 
 
 def _forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
@@ -135,6 +186,11 @@ def _blocked(rows: DataFrame, group: str, count, size_column: str | None = None)
     )
 
 
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a table for broadcast when a count of at most ``rows`` + 1 of its rows shows that it is small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def near_duplicates(
     docs: DataFrame,
     split: Splitter = whole_text,
@@ -143,73 +199,76 @@ def near_duplicates(
     rows: int = 5,
     recall: float = 0.9995,
     pack: int = 1,
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
     """Link items whose shingle sets have a Jaccard similarity of ``threshold`` or more.
 
-    ``docs`` needs ``doc_id`` and ``text``. Returns one row per item: doc_id, item, node (id of its
-    set's class), copies (items with just that set), links (items it is linked to, equal sets
-    included), root (least node of its linked component). Node ids are ``doc_id * pack + item`` of
-    the least item of the class. Null and empty texts have no item unless ``split`` makes one.
-    Rows that share doc_id and item count once: the one with the greatest set hash stands.
+    ``docs`` needs ``doc_id`` and ``text``. Returns (items, classes). Items: doc_id, item, hi, lo
+    (the class). Classes: hi, lo, node (its id: ``doc_id * pack + item`` of its least item), copies
+    (items with just that set), least_doc, greatest_doc, size (shingles), links (items that one of
+    its items is linked to, equal sets included), root (least node of its linked component).
+    Null and empty texts have an item only if ``split`` makes one. Of rows that share a doc_id, an
+    item counts once: the one with the greatest set hash stands.
     """
     bands = choose_bands(threshold, recall, rows)
     total = bands * rows
     floor = threshold - 4 * math.sqrt(threshold * (1 - threshold) / total)
+    names = ["doc_id", "item", "hi", "lo", "size", "sig"]
+
+    def rows_of(ids: list, numbers: list, items: list) -> pd.DataFrame:
+        if not items:
+            return pd.DataFrame({k: [] for k in names})
+        s, starts = shingles(items, width)
+        hi, lo, size = digests(s, distinct_mask(s, starts), starts)
+        sig = signatures(s, starts, total)
+        return pd.DataFrame(dict(zip(names, (ids, numbers, hi, lo, size, [x.tobytes() for x in sig]))))
 
     def scan(batches):
-        a, b = _permutations(total)
         for pdf in batches:
-            ids, items, hi, lo, sizes, sigs = [], [], [], [], [], []
+            ids, numbers, items, words = [], [], [], 0
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                for item, words in split(text or ""):
-                    s = shingle_set(words, width)
-                    digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=">i8")
+                for number, h in split(text):
                     ids.append(doc)
-                    items.append(item)
-                    hi.append(int(digest[0]))
-                    lo.append(int(digest[1]))
-                    sizes.append(len(s))
-                    sigs.append(signature(s, a, b).tobytes())
-                    if len(ids) >= 5000:
-                        yield pd.DataFrame({"doc_id": ids, "item": items, "hi": hi, "lo": lo, "size": sizes, "sig": sigs})
-                        ids, items, hi, lo, sizes, sigs = [], [], [], [], [], []
-            yield pd.DataFrame({"doc_id": ids, "item": items, "hi": hi, "lo": lo, "size": sizes, "sig": sigs})
-
-    scanned = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .filter(F.col("doc_id").isNotNull())
-        .mapInPandas(scan, "doc_id long, item int, hi long, lo long, size int, sig binary")
+                    numbers.append(number)
+                    items.append(h)
+                    words += len(h)
+                if words >= CHUNK_WORDS:
+                    yield rows_of(ids, numbers, items)
+                    ids, numbers, items, words = [], [], [], 0
+            yield rows_of(ids, numbers, items)
+
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
+    scanned = materialize(known.mapInPandas(scan, "doc_id long, item int, hi long, lo long, size int, sig binary"))
+    if known.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        stands = scanned.groupBy("doc_id", "item").agg(F.max(F.struct("hi", "lo", "size", "sig")).alias("s"))
+        scanned = materialize(stands.select("doc_id", "item", "s.*"))
+    classes = materialize(
+        scanned.groupBy("hi", "lo").agg(
+            F.min(F.col("doc_id") * pack + F.col("item")).alias("node"),
+            F.count("*").alias("copies"),
+            F.min("doc_id").alias("least_doc"),
+            F.max("doc_id").alias("greatest_doc"),
+            F.first("size").alias("size"),
+            F.first("sig").alias("sig"),
+        )
     )
-    items = scanned.groupBy("doc_id", "item").agg(F.max(F.struct("hi", "lo", "size")).alias("s")).select("doc_id", "item", "s.hi", "s.lo", "s.size")
-    items = items.withColumn("node", F.col("doc_id") * pack + F.col("item"))
-    classes = items.groupBy("hi", "lo").agg(F.min("node").alias("node"), F.count("*").alias("copies"), F.max("size").alias("size"))
-    classes = materialize(classes)
-    signed = materialize(scanned.groupBy("hi", "lo").agg(F.first("sig").alias("sig")).join(classes, ["hi", "lo"]).select("node", "sig"))
-
-    coarse = connected_components(_estimated_edges(signed, bands, rows, floor))
-    coarse = coarse.join(classes, "node")
+    coarse = connected_components(_estimated_edges(classes.select("node", "sig"), bands, rows, floor))
+    coarse = coarse.join(classes.select("node", "copies", "size", "hi", "lo"), "node")
     sums = coarse.groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("shingles"))
     coarse = materialize(coarse.join(sums, "root"))
-    checked = _verified(docs, items, coarse, split, width, threshold)
-    edges = checked.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    final = connected_components(edges)
-    links = checked.filter("other is null").groupBy("node").agg(F.sum("links").alias("near"))
-    return (
-        items.join(classes.drop("size"), ["hi", "lo"])
-        .drop("node")
-        .join(
-            classes.select("hi", "lo", "node").join(links, "node", "left").join(final, "node", "left"),
-            ["hi", "lo"],
-        )
-        .select(
-            "doc_id",
-            "item",
-            "node",
-            "copies",
-            (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"),
-            F.coalesce("root", "node").alias("root"),
-            "size",
-        )
+    checked = _verified(known, coarse, split, width, threshold, pack)
+    final = connected_components(checked.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    near = checked.filter("other is null").groupBy("node").agg(F.sum("links").alias("near"))
+    linked = broadcast_if_small(materialize(near.join(final, "node")))
+    return scanned.select("doc_id", "item", "hi", "lo"), classes.drop("sig").join(linked, "node", "left").select(
+        "hi",
+        "lo",
+        "node",
+        "copies",
+        "least_doc",
+        "greatest_doc",
+        "size",
+        (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"),
+        F.coalesce("root", "node").alias("root"),
     )
 
 
@@ -220,7 +279,7 @@ def _estimated_edges(signed: DataFrame, bands: int, rows: int, floor: float) ->
         for pdf in batches:
             if not len(pdf):
                 continue
-            m = np.stack([np.frombuffer(s, dtype=np.uint32) for s in pdf["sig"]]).reshape(len(pdf), bands, rows).astype(np.uint64)
+            m = np.stack([np.frombuffer(s, dtype=np.uint16) for s in pdf["sig"]]).reshape(len(pdf), bands, rows).astype(np.uint64)
             key = np.arange(bands, dtype=np.uint64)[None, :] * np.ones((len(pdf), 1), dtype=np.uint64)
             for r in range(rows):
                 key = mix64(key * _MULT + m[:, :, r])
@@ -237,7 +296,7 @@ def _estimated_edges(signed: DataFrame, bands: int, rows: int, floor: float) ->
         out = []
         for (_, bi, bj), g in pdf.groupby(["bucket", "bi", "bj"], sort=False):
             node = g["node"].to_numpy()
-            m = np.stack([np.frombuffer(s, dtype=np.uint32) for s in g["sig"]])
+            m = np.stack([np.frombuffer(s, dtype=np.uint16) for s in g["sig"]])
             left = np.flatnonzero((g["own"] == bi).to_numpy())
             right = np.flatnonzero((g["own"] == bj).to_numpy())
             pairs = []
@@ -257,43 +316,41 @@ def _estimated_edges(signed: DataFrame, bands: int, rows: int, floor: float) ->
     )
 
 
-def _verified(docs: DataFrame, items: DataFrame, coarse: DataFrame, split: Splitter, width: int, threshold: float) -> DataFrame:
+def _verified(docs: DataFrame, coarse: DataFrame, split: Splitter, width: int, threshold: float, pack: int) -> DataFrame:
     """Exact similarity inside each coarse group.
 
     Returns (node, links, null): items that a block found linked to the class, and (node, null,
     other): forest edges.
     """
+    item: Column = F.pmod("node", F.lit(pack))
     wanted = (
-        coarse.join(items.select("hi", "lo", F.col("node").alias("holder"), "doc_id", "item"), ["hi", "lo"])
-        .filter("holder = node")
-        .groupBy("doc_id")
+        coarse.withColumn("item", item.cast("int"))
+        .withColumn("__doc", F.expr(f"(node - item) div {pack}"))
+        .groupBy("__doc")
         .agg(F.collect_list(F.struct("item", "node", "hi", "lo")).alias("wanted"))
     )
+    wanted = broadcast_if_small(materialize(wanted))
 
     def extract(batches):
         for pdf in batches:
-            nodes, sets, seen = [], [], set()
+            nodes, sets = [], []
             for text, want in zip(pdf["text"], pdf["wanted"]):
-                by = {}
-                for w in want:
-                    by[w["item"]] = w
-                for item, words in split(text or ""):
-                    w = by.get(item)
-                    if w is None or w["node"] in seen:
-                        continue
-                    s = shingle_set(words, width)
-                    digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=">i8")
-                    if (digest[0], digest[1]) == (w["hi"], w["lo"]):
-                        nodes.append(w["node"])
-                        sets.append(s.tobytes())
+                by = {w["item"]: w for w in want}
+                for number, h in split(text):
+                    if number in by:
+                        w = by[number]
+                        s, starts = shingles([h], width)
+                        s = np.unique(s)
+                        hi, lo, _ = digests(s, np.ones(len(s), dtype=np.uint64), starts)
+                        if (hi[0], lo[0]) == (w["hi"], w["lo"]):
+                            nodes.append(w["node"])
+                            sets.append(s.tobytes())
+                if len(nodes) >= 2000:
+                    yield pd.DataFrame({"node": nodes, "shingles": sets})
+                    nodes, sets = [], []
             yield pd.DataFrame({"node": nodes, "shingles": sets})
 
-    sets = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(wanted, "doc_id")
-        .select("text", "wanted")
-        .mapInPandas(extract, "node long, shingles binary")
-    )
+    sets = docs.join(wanted, F.col("doc_id") == F.col("__doc")).select("text", "wanted").mapInPandas(extract, "node long, shingles binary")
     sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
     packs = max(1, coarse.count() // 1000)
     dealt = _blocked(coarse.select("root", "node", "copies", "members", "shingles"), "root", F.col("members"), "shingles").drop("shingles").join(sets, "node")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neardup import near_duplicates, whole_text
+from .common import materialize
+from .neardup import broadcast_if_small, near_duplicates, whole_text
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, rows: int = 5, recall: float = 0.9995) -> DataFrame:
@@ -21,8 +22,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, rows:
     it is linked to), n_shingles, keep (it is the one that stays of its class). Rows that repeat a
     doc_id count once; rows with a null doc_id are left out; extra columns are ignored.
     """
-    found = near_duplicates(docs, whole_text, width, threshold, rows, recall)
-    return found.select(
+    items, classes = near_duplicates(docs, whole_text, width, threshold, rows, recall)
+    return items.join(classes, ["hi", "lo"]).select(
         "doc_id",
         F.col("root").alias("class_id"),
         F.col("node").alias("rep_id"),
@@ -35,5 +36,6 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, rows:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay when one of each linked class is kept, with all their columns."""
-    gone = jaccard_join(docs, **options).filter(~F.col("keep")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = jaccard_join(docs, **options).filter(~F.col("keep")).select(F.col("doc_id").alias("__gone"))
+    gone = broadcast_if_small(materialize(gone))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

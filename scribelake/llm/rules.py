@@ -15,38 +15,60 @@ from .common import ASCII_SPACE
 
 #: Characters that count as symbols (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
+#: Between words.
+SPACES = r"[\x20\x09-\x0D]+"
+
+
+#: Low bits of a packed window that hold its place; the others hold the top of its hash.
+PLACE_BITS = 28
 
 
 def _measurements(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Adds the measurements of the text to the ``keep`` columns."""
+    """Adds the measurements of the text to the ``keep`` columns.
+
+    Repeated windows are found in two steps: hashes packed with their places into longs are sorted
+    as primitives, neighbours with the same hash bits are suspects, and only suspects are compared
+    by their full 64-bit hash.
+    """
     text = F.coalesce("text", F.lit(""))
-    spaced = F.translate(text, ASCII_SPACE, " " * len(ASCII_SPACE))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(ASCII_SPACE)) != "")
     split = docs.select(
         *keep,
         text.alias("__text"),
-        F.array_remove(F.split(spaced, " "), "").alias("__words"),
+        F.array_remove(F.split(text, SPACES), "").alias("__words"),
         lines.alias("__lines"),
     )
     words = F.col("__words")
-    # hash and place of every 3-word window, in order of the hash
-    windows = F.when(
+
+    def window(i: Column) -> Column:
+        return F.xxhash64(words[i], words[i + 1], words[i + 2])
+
+    place = (1 << PLACE_BITS) - 1
+    packed = F.when(
         F.size(words) >= 3,
-        F.sort_array(
-            F.transform(
-                F.sequence(F.lit(0), F.size(words) - 3),
-                lambda i: F.struct(F.xxhash64(words[i], words[i + 1], words[i + 2]).alias("h"), i.alias("i")),
-            )
-        ),
-    ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    sorted_ = split.withColumn("__windows", windows).withColumn("__n", F.size("__windows"))
-    w, n = F.col("__windows"), F.col("__n")
+        F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: window(i).bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("bigint")))),
+    ).otherwise(F.array().cast("array<bigint>"))
+    sorted_ = split.withColumn("__packed", packed).withColumn("__n", F.size("__packed"))
+    p, n = F.col("__packed"), F.col("__n")
+
+    def alike(x: Column, other: Column) -> Column:
+        return F.shiftrightunsigned(x.bitwiseXOR(p[other]), PLACE_BITS) == 0
+
+    suspects = F.filter(p, lambda x, k: ((k > 0) & alike(x, F.greatest(k - 1, F.lit(0)))) | ((k < n - 1) & alike(x, F.least(k + 1, n - 1))))
+    compared = F.sort_array(
+        F.transform(
+            suspects,
+            lambda x: F.struct(window(x.bitwiseAND(F.lit(place)).cast("int")).alias("h"), x.bitwiseAND(F.lit(place)).cast("int").alias("i")),
+        )
+    )
+    checked = sorted_.withColumn("__windows", compared).withColumn("__k", F.size("__windows"))
+    w, c = F.col("__windows"), F.col("__k")
 
     def repeats(x: Column, k: Column) -> Column:
-        return ((k > 0) & (w[F.greatest(k - 1, F.lit(0))]["h"] == x["h"])) | ((k < n - 1) & (w[F.least(k + 1, n - 1)]["h"] == x["h"]))
+        return ((k > 0) & (w[F.greatest(k - 1, F.lit(0))]["h"] == x["h"])) | ((k < c - 1) & (w[F.least(k + 1, c - 1)]["h"] == x["h"]))
 
-    starts = F.when(n > 1, F.sort_array(F.transform(F.filter(w, repeats), lambda x: x["i"]))).otherwise(F.array().cast("array<int>"))
-    found = sorted_.withColumn("__starts", starts).withColumn("__m", F.size("__starts"))
+    starts = F.sort_array(F.transform(F.filter(w, repeats), lambda x: x["i"]))
+    found = checked.withColumn("__starts", starts).withColumn("__m", F.size("__starts"))
     s, m = F.col("__starts"), F.col("__m")
     # a window covers three words, less what the next repeated window covers
     covered = F.aggregate(
@@ -54,18 +76,21 @@ def _measurements(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.lit(0).cast("bigint"),
         lambda acc, x: acc + x,
     )
-    plain = F.translate("__text", ASCII_SPACE, "")
+
+    def count(pattern: str) -> Column:
+        return F.regexp_count("__text", F.lit(pattern)).cast("long")
+
     return found.select(
         *keep,
         F.size("__words").cast("long").alias("n_words"),
-        F.length(plain).cast("long").alias("word_chars"),
-        (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.concat_ws("", "__words")).cast("long").alias("word_chars"),
+        count(f"[{SYMBOLS}]").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         F.size("__lines").cast("long").alias("n_lines"),
-        (F.length(plain) - F.length(F.translate(plain, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
-        (F.length(plain) - F.length(F.translate(plain, "!?", ""))).cast("long").alias("n_shouts"),
-        (F.length(plain) - F.length(F.translate(plain, "0123456789", ""))).cast("long").alias("n_digits"),
+        count("[A-Z]").alias("n_upper"),
+        count("[!?]").alias("n_shouts"),
+        count("[0-9]").alias("n_digits"),
     )
 
 

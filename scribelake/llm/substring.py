@@ -2,60 +2,71 @@
 
 from __future__ import annotations
 
-import re
-
-import xxhash
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE
-from .neardup import near_duplicates
+from .common import WORD_RE, materialize
+from .neardup import broadcast_if_small, folded, hash_words, near_duplicates
 
-#: Paragraphs a document can number; doc_id times this must stay a long.
+#: Paragraphs that a document can number; doc_id times this must stay a long.
 PACK = 1 << 22
-
-_SENTENCE_END = re.compile(r"[.!?]$")
+#: Words that a paragraph has at least, and at most inside a longer line.
+LEAST, LONGEST = 8, 80
 
 
-def paragraphs(text: str, least: int = 8, longest: int = 80) -> list[tuple[int, list[str], int, int]]:
-    """(number, lower-cased words, start, end) of each paragraph.
+def _cuts(h: np.ndarray) -> list[tuple[int, int]]:
+    """Word ranges of the paragraphs of a line.
 
-    A paragraph ends at a line end. Inside a line it also ends after a sentence end or any word that
-    its own hash picks, once it has ``longest`` / 2 words, so the cut points move with the text and
-    a passage pasted into a line is cut as it is elsewhere. Paragraphs under ``least`` words are
-    left out; offsets are code points.
+    A line under twice ``LEAST`` words is one. A longer one is cut after words that their own hash
+    picks, so the cuts move with the text and a passage pasted into a line is cut as elsewhere.
     """
-    out, number, base = [], 0, 0
-    for line in text.split("\n"):
-        words, first, last = [], 0, 0
-        for m in WORD_RE.finditer(line):
-            word = m.group().lower()
-            if not words:
-                first = m.start()
-            words.append(word)
-            last = m.end()
-            picked = xxhash.xxh32_intdigest(word) % (4 if _SENTENCE_END.search(word) else 16) == 0
-            if len(words) >= longest or len(words) >= 2 * least and picked:
-                out.append((number, words, base + first, base + last))
-                number += 1
-                words = []
-        if len(words) >= least:
-            out.append((number, words, base + first, base + last))
-            number += 1
-        base += len(line) + 1
+    if len(h) < LEAST:
+        return []
+    out, start = [], 0
+    if len(h) >= 2 * LEAST:
+        for c in np.flatnonzero(h & np.uint64(1)).tolist():
+            while c + 1 - start > LONGEST:
+                out.append((start, start + LONGEST))
+                start += LONGEST
+            if c + 1 - start >= 2 * LEAST:
+                out.append((start, c + 1))
+                start = c + 1
+        while len(h) - start > LONGEST:
+            out.append((start, start + LONGEST))
+            start += LONGEST
+    if len(h) - start >= LEAST:
+        out.append((start, len(h)))
     return out
 
 
-def _items(text: str) -> list[tuple[int, list[str]]]:
-    return [(n, words) for n, words, _, _ in paragraphs(text)]
+def paragraphs(text: str | None) -> list[tuple[int, np.ndarray]]:
+    """(number, word hashes) of each paragraph: lines, or parts of long lines, of ``LEAST`` words or more."""
+    out = []
+    for line in folded(text).split(b"\n"):
+        h = hash_words(line)
+        for i, j in _cuts(h):
+            out.append((len(out), h[i:j]))
+    return out
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of each paragraph, in code points."""
+    out, base = [], 0
+    for line in text.split("\n"):
+        words = [m.span() for m in WORD_RE.finditer(line)]
+        out += [(base + words[i][0], base + words[j - 1][1]) for i, j in _cuts(hash_words(folded(line)))]
+        base += len(line) + 1
+    return out
 
 
 def substring_dedup(
     docs: DataFrame,
     threshold: float = 0.8,
     width: int = 5,
-    rows: int = 3,
-    recall: float = 0.995,
+    rows: int = 2,
+    recall: float = 0.99,
     min_run_words: int = 30,
 ) -> DataFrame:
     """Paragraphs that repeat, exactly or nearly, in other documents.
@@ -70,15 +81,16 @@ def substring_dedup(
     that are null, empty or shorter than a paragraph have no row; rows that repeat a doc_id count
     once.
     """
-    found = near_duplicates(docs, _items, width, threshold, rows, recall, PACK)
-    by_cluster = found.groupBy("root").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"))
-    repeated = by_cluster.filter("least < greatest")
-    members = found.join(repeated, "root").select(
+    items, classes = near_duplicates(docs, paragraphs, width, threshold, rows, recall, PACK)
+    several = classes.filter("copies > 1 or links > 0")
+    clusters = several.groupBy("root").agg(F.min("least_doc").alias("kept_in"), F.max("greatest_doc").alias("last"))
+    repeated = several.join(clusters.filter("kept_in < last"), "root")
+    members = items.join(broadcast_if_small(materialize(repeated.select("hi", "lo", "size", "root", "kept_in"))), ["hi", "lo"]).select(
         "doc_id",
         F.col("item").alias("para"),
         (F.col("size") + F.lit(width - 1)).cast("long").alias("n_words"),
         F.col("root").alias("cluster_id"),
-        F.col("least").alias("kept_in"),
+        "kept_in",
     )
     order = Window.partitionBy("doc_id").orderBy("para")
     runs = members.withColumn("run", F.col("para") - F.row_number().over(order))
@@ -96,13 +108,11 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def without(texts, gone):
-        import pandas as pd
-
         out = []
         for text, numbers in zip(texts, gone):
             if text is not None and numbers is not None and len(numbers):
                 numbers, parts, at = set(numbers), [], 0
-                for n, _, start, end in paragraphs(text):
+                for n, (start, end) in enumerate(spans(text)):
                     if n in numbers:
                         parts.append(text[at:start])
                         at = end
