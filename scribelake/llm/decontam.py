@@ -224,12 +224,15 @@ def contaminated(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, overlap: float = 0.5, width: int = 3) -> DataFrame:
     """The rows whose text holds no test item, columns unchanged. Needs no shuffle: a row is decided by its own text."""
     for shared in _passes(benchmark):
+        docs = docs.filter(_clean_udf(shared, threshold, overlap, width)("text"))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            match = Matcher(*shared.value, threshold, overlap, width)
-            for texts in batches:
-                yield pd.Series([not match(t) for t in texts], dtype=bool)
 
-        docs = docs.filter(clean("text"))
-    return docs
+def _clean_udf(shared, threshold: float, overlap: float, width: int):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        match = Matcher(*shared.value, threshold, overlap, width)
+        for texts in batches:
+            yield pd.Series([not match(t) for t in texts], dtype=bool)
+
+    return clean

@@ -72,7 +72,9 @@ def substring_dedup(
     """Paragraphs that repeat, exactly or nearly, in other documents.
 
     Paragraphs whose sets of ``width``-word shingles have a Jaccard similarity of ``threshold`` or
-    more are linked; components of links are clusters. Runs of neighbouring repeated paragraphs
+    more are linked; components of links are clusters. A passage that is a line of its own is always
+    one paragraph; one pasted into a longer line is found where the cuts on both sides of a stretch of
+    it agree, which is likely but not certain. Runs of neighbouring repeated paragraphs
     count when they have ``min_run_words`` words together, so that short stock lines are left alone.
 
     Returns one row per paragraph of such a run: doc_id, para (its number, as :func:`paragraphs`
@@ -107,7 +109,7 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
     gone = found.filter("removed").groupBy("doc_id").agg(F.collect_set("para").alias("__gone"))
 
     @F.pandas_udf("string")
-    def without(texts, gone):
+    def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
         out = []
         for text, numbers in zip(texts, gone):
             if text is not None and numbers is not None and len(numbers):
