@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 #: Items of one index block.
-BLOCK = 32
+BLOCK = 8
 #: Words of the long stretches that are tried before their passages.
-STRETCH = 512
+STRETCH = 256
 #: Items that one pass over the documents holds in memory, and their characters.
 PASS_ITEMS, PASS_CHARS = 50_000, 64 << 20
 
