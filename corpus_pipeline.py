@@ -9,26 +9,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scribelake.llm import decontam, langid, linededup, mixing, ngramjoin
-from scribelake.llm.common import materialize
+from scribelake.llm.common import bound_batches, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go."""
+    bound_batches(spark)
     return langid.keep_identified(docs, langid.train(docs, fold=None))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines stay in the first document that holds them; documents left without a word go."""
-    return linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
+    bound_batches(spark)
+    return linededup.apply_bitmaps(docs, materialize(linededup.keep_bitmaps(docs)))  # written, so that packing and applying don't hold workers at once
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each linked class stays."""
+    bound_batches(spark)
     return ngramjoin.keep_one(docs)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bound_batches(spark)
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -33,6 +33,8 @@ BLOCK = 256
 BLOCK_SHINGLES = 400_000
 #: Rows (some 100 bytes each) up to which a side of a join is broadcast.
 BROADCAST_ROWS = 250_000
+#: Words whose hashes a worker remembers (some 200 bytes each).
+KNOWN_WORDS = 1 << 17
 #: Words of a batch whose hashes are held at once.
 CHUNK_WORDS = 1 << 18
 _MULT, _SALT, _HI, _LO = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -58,7 +60,7 @@ _WORDS = _WordHashes()
 
 def hash_words(line: bytes) -> np.ndarray:
     """Hashes of the words between ASCII white space."""
-    if len(_WORDS) > 1_000_000:
+    if len(_WORDS) > KNOWN_WORDS:
         _WORDS.clear()
     words = line.split()
     return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
