@@ -46,7 +46,7 @@ def materialize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+def bound_batches(spark: SparkSession, size: int = 2 << 20) -> None:
     """Hand rows to Python workers in batches of about ``size`` bytes, where the session doesn't set it.
 
     By default a batch holds 10,000 rows however long they are. Several operators that run one after
@@ -89,7 +89,7 @@ def held_out(key, parts: int, part: int):
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts)) == F.lit(part)
 
 
-def pieces(texts: pd.Series, limit: int = 1 << 18):
+def pieces(texts: pd.Series, limit: int = 1 << 17):
     """Split a batch of texts into runs of about ``limit`` characters; yields (first row, texts).
 
     Bounds the size of the numpy arrays made from one run; a single text is never cut.

@@ -22,6 +22,8 @@ K1, B = 1.2, 0.75
 BLOCK = 8
 #: Words of the long stretches that are tried before their passages.
 STRETCH = 256
+#: Raw words that a matcher remembers.
+KNOWN_WORDS = 1 << 17
 #: Items that one pass over the documents holds in memory, and their characters.
 PASS_ITEMS, PASS_CHARS = 50_000, 64 << 20
 
@@ -164,7 +166,7 @@ class Matcher:
 
     def _terms(self, words: list[str]) -> np.ndarray:
         """Term numbers of raw words; words of nothing but other characters are left out."""
-        if len(self.known) > 1_000_000:
+        if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         out = np.fromiter(map(self.known.__getitem__, words), dtype=np.int32, count=len(words))
         return out[out != -2]

@@ -36,7 +36,7 @@ BROADCAST_ROWS = 250_000
 #: Words whose hashes a worker remembers (some 200 bytes each).
 KNOWN_WORDS = 1 << 17
 #: Words of a batch whose hashes are held at once.
-CHUNK_WORDS = 1 << 18
+CHUNK_WORDS = 1 << 16
 _MULT, _SALT, _HI, _LO = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
