@@ -1,0 +1,182 @@
+"""Stretches of words that repeat word for word in other documents, wherever they begin.
+
+1. Every document gives the least-hashed one of each ``SPREAD`` neighbouring short word windows as
+   an anchor (winnowing), so two documents that share a window of ``span`` words share an anchor;
+2. anchors that other documents hold too mark the places where all windows of ``span`` words are compared;
+3. neighbouring windows that repeat make a stretch, which is so the full common one.
+
+Windows travel as packed arrays, dealt by their hash and back by document, never as pairs. All
+places of one window are in one task (20 bytes each).
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize, mix64
+from .neardup import _MULT, broadcast_if_small, folded, hash_words
+
+#: Neighbouring short windows of which one at least is an anchor.
+SPREAD = 8
+#: Characters of text for each task that compares windows.
+PART_CHARS = 8_000_000
+#: Words whose windows a worker holds at once.
+HELD_WORDS = 1 << 18
+#: Words between two stretches of a run at most, such as edited ones.
+GAP = 2
+
+
+def _grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words that begin at each word."""
+    m = max(0, len(words) - n + 1)
+    s = np.full(m, n, dtype=np.uint64)
+    for k in range(n):
+        s = s * _MULT + words[k : k + m]
+    return mix64(s)
+
+
+def _inside(owner: np.ndarray, n: int) -> np.ndarray:
+    """Whether the ``n`` words that begin at each word are of one document."""
+    m = max(0, len(owner) - n + 1)
+    return owner[:m] == owner[len(owner) - m :]
+
+
+def anchors(words: np.ndarray, owner: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the short windows that are least within some window of ``span`` words."""
+    g = _grams(words, span - SPREAD + 1)
+    inside = _inside(owner, span)
+    if not len(inside):
+        return np.empty(0, dtype=np.int64), g[:0]
+    low = np.minimum.reduce([g[k : k + len(inside)] for k in range(SPREAD)])
+    low[~inside] = 0
+    high = np.zeros(len(g), dtype=np.uint64)
+    for k in range(SPREAD):
+        np.maximum(high[k : k + len(low)], low, out=high[k : k + len(low)])
+    at = np.flatnonzero(high == g)
+    return at, g[at]
+
+
+def _dealt(docs: DataFrame, span: int, parts: int) -> DataFrame:
+    """(part, h, doc, pos) packed by hash: anchors, or with a column ``at`` the windows around those places."""
+    chosen = "at" in docs.columns
+
+    def scan(batches):
+        def packed():
+            words, sizes = np.concatenate(lists), np.array([len(x) for x in lists])
+            owner, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+            if chosen:
+                mark = np.zeros(len(words) + span + 1, dtype=np.int64)
+                for start, n, places in zip(first, sizes, marks):
+                    mark[start + places[places < n] + 1] = 1
+                seen = np.cumsum(mark)
+                inside = _inside(owner, span)
+                at = np.flatnonzero(inside & (seen[SPREAD : SPREAD + len(inside)] > seen[: len(inside)]))
+                h = _grams(words, span)[at]
+            else:
+                at, h = anchors(words, owner, span)
+            part = (h >> np.uint64(20)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            part, h, at = part[order].astype(np.int64), h[order], at[order]
+            doc, pos = np.array(ids, dtype=np.int64)[owner[at]], (at - first[owner[at]]).astype(np.int32)
+            edges = np.searchsorted(part, np.arange(parts + 1))
+            full = np.flatnonzero(np.diff(edges))
+            cut = lambda x: [x[edges[p] : edges[p + 1]].tobytes() for p in full]
+            return pd.DataFrame({"part": full, "h": cut(h), "doc": cut(doc), "pos": cut(pos)})
+
+        ids, lists, marks, held = [], [], [], 0
+        for pdf in batches:
+            for i, (doc, text) in enumerate(zip(pdf["doc_id"], pdf["text"])):
+                words = hash_words(folded(text))
+                if len(words) < span:
+                    continue
+                ids.append(doc)
+                lists.append(words)
+                if chosen:
+                    marks.append(np.frombuffer(pdf["at"].iloc[i], dtype=np.int32))
+                held += len(words)
+                if held >= HELD_WORDS:
+                    yield packed()
+                    ids, lists, marks, held = [], [], [], 0
+        if lists:
+            yield packed()
+
+    return docs.mapInPandas(scan, "part int, h binary, doc binary, pos binary")
+
+
+def _shared(dealt: DataFrame, parts: int) -> DataFrame:
+    """The places of windows that two documents or more hold, with the least such document, dealt by document."""
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, doc, pos = (np.frombuffer(b"".join(pdf[k]), dtype=t) for k, t in (("h", np.uint64), ("doc", np.int64), ("pos", np.int32)))
+        order = np.lexsort((pos, doc, h))
+        h, doc, pos = h[order], doc[order], pos[order]
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(start, len(h)))
+        several = doc[start] != doc[start + size - 1]
+        keep, rep = np.repeat(several, size), np.repeat(start, size)
+        doc, pos, low, where = doc[keep], pos[keep], doc[rep[keep]], pos[rep[keep]]
+        bucket = (mix64(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(parts + 1))
+        full = np.flatnonzero(np.diff(edges))
+        cut = lambda x: [x[order[edges[p] : edges[p + 1]]].tobytes() for p in full]
+        return pd.DataFrame({"bucket": full, "doc": cut(doc), "pos": cut(pos), "low": cut(low), "at": cut(where)})
+
+    return dealt.groupBy("part").applyInPandas(match, "bucket int, doc binary, pos binary, low binary, at binary")
+
+
+def _by_document(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """doc, pos, low, at in order of document and place, each place once."""
+    doc, pos, low, at = (np.frombuffer(b"".join(pdf[k]), dtype=t) for k, t in (("doc", np.int64), ("pos", np.int32), ("low", np.int64), ("at", np.int32)))
+    order = np.lexsort((low, pos, doc))
+    doc, pos, low, at = doc[order], pos[order], low[order], at[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1]))
+    return doc[new], pos[new], low[new], at[new]
+
+
+def stretches(doc: np.ndarray, pos: np.ndarray, low: np.ndarray, at: np.ndarray, span: int, least: int) -> pd.DataFrame:
+    """Windows in order of document and place -> stretches of runs of ``least`` words or more."""
+    joined = (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1] + 1) & (low[1:] == low[:-1])
+    first = np.flatnonzero(np.append(True, ~joined))
+    last = np.append(first[1:], len(doc)) - 1
+    doc, low, at, start, end = doc[first], low[first], at[first], pos[first].astype(np.int64), pos[last].astype(np.int64) + span
+    # ends grow within a document, as starts do and windows are of one size
+    new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > end[:-1] + GAP))
+    before = np.append(0, end[:-1])
+    fresh = end - np.where(new, start, np.maximum(start, before))
+    run = np.cumsum(new) - 1
+    words = np.bincount(run, weights=fresh).astype(np.int64)[run]
+    out = pd.DataFrame({"doc_id": doc, "start": start, "n_words": end - start, "run_words": words, "kept_in": low, "kept_at": at})
+    return out[words >= least]
+
+
+def repeated_stretches(docs: DataFrame, least: int = 30) -> DataFrame:
+    """Every stretch of words that other documents hold word for word, in lower case and across line ends.
+
+    A stretch has ``least`` / 2 words or more (``SPREAD`` + 1 at least) and is as long as its windows
+    of that size go on repeating with the same least document. It counts when it and its neighbours,
+    ``GAP`` words apart at most, have ``least`` words together; so a common passage of ``least`` words is
+    always found, also one in which single words are changed between parts of that size.
+
+    Returns doc_id, start (number of its first word), n_words, run_words, kept_in (least document
+    that holds its windows), kept_at (place of the first of them there).
+    """
+    span = max(SPREAD + 1, least // 2)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    parts = max(8, int(known.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // PART_CHARS)
+
+    def places(pdf: pd.DataFrame) -> pd.DataFrame:
+        doc, pos, _, _ = _by_document(pdf)
+        first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        return pd.DataFrame({"__doc": doc[first], "at": [x.tobytes() for x in np.split(pos, first[1:])]})
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        return stretches(*_by_document(pdf), span, least)
+
+    wanted = materialize(_shared(_dealt(known, span, parts), parts).groupBy("bucket").applyInPandas(places, "__doc long, at binary"))
+    around = known.join(broadcast_if_small(wanted), F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "at")
+    found = _shared(_dealt(around, span, parts), parts).groupBy("bucket")
+    return found.applyInPandas(joined, "doc_id long, start long, n_words long, run_words long, kept_in long, kept_at long")

@@ -1,4 +1,5 @@
-"""Substring de-duplication on paragraphs: MinHash banding, exact Jaccard, clusters by components."""
+"""Substring de-duplication: near paragraphs by MinHash banding, exact Jaccard and components, and
+stretches that repeat word for word wherever they begin (:mod:`stretches`)."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_RE, materialize
 from .neardup import broadcast_if_small, folded, hash_words, near_duplicates
+from .stretches import repeated_stretches
 
 #: Paragraphs that a document can number; doc_id times this must stay a long.
 PACK = 1 << 22
@@ -69,19 +71,22 @@ def substring_dedup(
     recall: float = 0.99,
     min_run_words: int = 30,
 ) -> DataFrame:
-    """Paragraphs that repeat, exactly or nearly, in other documents.
+    """Paragraphs that repeat, exactly or nearly, in other documents, and stretches that repeat word for word.
 
     Paragraphs whose sets of ``width``-word shingles have a Jaccard similarity of ``threshold`` or
-    more are linked; components of links are clusters. A passage that is a line of its own is always
-    one paragraph; one pasted into a longer line is found where the cuts on both sides of a stretch of
-    it agree, which is likely but not certain. Runs of neighbouring repeated paragraphs
+    more are linked; components of links are clusters. Runs of neighbouring repeated paragraphs
     count when they have ``min_run_words`` words together, so that short stock lines are left alone.
+    MinHash on paragraphs misses passages pasted into longer lines, whose cuts differ; so stretches
+    are also compared word for word, and every passage of ``min_run_words`` words that another document
+    holds is in a stretch, whatever lies around it (:func:`repeated_stretches`).
 
     Returns one row per paragraph of such a run: doc_id, para (its number, as :func:`paragraphs`
     counts), n_words (distinct windows plus width - 1), run_words, cluster_id, kept_in (least doc_id
-    of the cluster, which keeps its text), removed (the paragraph is not in that document). Texts
-    that are null, empty or shorter than a paragraph have no row; rows that repeat a doc_id count
-    once.
+    of the cluster, which keeps its text), removed (the paragraph is not in that document), start
+    (null); and one row per stretch: para is null, start is the number of its first word, n_words all
+    its words, cluster_id is below 0 and stands for the place in kept_in where it begins. Text can be in rows of
+    both kinds. Texts that are null, empty or shorter than a paragraph have no row; rows that
+    repeat a doc_id count once.
     """
     items, classes = near_duplicates(docs, paragraphs, width, threshold, rows, recall, PACK)
     several = classes.filter("copies > 1 or links > 0")
@@ -97,29 +102,38 @@ def substring_dedup(
     order = Window.partitionBy("doc_id").orderBy("para")
     runs = members.withColumn("run", F.col("para") - F.row_number().over(order))
     run = Window.partitionBy("doc_id", "run")
-    return (
+    removed = (F.col("doc_id") > F.col("kept_in")).alias("removed")
+    near = (
         runs.withColumn("run_words", F.sum("n_words").over(run))
         .filter(F.col("run_words") >= min_run_words)
-        .select("doc_id", "para", "n_words", "run_words", "cluster_id", "kept_in", (F.col("doc_id") > F.col("kept_in")).alias("removed"))
+        .select("doc_id", "para", "n_words", "run_words", "cluster_id", "kept_in", removed, F.lit(None).cast("long").alias("start"))
     )
+    exact = repeated_stretches(docs, min_run_words)
+    cluster = (-1 - (F.col("kept_in") * PACK + F.col("kept_at"))).alias("cluster_id")
+    return near.union(exact.select("doc_id", F.lit(None).cast("int").alias("para"), "n_words", "run_words", cluster, "kept_in", removed, "start"))
 
 
 def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents with the removed paragraphs cut out of ``text``; other columns stay."""
-    gone = found.filter("removed").groupBy("doc_id").agg(F.collect_set("para").alias("__gone"))
+    """The documents with the removed paragraphs and stretches cut out of ``text``; other columns stay."""
+    stretch = F.when(F.col("para").isNull(), F.struct("start", (F.col("start") + F.col("n_words")).alias("end")))
+    gone = found.filter("removed").groupBy("doc_id").agg(F.collect_set("para").alias("__gone"), F.collect_set(stretch).alias("__stretches"))
 
     @F.pandas_udf("string")
-    def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    def without(texts: pd.Series, gone: pd.Series, stretches: pd.Series) -> pd.Series:
         out = []
-        for text, numbers in zip(texts, gone):
-            if text is not None and numbers is not None and len(numbers):
-                numbers, parts, at = set(numbers), [], 0
-                for n, (start, end) in enumerate(spans(text)):
-                    if n in numbers:
-                        parts.append(text[at:start])
-                        at = end
+        for text, numbers, words in zip(texts, gone, stretches):
+            if text is not None and numbers is not None:
+                numbers, ranges, parts, at = set(numbers), [], [], 0
+                if numbers:
+                    ranges += [x for n, x in enumerate(spans(text)) if n in numbers]
+                if len(words):
+                    at_word = [m.span() for m in WORD_RE.finditer(text)]
+                    ranges += [(at_word[x["start"]][0], at_word[min(x["end"], len(at_word)) - 1][1]) for x in words if x["start"] < len(at_word)]
+                for start, end in sorted(ranges):
+                    parts.append(text[at:start])
+                    at = max(at, end)
                 text = "".join(parts) + text[at:]
             out.append(text)
         return pd.Series(out, dtype="object")
 
-    return docs.join(gone, "doc_id", "left").withColumn("text", without("text", "__gone")).select(*docs.columns)
+    return docs.join(gone, "doc_id", "left").withColumn("text", without("text", "__gone", "__stretches")).select(*docs.columns)

@@ -1,0 +1,93 @@
+import random
+
+import numpy as np
+import pytest
+
+from scribelake.llm import substring
+from scribelake.llm.stretches import repeated_stretches
+
+from .helpers import empty, frame
+
+VOCABULARY = [a + b + c for a in "bcdfghjk" for b in ("ama", "elo", "iru", "uno") for c in ("ten", "sor", "pik", "lad")]
+
+
+def words(rng, n):
+    return [rng.choice(VOCABULARY) for _ in range(n)]
+
+
+def pasted(spark, low, high, edited=False, n=40):
+    """Pairs of documents with a common passage of ``low`` to ``high`` words inside a line, or over line ends."""
+    rng, rows, passages = random.Random(low), [], {}
+    for i in range(n):
+        passage = words(rng, rng.randint(low, high))
+        passages[i] = passage
+        for k in range(2):
+            mine = list(passage)
+            if edited and k:
+                mine[len(mine) // 2] = "changed"
+            if i % 4 == 3 and k:
+                mine[20] += "\n" + mine.pop(21)
+            rows.append((2 * i + k, " ".join(words(rng, 60) + mine + words(rng, 60)), None, None, 0, None, None))
+    return frame(spark, rows), passages
+
+
+@pytest.mark.parametrize("low, high", [(30, 50), (51, 60), (61, 80), (81, 120)])
+def test_every_pasted_passage_is_found_in_full(spark, low, high):
+    docs, passages = pasted(spark, low, high)
+    got = {r.doc_id: r for r in repeated_stretches(docs).collect()}
+    assert set(got) == set(range(80))
+    for i, passage in passages.items():
+        # chance can lengthen a common stretch by a word
+        assert all(r.start <= 60 and r.start + r.n_words >= 60 + len(passage) and r.n_words <= len(passage) + 4 and r.kept_in == 2 * i for r in (got[2 * i], got[2 * i + 1]))
+
+
+def test_pasted_passages_are_rows_and_are_cut(spark):
+    docs, passages = pasted(spark, 51, 60)
+    got = substring.substring_dedup(docs)
+    rows = got.collect()
+    assert {r.doc_id for r in rows} == set(range(80)) and {r.doc_id for r in rows if r.removed} == set(range(1, 80, 2))
+    left = {r.doc_id: r.text.split() for r in substring.cut(docs, got).collect()}
+    for i, passage in passages.items():
+        assert " ".join(passage) in " ".join(left[2 * i]) and 112 <= len(left[2 * i + 1]) <= 120
+
+
+def test_one_changed_word_and_short_repeats(spark):
+    docs, _ = pasted(spark, 51, 60, edited=True)
+    assert {r.doc_id for r in repeated_stretches(docs).collect()} == set(range(80))
+    docs, _ = pasted(spark, 22, 25)
+    assert repeated_stretches(docs).count() == 0 and repeated_stretches(empty(spark)).count() == 0
+
+
+def test_stretches_equal_brute_force(spark):
+    rng = random.Random(3)
+    stock = [words(rng, n) for n in (10, 16, 20, 33, 60)]
+    rows = []
+    for i in range(60):
+        text = []
+        for _ in range(4):
+            part = rng.choice(stock)
+            a = rng.randrange(len(part))
+            text += words(rng, rng.randint(0, 9)) + part[a:]
+        rows.append((i, " ".join(text), None, None, 0, None, None))
+    rows.append((60, "same " * 300, None, None, 0, None, None))
+    rows.append((61, "Same\n" * 200, None, None, 0, None, None))
+    every = {r[0]: r[1].lower().split() for r in rows}
+    holders = {}
+    for d, w in every.items():
+        for i in range(len(w) - 14):
+            holders.setdefault(tuple(w[i : i + 15]), set()).add(d)
+    want = set()
+    for d, w in every.items():
+        covered = np.zeros(len(w), dtype=bool)
+        for i in range(len(w) - 14):
+            if len(holders[tuple(w[i : i + 15])]) > 1:
+                covered[i : i + 15] = True
+        runs, last = [], None
+        for i in np.flatnonzero(covered):
+            if last is None or i - last > 3:
+                runs.append([])
+            runs[-1].append((d, int(i)))
+            last = i
+        want |= {x for run in runs if len(run) >= 30 for x in run}
+    got = repeated_stretches(frame(spark, rows).repartition(5)).collect()
+    assert {(r.doc_id, r.start + k) for r in got for k in range(r.n_words)} == want and want
