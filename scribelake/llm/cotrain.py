@@ -133,18 +133,25 @@ def page_records(pages: DataFrame) -> DataFrame:
     return best.select("__doc", "p.url", F.col("p.html_chars").cast("long").alias("html_chars"))
 
 
-def train(docs: DataFrame, pages: DataFrame, labels: DataFrame, sample_rows: int = 12_000, rounds: int = 4, grow: int = 400) -> QualityModel:
-    """Co-train on a seeded sample of about ``sample_rows`` documents, labelled and not.
+def train(docs: DataFrame, pages: DataFrame, labels: DataFrame, sample_rows: int = 12_000, rounds: int = 4, grow: int = 400, pool_rows: int = 12_000) -> QualityModel:
+    """Co-train on seeded samples of about ``sample_rows`` labelled documents and ``pool_rows`` others.
 
-    Three quarters of the labelled rows fit the views, the rest calibrates them. ``grow`` pool
-    documents a round and view pass to the other view, split between the labels as the fitted rows are.
+    The shares are taken apart, so few labels in a large corpus are all used. Labels of documents
+    that are not in ``docs`` do not count. Three quarters of the labelled rows fit the views, the
+    rest calibrates them. ``grow`` pool documents a round and view pass to the other view, split
+    between the labels as the fitted rows are.
     """
-    share = sample_share(docs.count(), sample_rows)
-    some = docs.filter(in_sample(F.col("doc_id"), share, "quality")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", "n_chars")
-    marks = labels.filter("quality in (0, 1)").groupBy(F.col("doc_id").alias("__label_doc")).agg(F.max("quality").cast("int").alias("y"))
-    marks = marks.filter(in_sample(F.col("__label_doc"), share, "quality"))
-    records = page_records(pages).filter(in_sample(F.col("__doc"), share, "quality"))
-    joined = some.join(marks, F.col("doc_id") == F.col("__label_doc"), "left").join(records, F.col("doc_id") == F.col("__doc"), "left")
+    key = F.col("doc_id").cast("long")
+    marks = labels.filter("quality in (0, 1)").groupBy(key.alias("__label_doc")).agg(F.max("quality").cast("int").alias("y"))
+    marks = materialize(marks.join(docs.select(key.alias("__label_doc")), "__label_doc", "left_semi"))
+    labelled = marks.count()
+    in_pool = in_sample(F.col("doc_id"), sample_share(max(0, docs.count() - labelled), pool_rows), "quality")
+    chosen = materialize(marks.filter(in_sample(F.col("__label_doc"), sample_share(labelled, sample_rows), "quality")))
+    some = docs.select(key.alias("doc_id"), "text", "source", "lang", "n_chars")
+    some = some.join(F.broadcast(chosen), F.col("doc_id") == F.col("__label_doc"), "left").drop("__label_doc").filter(F.col("y").isNotNull() | in_pool)
+    some = some.join(marks.select("__label_doc"), F.col("doc_id") == F.col("__label_doc"), "left").filter("y is not null or __label_doc is null")
+    records = page_records(pages).join(F.broadcast(some.select(F.col("doc_id").alias("__doc"))), "__doc", "left_semi")
+    joined = some.join(records, F.col("doc_id") == F.col("__doc"), "left")
 
     def views(batches):
         for pdf in batches:
@@ -152,7 +159,7 @@ def train(docs: DataFrame, pages: DataFrame, labels: DataFrame, sample_rows: int
             m = [meta_view(*r).tobytes() for r in zip(pdf["source"], pdf["lang"], pdf["n_chars"], pdf["url"], pdf["html_chars"])]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"].astype("Int64"), "t": t, "m": m})
 
-    # about sample_rows rows of 1.6 kB
+    # about sample_rows + pool_rows rows of 1.6 kB
     rows = joined.mapInPandas(views, "doc_id long, y int, t binary, m binary").toPandas().sort_values(["doc_id", "t"], ignore_index=True)
     if not len(rows):
         return QualityModel.empty()
