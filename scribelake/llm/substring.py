@@ -1,5 +1,22 @@
-"""Substring de-duplication: near paragraphs by MinHash banding, exact Jaccard and components, and
-stretches that repeat word for word wherever they begin (:mod:`stretches`)."""
+"""Substring de-duplication: MinHash banding of paragraphs, verification, components of removals.
+
+A passage may be pasted anywhere, so paragraphs are not lines but all windows of ``SPREAD + LENGTH - 1``
+words. The MinHash of a paragraph is its least five-word shingle of ``SPREAD`` neighbouring ones; the
+band key is the ``LENGTH`` words that begin there. Neighbouring paragraphs mostly share a MinHash, so
+it is stored once, as an anchor. One band of one row is tuned to a recall of 1: two documents that
+share a paragraph word for word always share an anchor, and a passage of 50 words or more that agrees
+with another in 0.8 of its five-word shingles holds such a paragraph.
+
+1. anchors of all documents; those that several documents hold collide (:func:`places`);
+2. collisions in a row with one document are aligned, and verified and extended word for word on
+   both texts (:func:`aligned`);
+3. aligned parts of a pair of places that are a few words apart are one run, which must agree in
+   0.8 of its words (the edit distance that the alignment gives); overlapping runs are linked and
+   the components of these links are the clusters.
+
+An anchor that very many documents hold is only ever reduced to its least document, with map-side
+combine, or joined, where adaptive execution splits a skewed key; it is never gathered.
+"""
 
 from __future__ import annotations
 
@@ -9,131 +26,235 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_RE, materialize
-from .neardup import broadcast_if_small, folded, hash_words, near_duplicates
-from .stretches import repeated_stretches
+from .components import connected_components
+from .neardup import broadcast_if_small
+from .words import _MULT, chunks, folded, grams, hash_texts, inside
+
+#: Words of a shingle, shingles whose least one is an anchor, and words of its band key.
+SHINGLE, SPREAD, LENGTH = 5, 12, 12
+#: Words that an aligned part is extended by at most on either side.
+CONTEXT = 60
+#: Of anchors that repeat within ``LENGTH`` words (a b a b ...), one in so many words is followed.
+STRIDE = 40
+#: Words between parts of one run at most.
+GAP = 16
+
+
+def anchors(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and band keys of the paragraphs' MinHashes."""
+    key, ok = grams(words, LENGTH), inside(owner, LENGTH)
+    least = grams(words, SHINGLE)[: len(key)].copy()
+    whole = inside(owner, LENGTH + SPREAD - 1)
+    if not len(whole):
+        return np.empty(0, dtype=np.int64), key[:0]
+    low = np.minimum.reduce([least[k : k + len(whole)] for k in range(SPREAD)])
+    low[~whole] = 0
+    high = np.zeros(len(least), dtype=np.uint64)
+    for k in range(SPREAD):
+        np.maximum(high[k : k + len(low)], low, out=high[k : k + len(low)])
+    at = np.flatnonzero(ok & (high == least))
+    return at, key[at]
+
 
-#: Paragraphs that a document can number; doc_id times this must stay a long.
-PACK = 1 << 22
-#: Words that a paragraph has at least, and at most inside a longer line.
-LEAST, LONGEST = 8, 80
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row_hash (tells rows apart that share a doc_id) and text of the rows that can repeat something."""
+    return docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text").filter("doc_id is not null and text is not null")
 
 
-def _cuts(h: np.ndarray) -> list[tuple[int, int]]:
-    """Word ranges of the paragraphs of a line.
+def places(docs: DataFrame) -> DataFrame:
+    """Anchors that several doc_ids hold: doc_id, row_hash, pos, and the least place: low, low_hash, at."""
+    rows = _rows(docs)
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    A line under twice ``LEAST`` words is one. A longer one is cut after words that their own hash
-    picks, so the cuts move with the text and a passage pasted into a line is cut as elsewhere.
+    def scan(batches):
+        for pdf in batches:
+            ids, marks = pdf["doc_id"].to_numpy(), pdf["row_hash"].to_numpy()
+            for run, words, counts in chunks(list(range(len(pdf))), list(pdf["text"])):
+                owner = np.repeat(np.array(run), counts)
+                at, key = anchors(words, owner)
+                first = np.repeat(np.cumsum(counts) - counts, counts)
+                yield pd.DataFrame({"h": key.view(np.int64), "doc_id": ids[owner[at]], "row_hash": marks[owner[at]], "pos": (at - first[at]).astype(np.int32)})
+
+    held = materialize(rows.mapInPandas(scan, f"h long, doc_id {kind}, row_hash long, pos int"))
+    shared = held.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("__last")).filter("low < __last").drop("__last")
+    found = materialize(held.join(shared.repartition("h"), "h"))
+    least = found.filter("doc_id = low").groupBy("h").agg(F.min(F.struct("row_hash", "pos")).alias("l"))
+    least = least.select("h", F.col("l.row_hash").alias("low_hash"), F.col("l.pos").alias("at"))
+    return found.filter("doc_id <> low").join(broadcast_if_small(materialize(least)), "h").drop("h")
+
+
+def aligned(docs: DataFrame) -> DataFrame:
+    """Stretches that two documents hold word for word: doc_id, row_hash, start, n, low, low_hash, at.
+
+    A chain of shared anchors at most ``LENGTH`` words apart covers its stretch without a hole. It
+    is compared as a whole and extended as far as both texts agree, ``CONTEXT`` words at most on either
+    side.
     """
-    if len(h) < LEAST:
-        return []
-    out, start = [], 0
-    if len(h) >= 2 * LEAST:
-        for c in np.flatnonzero(h & np.uint64(1)).tolist():
-            while c + 1 - start > LONGEST:
-                out.append((start, start + LONGEST))
-                start += LONGEST
-            if c + 1 - start >= 2 * LEAST:
-                out.append((start, c + 1))
-                start = c + 1
-        while len(h) - start > LONGEST:
-            out.append((start, start + LONGEST))
-            start += LONGEST
-    if len(h) - start >= LEAST:
-        out.append((start, len(h)))
-    return out
-
-
-def paragraphs(text: str | None) -> list[tuple[int, np.ndarray]]:
-    """(number, word hashes) of each paragraph: lines, or parts of long lines, of ``LEAST`` words or more."""
-    out = []
-    for line in folded(text).split(b"\n"):
-        h = hash_words(line)
-        for i, j in _cuts(h):
-            out.append((len(out), h[i:j]))
-    return out
-
-
-def spans(text: str) -> list[tuple[int, int]]:
-    """Start and end of each paragraph, in code points."""
-    out, base = [], 0
-    for line in text.split("\n"):
-        words = [m.span() for m in WORD_RE.finditer(line)]
-        out += [(base + words[i][0], base + words[j - 1][1]) for i, j in _cuts(hash_words(folded(line)))]
-        base += len(line) + 1
-    return out
-
-
-def substring_dedup(
-    docs: DataFrame,
-    threshold: float = 0.8,
-    width: int = 5,
-    rows: int = 2,
-    recall: float = 0.99,
-    min_run_words: int = 30,
-) -> DataFrame:
-    """Paragraphs that repeat, exactly or nearly, in other documents, and stretches that repeat word for word.
-
-    Paragraphs whose sets of ``width``-word shingles have a Jaccard similarity of ``threshold`` or
-    more are linked; components of links are clusters. Runs of neighbouring repeated paragraphs
-    count when they have ``min_run_words`` words together, so that short stock lines are left alone.
-    MinHash on paragraphs misses passages pasted into longer lines, whose cuts differ; so stretches
-    are also compared word for word, and every passage of ``min_run_words`` words that another document
-    holds is in a stretch, whatever lies around it (:func:`repeated_stretches`).
-
-    Returns one row per paragraph of such a run: doc_id, para (its number, as :func:`paragraphs`
-    counts), n_words (distinct windows plus width - 1), run_words, cluster_id, kept_in (least doc_id
-    of the cluster, which keeps its text), removed (the paragraph is not in that document), start
-    (null); and one row per stretch: para is null, start is the number of its first word, n_words all
-    its words, cluster_id is below 0 and stands for the place in kept_in where it begins. Text can be in rows of
-    both kinds. Texts that are null, empty or shorter than a paragraph have no row; rows that
-    repeat a doc_id count once.
+    row = Window.partitionBy("doc_id", "row_hash").orderBy("pos")
+    before = lambda c: F.lag(c).over(row)
+    near = (F.col("pos") - before("pos") <= LENGTH) & (F.col("low") == before("low")) & (F.col("low_hash") == before("low_hash"))
+    # anchors that stand for one and the same place again and again: follow one in STRIDE words
+    again = F.coalesce(near & (F.col("at") == before("at")), F.lit(False))
+    p = places(docs).withColumn("again", again).withColumn("turn", F.sum((~F.col("again")).cast("long")).over(row))
+    turn = Window.partitionBy("doc_id", "row_hash", "turn").orderBy("pos")
+    p = p.withColumn("step", F.floor((F.col("pos") - F.first("pos").over(turn)) / STRIDE))
+    p = p.withColumn("moved", F.coalesce(F.col("step") != F.lag("step").over(turn), F.lit(True))).filter("moved")
+    joined = F.coalesce(near & (F.col("pos") - F.col("at") == before(F.col("pos") - F.col("at"))), F.lit(False))
+    chains = p.withColumn("joined", joined).withColumn("chain", F.sum((~F.col("joined")).cast("long")).over(row))
+    chains = materialize(
+        chains.groupBy("doc_id", "row_hash", "chain", "low", "low_hash").agg(
+            F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + LENGTH).cast("int").alias("n"), F.min("at").alias("at")
+        )
+    )
+    asked = chains.select("doc_id", "row_hash", "start", "n").union(chains.select("low", "low_hash", "at", "n")).distinct()
+    seen = _contexts(docs, asked)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    there = seen.select(
+        F.col("doc_id").alias("low"), F.col("row_hash").alias("low_hash"), F.col("start").alias("at"), "n",
+        F.col("whole").alias("whole2"), F.col("before").alias("before2"), F.col("after").alias("after2"),
+    )
+    both = chains.join(seen, ["doc_id", "row_hash", "start", "n"]).join(there, ["low", "low_hash", "at", "n"]).filter("whole = whole2")
+
+    def agree(a: bytes, b: bytes, step: int) -> int:
+        """Words that are equal from the start, or with a ``step`` of -1 from the end."""
+        a, b = (np.frombuffer(x, dtype=np.uint32)[::step] for x in (a, b))
+        m = min(len(a), len(b))
+        other = np.flatnonzero(a[:m] != b[:m])
+        return int(other[0]) if len(other) else m
+
+    def extend(batches):
+        for pdf in batches:
+            left = np.array([agree(a, b, -1) for a, b in zip(pdf["before"], pdf["before2"])], dtype=np.int32)
+            right = np.array([agree(a, b, 1) for a, b in zip(pdf["after"], pdf["after2"])], dtype=np.int32)
+            out = pdf[["doc_id", "row_hash", "start", "n", "low", "low_hash", "at"]].copy()
+            out["start"] -= left
+            out["at"] -= left
+            out["n"] += left + right
+            yield out
+
+    grown = both.mapInPandas(extend, f"doc_id {kind}, row_hash long, start int, n int, low {kind}, low_hash long, at int")
+    return grown.groupBy("doc_id", "row_hash", "start", "low", "low_hash", "at").agg(F.max("n").alias("n"))
+
+
+def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each stretch asked for: hash of all its words, and the words before and after it (32 bits each)."""
+    wanted = asked.groupBy(F.col("doc_id").alias("__doc"), F.col("row_hash").alias("__row")).agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("asked"))
+    rows = _rows(docs)
+    rows = rows.join(broadcast_if_small(materialize(wanted)), (F.col("doc_id") == F.col("__doc")) & (F.col("row_hash") == F.col("__row")))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    names = ["doc_id", "row_hash", "start", "n", "whole", "before", "after"]
+
+    def scan(batches):
+        for pdf in batches:
+            out = []
+            for doc, mark, text, stretches in zip(pdf["doc_id"], pdf["row_hash"], pdf["text"], pdf["asked"]):
+                words, _ = hash_texts([folded(text)])
+                short = (words >> np.uint64(32)).astype(np.uint32)
+                power = np.cumprod(np.append(np.uint64(1), np.full(len(words), _MULT)))
+                prefix = np.append(np.uint64(0), np.cumsum(words * power[:-1]))
+                back = np.uint64(pow(int(_MULT), -len(words), 1 << 64))
+                for s, n in ((x["start"], x["n"]) for x in stretches):
+                    whole = (prefix[s + n : s + n + 1] - prefix[s]) * power[len(words) - s] * back  # as if the stretch began at power 0
+                    out.append((doc, mark, s, n, int(whole.view(np.int64)[0]), short[max(0, s - CONTEXT) : s].tobytes(), short[s + n : s + n + CONTEXT].tobytes()))
+                if len(out) >= 5000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
+
+    schema = f"doc_id {kind}, row_hash long, start int, n int, whole long, before binary, after binary"
+    return materialize(rows.select("doc_id", "row_hash", "text", "asked").mapInPandas(scan, schema))
+
+
+def repeated_runs(docs: DataFrame, least: int = 51, similar: float = 0.8) -> DataFrame:
+    """Runs of aligned stretches: doc_id, row_hash, start, n_words, matched, low, low_hash, at, low_words.
+
+    Stretches of one pair of documents that lie ``GAP`` words apart at most in both, in the same
+    order, are one run. It counts when ``least`` of its words agree, and ``similar`` of the longer side.
     """
-    items, classes = near_duplicates(docs, paragraphs, width, threshold, rows, recall, PACK)
-    several = classes.filter("copies > 1 or links > 0")
-    clusters = several.groupBy("root").agg(F.min("least_doc").alias("kept_in"), F.max("greatest_doc").alias("last"))
-    repeated = several.join(clusters.filter("kept_in < last"), "root")
-    members = items.join(broadcast_if_small(materialize(repeated.select("hi", "lo", "size", "root", "kept_in"))), ["hi", "lo"]).select(
-        "doc_id",
-        F.col("item").alias("para"),
-        (F.col("size") + F.lit(width - 1)).cast("long").alias("n_words"),
-        F.col("root").alias("cluster_id"),
-        "kept_in",
+    a = materialize(aligned(docs))
+    pair = Window.partitionBy("doc_id", "row_hash", "low", "low_hash").orderBy("start", "at")
+    last = lambda c: F.lag(c).over(pair)
+    here, there = F.col("start") - last(F.col("start") + F.col("n")), F.col("at") - last(F.col("at") + F.col("n"))
+    # parts that only CONTEXT kept apart overlap in one alignment
+    on = F.coalesce((here.between(0, GAP) & there.between(0, GAP)) | ((here < 0) & (here == there)), F.lit(False))
+    runs = a.withColumn("on", on).withColumn("fresh", F.when(F.col("on"), F.col("n") + F.least(here, F.lit(0))).otherwise(F.col("n")))
+    runs = runs.withColumn("run", F.sum((~F.col("on")).cast("long")).over(pair))
+    found = runs.groupBy("doc_id", "row_hash", "low", "low_hash", "run").agg(
+        F.min("start").alias("start"),
+        (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n_words"),
+        F.sum("fresh").alias("matched"),
+        F.min("at").alias("at"),
+        (F.max(F.col("at") + F.col("n")) - F.min("at")).alias("low_words"),
     )
-    order = Window.partitionBy("doc_id").orderBy("para")
-    runs = members.withColumn("run", F.col("para") - F.row_number().over(order))
-    run = Window.partitionBy("doc_id", "run")
-    removed = (F.col("doc_id") > F.col("kept_in")).alias("removed")
-    near = (
-        runs.withColumn("run_words", F.sum("n_words").over(run))
-        .filter(F.col("run_words") >= min_run_words)
-        .select("doc_id", "para", "n_words", "run_words", "cluster_id", "kept_in", removed, F.lit(None).cast("long").alias("start"))
+    return found.filter((F.col("matched") >= least) & (F.col("matched") >= similar * F.greatest("n_words", "low_words"))).drop("run")
+
+
+def substring_dedup(docs: DataFrame, min_words: int = 51, similar: float = 0.8) -> DataFrame:
+    """Passages that repeat, exactly or nearly, in other documents, wherever they begin and across line ends.
+
+    Words are runs of characters other than ASCII white space, lower-cased. A passage counts when
+    another document (another doc_id) holds ``min_words`` of its words in the same order, and these are
+    ``similar`` of the passage on both sides. Every passage that a document shares word for word with
+    the least document holding one of its paragraphs is found in full length but for passages that
+    repeat themselves within a dozen words, which may end ``CONTEXT`` words early.
+
+    Returns one row per passage: doc_id, row_hash (xxhash64 of the text; rows that share a doc_id but
+    not a text are decided apart), start (number of its first word), n_words, matched, cluster_id (of
+    all passages linked by overlap), kept_in and kept_at (document and word where the other place is;
+    its own, where the text stays), removed (this place is not the least document). Rows equal in
+    doc_id and text count once. Null doc_ids, null and empty texts and texts of fewer words have no row; an
+    empty table gives none. Ties go to the least doc_id, then the least row_hash and place. Extra
+    columns are ignored; doc_id may be of any type that has an order.
+    """
+    runs = materialize(repeated_runs(docs, min_words, similar))
+    key = ["doc_id", "row_hash"]
+    kept = runs.select(
+        F.col("low").alias("doc_id"), F.col("low_hash").alias("row_hash"), F.col("at").alias("start"), F.col("low_words").alias("n_words"), F.col("matched"),
+    ).groupBy(*key, "start", "n_words").agg(F.max("matched").alias("matched"))
+    spans = runs.select(*key, "start", "n_words").union(kept.select(*key, "start", "n_words")).distinct()
+    order = Window.partitionBy(*key).orderBy("start", F.desc("n_words"))
+    reach = F.max(F.col("start") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # spans that overlap by more than half of the shorter are one island
+    fresh = F.coalesce(reach - F.col("start") < F.lit(min_words // 2), F.lit(True))
+    spans = spans.withColumn("fresh", fresh).withColumn("isle", F.sum(F.col("fresh").cast("long")).over(order))
+    isles = spans.groupBy(*key, "isle").agg(F.min("start").alias("isle_start"))
+    isles = materialize(isles.withColumn("node", F.monotonically_increasing_id()))
+    spans = materialize(spans.join(isles, [*key, "isle"]).select(*key, "start", "n_words", "node", "isle_start"))
+    side = spans.select(*key, "start", "n_words", F.col("node").alias("a"))
+    low = spans.select(F.col("doc_id").alias("low"), F.col("row_hash").alias("low_hash"), F.col("start").alias("at"), F.col("n_words").alias("low_words"), F.col("node").alias("b"))
+    edges = runs.join(side, [*key, "start", "n_words"]).join(low, ["low", "low_hash", "at", "low_words"]).select("a", "b")
+    parts = connected_components(edges)
+    names = spans.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = names.groupBy("root").agg(F.min(F.struct("doc_id", "row_hash", "isle_start")).alias("head"))
+    names = names.join(heads.repartition("root"), "root").select(*key, "start", "n_words", F.xxhash64("head").alias("cluster_id"))
+    every = runs.select(*key, "start", "n_words", "matched", F.col("low").alias("kept_in"), F.col("at").alias("kept_at"), F.lit(True).alias("removed")).union(
+        kept.select(*key, "start", "n_words", "matched", F.col("doc_id").alias("kept_in"), F.col("start").alias("kept_at"), F.lit(False).alias("removed"))
     )
-    exact = repeated_stretches(docs, min_run_words)
-    cluster = (-1 - (F.col("kept_in") * PACK + F.col("kept_at"))).alias("cluster_id")
-    return near.union(exact.select("doc_id", F.lit(None).cast("int").alias("para"), "n_words", "run_words", cluster, "kept_in", removed, "start"))
+    return every.join(names, [*key, "start", "n_words"]).select(
+        "doc_id", "row_hash", F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"), F.col("matched").cast("long").alias("matched"),
+        "cluster_id", "kept_in", F.col("kept_at").cast("long").alias("kept_at"), "removed",
+    )
 
 
 def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents with the removed paragraphs and stretches cut out of ``text``; other columns stay."""
-    stretch = F.when(F.col("para").isNull(), F.struct("start", (F.col("start") + F.col("n_words")).alias("end")))
-    gone = found.filter("removed").groupBy("doc_id").agg(F.collect_set("para").alias("__gone"), F.collect_set(stretch).alias("__stretches"))
+    """The documents with the removed passages cut out of ``text``; other columns stay."""
+    gone = found.filter("removed").groupBy(F.col("doc_id").alias("__doc"), F.col("row_hash").alias("__row")).agg(F.collect_set(F.struct("start", "n_words")).alias("__gone"))
 
     @F.pandas_udf("string")
-    def without(texts: pd.Series, gone: pd.Series, stretches: pd.Series) -> pd.Series:
+    def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
         out = []
-        for text, numbers, words in zip(texts, gone, stretches):
-            if text is not None and numbers is not None:
-                numbers, ranges, parts, at = set(numbers), [], [], 0
-                if numbers:
-                    ranges += [x for n, x in enumerate(spans(text)) if n in numbers]
-                if len(words):
-                    at_word = [m.span() for m in WORD_RE.finditer(text)]
-                    ranges += [(at_word[x["start"]][0], at_word[min(x["end"], len(at_word)) - 1][1]) for x in words if x["start"] < len(at_word)]
-                for start, end in sorted(ranges):
+        for text, stretches in zip(texts, gone):
+            if text is not None and stretches is not None:
+                at_word = [m.span() for m in WORD_RE.finditer(text)]
+                ranges = sorted((at_word[x["start"]][0], at_word[x["start"] + x["n_words"] - 1][1]) for x in stretches)
+                parts, at = [], 0
+                for start, end in ranges:
                     parts.append(text[at:start])
                     at = max(at, end)
                 text = "".join(parts) + text[at:]
             out.append(text)
         return pd.Series(out, dtype="object")
 
-    return docs.join(gone, "doc_id", "left").withColumn("text", without("text", "__gone", "__stretches")).select(*docs.columns)
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__row")), "left")
+    return joined.withColumn("text", without("text", "__gone")).select(*docs.columns)

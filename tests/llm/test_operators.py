@@ -344,34 +344,6 @@ def test_jaccard_join_empty(spark):
     assert ngramjoin.jaccard_join(empty(spark)).count() == 0
 
 
-def test_substring_dedup(spark):
-    rng = random.Random(8)
-    vocabulary = [a + b + c for a in "bcdfghjk" for b in ("ama", "elo", "iru", "uno") for c in ("ten", "sor", "pik", "lad")]
-    passage = " ".join(rng.choice(vocabulary) for _ in range(90)) + "."
-    near = passage.split()
-    near[40] = "changed"
-    rows, planted, pasted = [], {}, {}
-    for i in range(40):
-        own = [" ".join(rng.choice(vocabulary) for _ in range(60)) + "." for _ in range(3)]
-        if i % 8 == 0:
-            own.insert(1, passage if i else " ".join(near))
-            planted[i] = True
-        if i % 8 == 4:
-            own[1] = own[1] + " " + passage + " " + own[2]
-            pasted[i] = True
-        rows.append((i, "\n".join(own) + "\nstock line of eight words that all have", None, None, 0, None, None))
-    rows += [(100, None, None, None, 0, None, None), (101, "", None, None, 0, None, None), (102, "few words", None, None, 0, None, None)]
-    docs = frame(spark, rows)
-    got = substring.substring_dedup(docs)
-    # a passage on a line of its own is always found, one pasted into a line where the cuts meet again
-    found = {r.doc_id for r in got.collect()}
-    assert set(planted) <= found <= set(planted) | set(pasted) and len(found & set(pasted)) >= 3
-    assert set(planted) - {0} <= {r.doc_id for r in got.filter("removed").collect()}
-    left = {r.doc_id: r.text for r in substring.cut(docs, got).collect()}
-    assert len(left[8].split()) < len(rows[8][1].split()) and left[1] == rows[1][1] and left[100] is None
-    assert substring.substring_dedup(empty(spark)).count() == 0
-
-
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(0, i) for i in range(400, 450)]
