@@ -1,7 +1,7 @@
 """Connected components over an edge table, by alternating large-star and small-star steps.
 
 Each step is a group minimum (combined map-side) and an equi join, so a node with very many
-neighbours is only ever reduced, never gathered: minima are shuffled apart from the edges, so that
+neighbours is only ever reduced, never gathered: minima are written before they are joined, so that
 adaptive execution can split a hub's edges in the join. Edges are written to the shared folder after each
 round. Nothing but one checksum row a round reaches the driver.
 """
@@ -17,13 +17,13 @@ from .common import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(low.repartition("a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return both.filter("b > a").join(materialize(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low.repartition("a"), "a")
+    moved = down.join(materialize(low), "a")
     return (
         moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
         .union(low.select("a", F.col("m").alias("b")))

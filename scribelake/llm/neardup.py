@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, row
     coarse = connected_components(_estimated_edges(classes.select("node", "sig"), bands, rows, floor))
     coarse = coarse.join(classes.select("node", "copies", "size", "hi", "lo", "first.*"), "node")
     sums = coarse.groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("shingles"))
-    coarse = materialize(coarse.join(sums.repartition("root"), "root"))
+    coarse = materialize(coarse.join(materialize(sums), "root"))
     checked = _verified(known, coarse, width, threshold)
     final = connected_components(checked.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     near = checked.filter("other is null").groupBy("node").agg(F.sum("links").alias("near"))
@@ -256,7 +256,7 @@ def _estimated_edges(signed: DataFrame, bands: int, rows: int, floor: float) ->
 
     keys = signed.mapInPandas(band_keys, "bucket long, node long")
     full = keys.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members = materialize(keys.join(full.repartition("bucket"), "bucket"))
+    members = materialize(keys.join(materialize(full), "bucket"))
     packs = max(1, members.count() // 8000)
     dealt = _blocked(members, F.col("members")).join(signed, "node")
     task = F.when(F.col("nb") == 1, F.pmod("bucket", F.lit(packs))).otherwise(F.xxhash64("bucket", "bi", "bj"))

@@ -14,7 +14,7 @@ def _joined(docs: DataFrame, threshold: float, width: int, rows: int, recall: fl
     members, classes = near_duplicates(docs, width, threshold, rows, recall)
     classes = materialize(classes)
     heads = classes.groupBy("root").agg(F.min("first").alias("head"))
-    return members.join(classes.join(heads.repartition("root"), "root"), ["hi", "lo"])
+    return members.join(classes.join(materialize(heads), "root"), ["hi", "lo"])
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, rows: int = 5, recall: float = 0.9995) -> DataFrame:

@@ -77,7 +77,7 @@ def places(docs: DataFrame) -> DataFrame:
 
     held = materialize(rows.mapInPandas(scan, f"h long, doc_id {kind}, row_hash long, pos int"))
     shared = held.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("__last")).filter("low < __last").drop("__last")
-    found = materialize(held.join(shared.repartition("h"), "h"))
+    found = materialize(held.join(materialize(shared), "h"))  # written first, so that the join can split a key that very many documents hold
     least = found.filter("doc_id = low").groupBy("h").agg(F.min(F.struct("row_hash", "pos")).alias("l"))
     least = least.select("h", F.col("l.row_hash").alias("low_hash"), F.col("l.pos").alias("at"))
     return found.filter("doc_id <> low").join(broadcast_if_small(materialize(least)), "h").drop("h")
@@ -227,7 +227,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 51, similar: float = 0.8)
     parts = connected_components(edges)
     names = spans.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = names.groupBy("root").agg(F.min(F.struct("doc_id", "row_hash", "isle_start")).alias("head"))
-    names = names.join(heads.repartition("root"), "root").select(*key, "start", "n_words", F.xxhash64("head").alias("cluster_id"))
+    names = names.join(materialize(heads), "root").select(*key, "start", "n_words", F.xxhash64("head").alias("cluster_id"))
     every = runs.select(*key, "start", "n_words", "matched", F.col("low").alias("kept_in"), F.col("at").alias("kept_at"), F.lit(True).alias("removed")).union(
         kept.select(*key, "start", "n_words", "matched", F.col("doc_id").alias("kept_in"), F.col("start").alias("kept_at"), F.lit(False).alias("removed"))
     )
