@@ -1,8 +1,10 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, block-max WAND, verification.
 
-The test items are indexed in blocks of bounded size. Every passage of every document is a query: a
-block's per-term maxima bound what it can score, and only blocks and items that can reach their
-threshold are scored. Items that do are verified on their word windows, question and answer apart.
+The test items are indexed in blocks of bounded size. Impacts are divided by the threshold of their
+item, so an item is retrieved when its impacts sum to 1. Every passage of every document is a query: it
+is passed over when the maxima of its terms don't sum to 1; else the pivots are the blocks where the
+terms' block maxima do, all other blocks are skipped, and only the pivots' postings are scored. Items
+that are retrieved are verified on their word windows, question and answer apart.
 """
 
 from __future__ import annotations
@@ -17,18 +19,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, mix64
+from .words import _IS_WORD, _VALUES, SEGMENT, _power_tables
+
 K1, B = 1.2, 0.75
 #: Items of one index block.
 BLOCK = 8
-#: Words of the long stretches that are tried before their passages.
-STRETCH = 256
-#: Raw words that a matcher remembers.
-KNOWN_WORDS = 1 << 17
 #: Items that one pass over the documents holds in memory, and their characters.
 PASS_ITEMS, PASS_CHARS = 50_000, 64 << 20
 
 _NOISE = re.compile(r"[\W_]+")
+_OTHER_NOISE = re.compile(r"[^\w\x00-\x7f]+")
 _QUESTION = re.compile(r"\?|\n")
+#: ASCII characters that stay when noise is taken out of words; white space parts them.
+_STAYS = np.array([i >= 128 or not _IS_WORD[i] or not _NOISE.match(chr(i)) for i in range(256)])
 
 
 def tokens(text: str) -> list[str]:
@@ -36,6 +40,27 @@ def tokens(text: str) -> list[str]:
     return [w for w in (_NOISE.sub("", w) for w in text.lower().split()) if w]
 
 
+def _plain(text: str | None) -> bytes:
+    """Lower-case text with single spaces, without noise beyond ASCII, as bytes."""
+    text = " ".join((text or "").lower().split())
+    return (text if text.isascii() else _OTHER_NOISE.sub("", text)).encode("utf-8", "surrogatepass")
+
+
+def hash_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the :func:`tokens` of plain texts, end to end, and how many each text has."""
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    raw = raw[_STAYS[raw]]
+    word = _IS_WORD[raw]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(raw == 10)
+    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+    if not len(starts):
+        return np.empty(0, dtype=np.uint64), counts
+    powers = _power_tables(len(raw))
+    return mix64(np.add.reduceat(_VALUES[raw] * powers[0, : len(raw)], starts) * powers[1, starts]), counts
+
+
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     """Words up to the first question mark or line end, and the rest; halves where there is neither."""
     m = _QUESTION.search(text)
@@ -52,131 +77,127 @@ def _windows(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
-class _Lists:
-    """Postings of all terms end to end: ``owner`` and ``score`` from ``start[term]``, ``length[term]`` of them."""
-
-    def __init__(self, by_term: list[list[tuple[int, float]]]):
-        self.length = np.array([len(p) for p in by_term], dtype=np.int64)
-        self.start = np.cumsum(self.length) - self.length
-        self.owner = np.array([i for p in by_term for i, _ in p], dtype=np.int64)
-        self.score = np.array([s for p in by_term for _, s in p], dtype=np.float64)
-
-    def sums(self, terms: np.ndarray, size: int) -> np.ndarray:
-        """Score of each owner, summed over the terms."""
-        length = self.length[terms]
-        ends = np.cumsum(length)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[terms] - (ends - length), length)
-        return np.bincount(self.owner[at], weights=self.score[at], minlength=size)
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places of several ranges, end to end."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
 
 
 class Index:
-    """BM25 postings of the test items, with the maxima of blocks of ``BLOCK`` items and each item's threshold."""
+    """Impacts of the test items by term, and their maxima by term and block of ``BLOCK`` items."""
+
+    def __init__(self, ids: list, texts: list[str], share: float, stats: tuple | None = None):
+        """``share`` of the score that an item gives itself is its threshold.
 
-    def __init__(self, ids: list, texts: list[str], share: float):
-        """``share`` of the score that an item gives itself is its threshold."""
+        ``stats`` are (items, mean words, {term: items that hold it}) of all passes; without it those of these items.
+        """
         self.ids, self.items = ids, [question_and_answer(t) for t in texts]
         words = [q + a for q, a in self.items]
-        n, mean = len(words), max(1.0, sum(map(len, words)) / max(1, len(words)))
-        df = Counter(t for w in words for t in set(w))
-        self.term = {t: k for k, t in enumerate(sorted(df))}
-        self.thresholds, postings = np.full(n, np.inf), [[] for _ in df]
+        if stats is None:
+            stats = len(words), sum(map(len, words)) / max(1, len(words)), Counter(t for w in words for t in set(w))
+        n, mean, df = stats
+        mean = max(1.0, mean)
+        by_term: dict[str, list[tuple[int, float]]] = {}
         for i, w in enumerate(words):
-            own = 0.0
-            for t, f in Counter(w).items():
-                idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
-                s = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean))
-                own += s
-                postings[self.term[t]].append((i, s))
-            if w:
-                self.thresholds[i] = share * own
-        blocks = []
-        for p in postings:
-            most: dict[int, float] = {}
-            for i, s in p:
-                most[i // BLOCK] = max(s, most.get(i // BLOCK, 0.0))
-            blocks.append(sorted(most.items()))
-        self.postings, self.maxima = _Lists(postings), _Lists(blocks)
-        self.block_least = np.array([self.thresholds[b : b + BLOCK].min() for b in range(0, n, BLOCK)])
+            scores = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean)) for t, f in Counter(w).items()}
+            own = share * sum(scores.values())
+            for t, score in scores.items():
+                by_term.setdefault(t, []).append((i, score / own))
+        hashes = hash_tokens([_plain(t) for t in by_term])[0] if by_term else np.empty(0, dtype=np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, names = hashes[order], list(by_term)
+        lists = [by_term[names[k]] for k in order]
+        self.item = np.array([i for p in lists for i, _ in p], dtype=np.int64)
+        self.impact = np.array([s for p in lists for _, s in p], dtype=np.float64)
+        term = np.repeat(np.arange(len(lists)), [len(p) for p in lists])
+        # a posting begins a block's part of its list where term or block change; items ascend in a list
+        block = self.item // BLOCK
+        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.empty(0, dtype=np.int64)
+        self.part_start, self.part_length = new, np.diff(np.append(new, len(term)))
+        self.part_block, self.part_most = block[new], np.maximum.reduceat(self.impact, new) if len(new) else self.impact
+        self.term_start = np.searchsorted(term[new], np.arange(len(lists)))
+        self.term_length = np.diff(np.append(self.term_start, len(new)))
+        self.term_most = np.maximum.reduceat(self.impact, np.searchsorted(term, np.arange(len(lists)))) if len(lists) else np.empty(0)
+        self.blocks = -(-len(ids) // BLOCK)
         self.passage = 2 * max([32, *map(len, words)])
+        self.seen = self.scored = 0
+
+    def terms(self, hashes: np.ndarray) -> np.ndarray:
+        """Term numbers of token hashes, -1 where no item has the token."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
 
     def search(self, terms: np.ndarray) -> np.ndarray:
-        """Items whose score over the distinct ``terms`` reaches their threshold.
+        """Items whose impacts over the distinct ``terms`` sum to 1 or more.
 
-        A block is passed over when the sum of its terms' maxima is below the least threshold inside
-        it; items are scored only if some block is left, so none that reaches its threshold is lost.
+        The pivots are the blocks in which the terms' block maxima sum to 1; the cursor of each term
+        jumps from pivot to pivot, and the postings of other blocks are not read. ``seen`` and ``scored`` count blocks.
         """
-        if not len(terms) or not (self.maxima.sums(terms, len(self.block_least)) >= self.block_least - 1e-9).any():
+        self.seen += self.blocks
+        if self.term_most[terms].sum() < 1 - 1e-9:
             return np.empty(0, dtype=np.int64)
-        return np.flatnonzero(self.postings.sums(terms, len(self.ids)) >= self.thresholds - 1e-9)
+        parts = _ranges(self.term_start[terms], self.term_length[terms])
+        bound = np.bincount(self.part_block[parts], weights=self.part_most[parts], minlength=self.blocks)
+        pivot = bound >= 1 - 1e-9
+        self.scored += int(pivot.sum())
+        parts = parts[pivot[self.part_block[parts]]]
+        at = _ranges(self.part_start[parts], self.part_length[parts])
+        item, where = np.unique(self.item[at], return_inverse=True)
+        return item[np.bincount(where, weights=self.impact[at], minlength=len(item)) >= 1 - 1e-9]
 
     def find(self, terms: np.ndarray) -> set[int]:
         """Items that some passage of a document retrieves; ``terms`` has -1 for words that no item has.
 
-        Passages overlap by half. A stretch of passages is tried first: its terms include theirs, so
-        where it retrieves nothing they don't either.
+        Passages overlap by half, so one of them holds any item whole. A passage whose words' maxima,
+        repeats included, don't sum to 1 can retrieve nothing.
         """
         half, found = self.passage // 2, set()
-        step = max(STRETCH, half)
-        for start in range(0, max(1, len(terms) - half), step):
-            stretch = terms[start : start + step + half]
-            if not len(self.search(_distinct(stretch))):
-                continue
-            for at in range(0, max(1, min(step, len(stretch) - half)), half):
-                found.update(self.search(_distinct(stretch[at : at + self.passage])).tolist())
+        most = np.append(0.0, np.cumsum(np.append(self.term_most, 0.0)[terms]))  # the last entry is for -1
+        starts = np.arange(0, max(1, len(terms) - half), half)
+        sums = most[np.minimum(starts + self.passage, len(terms))] - most[starts]
+        for at in starts[sums >= 1 - 1e-6].tolist():
+            distinct = np.unique(terms[at : at + self.passage])
+            found.update(self.search(distinct[1:] if distinct[0] < 0 else distinct).tolist())
         return found
 
 
-def _distinct(terms: np.ndarray) -> np.ndarray:
-    out = np.unique(terms)
-    return out[1:] if len(out) and out[0] < 0 else out
-
-
 def _passes(benchmark: DataFrame):
-    """Broadcasts (ids, texts) of the test items, pass by pass."""
+    """Broadcasts (ids, texts, statistics) of the test items, pass by pass; the statistics are those of all items."""
     spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text").filter("text is not null")
     stats = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).head()
     passes = max(1, math.ceil(stats["n"] / PASS_ITEMS), math.ceil((stats["chars"] or 0) / PASS_CHARS))
+    if passes > 1:
+
+        def terms(batches):
+            for pdf in batches:
+                for t in pdf["text"]:
+                    q, a = question_and_answer(t)
+                    n = Counter(q + a)
+                    yield pd.DataFrame({"term": list(n), "f": list(n.values())}).astype({"f": "int64"})
+
+        counted = materialize(items.mapInPandas(terms, "term string, f long").groupBy("term").agg(F.count("*").alias("df"), F.sum("f").alias("f")))
+        mean = (counted.agg(F.sum("f")).head()[0] or 0) / max(1, stats["n"])
     for k in range(passes):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
         held = part.orderBy("item_id", "text").collect()
-        yield spark.sparkContext.broadcast(([r["item_id"] for r in held], [r["text"] for r in held]))
-
-
-class _Known(dict):
-    """Raw word -> term number, -1 where no item has it, -2 where nothing is left of the word."""
-
-    def __init__(self, terms: dict[str, int]):
-        super().__init__()
-        self.terms = terms
-
-    def __missing__(self, word: str) -> int:
-        bare = _NOISE.sub("", word)
-        self[word] = number = self.terms.get(bare, -1) if bare else -2
-        return number
+        whole = None
+        if passes > 1:
+            own = part.mapInPandas(terms, "term string, f long").select("term").distinct()
+            whole = stats["n"], mean, {r["term"]: r["df"] for r in counted.join(own, "term").select("term", "df").collect()}
+        yield spark.sparkContext.broadcast(([r["item_id"] for r in held], [r["text"] for r in held], whole))
 
 
 class Matcher:
-    """Verified test items of a text."""
+    """Verified test items of texts."""
 
-    def __init__(self, ids: list, texts: list[str], threshold: float, overlap: float, width: int):
-        self.index, self.overlap, self.width = Index(ids, texts, threshold), overlap, width
+    def __init__(self, ids: list, texts: list[str], stats: tuple | None, threshold: float, overlap: float, width: int):
+        self.index, self.overlap, self.width = Index(ids, texts, threshold, stats), overlap, width
         self.parts: dict[int, tuple] = {}
-        self.known = _Known(self.index.term)
-
-    def _terms(self, words: list[str]) -> np.ndarray:
-        """Term numbers of raw words; words of nothing but other characters are left out."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        out = np.fromiter(map(self.known.__getitem__, words), dtype=np.int32, count=len(words))
-        return out[out != -2]
-
-    def __call__(self, text: str | None) -> list[tuple]:
-        if not text:
-            return []
-        found = self.index.find(self._terms(text.lower().split()))
-        if not found:
-            return []
+
+    def _verified(self, text: str, found: set[int]) -> list[tuple]:
         grams, out = _windows(tokens(text), self.width), []
         for i in sorted(found):
             if i not in self.parts:
@@ -187,6 +208,20 @@ class Matcher:
                 out.append((self.index.ids[i], q, a, both))
         return out
 
+    def __call__(self, texts: list[str | None]) -> Iterator[list[tuple]]:
+        """Per text (item_id, question, answer and whole overlap); texts are hashed ``SEGMENT`` bytes at a time."""
+        run, size, start = [], 0, 0
+        for k, text in enumerate(texts):
+            run.append(_plain(text))
+            size += len(run[-1])
+            if size >= SEGMENT or k == len(texts) - 1:
+                hashes, counts = hash_tokens(run)
+                terms, ends = self.index.terms(hashes), np.cumsum(counts)
+                for j, (end, n) in enumerate(zip(ends.tolist(), counts.tolist())):
+                    found = self.index.find(terms[end - n : end]) if n else None
+                    yield self._verified(texts[start + j], found) if found else []
+                run, size, start = [], 0, k + 1
+
 
 def contaminated(
     docs: DataFrame,
@@ -199,12 +234,16 @@ def contaminated(
 
     ``benchmark`` has item_id and text. A passage retrieves every item that scores ``threshold`` of
     what the item scores itself; the pair is then verified: the share of the item's ``width``-word
-    windows that the document holds must reach ``overlap`` in all, and in the question or the answer.
+    windows that the document holds must reach ``overlap`` in all, and in the question or the answer. A
+    document that holds only a smaller part, such as a short question without its long answer, is not
+    reported. Items of fewer words than ``width`` have one window, all their words.
     Returns doc_id, item_id, question_overlap, answer_overlap, overlap, one row per pair found
-    (repeated rows of a document repeat it). Null and empty texts and items without words find nothing.
+    (repeated rows of a document repeat it). Null and empty texts and items without words find nothing;
+    rows with a null doc_id have no row here, but :func:`drop_contaminated` decides them by their text.
 
-    The index is read in passes of at most about ``PASS_ITEMS`` items and ``PASS_CHARS`` characters;
-    only a pass is ever held by the driver or broadcast. One pass is the rule for a benchmark suite.
+    The index is read in passes of at most about ``PASS_ITEMS`` items and ``PASS_CHARS`` characters, each
+    a scan of the documents; only a pass is ever held by the driver or broadcast. Term statistics are
+    those of all items, so results don't depend on the passes. One pass is the rule for a benchmark suite.
     """
     doc_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {doc_type}, item_id {item_type}, question_overlap double, answer_overlap double, overlap double"
@@ -215,7 +254,7 @@ def contaminated(
         def scan(batches, shared=shared):
             match = Matcher(*shared.value, threshold, overlap, width)
             for pdf in batches:
-                rows = [(d, *m) for d, t in zip(pdf["doc_id"], pdf["text"]) for m in match(t)]
+                rows = [(d, *m) for d, found in zip(pdf["doc_id"], match(list(pdf["text"]))) for m in found]
                 yield pd.DataFrame(rows, columns=names)
 
         found = docs.select("doc_id", "text").filter("doc_id is not null").mapInPandas(scan, schema)
@@ -235,6 +274,6 @@ def _clean_udf(shared, threshold: float, overlap: float, width: int):
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         match = Matcher(*shared.value, threshold, overlap, width)
         for texts in batches:
-            yield pd.Series([not match(t) for t in texts], dtype=bool)
+            yield pd.Series([not found for found in match(list(texts))], dtype=bool)
 
     return clean
