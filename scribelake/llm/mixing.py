@@ -1,13 +1,16 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 The corpus is counted into a histogram (source, size, documents). A source whose target is above
-its size is taken whole as often as it fits; what remains is a budget. Most of the budget takes the
-same share of every size; the rest is filled exactly, where it can be, by a bounded-knapsack
-dynamic program over the counts that are left. Documents are then picked per size in a seeded order.
+its size is taken whole as often as it fits; what remains is a budget. Most of a large budget takes the
+same share of every size; the rest, or a budget up to ``RESERVE`` words or four documents, is filled
+exactly where it can be, by a bounded-knapsack dynamic program over the counts that are left.
+Documents are then picked per size in a seeded order.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,10 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
-#: Words that the dynamic program fills at most; the greedy step before it leaves less.
-CAPACITY = 1 << 16
+#: Words that are left to the dynamic program at least, or four times the longest document where that is more.
+RESERVE = 1 << 16
 #: Documents that one group of the seeded ranking holds on average.
 BUCKET = 1000
+#: Documents of one source and size from which they are joined by broadcast, so that they are no hot key.
+HOT = 1_000_000
 
 
 def water_fill(sizes: list[int], weights: list[float], ceiling: float = 3.0) -> list[float]:
@@ -42,47 +47,73 @@ def water_fill(sizes: list[int], weights: list[float], ceiling: float = 3.0) ->
     return target
 
 
-def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CAPACITY) -> np.ndarray:
-    """How many documents of each size to take so that their sizes sum to ``budget``, or just under.
+def subset_sum(sizes: np.ndarray, counts: np.ndarray, room: int) -> np.ndarray:
+    """How many of each size to take so that they sum to ``room``, or to the most below it that can be reached.
 
-    Takes an equal share of every size, then one more of each from the longest down while they fit,
-    then the best fill of what remains, found by dynamic programming over bit sets.
+    A bounded knapsack over bit sets: bit b of ``reach`` is set if some choice so far sums to b. Only
+    every root-th set is kept; those between are made again on the way back, so memory grows with
+    the root of the number of steps.
     """
     take = np.zeros(len(sizes), dtype=np.int64)
-    total = int((sizes * counts).sum())
-    if budget <= 0 or total == 0:
+    live = [i for i in np.argsort(-sizes, kind="stable") if 0 < sizes[i] <= room and counts[i] > 0]
+    if not live or room <= 0:
         return take
-    if budget >= total:
-        return counts.astype(np.int64)
-    take = (counts.astype(object) * budget // total).astype(np.int64)
-    left = budget - int((sizes * take).sum())
-    for i in np.argsort(-sizes, kind="stable"):
-        spare = min(int(counts[i] - take[i]), max(0, left - capacity // 2) // int(sizes[i]) if sizes[i] else 0)
-        take[i] += spare
-        left -= spare * int(sizes[i])
-    room = min(left, capacity)
-    # bit b of reach: some choice of documents so far sums to b
-    reach, steps, limit = 1, [], (1 << (room + 1)) - 1
-    for i in np.argsort(-sizes, kind="stable"):
-        s, spare = int(sizes[i]), int(counts[i] - take[i])
-        if s == 0 or s > room:
-            continue
-        spare, k = min(spare, room // s), 1
+    unit = math.gcd(*(int(sizes[i]) for i in live))
+    room //= unit
+    steps = []
+    for i in live:
+        s = int(sizes[i]) // unit
+        spare, k = min(int(counts[i]), room // s), 1
         while spare > 0:
             k = min(k, spare)
-            steps.append((i, k, reach))
-            reach |= (reach << (k * s)) & limit
+            steps.append((i, k, k * s))
             spare, k = spare - k, k * 2
+    limit, reach, every, marks = (1 << (room + 1)) - 1, 1, max(1, math.isqrt(len(steps))), []
+    for n, (_, _, shift) in enumerate(steps):
+        if n % every == 0:
+            marks.append(reach)
+        reach |= (reach << shift) & limit
         if reach >> room & 1:
+            steps = steps[: n + 1]
             break
     at = reach.bit_length() - 1
-    for i, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += k
-            at -= k * int(sizes[i])
+    for m in range(len(marks) - 1, -1, -1):
+        part = steps[m * every : (m + 1) * every]
+        before = [marks[m]]
+        for _, _, shift in part[:-1]:
+            before.append(before[-1] | (before[-1] << shift) & limit)
+        for (i, k, shift), had in zip(reversed(part), reversed(before)):
+            if not had >> at & 1:
+                take[i] += k
+                at -= shift
     return take
 
 
+def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, reserve: int = RESERVE) -> np.ndarray:
+    """How many documents of each size to take so that their sizes sum to ``budget``, or just under.
+
+    Beyond a reserve, an equal share of every size is taken, then one more of each from the longest
+    down. The reserve, and a budget within it whole, is filled by :func:`subset_sum`: so a budget of up
+    to ``reserve`` words, or four times the longest document, is met exactly if any choice meets it.
+    """
+    sizes, counts = sizes.astype(np.int64), counts.astype(np.int64)
+    total = int((sizes * counts).sum())
+    if budget <= 0 or total == 0:
+        return np.zeros(len(sizes), dtype=np.int64)
+    if budget >= total:
+        return counts
+    reserve = max(reserve, 4 * int(sizes[counts > 0].max()))
+    take = (counts.astype(object) * max(0, budget - reserve) // total).astype(np.int64)
+    left = budget - int((sizes * take).sum())
+    for i in np.argsort(-sizes, kind="stable"):
+        if left <= 2 * reserve:
+            break
+        spare = min(int(counts[i] - take[i]), (left - reserve) // int(sizes[i])) if sizes[i] else 0
+        take[i] += spare
+        left -= spare * int(sizes[i])
+    return take + subset_sum(sizes, counts - take, left)
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source and size, the number of words; a null text has none."""
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
@@ -104,7 +135,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), ceiling: float
     plan = _plan(histogram, weights, ceiling)
     # documents of one source and size are spread over buckets, so a size that very many share is no hot key
     many = plan.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("docs") / BUCKET)).cast("long"))
-    dealt = rows.join(F.broadcast(many) if _small(many) else many, rows["source"].eqNullSafe(many["p_source"]) & (rows["size"] == many["p_size"])).withColumn("bucket", F.pmod("rank_hash", "buckets"))
+    same = lambda p: rows["source"].eqNullSafe(p["p_source"]) & (rows["size"] == p["p_size"])
+    if _small(many):
+        dealt = rows.join(F.broadcast(many), same(many))
+    else:  # the few sizes that very many documents of a source share go by broadcast, the others by shuffle
+        hot = F.broadcast(many.filter(F.col("docs") >= HOT))
+        dealt = rows.join(hot, same(hot)).unionByName(rows.join(hot, same(hot), "left_anti").join(many, same(many)))
+    dealt = dealt.withColumn("bucket", F.pmod("rank_hash", "buckets"))
     chosen = dealt.filter("extra > 0 and extra < docs")
     group = ["source", "size"]
     fill = chosen.groupBy(*group, "bucket").agg(F.count("*").alias("n"))
@@ -130,24 +167,60 @@ def _small(df: DataFrame, rows: int = 200_000) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def _ranks(sources: DataFrame) -> DataFrame:
+    """Adds the place of each source by code point, null last, from 0. Sources are dealt by range, never gathered."""
+    order = [F.col("source").isNull(), F.col("source")]
+    dealt = materialize(sources.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return dealt.withColumn("inside", inside).join(F.broadcast(starts.select("part", "start")), "part").withColumn("place", F.col("start") + F.col("inside")).drop("part", "start", "inside")
+
+
+def targets(histogram: DataFrame, weights: tuple[float, ...], ceiling: float) -> DataFrame:
+    """(source, source_size, target): :func:`water_fill` as a few aggregates over the table of sources.
+
+    A target is the level times the weight, or ``ceiling`` times the size where that is less. Each round
+    caps the sources that the level overflows and raises the level for the others; one row a round
+    reaches the driver.
+    """
+    sums = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    table = materialize(_ranks(sums).select("source", "source_size", weight.alias("weight")))
+    total, level = None, -1.0
+    while True:
+        capped = F.lit(level) * F.col("weight") > F.lit(ceiling) * F.col("source_size")
+        state = table.agg(
+            F.sum("source_size").alias("total"),
+            F.sum(F.when(capped, F.col("source_size")).otherwise(0)).alias("full"),
+            F.sum(F.when(~capped, F.col("weight"))).alias("weight"),
+        ).head()
+        total = state["total"] or 0
+        if not state["weight"]:
+            break
+        now = (total - ceiling * state["full"]) / state["weight"]
+        if now <= level:
+            break
+        level = now
+    target = F.least(F.lit(float(level)) * F.col("weight"), F.lit(float(ceiling)) * F.col("source_size"))
+    return table.select("source", "source_size", target.alias("target"))
+
+
 def _plan(histogram: DataFrame, weights: tuple[float, ...], ceiling: float) -> DataFrame:
     """(p_source, p_size, docs, source_size, target, times, extra) for each source and size.
 
-    One row a source reaches the driver for the water filling. The fit runs per source over its
-    distinct sizes, never over its documents.
+    The fit runs per source over its distinct sizes, never over its documents.
     """
-    totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("s")).collect()
-    # code-point order: UTF-8 bytes order as code points do
-    totals = sorted(totals, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
-    targets = water_fill([r["s"] for r in totals], [weights[i % len(weights)] for i in range(len(totals))], ceiling)
-    by_source = {r["source"]: (r["s"], t) for r, t in zip(totals, targets)}
+    kind = histogram.schema["source"].dataType.simpleString()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        source = pdf["source"].iloc[0]
-        size, target = by_source[None if pd.isna(source) else source]
+        size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
         pdf = pdf.sort_values("size", ignore_index=True)
         times = int(target // size) if size else 0
         extra = fit_budget(pdf["size"].to_numpy(), pdf["docs"].to_numpy(), round(target - times * size))
-        return pd.DataFrame({"p_source": pdf["source"], "p_size": pdf["size"], "docs": pdf["docs"], "source_size": size, "target": float(target), "times": times, "extra": extra})
+        return pd.DataFrame({"p_source": pdf["source"], "p_size": pdf["size"], "docs": pdf["docs"], "source_size": size, "target": target, "times": times, "extra": extra})
 
-    return materialize(histogram.groupBy("source").applyInPandas(fit, "p_source string, p_size long, docs long, source_size long, target double, times long, extra long"))
+    t = targets(histogram, weights, ceiling).withColumnRenamed("source", "t_source")
+    t = F.broadcast(t) if _small(t) else t
+    known = histogram.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    return materialize(known.groupBy("source").applyInPandas(fit, f"p_source {kind}, p_size long, docs long, source_size long, target double, times long, extra long"))
