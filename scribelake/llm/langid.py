@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, in_sample, mix64, pieces, sample_share
+from .common import held_out, materialize, mix64, pieces, sample_share
 
 SIZES = (2, 3, 4, 5)
 _P = np.uint64(0x100000001B3)
@@ -98,31 +98,40 @@ def train(
     hashes: int = 3,
     relative: float = 0.2,
     fold: tuple[int, int] | None = (4, 2),
+    floor: int = 1_000,
+    least: int = 2,
+    most_languages: int = 1_000,
 ) -> LanguageModel:
-    """Fit on a seeded sample of about ``sample_rows`` labelled documents, the same share per language.
-
-    An n-gram is put into a language's filter if at least two of its sampled documents hold it
-    (one where it has under 20) and its document rate is at least ``relative`` of the highest among
-    the languages. Rows with a null or empty lang, a null text, or in the held-out ``fold``
-    (parts, part) are not used. ``slots`` must be a power of two and bounds what is broadcast.
+    """Fit on a seeded sample of labelled documents, taken from each language apart.
+
+    ``sample_rows`` are shared out evenly, but each language gives ``floor`` documents or all it has, so a
+    rare language is learned in a corpus of any size. An n-gram is put into a language's filter if at
+    least ``least`` of its sampled documents hold it (one where it has under 100 of them) and its document
+    rate is at least ``relative`` of the highest among the languages. Rows with a null or empty lang, a
+    null text, or in the held-out ``fold`` (parts, part) are not used; equal rows count each; an empty
+    table gives a model without languages. ``slots`` must be a power of two; with the number of
+    languages it bounds what is broadcast, so over ``most_languages`` different lang values are an error.
     """
     spark = docs.sparkSession
-    known = docs.filter("lang is not null and text is not null")
+    known = docs.filter("coalesce(lang, '') <> '' and text is not null")
     if fold:
-        known = known.filter(~held_out(F.col("doc_id"), *fold))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        known = known.filter(~F.coalesce(held_out(F.col("doc_id"), *fold), F.lit(False)))
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()
+    if len(counted) > most_languages:
+        raise ValueError(f"over {most_languages} lang values: clean the column first")
+    counts = {r["lang"]: r["n"] for r in counted}
     languages = tuple(sorted(counts, key=lambda x: (-counts[x], x)))
     planes = np.zeros(((len(languages) + 7) // 8, slots), dtype=np.uint8)
     if not languages:
         return LanguageModel((), planes, hashes)
-    share = sample_share(sum(counts.values()), sample_rows)
     number = {x: i for i, x in enumerate(languages)}
+    bound = max(floor, sample_rows // len(languages))
 
     def grams(batches):
         for pdf in batches:
             found: dict[int, list[np.ndarray]] = {}
             for start, run in pieces(pdf["text"]):
-                langs = np.array([number[x] for x in pdf["lang"].iloc[start : start + len(run)]])
+                langs = pdf["number"].to_numpy()[start : start + len(run)]
                 for row, h in gram_hashes(run):
                     order = np.lexsort((h, row))
                     row, h = row[order], h[order]
@@ -135,28 +144,23 @@ def train(
                 h, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pd.DataFrame({"h": h.view(np.int64), "lang": np.full(len(h), k), "n": n})
 
-    sampled = known.filter(in_sample(F.col("doc_id"), share, "lang")).select("text", "lang")
-    per_lang = {r["lang"]: r["n"] for r in sampled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    rows = [max(1, per_lang.get(x, 0)) for x in languages]
-    by_gram = sampled.mapInPandas(grams, "h long, lang int, n long").groupBy("h").agg(*[F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(languages))])
-    top = F.greatest(F.lit(0.0), *[F.col(f"n{i}") / rows[i] for i in range(len(languages))])
-    bits = by_gram.withColumn("top", top)
-    masks = []
-    for p in range(len(planes)):
-        bit = F.lit(0)
-        for i in range(8 * p, min(8 * p + 8, len(languages))):
-            least = 2 if rows[i] >= 20 else 1
-            bit = bit.bitwiseOR(F.when((F.col(f"n{i}") >= least) & (F.col(f"n{i}") / rows[i] >= relative * F.col("top")), 1 << (i - 8 * p)).otherwise(0))
-        masks.append(bit.alias(f"m{p}"))
+    shares = spark.createDataFrame([(x, number[x], sample_share(counts[x], bound)) for x in languages], "__lang string, number int, share int")
+    joined = known.join(F.broadcast(shares), F.col("lang") == F.col("__lang"))
+    sampled = materialize(joined.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")), F.lit(1_000_000)) < F.col("share")).select("text", "number"))
+    per_lang = {r["number"]: r["n"] for r in sampled.groupBy("number").agg(F.count("*").alias("n")).collect()}
+    rows = [max(1, per_lang.get(i, 0)) for i in range(len(languages))]
+    needed = F.array(*[F.lit(least if n >= 100 else 1) for n in rows])
+    of = F.array(*[F.lit(float(n)) for n in rows])
+    counted = sampled.mapInPandas(grams, "h long, lang int, n long").groupBy("h", "lang").agg(F.sum("n").alias("n"))
+    by_gram = counted.select("h", "lang", "n", (F.col("n") / F.get(of, F.col("lang"))).alias("rate")).groupBy("h").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "n", "rate")).alias("langs"))
+    chosen = F.filter("langs", lambda x: (x["n"] >= F.get(needed, x["lang"])) & (x["rate"] >= relative * F.col("top")))
+    bit = lambda p: lambda acc, x: acc.bitwiseOR(F.when(F.floor(x["lang"] / 8) == p, F.pow(F.lit(2), x["lang"] % 8).cast("int")).otherwise(0))
+    bits = by_gram.select("h", chosen.alias("langs")).filter("size(langs) > 0")
     first, step = F.col("h").bitwiseAND(F.lit(slots - 1)), F.shiftrightunsigned("h", 32).bitwiseOR(F.lit(1))
     at = F.array(*[(first + F.lit(j) * step).bitwiseAND(F.lit(slots - 1)) for j in range(hashes)])
     names = [f"m{p}" for p in range(len(planes))]
-    by_slot = (
-        bits.select(F.explode(at).alias("slot"), *masks)
-        .filter(" or ".join(f"{m} <> 0" for m in names))
-        .groupBy("slot")
-        .agg(*[F.bit_or(m).alias(m) for m in names])
-    )
+    masks = [F.aggregate("langs", F.lit(0), bit(p)).alias(names[p]) for p in range(len(planes))]
+    by_slot = bits.select(at.alias("at"), *masks).select(F.explode("at").alias("slot"), *names).groupBy("slot").agg(*[F.bit_or(m).alias(m) for m in names])
     chunk = max(1, slots // 64)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
