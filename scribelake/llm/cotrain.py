@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 import zlib
 from dataclasses import dataclass
 from urllib.parse import urlsplit
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, in_sample, materialize, sample_share
+from .common import WORD_RE, held_out, in_sample, materialize, objects, sample_share
 
 TEXT_HASHED, SHAPE = 256, 12
 META_HASHED, META_SHAPE = 128, 5
@@ -117,39 +118,49 @@ class QualityModel:
 
     @classmethod
     def empty(cls) -> QualityModel:
-        """Without labels every document gets 0.5 and is kept."""
+        """With too few labels every document gets 0.5 and is kept; a warning says so."""
+        warnings.warn("too few labels of both kinds to train on: every document gets 0.5", stacklevel=3)
         return cls(np.zeros(TEXT_HASHED + SHAPE + 1), np.zeros(META_HASHED + META_SHAPE + 1), np.zeros(3))
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """doc_id, url and html_chars: the page of each document, by the number that ends its path.
+    """__doc, url and html_chars: the page of each document, by the number that ends its path, as text.
 
     Of several pages of a document the one with the least page_id counts; urls without a number
     belong to none.
     """
-    number = F.expr(f"try_cast(regexp_extract(url, '{_PAGE_ID}', 1) as bigint)")
+    number = F.expr(f"cast(try_cast(nullif(regexp_extract(url, '{_PAGE_ID}', 1), '') as bigint) as string)")
     known = pages.select(number.alias("__doc"), "page_id", "url", F.length("html").alias("html_chars")).filter("__doc is not null")
     best = known.groupBy("__doc").agg(F.min(F.struct("page_id", "url", "html_chars")).alias("p"))
     return best.select("__doc", "p.url", F.col("p.html_chars").cast("long").alias("html_chars"))
 
 
-def train(docs: DataFrame, pages: DataFrame, labels: DataFrame, sample_rows: int = 12_000, rounds: int = 4, grow: int = 400, pool_rows: int = 12_000) -> QualityModel:
+def train(
+    docs: DataFrame, pages: DataFrame, labels: DataFrame, sample_rows: int = 12_000, rounds: int = 4, grow: int = 400, pool_rows: int = 12_000, fold: tuple[int, int] | None = (5, 0)
+) -> QualityModel:
     """Co-train on seeded samples of about ``sample_rows`` labelled documents and ``pool_rows`` others.
 
-    The shares are taken apart, so few labels in a large corpus are all used. Labels of documents
-    that are not in ``docs`` do not count. Three quarters of the labelled rows fit the views, the
-    rest calibrates them. ``grow`` pool documents a round and view pass to the other view, split
-    between the labels as the fitted rows are.
+    The shares are taken apart, so few labels in a large corpus are all used. Labels in the held-out
+    ``fold`` (parts, part), and of documents that are not in ``docs``, do not count; of several labels of an id the
+    greater does. Three quarters of the labelled rows fit the views, the rest calibrates them. ``grow``
+    pool documents a round and view pass to the other view, split between the labels as the fitted rows
+    are; where every document has a label there is no pool and nothing to exchange. Under eight labels, or
+    labels of one kind, give :meth:`QualityModel.empty`, with a warning; so does an empty table.
     """
-    key = F.col("doc_id").cast("long")
-    marks = labels.filter("quality in (0, 1)").groupBy(key.alias("__label_doc")).agg(F.max("quality").cast("int").alias("y"))
+    key = F.col("doc_id").cast("string")
+    marks = labels.filter("quality in (0, 1) and doc_id is not null").groupBy(key.alias("__label_doc")).agg(F.max("quality").cast("int").alias("y"))
+    if fold:
+        marks = marks.filter(~held_out(F.col("__label_doc"), *fold))
     marks = materialize(marks.join(docs.select(key.alias("__label_doc")), "__label_doc", "left_semi"))
     labelled = marks.count()
     in_pool = in_sample(F.col("doc_id"), sample_share(max(0, docs.count() - labelled), pool_rows), "quality")
     chosen = materialize(marks.filter(in_sample(F.col("__label_doc"), sample_share(labelled, sample_rows), "quality")))
     some = docs.select(key.alias("doc_id"), "text", "source", "lang", "n_chars")
     some = some.join(F.broadcast(chosen), F.col("doc_id") == F.col("__label_doc"), "left").drop("__label_doc").filter(F.col("y").isNotNull() | in_pool)
+    if fold:  # held-out documents aren't in the pool either
+        some = some.filter(F.col("y").isNotNull() | ~F.coalesce(held_out(F.col("doc_id"), *fold), F.lit(False)))
     some = some.join(marks.select("__label_doc"), F.col("doc_id") == F.col("__label_doc"), "left").filter("y is not null or __label_doc is null")
+    some = materialize(some.drop("__label_doc"))
     records = page_records(pages).join(F.broadcast(some.select(F.col("doc_id").alias("__doc"))), "__doc", "left_semi")
     joined = some.join(records, F.col("doc_id") == F.col("__doc"), "left")
 
@@ -157,10 +168,10 @@ def train(docs: DataFrame, pages: DataFrame, labels: DataFrame, sample_rows: int
         for pdf in batches:
             t = [text_view(x).tobytes() for x in pdf["text"]]
             m = [meta_view(*r).tobytes() for r in zip(pdf["source"], pdf["lang"], pdf["n_chars"], pdf["url"], pdf["html_chars"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"].astype("Int64"), "t": t, "m": m})
+            yield pd.DataFrame({"doc_id": objects(pdf["doc_id"]), "y": pdf["y"].astype("Int64"), "t": t, "m": m})
 
     # about sample_rows + pool_rows rows of 1.6 kB
-    rows = joined.mapInPandas(views, "doc_id long, y int, t binary, m binary").toPandas().sort_values(["doc_id", "t"], ignore_index=True)
+    rows = joined.mapInPandas(views, "doc_id string, y int, t binary, m binary").toPandas().sort_values(["doc_id", "t"], ignore_index=True)
     if not len(rows):
         return QualityModel.empty()
     t = np.stack([np.frombuffer(b, dtype=np.float32) for b in rows["t"]])
@@ -225,7 +236,7 @@ def score_quality(docs: DataFrame, pages: DataFrame, model: QualityModel) -> Dat
 
     narrow = docs.select("doc_id", "source", "lang", "n_chars", by_text("text").alias("tz"))
     records = page_records(pages)
-    z = narrow.join(records, F.col("doc_id").cast("long") == F.col("__doc"), "left").select("doc_id", "tz", by_record("source", "lang", "n_chars", "url", "html_chars").alias("mz"))
+    z = narrow.join(records, F.col("doc_id").cast("string") == F.col("__doc"), "left").select("doc_id", "tz", by_record("source", "lang", "n_chars", "url", "html_chars").alias("mz"))
     a, b, c = (float(v) for v in model.combine)
     clip = lambda name: F.greatest(F.lit(-8.0), F.least(F.lit(8.0), F.col(name)))
     one = lambda e: 1 / (1 + F.exp(-e))
