@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, materialize
+from .common import ASCII_SPACE, materialize, objects
+from .neardup import broadcast_if_small
 
 
 def _strip(line: Column) -> Column:
@@ -38,13 +39,15 @@ def _row_id() -> Column:
 def dropped_positions(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """(doc_id, row_hash, pos) of every line that goes."""
     lines = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_id().alias("row_hash"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+        docs.select("doc_id", _row_id().alias("row_hash"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
         .filter(F.col("doc_id").isNotNull())
         .select("doc_id", "row_hash", "pos", _fold(_strip(F.col("line"))).alias("line"))
         .filter(F.length("line") >= min_chars)
         .select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("2"), "line").alias("h2"), "doc_id", "row_hash", "pos")
     )
-    sorted_lines = lines.repartitionByRange("h1", "h2", "doc_id", "pos").sortWithinPartitions("h1", "h2", "doc_id", "pos")
+    # written first: dealing by range reads its input twice, once for the ranges
+    sorted_lines = materialize(lines).repartitionByRange("h1", "h2", "doc_id", "pos").sortWithinPartitions("h1", "h2", "doc_id", "pos")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def stream(batches):
         """kind 0: the line goes. 1: line of the leading run, open. 2: first document of the last run."""
@@ -52,7 +55,7 @@ def dropped_positions(docs: DataFrame, min_chars: int = 10) -> DataFrame:
         for pdf in batches:
             if not len(pdf):
                 continue
-            h1, h2, doc = pdf["h1"].to_numpy(), pdf["h2"].to_numpy(), pdf["doc_id"].to_numpy()
+            h1, h2, doc = pdf["h1"].to_numpy(), pdf["h2"].to_numpy(), objects(pdf["doc_id"])
             new = np.ones(len(pdf), dtype=bool)
             new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
             if key is None:
@@ -64,11 +67,12 @@ def dropped_positions(docs: DataFrame, min_chars: int = 10) -> DataFrame:
             open_ = (h1 == lead[0]) & (h2 == lead[1])
             kind = np.where(open_, 1, np.where(doc > run_first, 0, -1))
             key, first = (h1[-1], h2[-1]), run_first[-1]
-            yield pdf.assign(kind=kind)[kind >= 0]
+            goes = np.flatnonzero(kind >= 0)
+            yield pd.DataFrame({c: objects(pdf[c])[goes] for c in pdf.columns} | {"kind": kind[goes]})
         if key is not None and key != lead:
             yield pd.DataFrame({"h1": [key[0]], "h2": [key[1]], "doc_id": [first], "row_hash": [0], "pos": [0], "kind": [2]})
 
-    found = materialize(sorted_lines.mapInPandas(stream, "h1 long, h2 long, doc_id long, row_hash long, pos int, kind int"))
+    found = materialize(sorted_lines.mapInPandas(stream, f"h1 long, h2 long, doc_id {kind}, row_hash long, pos int, kind int"))
     # at most two keys a partition have rows here, so the minima are few
     firsts = found.filter("kind > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
     opened = found.filter("kind = 1").join(F.broadcast(firsts), ["h1", "h2"]).filter("doc_id > first")
@@ -96,7 +100,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     A-Z lower-cased. A key of ``min_chars`` code points or more stays only in the least doc_id that
     holds it, there with all its lines. Returns doc_id, row_hash (xxhash64 of the text: rows that
     share a doc_id but not a text have a bitmap each), n_dropped, bitmap (see :func:`unpack_bits`). Documents that
-    lose nothing, null and empty texts and rows with a null doc_id have none.
+    lose nothing, null and empty texts and rows with a null doc_id have none; an empty table gives none.
+    Of equal lines of one document, all stay or all go; doc_id may be of any type that has an order.
     """
     lost = dropped_positions(docs, min_chars).groupBy("doc_id", "row_hash").agg(F.collect_set("pos").alias("gone"))
 
@@ -108,8 +113,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Joins bitmaps to their rows; where few documents lose lines no text is shuffled."""
     marks = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("row_hash").alias("__hash"), F.col("bitmap").alias("__bitmap"))
-    return docs.join(marks, (F.col("doc_id").cast("long") == F.col("__doc")) & (_row_id() == F.col("__hash")), "left")
+    marks = broadcast_if_small(materialize(marks), 200_000)
+    return docs.join(marks, (F.col("doc_id") == F.col("__doc")) & (_row_id() == F.col("__hash")), "left")
 
 
 def _kept_text(text: str | None, bitmap: bytes | None) -> tuple[str, int, int]:
