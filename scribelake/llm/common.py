@@ -23,11 +23,13 @@ _S33 = np.uint64(33)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share, which the session names in ``spark.checkpoint.dir``."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="scribelake-")
+    if not path and spark.sparkContext.master.startswith("local"):
+        path = tempfile.mkdtemp(prefix="scribelake-")  # one machine: its own folder is shared
         spark.conf.set("spark.checkpoint.dir", path)
+    if not path:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path
 
 
@@ -89,6 +91,12 @@ def held_out(key, parts: int, part: int):
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts)) == F.lit(part)
 
 
+def objects(column: pd.Series) -> np.ndarray:
+    """The values of a column for a new frame; text columns of a batch are arrays of objects, not of Arrow pieces."""
+    values = column.to_numpy()
+    return values if values.dtype != object and values.dtype.kind in "iufb" else np.array(list(values), dtype=object)
+
+
 def pieces(texts: pd.Series, limit: int = 1 << 17):
     """Split a batch of texts into runs of about ``limit`` characters; yields (first row, texts).
 

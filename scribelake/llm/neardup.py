@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import materialize, mix64, objects
 from .components import connected_components
 from .words import _MULT, chunks, grams, inside
 
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, row
 
     def scan(batches):
         for pdf in batches:
-            ids, marks = pdf["doc_id"].to_numpy(), pdf["row_hash"].to_numpy()
+            ids, marks = objects(pdf["doc_id"]), pdf["row_hash"].to_numpy()
             for run, words, counts in chunks(list(range(len(pdf))), list(pdf["text"]), CHUNK_WORDS):
                 s, starts = shingles(words, counts, width)
                 hi, lo, size = digests(s, distinct_mask(s, starts), starts)
@@ -257,7 +257,7 @@ def _estimated_edges(signed: DataFrame, bands: int, rows: int, floor: float) ->
     keys = signed.mapInPandas(band_keys, "bucket long, node long")
     full = keys.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     members = materialize(keys.join(materialize(full), "bucket"))
-    packs = max(1, members.count() // 8000)
+    packs = max(1, members.count() // 2000)
     dealt = _blocked(members, F.col("members")).join(signed, "node")
     task = F.when(F.col("nb") == 1, F.pmod("bucket", F.lit(packs))).otherwise(F.xxhash64("bucket", "bi", "bj"))
 

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cotrain, decontam, langid, linededup, mixing, ngramjoin, rules, substring, tokencount, toxicity
-from .common import held_out
+from .common import held_out, materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(parts: int, part: int) -> Column:
+    """Whether a document is in the held-out fold; one without an id is in none."""
+    return F.coalesce(held_out(F.col("doc_id"), parts, part), F.lit(False)).alias("held_out")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(docs, model, ["doc_id"])
-    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", _held_out(5, 0), "score", "predicted")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +31,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
-    return cotrain.score_quality(docs, pages, cotrain.train(docs, pages, _table(spark, sf_dir, "labels")))
+    scored = cotrain.score_quality(docs, pages, cotrain.train(docs, pages, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", _held_out(5, 0), "text_score", "meta_score", "score", "kept")
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +42,7 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.train(docs), ["doc_id"])
-    return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score")
 
 
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +50,13 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For both policies: what each rule drops, alone and together, from one ledger."""
+    entries = materialize(rules.ledger(_table(spark, sf_dir, "documents")).select("failed"))
+    each = [rules.ablations(entries, p).select(F.lit(p).alias("policy"), "rule", "fails", "fails_alone", "kept", "documents") for p in ("v1", "lenient")]
+    return each[0].unionByName(each[1])
+
+
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -61,7 +74,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_tokens, op5_langid, op6_rules, op7_decontam, op8_linededup, op9_substring, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_tokens, op5_langid, op6_rules, rule_ablations, op7_decontam, op8_linededup, op9_substring, op10_jaccard)}
 
 # Rule bits and thresholds are those of rules.RULES.
 _OP6 = r"""
@@ -116,4 +129,14 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
 FROM kept GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op6_rules": _OP6, "op8_linededup": _OP8}
+_MASKS = ", ".join(f"({1 << i}, '{r.name}', {str(r.name in rules.POLICIES['lenient']).lower()})" for i, r in enumerate(rules.RULES))
+_ABLATIONS = f"""
+WITH f AS ({_OP6}), r(bit, rule, lenient) AS (VALUES {_MASKS}),
+p AS (SELECT 'v1' AS policy, bit, rule FROM r UNION ALL SELECT 'lenient', bit, rule FROM r WHERE lenient),
+m AS (SELECT policy, sum(bit)::BIGINT AS mask FROM p GROUP BY 1)
+SELECT policy, rule, count_if(failed & bit <> 0)::BIGINT AS fails, count_if(failed & mask = bit)::BIGINT AS fails_alone,
+       count_if(failed & mask = 0)::BIGINT AS kept, count(*)::BIGINT AS documents
+FROM f CROSS JOIN p JOIN m USING (policy) GROUP BY policy, rule
+"""
+
+ORACLE_SQL = {"op6_rules": _OP6, "op8_linededup": _OP8, "rule_ablations": _ABLATIONS}

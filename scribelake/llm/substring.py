@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, materialize
+from .common import WORD_RE, materialize, objects
 from .components import connected_components
 from .neardup import broadcast_if_small
 from .words import _MULT, chunks, folded, grams, hash_texts, inside
@@ -68,7 +68,7 @@ def places(docs: DataFrame) -> DataFrame:
 
     def scan(batches):
         for pdf in batches:
-            ids, marks = pdf["doc_id"].to_numpy(), pdf["row_hash"].to_numpy()
+            ids, marks = objects(pdf["doc_id"]), pdf["row_hash"].to_numpy()
             for run, words, counts in chunks(list(range(len(pdf))), list(pdf["text"])):
                 owner = np.repeat(np.array(run), counts)
                 at, key = anchors(words, owner)
@@ -126,7 +126,7 @@ def aligned(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             left = np.array([agree(a, b, -1) for a, b in zip(pdf["before"], pdf["before2"])], dtype=np.int32)
             right = np.array([agree(a, b, 1) for a, b in zip(pdf["after"], pdf["after2"])], dtype=np.int32)
-            out = pdf[["doc_id", "row_hash", "start", "n", "low", "low_hash", "at"]].copy()
+            out = pd.DataFrame({c: objects(pdf[c]) for c in ("doc_id", "row_hash", "start", "n", "low", "low_hash", "at")})
             out["start"] -= left
             out["at"] -= left
             out["n"] += left + right

@@ -28,7 +28,7 @@ def test_samples_keep_their_own_bounds(spark, monkeypatch):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     seen = {}
     monkeypatch.setattr(cotrain, "co_train", lambda t, m, y, *rest: seen.update(y=y))
-    cotrain.train(docs, pages, spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int"), sample_rows=60, pool_rows=200)
+    cotrain.train(docs, pages, spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int"), sample_rows=60, pool_rows=200, fold=None)
     assert (~np.isnan(seen["y"])).sum() == 50 and 140 <= np.isnan(seen["y"]).sum() <= 260
-    cotrain.train(docs, pages, spark.createDataFrame([(i, i % 2) for i in range(1000)], "doc_id long, quality int"), sample_rows=200, pool_rows=5000)
+    cotrain.train(docs, pages, spark.createDataFrame([(i, i % 2) for i in range(1000)], "doc_id long, quality int"), sample_rows=200, pool_rows=5000, fold=None)
     assert 140 <= (~np.isnan(seen["y"])).sum() <= 260 and np.isnan(seen["y"]).sum() == 1000

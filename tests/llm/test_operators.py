@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -7,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from scribelake.llm import cotrain, decontam, langid, linededup, mixing, ngramjoin, rules, substring, tokencount, toxicity
+from scribelake.llm import cotrain, decontam, langid, linededup, mixing, ngramjoin, rules, tokencount, toxicity
 from scribelake.llm.components import connected_components
 from scribelake.llm.neardup import choose_bands
 
@@ -36,6 +38,8 @@ def _toxic(spark):
         toxic = i % 4 == 0
         if toxic:
             text = text.replace(" ", " zorgul" + rng.choice(["a", "en", "ist", "os"]) + " ", 1) + " You are a zorgulat, zorgulix!"
+        else:
+            text += " You are a friend, an old one!"
         rows.append((i, text, "en", "a", 1, None, None))
         labels.append((i, int(toxic)))
     return frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), dict(labels)
@@ -59,9 +63,57 @@ def test_toxicity_awkward_rows(spark, docs):
 
 def test_grammar_readings():
     g = toxicity.Grammar()
-    read = lambda s: g.read(s.split(), [2.0 if x == "I" else 0.0 for x in s.split()])
-    assert read("o I") == {"plain": 2.0} and read("T o I") == {"aimed": 2.0} and read("N I") == {"negated": 2.0}
-    assert read("R o I") == {"reported": 2.0} and read("F H T") == {"threat": 2.0} and read("N o o o o I") == {"plain": 2.0}
+
+    def read(s):
+        got = g.read(s.split(), [2.0 if x in "IH" else 0.0 for x in s.split()])
+        return got and got[0]
+
+    cases = {"o I": "embedded", "I o": "embedded", "T o I": "aimed", "I o T": "aimed", "N I": "negated", "N o o o o I": "embedded", "N o T I": "negated", "R o I": "reported"}
+    cases |= {"Q I Q": "reported", "Q o Q I": "embedded", "F H T": "threat", "F N H": "negated", "H o": None, "R o F H": "reported", "I": None, "I I": None, "o T": None, "T I R": "aimed"}
+    assert {k: read(k) for k in cases} == cases
+
+
+def test_composition_equals_running_one_after_the_other():
+    rng = random.Random(2)
+    parts = [toxicity.negation(), toxicity.reported(), toxicity.target(), toxicity.insult(), toxicity.threat()]
+    machine = toxicity.Grammar()
+    for _ in range(300):
+        tape = [rng.choice(toxicity.WORD_SYMBOLS) for _ in range(rng.randint(0, 12))]
+        states, want, state, got = [0] * 5, [], machine.start, []
+        for s in tape:
+            total = 0.0
+            for k, t in enumerate(parts):
+                states[k], s, w = t.step(states[k], s)
+                total += w
+            want.append((s, total))
+        for s in tape:
+            state, out, w = machine.machine.step(state, s)
+            got.append((out, w))
+        assert got == want
+
+
+def test_words_alone_negated_or_reported_are_not_toxic(spark):
+    docs, labels, _ = _toxic(spark)
+    for model in (toxicity.ToxicityModel(dict(toxicity.SEEDS), {}), toxicity.train(docs, labels)):
+        scorer = toxicity.Scorer(model)
+        score = lambda t: 1 / (1 + np.exp(-(scorer.features(t) @ model.coefficients + model.intercept)))
+        clean = ["idiot", "Idiot!", "he is not an idiot", "he said you are an idiot", '"you moron" was on the wall', "kill", "they did not kill him", "a fine day", ""]
+        assert all(score(t) < 0.5 for t in clean), [(t, score(t)) for t in clean]
+        assert score("you are an idiot. he is a moron") >= 0.5 and score("I will kill you") > score("kill you")
+        assert score("you are an idiot") > score("you are not an idiot")
+
+
+def test_every_feature_that_passes_is_learned(spark):
+    rng, rows, labels = random.Random(6), [], []
+    rare = [f"zorg{a}{b}" for a in "abcdefgh" for b in ("lim", "tak", "pun")]
+    for i in range(600):
+        text = sentence(rng, 20)
+        if i % 4 == 0:
+            text = " ".join(f"{w} {x}" for w, x in zip(text.split(), rng.sample(rare, 12))) + " you are"
+        rows.append((i, text, "en", "a", 1, None, None))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert all(model.insult(w) > 0 for w in rare)
 
 
 # --- 2 mixing
@@ -85,15 +137,44 @@ def test_mix(spark, docs):
     assert mixing.mix(empty(spark)).count() == 0
 
 
-def test_fit_budget_is_exact_where_it_can_be():
+def test_fit_budget_equals_brute_force():
     rng = np.random.default_rng(1)
-    for _ in range(40):
-        sizes = np.unique(rng.integers(1, 60, 8))
-        counts = rng.integers(1, 5, len(sizes))
-        budget = int(rng.integers(0, (sizes * counts).sum() + 1))
+    for _ in range(150):
+        sizes = np.unique(rng.integers(1, 40, rng.integers(1, 6)))
+        counts = rng.integers(1, 4, len(sizes))
+        budget = int(rng.integers(0, (sizes * counts).sum() + 2))
         take = mixing.fit_budget(sizes, counts, budget)
-        assert (take >= 0).all() and (take <= counts).all() and (sizes * take).sum() <= budget
-    assert (mixing.fit_budget(np.array([3, 5]), np.array([4, 4]), 22) * np.array([3, 5])).sum() == 22
+        sums = ((np.array(c) * sizes).sum() for c in itertools.product(*[range(n + 1) for n in counts]))
+        assert (take >= 0).all() and (take <= counts).all() and (sizes * take).sum() == max(s for s in sums if s <= budget)
+
+
+def test_fit_budget_of_long_documents_and_large_budgets():
+    fit = lambda sizes, counts, budget: (mixing.fit_budget(np.array(sizes), np.array(counts), budget) * np.array(sizes)).sum()
+    assert fit([70_000, 100_000], [1, 1], 70_000) == 70_000
+    assert fit([70_000, 90_000, 100_000], [3, 3, 3], 160_000) == 160_000
+    rng = np.random.default_rng(2)
+    sizes = np.unique(rng.integers(1, 25_000, 3000))
+    counts = rng.integers(1, 50, len(sizes))
+    assert fit(sizes, counts, int((sizes * counts).sum() * 0.77)) == int((sizes * counts).sum() * 0.77)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_mix_without_broadcast(spark, docs, monkeypatch, small):
+    monkeypatch.setattr(mixing, "_small", lambda df, rows=0: small)
+    monkeypatch.setattr(mixing, "HOT", 2)
+    monkeypatch.setattr(mixing, "BUCKET", 2)
+    assert sorted(map(tuple, mixing.mix(docs).collect())) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
+
+
+def test_targets_equal_water_fill(spark):
+    rng = random.Random(3)
+    for _ in range(3):
+        sizes = {f"s{k:02}": rng.choice([0, 1, 10, 1000, 5000]) for k in range(17)} | {None: 40}
+        table = spark.createDataFrame([(k, 1, v) for k, v in sizes.items()], "source string, size long, docs long")
+        order = sorted(sizes, key=lambda x: (x is None, x or ""))
+        want = mixing.water_fill([sizes[k] for k in order], [(1, 2, 3)[i % 3] for i in range(len(order))])
+        got = {r.source: r.target for r in mixing.targets(table, (1, 2, 3), 3.0).collect()}
+        assert [got[k] for k in order] == pytest.approx(want)
 
 
 def test_water_fill():
@@ -179,6 +260,35 @@ def test_bloom_masks_have_no_false_negative(spark):
     assert (model.masks(grams)[0] >> model.languages.index("aa") & 1).all()
 
 
+def test_a_rare_language_is_learned_in_a_large_corpus(spark):
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, 8), "en", "a", 1, None, None) for i in range(6000)]
+    rows += [(10_000 + i, sentence(rng, 20, ["przy", "szczy", "jest", "wiele"]), "pl", "a", 1, None, None) for i in range(20)]
+    docs = frame(spark, rows).repartition(4)
+    model = langid.train(docs, sample_rows=200, floor=100, slots=1 << 16, fold=None)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model, ["doc_id"]).collect()}
+    assert all(got[10_000 + i] == "pl" for i in range(20)) and np.mean([got[i] == "en" for i in range(6000)]) > 0.99
+
+
+def test_masks_equal_brute_force(spark):
+    """Filters hold just the n-grams that a plain count of documents chooses, but for collisions of slots."""
+    rows = _languages(spark)[:90]
+    model = langid.train(frame(spark, rows), slots=1 << 18, fold=None)
+    n, per = defaultdict(Counter), Counter(r[2] for r in rows)
+    for r in rows:
+        for h in {int(x) for _, g in langid.gram_hashes([r[1]]) for x in g}:
+            n[h][r[2]] += 1
+    every = np.array(sorted(n), dtype=np.uint64)
+    masks, wrong = model.masks(every), 0
+    for k, h in enumerate(every.tolist()):
+        rate = {x: c / per[x] for x, c in n[h].items()}
+        want = {x for x in rate if rate[x] >= 0.2 * max(rate.values())}
+        got = {x for i, x in enumerate(model.languages) if masks[i // 8][k] >> (i % 8) & 1}
+        assert want <= got
+        wrong += got != want
+    assert wrong <= 0.01 * len(every)
+
+
 # --- 6 rules
 
 
@@ -237,15 +347,79 @@ def test_contaminated(spark, docs):
     assert decontam.drop_contaminated(docs, bench).columns == docs.columns
 
 
-def test_block_max_search_equals_full_scoring():
+def _bm25(texts):
+    """Plain BM25 of a query (words) against each text, and each text's own score."""
+    words = [decontam.tokens(t) for t in texts]
+    n, mean = len(words), max(1.0, sum(map(len, words)) / len(words))
+    df = Counter(w for t in words for w in set(t))
+    part = lambda w, t: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean))
+    return lambda q: [sum(part(w, t) for w in q if w in t) for t in words], [sum(part(w, t) for w in set(t)) for t in words]
+
+
+def test_block_max_search_equals_full_scoring_and_skips_blocks():
     rng = random.Random(3)
-    words = [f"w{i}" for i in range(40)]
-    texts = [" ".join(rng.choices(words, k=12)) for _ in range(100)]
-    index = decontam.Index(list(range(100)), texts, 0.3)
-    for _ in range(50):
-        terms = np.unique([index.term[w] for w in rng.sample(words, 15)])
-        full = np.flatnonzero(index.postings.sums(terms, 100) >= index.thresholds - 1e-9)
-        assert index.search(terms).tolist() == full.tolist()
+    words = [f"w{i}" for i in range(1500)]
+    texts = [" ".join(rng.choices(words, k=12)) for _ in range(400)] + ["", "two words"]
+    index = decontam.Index(list(range(len(texts))), texts, 0.4)
+    score, own = _bm25(texts)
+    hits = 0
+    for n in range(60):
+        q = set(rng.sample(words, 15)) | (set(decontam.tokens(texts[n])) if n % 2 else set())
+        hashes, _ = decontam.hash_tokens([decontam._plain(" ".join(q))])
+        terms = np.unique(index.terms(hashes))
+        want = [i for i, s in enumerate(score(q)) if own[i] and s >= 0.4 * own[i] - 1e-9]
+        assert index.search(terms[terms >= 0]).tolist() == want
+        hits += len(want)
+    assert hits >= 30 and index.seen == 60 * index.blocks and 0 < index.scored < 0.5 * index.seen
+
+
+def test_tokens_are_hashed_as_they_are_read():
+    texts = ["a-b c_d!", "É—ß! x", "tab\tnew\nline  ---  x", "", "“quote” d'été\u00a0y", "x" * 5000]
+    hashes, counts = decontam.hash_tokens([decontam._plain(t) for t in texts])
+    flat = [w for t in texts for w in decontam.tokens(t)]
+    assert counts.tolist() == [len(decontam.tokens(t)) for t in texts] and len(set(hashes.tolist())) == len(set(flat)) == len(set(zip(flat, hashes.tolist())))
+
+
+def test_contaminated_equals_brute_force_in_one_pass_or_several(spark, monkeypatch):
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(150)]
+    items = [" ".join(rng.choices(vocabulary, k=rng.randint(6, 24))) for _ in range(30)]
+    rows = []
+    for i in range(80):
+        text = " ".join(rng.choices(vocabulary, k=rng.randint(0, 120))).split()
+        if i % 2:
+            part = items[i % 30].split()
+            a = rng.randrange(len(part))
+            at = rng.randint(0, len(text))
+            text[at:at] = part[a : a + rng.randint(3, len(part))]
+        rows.append((i, " ".join(text), None, None, 0, None, None))
+    score, own = _bm25(items)
+    want = set()
+    for d, t, *_ in rows:
+        w = decontam.tokens(t)
+        size = 2 * max(32, max(len(x.split()) for x in items))
+        found = set()
+        for at in range(0, max(1, len(w) - size // 2), size // 2):
+            found |= {k for k, s in enumerate(score(set(w[at : at + size]))) if s >= 0.4 * own[k] - 1e-9}
+        grams = decontam._windows(w, 3)
+        share = lambda x: len(decontam._windows(x, 3) & grams) / len(decontam._windows(x, 3)) if x else 0.0
+        for k in found:
+            q, a = decontam.question_and_answer(items[k])
+            if share(q + a) >= 0.5 and max(share(q), share(a)) >= 0.5:
+                want.add((d, k))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for most in (50_000, 7):
+        monkeypatch.setattr(decontam, "PASS_ITEMS", most)
+        assert {(r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, rows), bench).collect()} == want
+    assert 10 <= len(want) < 80
+
+
+def test_one_part_alone_is_reported_only_if_it_is_half_of_the_item(spark):
+    q = " ".join(f"q{i}" for i in range(12)) + "?"
+    long, short = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(8))
+    bench = spark.createDataFrame([(1, f"{q} {long}"), (2, f"{q.replace('q', 'z')} {short}")], "item_id long, text string")
+    docs = frame(spark, [(1, "so " + q, None, None, 0, None, None), (2, "so " + q.replace("q", "z"), None, None, 0, None, None), (3, long, None, None, 0, None, None)])
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == {(2, 2), (3, 1)}
 
 
 # --- 8 lines
@@ -364,3 +538,22 @@ def test_components(spark):
 def test_bands_reach_recall():
     for threshold, recall, rows in ((0.8, 0.9995, 5), (0.8, 0.99, 2)):
         assert 1 - (1 - threshold**rows) ** choose_bands(threshold, recall, rows) >= recall
+
+
+def test_null_ids_and_text_ids(spark):
+    """Rows without an id, and ids that are text, are defined everywhere."""
+    rng = random.Random(14)
+    rows = [(f"d{i}", sentence(rng, 60), "en", "a", 300) for i in range(12)] + [(None, sentence(rng, 60), "en", None, 300), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([("d1", 1, 0), ("d2", 0, 1), (None, 1, 1)], "doc_id string, toxic int, quality int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    bench = spark.createDataFrame([(1, rows[3][1])], "item_id long, text string")
+    assert toxicity.score_toxicity(docs, toxicity.train(docs, labels), ["doc_id"]).count() == 14
+    assert mixing.mix(docs).count() == 14
+    assert cotrain.score_quality(docs, pages, cotrain.train(docs, pages, labels)).count() == 14
+    assert tokencount.length_histogram(docs).agg({"n_docs": "sum"}).first()[0] == 14
+    assert langid.predict(docs, langid.train(docs), ["doc_id"]).count() == 14 and langid.keep_identified(docs, langid.train(docs)).count() == 13
+    assert rules.ledger(docs).count() == 14
+    assert [r.doc_id for r in decontam.contaminated(docs, bench).collect()] == ["d3"] and decontam.drop_contaminated(docs, bench).count() == 13
+    assert linededup.digest(docs, linededup.keep_bitmaps(docs)).count() == 14
+    assert ngramjoin.jaccard_join(docs).count() == 12 and ngramjoin.keep_one(docs).count() == 14
