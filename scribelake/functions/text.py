@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,15 @@ SPACE_CLASS = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029
 INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
 #: Syllables for one initial (21 vowels times 28 finals).
 PER_INITIAL = 588
+#: Pieces of text whose lengths are summed at once.
+BLOCK = 64
 # Korean particles that search strips from the end of a word.
-PARTICLES = "에서는 으로는 에서 으로 에게 까지 부터 처럼 보다 마다 하고 이나 은 는 이 가 을 를 의 에 도 만 로 와 과 나".split()
+PARTICLES = (
+    "에서는", "에게는", "으로는", "에서도",
+    "에서", "으로", "에게", "까지", "부터", "보다", "처럼", "에는", "에도", "로는", "이나",
+    "을", "를", "이", "가", "은", "는", "의", "에", "로",
+    "과", "와", "도", "만", "나",
+)
 
 
 def col(c: Column | str) -> Column:
@@ -29,36 +38,62 @@ def nonblank(c: Column | str) -> Column:
     return F.nullif(F.trim(col(c)), F.lit(""))
 
 
+#: A digit of any script, and white space as a separator.
+_DIGIT, _GAP = r"\p{Nd}", SPACE_CLASS[1:-1]
+
+
+def _where(c: Column, cheap: Column, then: Column) -> Column:
+    """``then`` only where a cheap test says that it can change the text."""
+    return F.when(cheap, then).otherwise(c)
+
+
 def mask_phone(c: Column | str) -> Column:
-    """Mobile numbers keep their prefix and last four digits; neighbours may not be digits or hyphens."""
-    return F.regexp_replace(col(c), r"(?<![\d-])(01[016789])[-. ]?\d{3,4}[-. ]?(\d{4})(?![\d-])", "$1-****-$2")
+    """Mobile numbers keep their prefix and last four digits.
+
+    No digit or hyphen may stand before one and no digit after it; parts are joined by nothing or by
+    one of ``-``, ``.``, white space and, after the prefix, ``)``. The pattern begins with its literal, so
+    the look-behind is only tried at a 0.
+    """
+    pattern = rf"0(?<![{_DIGIT}-]0)1([016789])[-.){_GAP}]?{_DIGIT}{{3,4}}[-.{_GAP}]?({_DIGIT}{{4}})(?!{_DIGIT})"
+    return _where(col(c), col(c).contains("01"), F.regexp_replace(col(c), pattern, "01$1-****-$2"))
 
 
 def mask_resident_number(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), r"(?<![\d-])(\d{6})[- ]?([1-8])\d{6}(?![\d-])", "$1-$2******")
+    """Six digits, a separator or none, and seven digits of which the first, 1 to 4, stays."""
+    pattern = rf"({_DIGIT}(?<![{_DIGIT}-]{_DIGIT}){_DIGIT}{{5}})[-.{_GAP}]?([1-4]){_DIGIT}{{6}}(?!{_DIGIT})"
+    return F.regexp_replace(col(c), pattern, "$1-$2******")
+
+
+#: Two code points that no text uses, around a local part that is to be masked.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 
 
 def mask_email(c: Column | str) -> Column:
     """One or two characters before the sign leave the first; more leave two."""
     local, domain = "[A-Za-z0-9._%+-]", r"[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-    short = F.regexp_replace(col(c), f"(?<!{local})({local}){local}?(@{domain})", "$1*$2")
-    return F.regexp_replace(short, f"(?<!{local})({local}{{2}}){local}+(@{domain})", "$1***$2")
+    text = F.regexp_replace(col(c), f"({local}(?<!{local}{local}){local}*+)@({domain})(?![A-Za-z0-9-])", f"{_OPEN}$1{_CLOSE}@$2")
+    text = F.regexp_replace(text, f"{_OPEN}(.).?{_CLOSE}", "$1*")
+    return _where(col(c), col(c).contains("@"), F.regexp_replace(text, f"{_OPEN}(..).+?{_CLOSE}", "$1***"))
 
 
 def mask_pii(c: Column | str) -> Column:
-    return mask_email(mask_resident_number(mask_phone(c)))
+    """Phone numbers, resident numbers and e-mail addresses masked; null becomes empty."""
+    return mask_email(mask_resident_number(mask_phone(F.coalesce(col(c), F.lit("")))))
 
 
 def nospace_lower(c: Column | str) -> Column:
     """Lower-case text without white space, the form that search compares."""
-    return F.lower(F.regexp_replace(F.coalesce(col(c), F.lit("")), SPACE_CLASS, ""))
+    text = F.coalesce(col(c), F.lit(""))
+    for common in (" ", "\n"):
+        text = F.replace(text, F.lit(common), F.lit(""))
+    return F.lower(F.regexp_replace(text, SPACE_CLASS, ""))
 
 
 def clean_term(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"(?U)[^\w가-힣ㄱ-ㅎ]", "")
 
 
-def strip_suffix(c: Column | str, suffixes: list[str] | tuple[str, ...] = tuple(PARTICLES)) -> Column:
+def strip_suffix(c: Column | str, suffixes: list[str] | tuple[str, ...] = PARTICLES) -> Column:
     """Without its longest suffix, if the word is longer than two and two characters stay."""
     longest = "|".join(sorted(suffixes, key=lambda s: (-len(s), s)))
     return F.regexp_replace(col(c), f"^(.{{2,}}?)(?:{longest})$", "$1")
@@ -152,10 +187,30 @@ def snippet(c: Column | str, needles: list[str], around: int = 60, fallback: int
     return F.when(hit.isNull(), F.left(text, F.lit(fallback))).otherwise(cut)
 
 
+def agent_snippet(c: Column | str, query: str, limit: int = 300, around: int = 60) -> Column:
+    """struct(snippet, start, end): text around the first query word of two characters or more that occurs.
+
+    Without a hit it is the start of the text; a snippet cut at ``limit`` or without a hit has no range.
+    """
+    text = F.coalesce(col(c), F.lit(""))
+    low = F.lower(text)
+    words = [w for w in query.split() if len(w) >= 2]
+    hits = [F.when(F.instr(low, w.lower()) > 0, F.struct(F.instr(low, w.lower()).alias("at"), F.lit(len(w)).alias("n"))) for w in words]
+    hit = F.coalesce(*hits) if hits else F.lit(None).cast("struct<at:int,n:int>")
+    start = F.greatest(hit["at"] - 1 - around, F.lit(0))
+    end = F.least(hit["at"] - 1 + hit["n"] + around, F.length(text))
+    fits = hit.isNotNull() & (end - start <= limit)
+    body = F.when(hit.isNull(), F.left(text, F.lit(limit))).otherwise(F.left(F.substring(text, start + 1, end - start), F.lit(limit)))
+    return F.struct(body.alias("snippet"), F.when(fits, start).alias("start"), F.when(fits, end).alias("end"))
+
+
 def earliest_snippet(c: Column | str, tokens: list[str], before: int = 40, after: int = 100) -> Column:
-    """Text around the earliest of all tokens."""
+    """Text around the earliest of all tokens; where none occurs, of all tokens with white space between characters."""
     text = F.coalesce(col(c), F.lit(""))
+    loose = "(?i)" + "|".join(r"\s*".join("\\Q" + x + "\\E" for x in t) for t in tokens if 2 <= len(t) <= 30)
     at = F.array_min(F.filter(F.array(*[F.instr(F.lower(text), t.lower()) for t in tokens]), lambda x: x > 0))
+    if loose != "(?i)":
+        at = F.coalesce(at, F.nullif(F.regexp_instr(text, F.lit(loose)), F.lit(0)))
     start = F.greatest(at - before, F.lit(1))
     return F.when(at.isNull(), F.left(text, F.lit(before + after))).otherwise(F.substring(text, start, at + after - start))
 
@@ -164,14 +219,27 @@ def match_positions(c: Column | str, needle: str) -> Column:
     """Start offsets of the needle, from 0, not overlapping, case ignored."""
     size = len(needle)
     parts = F.split(F.lower(F.coalesce(col(c), F.lit(""))), "\\Q" + needle.lower() + "\\E")
-    lengths = F.transform(F.slice(parts, 1, F.size(parts) - 1), F.length)
-    start = F.struct(F.array().cast("array<int>").alias("found"), F.lit(0).alias("at"))
-    return F.aggregate(
-        lengths,
-        start,
-        lambda acc, n: F.struct(F.concat(acc["found"], F.array(acc["at"] + n)).alias("found"), (acc["at"] + n + size).alias("at")),
-        lambda acc: acc["found"],
-    )
+    pieces = F.transform(parts, lambda p: F.length(p) + size)
+
+    def starts(lengths: Column) -> Column:
+        # running sums block by block, so that the work is not the square of the number of hits
+        total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+        last = F.floor((F.size(lengths) - 1) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
+        sums = F.transform(blocks, total)
+        inner = lambda a, base: F.transform(F.sequence(F.lit(1), F.size(a)), lambda i: base + total(F.slice(a, F.lit(1), i)))
+        return F.flatten(F.transform(blocks, lambda a, b: inner(a, total(F.slice(sums, F.lit(1), b)))))
+
+    every = F.transform(F.array(pieces), starts)[0]
+    return F.transform(F.slice(every, F.lit(1), F.size(every) - 1), lambda x: x - size)
+
+
+def highlight_terms(query: str) -> list[str]:
+    """Phrases and words of two characters or more, without exclusions, OR, qualifiers and initials."""
+    phrases = [p.strip() for p in re.findall(r'"([^"]*)"', query) if p.strip()]
+    words = re.sub(r'"[^"]*"', " ", query).replace("|", " ").split()
+    keep = [w for w in words if len(w) >= 2 and not w.startswith("-") and w.upper() != "OR" and ":" not in w and not re.fullmatch("[ㄱ-ㅎ]+", w)]
+    return list(dict.fromkeys(phrases + keep))
 
 
 def highlight(c: Column | str, terms: list[str]) -> Column:

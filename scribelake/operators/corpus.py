@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribelake.functions.text import nonblank
+from scribelake.functions.dates import DONE
+from scribelake.functions.metadata import target_year
+from scribelake.functions.text import cell_text, col, content_hash, empty, mask_pii, nonblank
+
+from .ledger import active
+from .shared import ranked, running_before
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
@@ -32,19 +39,33 @@ def rebuild_answers(slim: DataFrame, bodies: DataFrame, key: str) -> DataFrame:
     return slim.join(bodies, key).select(key, "turn", "start", "n", F.coalesce("inline", cut).alias("rebuilt"))
 
 
-def body_blocks(rows: DataFrame, part: str, key: str, body: str, size: int) -> DataFrame:
-    """(key, part, block): running size of the bodies before the row, by ``size``; lengths are shuffled, not bodies."""
-    w = Window.partitionBy(part).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    sized = rows.select(key, part, F.length(body).cast("long").alias("n"))
-    before = F.coalesce(F.sum("n").over(w), F.lit(0))
-    return sized.withColumn("before", before).select(key, part, F.expr(f"before div {size}").alias("block"))
+def body_blocks(rows: DataFrame, part: str, key: str, body: str, size: int, threshold: int = 0) -> DataFrame:
+    """(key, part, block): running size of the bodies before the row, by ``size``; lengths are shuffled, not bodies.
+
+    Up to ``threshold`` characters in all there is one block, 0.
+    """
+    sized = rows.select(key, part, F.coalesce(F.length(body), F.lit(0)).cast("long").alias("n"))
+    if threshold and (sized.agg(F.sum("n")).head()[0] or 0) <= threshold:
+        return sized.select(key, part, F.lit(0).cast("long").alias("block"))
+    return running_before(sized, [part], [key], "n", "before").select(key, part, F.expr(f"before div {size}").alias("block"))
+
 
+def merge_plan(stored: DataFrame, incoming: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """Incoming rows with action: skip where the content is stored already, else copy.
 
-def merge_plan(stored: DataFrame, incoming: DataFrame, text: str = "text") -> DataFrame:
-    """Incoming rows with action: skip where the content is stored already, else copy."""
+    With ``path``, a row whose path is stored with another content, which is stored nowhere, is
+    ``keep_both``: it goes under a ``new_path`` with the first eight characters of its hash.
+    """
     there = stored.select(F.sha2(text, 256).alias("__h")).distinct().withColumn("__there", F.lit(True))
-    hashed = incoming.withColumn("__h", F.sha2(text, 256)).drop(text)
-    return hashed.join(there, "__h", "left").withColumn("action", F.when(F.col("__there"), "skip").otherwise("copy")).drop("__h", "__there")
+    hashed = incoming.withColumn("__h", F.sha2(text, 256)).drop(text).join(there, "__h", "left")
+    action = F.when(F.col("__there"), "skip").otherwise("copy")
+    if path is None:
+        return hashed.withColumn("action", action).drop("__h", "__there")
+    taken = stored.select(F.col(path).alias("__path")).distinct()
+    both = hashed.join(taken, F.col(path) == F.col("__path"), "left")
+    clash = F.col("__there").isNull() & F.col("__path").isNotNull()
+    renamed = F.concat(F.regexp_replace(F.col(path), r"\.[^./]+$", ""), F.lit("_"), F.left("__h", F.lit(8)), F.regexp_extract(F.col(path), r"(\.[^./]+)?$", 1))
+    return both.withColumn("action", F.when(clash, "keep_both").otherwise(action)).withColumn("new_path", F.when(clash, renamed).otherwise(F.col(path))).drop("__h", "__there", "__path")
 
 
 def unseen(docs: DataFrame, seen: DataFrame, text: str = "text") -> DataFrame:
@@ -52,6 +73,17 @@ def unseen(docs: DataFrame, seen: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("hash", F.sha2(text, 256)).drop(text).join(seen, "hash", "left_anti")
 
 
+def incremental(listing: DataFrame, previous: DataFrame, key: str = "path", force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``listing`` (key, hash) that need work, rows of ``previous`` that are carried over).
+
+    A file needs work when its hash differs from that of the last run, or always with ``force``.
+    """
+    if force:
+        return listing, previous.limit(0)
+    same = listing.select(key, "hash")
+    return listing.join(previous.select(key, "hash"), [key, "hash"], "left_anti"), previous.join(same, [key, "hash"], "left_semi")
+
+
 def fingerprint(rows: DataFrame, key: str, body: str) -> DataFrame:
     """n, newest, chars, hash: an order-independent digest without a global sort."""
     h = rows.agg(F.count("*").alias("n"), F.max(key).alias("newest"), F.sum(F.length(body)).alias("chars"), F.bit_xor(F.xxhash64(key, body)).alias("x"))
@@ -59,19 +91,57 @@ def fingerprint(rows: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def compare_candidates(asked: DataFrame, docs: DataFrame, group: str, k: int) -> DataFrame:
-    """The ``k`` newest others of the same group for each asked document: top-k before the join."""
+    """(doc_id, other, rank): the ``k`` newest others, those of the same group first, for each asked document.
+
+    Of each group, and of all documents, only the ``k`` + 1 newest can be candidates; only they are joined.
+    """
     w = Window.partitionBy(group).orderBy(F.desc("doc_id"))
-    newest = docs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumnRenamed("doc_id", "other")
-    return asked.join(newest, group).filter("doc_id <> other").select("doc_id", "other", "rank")
+    newest = docs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).select(F.col("doc_id").alias("other"), F.col(group).alias("g"))
+    top = docs.orderBy(F.desc("doc_id")).limit(k + 1 + k).select(F.col("doc_id").alias("other"), F.col(group).alias("g"))
+    own = asked.join(newest, F.col(group).eqNullSafe(F.col("g"))).select("doc_id", "other", F.lit(0).alias("far"))
+    rest = asked.join(F.broadcast(top), ~F.col(group).eqNullSafe(F.col("g"))).select("doc_id", "other", F.lit(1).alias("far"))  # at most 2k + 1 rows
+    order = Window.partitionBy("doc_id").orderBy("far", F.desc("other"))
+    every = own.unionByName(rest).filter("doc_id <> other")
+    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("doc_id", "other", "rank")
+
+
+#: Sources that a pack cites, and characters of an excerpt.
+PACK_SOURCES, EXCERPT = 10, 2000
+
+
+def build_evidence(cited: DataFrame, sources: DataFrame, masked: bool = True) -> DataFrame:
+    """Evidence rows of packs: pack_id, place, source_id, kind, hash, excerpt, state.
+
+    ``cited``: pack_id, source_id, place, optionally offset and length of the excerpt. ``sources``:
+    source_id, kind, body. The first ``PACK_SOURCES`` places of a pack count. The excerpt is masked, and that can
+    itself keep it from being a part of the text: then it is ``unverified``.
+    """
+    w = Window.partitionBy("pack_id").orderBy("place", "source_id")
+    first = cited.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= PACK_SOURCES)
+    at = F.coalesce("offset", F.lit(0)) if "offset" in cited.columns else F.lit(0)
+    n = F.least(F.coalesce("length", F.lit(EXCERPT)), F.lit(EXCERPT)) if "length" in cited.columns else F.lit(EXCERPT)
+    joined = first.join(sources.select("source_id", "kind", F.coalesce("body", F.lit("")).alias("body")), "source_id", "left")
+    piece = F.substring(F.col("body"), (at + 1).cast("int"), n.cast("int"))
+    shown = mask_pii(piece) if masked else piece
+    state = F.when(F.col("body").isNull(), "source_missing").when((shown != "") & F.contains(F.col("body"), shown), "source_text_match").otherwise("unverified")
+    return joined.select("pack_id", "place", "source_id", "kind", F.when(F.col("body").isNotNull(), content_hash("body")).alias("hash"), shown.alias("excerpt"), state.alias("state"))
 
 
 def verify_evidence(cited: DataFrame, sources: DataFrame) -> DataFrame:
-    """cited: pack_id, source_id, hash, excerpt. Adds state: missing, stale, failed or match."""
+    """cited: pack_id, source_id, hash, excerpt, optionally start and end. Adds state: missing, stale, failed or match.
+
+    A range must lie in the text and hold the excerpt.
+    """
     s = sources.select(F.col("source_id").alias("__id"), F.col("body").alias("__body"))
+    held = F.contains(F.col("__body"), F.col("excerpt"))
+    if {"start", "end"} <= set(cited.columns):
+        sound = (F.col("start") >= 0) & (F.col("end") >= F.col("start")) & (F.col("end") <= F.length("__body"))
+        there = F.substring(F.col("__body"), F.col("start") + 1, F.col("end") - F.col("start")).contains(F.col("excerpt"))
+        held = held & F.when(F.col("start").isNotNull(), F.coalesce(sound & there, F.lit(False))).otherwise(F.lit(True))
     state = (
         F.when(F.col("__id").isNull(), "source_missing")
         .when(F.concat(F.lit("sha256:"), F.sha2("__body", 256)) != F.col("hash"), "source_stale")
-        .when(~F.col("__body").contains(F.col("excerpt")), "verification_failed")
+        .when(~held, "verification_failed")
         .otherwise("source_text_match")
     )
     return cited.join(s, F.col("source_id") == F.col("__id"), "left").withColumn("state", state).drop("__id", "__body")
@@ -95,6 +165,35 @@ def find_source(rows: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
+def orphans(rows: DataFrame, listing: DataFrame, staging: str = r"(?:^|/)_staging/") -> DataFrame:
+    """Markdown rows (path, header) whose source is not in the listing any more, and all copies in the staging folder.
+
+    Only a list; whether to delete is for :func:`ledger.may_prune`.
+    """
+    found = find_source(rows, listing)
+    return found.filter(F.col("source_path").isNull() | F.col("path").rlike(staging)).select(*rows.columns)
+
+
+def expected_path(source: Column | str, year: Column | str, root: str = "") -> Column:
+    """Where the Markdown of a source belongs: the folder of its year, under its own name."""
+    name = F.regexp_extract(col(source), r"([^/]+)$", 1)
+    return F.concat(F.lit(root), col(year), F.lit("/"), name, F.lit(".md"))
+
+
+def layout_plan(rows: DataFrame, listing: DataFrame, year: Column | None = None, root: str = "") -> DataFrame:
+    """(source_path, keep_path, move_to, drop_paths): one Markdown file of each source stays, in its year's folder.
+
+    ``rows``: path, header, modified. A file with a header goes before one without, then the newest,
+    then the first by path. ``drop_paths`` are the other copies, in order. No file is touched.
+    """
+    found = find_source(rows, listing).filter("source_path is not null")
+    best = F.struct(F.col("header").isNull().alias("bare"), (-F.unix_micros(F.col("modified").cast("timestamp"))).alias("age"), F.col("path").alias("path"))
+    plan = found.groupBy("source_path").agg(F.sort_array(F.collect_list(best)).alias("copies"))  # the copies of one source are few
+    paths = F.transform("copies", lambda c: c["path"])
+    of = target_year("source_path") if year is None else year
+    return plan.select("source_path", paths[0].alias("keep_path"), expected_path("source_path", of, root).alias("move_to"), F.slice(paths, F.lit(2), F.greatest(F.size(paths) - 1, F.lit(0))).alias("drop_paths"))
+
+
 def one_per_source(rows: DataFrame) -> DataFrame:
     """One Markdown file per source: with a header first, then the newest, then by path."""
     w = Window.partitionBy("source_path").orderBy(F.col("header").isNotNull().desc(), F.desc("modified"), "path")
@@ -102,10 +201,56 @@ def one_per_source(rows: DataFrame) -> DataFrame:
     return known.unionByName(rows.filter("source_path is null"))
 
 
+def questions_per_document(docs: DataFrame, qa: DataFrame, listed: str = "key_questions") -> DataFrame:
+    """(doc_id, n_questions, single, suspect): a single-question document whose own list has several lines is suspect."""
+    counts = qa.groupBy("doc_id").agg(F.count("*").alias("n"))
+    lines = F.size(F.filter(F.split(F.coalesce(F.col(listed), F.lit("")), "\n"), lambda x: F.trim(x) != ""))
+    n = F.coalesce("n", F.lit(0))
+    return docs.select("doc_id", lines.alias("__lines")).join(counts, "doc_id", "left").select("doc_id", n.alias("n_questions"), (n == 1).alias("single"), ((n == 1) & (F.col("__lines") > 1)).alias("suspect"))
+
+
+def metadata_gaps(docs: DataFrame, unknown: str = "미분류", samples: int = 5) -> DataFrame:
+    """(gap, n, samples): documents without a date, of unknown requester, without a year, and without a year but dated."""
+    gaps = F.array(
+        F.when(empty("request_date"), "no date"),
+        F.when(empty("requester") | (F.col("requester") == unknown), "no requester"),
+        F.when(empty("year"), "no year"),
+        F.when(empty("year") & ~empty("request_date"), "no year but dated"),
+    )
+    rows = docs.select(F.col("doc_id"), F.explode(F.filter(gaps, lambda g: g.isNotNull())).alias("gap"))
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("gap").orderBy("doc_id"))).filter(F.col("r") <= samples)
+    some = first.groupBy("gap").agg(F.sort_array(F.collect_list("doc_id")).alias("samples"))
+    return rows.groupBy("gap").agg(F.count("*").alias("n")).join(some, "gap")
+
+
+def topic_counts(docs: DataFrame, column: str = "topic_tags", separator: str = r"\s*,\s*") -> DataFrame:
+    """(tag, n) of a column of separated tags, blank ones left out."""
+    tags = F.explode(F.split(F.coalesce(F.col(column), F.lit("")), separator)).alias("tag")
+    return docs.select(tags).filter("trim(tag) <> ''").groupBy(F.trim("tag").alias("tag")).agg(F.count("*").alias("n"))
+
+
+def volumes(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(table, n, chars): rows and characters of a text column of each table."""
+    each = [df.agg(F.count("*").alias("n"), F.sum(F.length(c)).alias("chars")).select(F.lit(t).alias("table"), "n", "chars") for t, (df, c) in tables.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def indicators(docs: DataFrame, qa: DataFrame, ledger: DataFrame) -> DataFrame:
+    """One row of report figures: documents, questions, documents with tables, institutions, requests, open and done requests."""
+    d = docs.agg(F.count("*").alias("documents"), F.count_if(F.col("has_tables") == "Y").alias("with_tables"), F.count_distinct("institution").alias("institutions"))
+    q = qa.agg(F.count("*").alias("questions"))
+    done = F.trim("status").isin(*DONE)
+    r = active(ledger).agg(F.count("*").alias("requests"), F.count_if(done).alias("done"), F.count_if(~F.coalesce(done, F.lit(False))).alias("open"))
+    return d.crossJoin(q).crossJoin(r)  # one row each
+
+
 def reports(docs: DataFrame, qa: DataFrame, ledger: DataFrame) -> dict[str, DataFrame]:
-    """The five report tables: KPIs, master list, question detail, ledger, statistics index."""
+    """The five report tables: KPIs, master list, question detail, ledger, statistics index.
+
+    Lists are numbered in each year, without a task that holds a whole year.
+    """
     count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kpi"), "n")
-    numbered = lambda df, *order: df.withColumn("no", F.row_number().over(Window.partitionBy("year").orderBy(*order)))
     kpi = count(docs, "documents").unionByName(count(qa, "questions")).unionByName(count(ledger, "ledger")).unionByName(count(docs.filter("has_tables = 'Y'"), "with tables"))
     index = docs.filter("has_tables = 'Y'").select("doc_id", "year", "title", F.coalesce(nonblank("table_summary"), F.lit("(요약 없음)")).alias("table_summary"))
-    return {"kpi": kpi, "master": numbered(docs, "doc_id"), "questions": qa, "ledger": numbered(ledger, "ledger_id"), "statistics": index}
+    questions = qa.select("doc_id", "qa_id", "q_num", "question_title", cell_text("answer_markdown").alias("answer"), "has_tables") if "answer_markdown" in qa.columns else qa
+    return {"kpi": kpi, "master": ranked(docs, ["year"], ["doc_id"], "no"), "questions": questions, "ledger": ranked(active(ledger), ["year"], ["ledger_id"], "no"), "statistics": index}

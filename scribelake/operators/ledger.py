@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
+import json
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribelake.functions.dates import due_state
+from scribelake.functions.dates import due_state, strict_date
 from scribelake.functions.text import digits, empty, mask_pii, nonblank, requester_stem
 
+from .shared import cut, ranked
+
 # Fixed value: status of a tombstone.
 DELETED = "[삭제]"
 BLANK = "(없음)"
@@ -19,6 +24,12 @@ BLANK = "(없음)"
 COMPARED = ["year", "seq_no", "party", "requester", "aide", "title", "details", "request_date", "deadline", "submit_date", "department", "status", "note", "linked_doc_id"]
 # Actions whose snapshot is the state before them.
 BEFORE_ACTIONS = ("UPDATE", "DELETE", "EXCEL_SYNC_UPDATE", "EXCEL_SYNC_DELETE")
+# Shape of an identifier; fields that hold dates, and fields that are masked.
+ID_SHAPE = r"^REQ-\d{4}-\d+$"
+DATE_FIELDS = ("request_date", "deadline", "submit_date")
+MASKED_FIELDS = ("requester", "aide", "title", "details", "note")
+# What a new request gets where nothing is given.
+DEFAULTS = {"status": "작성중", "request_type": "시스템"}
 
 
 def active(rows: DataFrame) -> DataFrame:
@@ -49,15 +60,25 @@ def mask_fields(rows: DataFrame, fields: tuple[str, ...] = ("contact_person", "a
     return rows.withColumns({f: mask_pii(f) for f in fields if f in rows.columns})
 
 
-def validate(rows: DataFrame) -> DataFrame:
-    """Adds ``errors``: what keeps a request from being accepted; empty when nothing does."""
-    iso = lambda c: empty(c) | F.try_to_date(F.left(F.col(c), F.lit(10)), "yyyy-MM-dd").isNotNull()
+def validate(rows: DataFrame, stored_status: str | None = None) -> DataFrame:
+    """Adds ``errors``: what keeps a request from being accepted; empty when nothing does.
+
+    Title and requester are required, the year has four digits, dates are empty or days of the
+    calendar, an identifier has its shape. With ``stored_status``, a column of the stored status, a
+    status that was filled may not become blank.
+    """
+    iso = lambda c: empty(c) | F.try_to_date(F.col(c), "yyyy-MM-dd").isNotNull()
     checks = [
         F.when(empty("title"), "title"),
         F.when(empty("requester"), "requester"),
         F.when(~F.coalesce(F.col("year"), F.lit("")).rlike(r"^\d{4}$"), "year"),
-        *[F.when(~iso(c), c) for c in ("request_date", "deadline")],
+        *[F.when(~iso(c), c) for c in DATE_FIELDS if c in rows.columns],
     ]
+    if "ledger_id" in rows.columns:
+        ident = F.col("ledger_id").cast("string")
+        checks.append(F.when(~empty(ident) & ~ident.rlike(ID_SHAPE), "ledger_id"))
+    if stored_status:
+        checks.append(F.when(empty("status") & ~empty(stored_status), "status"))
     return rows.withColumn("errors", F.filter(F.array(*checks), lambda x: x.isNotNull()))
 
 
@@ -70,6 +91,20 @@ def due_counts(rows: DataFrame, as_of: datetime.date) -> DataFrame:
     return s.agg(F.count_if(F.col("s") == "overdue").alias("overdue"), F.count_if(F.col("s") == "soon").alias("soon"), F.count_if(F.col("s") != "done").alias("open"), F.count("*").alias("total"))
 
 
+def top_values(rows: DataFrame, column: str, k: int) -> DataFrame:
+    """(column, n, share): the ``k`` most frequent filled values, with their share of all filled ones in percent."""
+    counts = rows.filter(~empty(column)).groupBy(column).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    top = counts.orderBy(F.desc("n"), column).limit(k)
+    return top.crossJoin(F.broadcast(total)).select(column, "n", F.round(100.0 * F.col("n") / F.col("total"), 1).alias("share"))  # one row
+
+
+def requester_profiles(rows: DataFrame, newest: list[str], fields: tuple[str, ...] = ("party", "aide")) -> DataFrame:
+    """(requester, n, fields): the number of requests and the newest filled value of each field."""
+    last = lambda f: F.max_by(F.when(~empty(f), F.col(f)), F.when(~empty(f), F.struct(*newest))).alias(f)
+    return rows.groupBy("requester").agg(F.count("*").alias("n"), *[last(f) for f in fields])
+
+
 def suggest(sources: list[tuple[DataFrame, str, str]], prefix: str, limit: int) -> DataFrame:
     """Values that contain the prefix, by source (table, column, label); the first source of a pair counts."""
     low, parts = prefix.lower(), []
@@ -117,9 +152,69 @@ def link_by_token(ledger: DataFrame, docs: DataFrame) -> DataFrame:
     return found.filter("n = 1").select("ledger_id", "doc_id")
 
 
+def link_by_contained(ledger: DataFrame, docs: DataFrame) -> DataFrame:
+    """(ledger_id, doc_id): documents of the same day whose requester holds the stem; the years agree unless one is empty.
+
+    Of several documents the least counts.
+    """
+    asked = ledger.select("ledger_id", F.col("year").alias("l_year"), "request_date", requester_stem("requester").alias("stem")).filter("stem <> '' and coalesce(request_date, '') <> ''")
+    there = docs.select("doc_id", F.col("year").alias("d_year"), "request_date", "requester").filter("coalesce(request_date, '') <> ''")
+    year = empty("l_year") | empty("d_year") | (F.col("l_year") == F.col("d_year"))
+    found = asked.join(there, "request_date").filter(F.contains(F.col("requester"), F.col("stem")) & year)
+    return found.groupBy("ledger_id").agg(F.min("doc_id").alias("doc_id"))
+
+
+def auto_link(ledger: DataFrame, docs: DataFrame) -> DataFrame:
+    """(ledger_id, doc_id) by number token, else by contained requester and day."""
+    token, contained = link_by_token(ledger, docs), link_by_contained(ledger, docs)
+    return token.unionByName(contained.join(token.select("ledger_id"), "ledger_id", "left_anti"))
+
+
+def repair_links(ledger: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mend links of requests to documents that are gone. Returns (ledger, docs, summary).
+
+    A dangling link is found anew by :func:`auto_link`, else cleared; links that hold are left
+    alone. Then documents lose back-references to requests that are gone. Summary: checked, relinked, cleared.
+    """
+    bad = dangling(ledger, "linked_doc_id", docs, "doc_id")
+    again = auto_link(bad, docs).select("ledger_id", F.col("doc_id").cast("string").alias("__new"))
+    marks = bad.select("ledger_id").join(again, "ledger_id", "left").select("ledger_id", "__new", F.lit(True).alias("__bad"))
+    mended = ledger.join(marks, "ledger_id", "left").withColumn("linked_doc_id", F.when(F.col("__bad"), F.coalesce("__new", F.lit(""))).otherwise(F.col("linked_doc_id").cast("string")))
+    summary = mended.agg(
+        F.count_if(~empty(F.col("linked_doc_id")) | F.col("__bad")).alias("checked"), F.count_if(F.col("__bad") & F.col("__new").isNotNull()).alias("relinked"), F.count_if(F.col("__bad") & F.col("__new").isNull()).alias("cleared")
+    )
+    out = docs
+    if "linked_ledger_id" in docs.columns:
+        gone = dangling(docs, "linked_ledger_id", ledger, "ledger_id").select("doc_id", F.lit(True).alias("__gone"))
+        out = docs.join(gone, "doc_id", "left").withColumn("linked_ledger_id", F.when(F.col("__gone"), F.lit("")).otherwise(F.col("linked_ledger_id").cast("string"))).drop("__gone")
+    return mended.drop("__new", "__bad"), out, summary
+
+
+def change_links(docs: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Back-references after links changed: (docs, rejects).
+
+    ``changes``: ledger_id, old_doc_id, new_doc_id. A new document that isn't there rejects the change. The
+    old document is cleared only if it still points at the request; the last change of a document wins.
+    """
+    known = docs.select(F.col("doc_id").cast("string").alias("__doc"))
+    text = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
+    asked = changes.select("ledger_id", text("old_doc_id").alias("old"), text("new_doc_id").alias("new"))
+    rejects = asked.filter("new <> ''").join(known, F.col("new") == F.col("__doc"), "left_anti")
+    good = asked.join(rejects.select("ledger_id"), "ledger_id", "left_anti").filter("old <> new")
+    clear = good.filter("old <> ''").groupBy("old").agg(F.collect_set(F.col("ledger_id").cast("string")).alias("__by"))  # requests that leave one document
+    point = good.filter("new <> ''").groupBy("new").agg(F.max(F.col("ledger_id").cast("string")).alias("__to"))
+    d = F.col("doc_id").cast("string")
+    joined = docs.join(clear, d == F.col("old"), "left").join(point, d == F.col("new"), "left")
+    now = F.coalesce(F.col("linked_ledger_id").cast("string"), F.lit(""))
+    left = F.when(F.coalesce(F.array_contains("__by", now), F.lit(False)), F.lit("")).otherwise(now)
+    return joined.withColumn("linked_ledger_id", F.coalesce("__to", left)).select(*docs.columns), rejects.select("ledger_id", F.col("new").alias("new_doc_id"))
+
+
 def dangling(rows: DataFrame, column: str, parents: DataFrame, key: str) -> DataFrame:
-    """Rows whose non-empty reference has no parent."""
-    return rows.filter(~empty(F.col(column).cast("string"))).join(parents.select(F.col(key).alias("__key")), F.col(column) == F.col("__key"), "left_anti")
+    """Rows whose non-empty reference has no parent; a reference of another type is compared as text."""
+    same = rows.schema[column].dataType == parents.schema[key].dataType
+    ref, there = (F.col(column), F.col(key)) if same else (F.col(column).cast("string"), F.col(key).cast("string"))
+    return rows.filter(~empty(F.col(column).cast("string"))).join(parents.select(there.alias("__key")), ref == F.col("__key"), "left_anti")
 
 
 def back_references(docs: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -148,9 +243,10 @@ def snapshot_diff(stored: DataFrame, incoming: DataFrame, fields: list[str], key
 
 def protected_fields(operations: DataFrame) -> DataFrame:
     """(ledger_id, fields): union of the fields of undelivered operations; null protects the whole row."""
-    whole = F.bool_or(F.col("fields").isNull())
-    union = F.sort_array(F.array_distinct(F.flatten(F.collect_list("fields"))))
-    return operations.filter("not coalesce(conflict, false)").groupBy("ledger_id").agg(F.when(~whole, union).alias("fields"), F.lit(True).alias("protected"))
+    live = operations.filter("not coalesce(conflict, false)")
+    each = live.select("ledger_id", F.col("fields").isNull().alias("whole"), F.explode_outer("fields").alias("field"))
+    # a set of field names, combined before the shuffle
+    return each.groupBy("ledger_id").agg(F.when(~F.bool_or("whole"), F.sort_array(F.collect_set("field"))).alias("fields"), F.lit(True).alias("protected"))
 
 
 def merge_snapshot(stored: DataFrame, incoming: DataFrame, fields: list[str], protected: DataFrame, key: str = "ledger_id") -> DataFrame:
@@ -165,42 +261,193 @@ def merge_snapshot(stored: DataFrame, incoming: DataFrame, fields: list[str], pr
     return merged.unionByName(stored.select(key, *fields).join(incoming.select(key), key, "left_anti"))
 
 
-def apply_operations(stored: DataFrame, operations: DataFrame, fields: list[str], key: str = "ledger_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+def normal_items(operations: DataFrame, stored: DataFrame, fields: list[str], as_of: datetime.date, key: str = "ledger_id") -> DataFrame:
+    """Adds ``values`` (trimmed, masked) and ``dates`` (coerced; null where there is no such day) to operations."""
+    text = lambda f: F.trim(F.element_at("item", F.lit(f)))
+    pair = lambda f, v: F.when(F.map_contains_key(F.col("item"), F.lit(f)), F.struct(F.lit(f).alias("key"), v.alias("value")))
+    keep = lambda pairs: F.map_from_entries(F.filter(F.array(*pairs), lambda x: x.isNotNull()))
+    empty_map = F.create_map().cast("map<string,string>")
+    values = keep([pair(f, F.coalesce(mask_pii(text(f)) if f in MASKED_FIELDS else text(f), F.lit(""))) for f in fields])
+    there = [f for f in DATE_FIELDS if f in fields]
+    rows = operations
+    if there and "year" in stored.columns:
+        rows = rows.join(stored.select(F.col(key), F.col("year").alias("__year")), key, "left")
+    else:
+        rows = rows.withColumn("__year", F.lit(""))
+    year = F.coalesce(F.nullif(text("year"), F.lit("")), F.col("__year"), F.lit(""))
+    dates = keep([pair(f, strict_date(text(f), year, as_of)) for f in there]) if there else empty_map
+    blank = F.col("item").isNull()
+    return rows.select(*operations.columns, F.when(blank, empty_map).otherwise(values).alias("values"), F.when(blank, empty_map).otherwise(dates).alias("dates"))
+
+
+#: Fields of history rows and rejects of one key.
+HISTORY, REJECT = ("action", "seq", "snapshot", "changed_fields"), ("operation_id", "seq", "action", "reason")
+
+
+def _fold(state: dict | None, deleted: dict | None, ops: list, fields: list[str], defaults: dict) -> tuple:
+    """Apply one row's operations in order: (state, history, rejects)."""
+    history, rejects = [], []
+    for o in ops:
+        values, dates = dict(o["values"] or {}), dict(o["dates"] or {})
+        action, reason, after, named = o["action"], None, None, ""
+        alive = state is not None and (state.get("status") or "").strip() != DELETED
+        if action == "insert":
+            bad = next((f for f in ("title", "requester") if f in fields and not values.get(f)), None) or next((f for f in dates if dates[f] is None), None)
+            if state is not None:
+                reason = "exists"
+            elif bad:
+                reason = "invalid"
+            else:
+                filled = {k: v for k, v in defaults.items() if k in fields and (k not in values or (k != "request_type" and not values[k]))}
+                after = {f: "" for f in fields} | values | dates | filled
+        elif state is None:
+            reason = "missing"
+        elif action == "restore":
+            if alive:
+                reason = "not deleted"
+            elif not deleted or (deleted.get("status") or "").strip() in ("", DELETED):
+                reason = "invalid"
+            else:
+                after = state | {f: (deleted.get(f) or "").strip() for f in ("status", "note") if f in fields}
+                named = ",".join(sorted([f for f in ("note", "status") if f in fields] + ["updated_at"]))
+        elif not alive:
+            reason = "missing" if action == "delete" else "deleted"
+        elif action == "delete":
+            after = state | {"status": DELETED}
+        else:
+            changes = {}
+            for f, v in values.items():
+                now = (state.get(f) or "").strip()
+                if v == now:
+                    continue
+                v = dates.get(f) if f in dates else v
+                if v is None or (f in ("title", "requester", "status") and not v) or (f == "year" and not re.fullmatch(r"\d{4}", v)):
+                    reason = "invalid"
+                elif v != now:
+                    changes[f] = v
+            if o["expected_version"] is not None and o["expected_version"].strip() != (state.get("updated_at") or "").strip():
+                reason = "conflict"
+            if reason is None and changes:
+                after, named = state | changes, ",".join(sorted([*changes, "updated_at"]))
+        if reason:
+            rejects.append((o["operation_id"], o["seq"], action, reason))
+        elif after is not None:
+            after = after | {"updated_at": o["version"]}
+            shown = state if action in ("update", "delete") else after
+            history.append((action.upper(), o["seq"], json.dumps({k: v for k, v in shown.items() if v is not None}, ensure_ascii=False, sort_keys=True), named))
+            if action == "delete":
+                deleted = state
+            state = after
+    return state, history, rejects
+
+
+def apply_operations(
+    stored: DataFrame,
+    operations: DataFrame,
+    fields: list[str],
+    key: str = "ledger_id",
+    deletions: DataFrame | None = None,
+    as_of: datetime.date = datetime.date(2026, 1, 1),
+    defaults: dict[str, str] | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply a batch of inserts, updates, deletes and restores. Returns (table, history, rejects).
 
     ``operations``: operation_id, seq, key, action, item map<string,string>, expected_version. One
-    operation_id counts once. Per key the operations apply in order of seq; an update may carry the
-    version it expects, and only the first that does can still meet the stored one. Values of a field
-    come from the last accepted update that names it. Deletion is a tombstone.
+    operation_id counts once. Per key the operations apply one after the other in order of seq, each to
+    the state that the one before left. Values are compared as they are stored (trimmed, masked, dates
+    coerced): an update that changes nothing writes nothing. An update may carry the version it
+    expects; each write gives a new one, its seq. Deletion is a tombstone; a restore takes status and note
+    from the latest deletion, of this batch or of ``deletions`` (key, snapshot). Inserts get ``defaults``.
+
+    History: key, action, seq, snapshot (JSON; the state before an update or deletion, after an insert
+    or restore), changed_fields. Rejects have a reason: exists, missing, deleted, not deleted, conflict, invalid.
+    The operations of one key are read together, those of different keys wherever Spark deals them.
     """
     once = operations.withColumn("__n", F.row_number().over(Window.partitionBy("operation_id").orderBy("seq"))).filter("__n = 1").drop("__n")
-    order = Window.partitionBy(key).orderBy("seq", "operation_id")
-    s = stored.alias("s")
-    first = F.row_number().over(order) == 1
-    joined = once.withColumn("__first", first).join(s, key, "left")
-    there, dead = F.col("s.updated_at").isNotNull(), F.coalesce(F.trim("s.status"), F.lit("")) == DELETED
-    known = {f: F.element_at("item", F.lit(f)) for f in fields}
-    reason = (
-        F.when((F.col("action") == "insert") & there, "exists")
-        .when((F.col("action") != "insert") & ~there, "missing")
-        .when((F.col("action") == "update") & dead, "deleted")
-        .when((F.col("action") == "restore") & ~dead, "not deleted")
-        .when(F.col("expected_version").isNotNull() & (~F.col("__first") | (F.col("expected_version") != F.col("s.updated_at"))), "conflict")
-        .when((F.col("action") == "insert") & ~F.col("__first"), "exists")
-    )
-    judged = joined.select(key, "operation_id", "seq", "action", "item", reason.alias("reason"), F.to_json(F.struct(*[F.col(f"s.{f}") for f in fields])).alias("before"))
-    good = judged.filter("reason is null")
-    last = good.groupBy(key).agg(
-        *[F.max_by(known[f], F.when(known[f].isNotNull(), F.col("seq"))).alias(f"n_{f}") for f in fields],
-        F.max_by("action", "seq").alias("last_action"),
-        F.max("seq").alias("last_seq"),
-    )
-    merged = stored.join(last, key, "full_outer")
-    value = lambda f: F.coalesce(F.col(f"n_{f}"), F.col(f)) if f in fields else F.col(f)
-    status = F.when(F.col("last_action") == "delete", DELETED).when(F.col("last_action") == "restore", F.coalesce("n_status", F.lit(""))).otherwise(value("status"))
-    table = merged.select(key, *[(status if f == "status" else value(f)).alias(f) for f in fields], F.coalesce(F.col("last_seq").cast("string"), F.col("updated_at")).alias("updated_at"))
-    history = good.select(key, F.upper("action").alias("action"), "seq", F.when(F.col("action") != "insert", F.col("before")).otherwise(F.to_json("item")).alias("snapshot"))
-    return table, history, judged.filter("reason is not null").select(key, "operation_id", "seq", "action", "reason")
+    wanted = list(dict.fromkeys([*fields, "updated_at"]))
+    text = {f: F.col(f).cast("string") for f in wanted if f in stored.columns}
+    op = F.struct("seq", "operation_id", "action", "expected_version", F.col("seq").cast("string").alias("version"), F.map_entries("values").alias("values"), F.map_entries("dates").alias("dates"))
+    grouped = normal_items(once, stored, fields, as_of, key).groupBy(key).agg(F.sort_array(F.collect_list(op)).alias("ops"))
+    states = stored.select(F.col(key), F.map_from_arrays(F.array(*[F.lit(f) for f in text]), F.array(*text.values())).alias("state"))
+    joined = grouped.join(states, key, "left")
+    last = F.lit(None).cast("map<string,string>")
+    if deletions is not None:
+        order = "history_id" if "history_id" in deletions.columns else "snapshot"
+        newest = deletions.groupBy(key).agg(F.max_by("snapshot", order).alias("__deleted"))
+        joined = joined.join(newest, key, "left")
+        last = parse_snapshot("__deleted")
+    kind = stored.schema[key].dataType.simpleString()
+    rows = joined.select(key, F.map_entries("state").alias("state"), F.map_entries(last).alias("deleted"), "ops")
+    schema = f"{key} {kind}, state map<string,string>, history array<struct<action:string,seq:long,snapshot:string,changed_fields:string>>, rejects array<struct<operation_id:string,seq:long,action:string,reason:string>>"
+    filled = DEFAULTS if defaults is None else defaults
+
+    def pairs(entries) -> dict | None:
+        return None if entries is None else {x["key"]: x["value"] for x in entries}
+
+    def fold(batches: Iterator[pd.DataFrame]):
+        for pdf in batches:
+            out = []
+            for k, state, deleted, ops in zip(pdf[key], pdf["state"], pdf["deleted"], pdf["ops"]):
+                steps = [dict(o) | {"values": pairs(o["values"]), "dates": pairs(o["dates"])} for o in ops]
+                now, history, rejects = _fold(pairs(state), pairs(deleted), steps, fields, filled)
+                out.append((k, now, [dict(zip(HISTORY, h)) for h in history], [dict(zip(REJECT, r)) for r in rejects]))
+            yield pd.DataFrame(out, columns=[key, "state", "history", "rejects"])
+
+    folded = cut(rows.mapInPandas(fold, schema))
+    new = folded.filter("state is not null").select(key, *[F.element_at("state", F.lit(f)).alias(f) for f in wanted])
+    kept = stored.join(folded.select(key), key, "left_anti").select(key, *[(F.col(f) if f in stored.columns else F.lit(None)).cast("string").alias(f) for f in wanted])
+    others = [c for c in stored.columns if c not in (key, *wanted)]
+    table = kept.unionByName(new)
+    if others:
+        table = table.join(stored.select(key, *others), key, "left")
+    history = folded.select(key, F.inline("history"))
+    rejects = folded.select(key, F.inline("rejects"))
+    return table, history, rejects.select(key, "operation_id", "seq", "action", "reason")
+
+
+def mark_submitted(rows: DataFrame, as_of: datetime.date, key: str = "ledger_id") -> DataFrame:
+    """Update operations that set the status to handed in, and the day of it where that is empty: for :func:`apply_operations`."""
+    status = F.create_map(F.lit("status"), F.lit("제출"))
+    day = F.create_map(F.lit("status"), F.lit("제출"), F.lit("submit_date"), F.lit(as_of.isoformat()))
+    item = F.when(empty("submit_date"), day).otherwise(status)
+    return rows.select(key, F.lit("update").alias("action"), item.alias("item"), F.col("updated_at").alias("expected_version"))
+
+
+def with_versions(rows: DataFrame, at: Column | None = None, order: str = "seq", name: str = "updated_at") -> DataFrame:
+    """Adds a version to each row of a batch: its time and its place, so that no two writes share one."""
+    stamp = F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return rows.withColumn(name, F.concat(stamp, F.lit("-"), F.lpad(F.col(order).cast("string"), 12, "0")))
+
+
+def new_requests(stored: DataFrame, docs: DataFrame, items: DataFrame, as_of: datetime.date, department: str = "자료요구담당부서", order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """Rows for requests that come in without a key: (accepted, rejected).
+
+    ``items``: seq and text columns of the ledger. Values are trimmed and masked, dates coerced, blanks filled
+    with the defaults; then the row is validated, numbered after the largest number of its year, and
+    linked to a document where it has no link.
+    """
+    given = [c for c in ("seq_no", "party", "requester", "aide", "title", "details", "department", "status", "note", "request_type", "linked_doc_id") if c in items.columns]
+    year = F.coalesce(nonblank("year"), F.lit(str(as_of.year))) if "year" in items.columns else F.lit(str(as_of.year))
+    clean = {c: (mask_pii(F.trim(c)) if c in MASKED_FIELDS else F.coalesce(F.trim(c), F.lit(""))) for c in given}
+    for c, value in DEFAULTS.items():
+        clean[c] = F.coalesce(nonblank(c), F.lit(value)) if c in items.columns and c != "request_type" else F.coalesce(F.trim(c), F.lit(value)) if c in items.columns else F.lit(value)
+    clean["department"] = F.coalesce(nonblank("department"), F.lit(department)) if "department" in items.columns else F.lit(department)
+    dates = {c: strict_date(c, year, as_of) for c in DATE_FIELDS if c in items.columns}
+    bad = F.filter(F.array(*[F.when(v.isNull(), F.lit(c)) for c, v in dates.items()], F.lit(None).cast("string")), lambda x: x.isNotNull())
+    rows = items.select(order, year.alias("year"), *[v.alias(c) for c, v in clean.items()], *[F.coalesce(v, F.lit("")).alias(c) for c, v in dates.items()], bad.alias("__bad"))
+    judged = validate(rows).withColumn("errors", F.array_union("errors", "__bad")).drop("__bad")
+    rejected = judged.filter(F.size("errors") > 0)
+    numbered = next_numbers(stored.select("ledger_id"), judged.filter(F.size("errors") == 0).drop("errors"), [order], "REQ", "ledger_id")
+    stamped = with_versions(numbered, F.lit(as_of).cast("timestamp"), order)
+    if "linked_doc_id" not in stamped.columns:
+        stamped = stamped.withColumn("linked_doc_id", F.lit(""))
+    for c in ("seq_no", "request_date"):
+        if c not in stamped.columns:
+            stamped = stamped.withColumn(c, F.lit(""))
+    stamped = cut(stamped)
+    found = auto_link(stamped.filter(empty("linked_doc_id")), docs).select("ledger_id", F.col("doc_id").cast("string").alias("__doc"))
+    linked = stamped.join(found, "ledger_id", "left").withColumn("linked_doc_id", F.coalesce(nonblank("linked_doc_id"), F.col("__doc"), F.lit(""))).drop("__doc")
+    return linked.withColumn("created_at", F.col("updated_at")), rejected
 
 
 # --- history -------------------------------------------------------------------------------------
@@ -246,7 +493,11 @@ def parse_snapshot(c: Column | str) -> Column:
 
 
 def mask_snapshot(c: Column | str, fields: tuple[str, ...] = ("contact_person", "aide")) -> Column:
-    return F.to_json(F.transform_values(parse_snapshot(c), lambda k, v: F.when(k.isin(*fields), mask_pii(v)).otherwise(v)))
+    """JSON object with the given fields masked; a text that is no object is masked as a whole."""
+    text = F.col(c) if isinstance(c, str) else c
+    parsed = F.when(F.trim(text).startswith("{"), F.from_json(text, "map<string,string>"))
+    masked = F.to_json(F.transform_values(parsed, lambda k, v: F.when(k.isin(*fields), mask_pii(v)).otherwise(v)))
+    return F.when(parsed.isNotNull(), masked).otherwise(mask_pii(text))
 
 
 def retention(history: DataFrame, cutoff: str, groups: Column, time: str = "changed_at", key: str = "ledger_id") -> DataFrame:
@@ -264,11 +515,13 @@ def retention(history: DataFrame, cutoff: str, groups: Column, time: str = "chan
 
 
 def next_numbers(existing: DataFrame, fresh: DataFrame, order: list[str], prefix: str, key: str = "id") -> DataFrame:
-    """Number the ``fresh`` rows of each year after the largest number in use: PREFIX-year-nnn."""
+    """Number the ``fresh`` rows of each year after the largest number in use: PREFIX-year-nnn.
+
+    Years are dealt by range of ``order``, so a large year is no single task.
+    """
     used = existing.select(F.regexp_extract(key, rf"^{prefix}-(\d{{4}})-(\d+)$", 1).alias("year"), F.expr(f"try_cast(regexp_extract({key}, '^{prefix}-(\\\\d{{4}})-(\\\\d+)$', 2) as int)").alias("n"))
     top = used.filter("year <> ''").groupBy("year").agg(F.max("n").alias("top"))
-    numbered = fresh.withColumn("__k", F.row_number().over(Window.partitionBy("year").orderBy(*order)))
-    out = numbered.join(top, "year", "left").withColumn("__n", F.coalesce("top", F.lit(0)) + F.col("__k"))
+    out = ranked(fresh, ["year"], order, "__k").join(top, "year", "left").withColumn("__n", F.coalesce("top", F.lit(0)) + F.col("__k"))
     return out.withColumn(key, F.concat_ws("-", F.lit(prefix), "year", F.when(F.col("__n") < 1000, F.lpad(F.col("__n").cast("string"), 3, "0")).otherwise(F.col("__n").cast("string")))).drop("__k", "__n", "top")
 
 

@@ -1,25 +1,48 @@
 """Batch text search: a table of queries against a table of documents.
 
 Query text becomes a table of terms; matching is substring containment in white-space-free lower
-case. Candidates come from shared trigrams and are always checked again by containment, so results
-are those of a full scan. Bodies are never shuffled: only (query, document, term) hits are.
+case, as a full scan gives it. The queries are a stated set, so their forms go to the tasks, a
+bounded number at a time; each text is normalised once a pass and read against all of them.
+Bodies are never shuffled: only (query, document, term) hits are.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribelake.functions.text import choseong, clean_term, col, nospace_lower, snippet, strip_suffix
+from scribelake.functions.dates import normalize_date
+from scribelake.functions.text import agent_snippet, choseong, clean_term, col, nospace_lower, snippet, strip_suffix
 
-#: Field -> (column, whole value?) for field qualifiers.
+from .shared import cut, small
+
+# Names of field qualifiers and the column that each stands for.
 FIELDS = {
-    "year": ("year", True), "연도": ("year", True), "status": ("status", True), "상태": ("status", True),
-    "seq": ("seq_no", True), "number": ("doc_number", True), "requester": ("requester", False), "요청자": ("requester", False),
-    "party": ("party", False), "title": ("title", False), "department": ("department", False),
+    "요구자": "requester", "의원": "requester", "requester": "requester",
+    "상태": "status", "진행상태": "status", "status": "status",
+    "연도": "year", "년도": "year", "year": "year",
+    "문서번호": "doc_number", "docno": "doc_number",
+    "연번": "seq_no", "seq": "seq_no",
+    "정당": "party", "party": "party",
+    "부서": "department", "담당부서": "department", "department": "department",
+    "기관": "institution", "institution": "institution",
+    "기간": "date", "일자": "date", "date": "date",
 }
+# Fields whose whole value must be equal.
+WHOLE_FIELDS = ("status", "year", "seq_no", "doc_number")
+#: Columns that a filter may name.
+FIELD_COLUMNS = tuple(dict.fromkeys(x for x in FIELDS.values() if x != "date"))
+#: Forms of terms that one pass over the texts looks for.
+PASS_FORMS = 20_000
+#: Forms from which an automaton is faster than one look for each.
+MANY_FORMS = 400
+#: Longest text whose initials are compared.
+INITIALS_LIMIT = 4000
 
 
 def query_terms(queries: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
@@ -27,155 +50,272 @@ def query_terms(queries: DataFrame, synonyms: DataFrame | None = None) -> DataFr
 
     Groups are separated by OR or ``|``; inside one, terms are ANDed. ``"…"`` is a phrase, ``-x`` an
     exclusion, ``field:value`` a qualifier where the field is known; those three belong to the whole
-    query (group -1). A term's variants are itself, its stem and the ``synonyms`` (word, variant) of both.
+    query (group -1). ``date:a..b`` gives the qualifiers date_from and date_to. A term's variants are
+    itself, its stem and the ``synonyms`` (word, variant) of both; a term of initials has only itself.
     """
     known = "|".join(FIELDS)
     q = queries.select("query_id", F.coalesce("query", F.lit("")).alias("q"))
-    phrases = q.select("query_id", F.posexplode(F.regexp_extract_all("q", F.lit('"([^"]+)"'), 1)).alias("term_no", "value")).select(
+    phrases = q.select("query_id", F.posexplode(F.regexp_extract_all("q", F.lit('"([^"]*)"'), 1)).alias("term_no", "value")).select(
         "query_id", F.lit(-1).alias("group_no"), "term_no", F.lit("phrase").alias("kind"), F.lit("").alias("field"), nospace_lower("value").alias("value")
     )
     rest = F.regexp_replace("q", '"[^"]*"', " ")
-    groups = q.select("query_id", F.posexplode(F.split(rest, r"(?:(?<=\s)|^)(?:OR|or)(?=\s|$)|\|")).alias("group_no", "g"))
-    words = groups.select("query_id", "group_no", F.posexplode(F.filter(F.split("g", r"\s+"), lambda w: w != "")).alias("term_no", "w"))
-    qualifier = F.col("w").rlike(f"^(?:{known}):.+")
-    kind = F.when(F.col("w").rlike("^-.+"), "not").when(qualifier, "field").otherwise("term")
-    value = F.when(kind == "not", clean_term(F.substring("w", 2, 10_000))).when(kind == "field", F.substring_index("w", ":", -1)).otherwise(clean_term("w"))
+    groups = q.select("query_id", F.posexplode(F.split(rest, r"(?U)\s+(?:OR|or|\|)\s+|\s*\|\s*")).alias("group_no", "g"))
+    words = groups.select("query_id", "group_no", F.posexplode(F.split("g", r"(?U)\s+")).alias("term_no", "w")).filter("w <> '' and upper(w) <> 'OR'")
+    qualifier = F.col("w").rlike(f"(?i)^(?:{known}):")
+    kind = F.when(F.col("w").rlike("^-."), "not").when(qualifier, "field").otherwise("term")
+    value = F.when(kind == "not", clean_term(F.substring("w", 2, 10_000))).when(kind == "field", F.btrim(F.regexp_replace("w", "^[^:]*:", ""), F.lit('"'))).otherwise(clean_term("w"))
+    names = F.create_map(*[F.lit(x) for pair in FIELDS.items() for x in pair])
     parsed = words.select(
         "query_id",
         F.when(kind == "term", F.col("group_no")).otherwise(-1).alias("group_no"),
         "term_no",
         kind.alias("kind"),
-        F.when(kind == "field", F.substring_index("w", ":", 1)).otherwise("").alias("field"),
+        F.when(kind == "field", F.try_element_at(names, F.lower(F.substring_index("w", ":", 1)))).otherwise("").alias("field"),
         nospace_lower(value).alias("value"),
     )
+    # a date qualifier is one or both ends of a range
+    ranged = F.col("value").contains("..")
+    ends = F.array(
+        F.struct(F.lit("date_from").alias("field"), normalize_date(F.when(ranged, F.substring_index("value", "..", 1)).otherwise(F.col("value"))).alias("value")),
+        F.struct(F.lit("date_to").alias("field"), normalize_date(F.when(ranged, F.substring_index("value", "..", -1)).otherwise(F.col("value")), end=True).alias("value")),
+    )
+    plain = F.array(F.struct(F.col("field"), F.col("value")))
+    parsed = parsed.select("query_id", "group_no", "term_no", "kind", F.inline(F.when(F.col("field") == "date", ends).otherwise(plain)).alias("field", "value"))
     terms = parsed.unionByName(phrases).filter("value <> ''")
     stem = strip_suffix("value")
-    forms = F.when(F.col("kind") == "term", F.array_distinct(F.array(F.col("value"), stem))).otherwise(F.array("value"))
+    initials = F.col("value").rlike("^[ㄱ-ㅎ]+$")
+    forms = F.when((F.col("kind") == "term") & ~initials, F.array_distinct(F.array(F.col("value"), stem))).otherwise(F.array("value"))
     terms = terms.withColumn("variants", forms)
     if synonyms is None:
         return terms
-    by_word = synonyms.groupBy(F.lower("word").alias("word")).agg(F.sort_array(F.collect_set(F.lower("variant"))).alias("more"))
+    by_word = synonyms.groupBy(F.lower("word").alias("word")).agg(F.sort_array(F.collect_set(nospace_lower("variant"))).alias("more"))
     own, stemmed = by_word.alias("own"), by_word.alias("stemmed")
     none = F.array().cast("array<string>")
+    more = F.array_distinct(F.concat("variants", F.coalesce("own.more", none), F.coalesce("stemmed.more", none)))
     return (
         terms.join(own, F.col("value") == F.col("own.word"), "left")
         .join(stemmed, stem == F.col("stemmed.word"), "left")
-        .withColumn("variants", F.when(F.col("kind") == "term", F.array_distinct(F.concat("variants", F.coalesce("own.more", none), F.coalesce("stemmed.more", none)))).otherwise(F.col("variants")))
+        .withColumn("variants", F.when(F.col("kind") == "term", more).otherwise(F.col("variants")))
         .select("query_id", "group_no", "term_no", "kind", "field", "value", "variants")
     )
 
 
-def trigrams(chars: Column) -> Column:
-    """Distinct trigrams of a text given as its array of characters; none under three characters."""
-    three = F.transform(F.sequence(F.lit(0), F.size(chars) - 3), lambda i: F.concat(chars[i], chars[i + 1], chars[i + 2]))
-    return F.when(F.size(chars) >= 3, F.array_distinct(three)).otherwise(F.array().cast("array<string>"))
+def search_text(docs: DataFrame, fields: dict[str, float], key: str = "doc_id", initials: tuple[str, ...] = ()) -> DataFrame:
+    """(key, field, weight, text): one row per non-empty searched field; with ``initials`` also one of their initials."""
+    each = [F.struct(F.lit(name).alias("field"), F.lit(float(w)).alias("weight"), col(name).alias("text")) for name, w in fields.items()]
+    for name in initials:
+        text = F.when(F.length(name) <= INITIALS_LIMIT, choseong(name))
+        each.append(F.struct(F.lit("initials:" + name).alias("field"), F.lit(float(fields.get(name, 0.0))).alias("weight"), text.alias("text")))
+    return docs.select(key, F.inline(F.array(*each))).filter("text <> ''")
+
+
+def _reader(forms: list[str]):
+    """Function text -> numbers of the forms in it."""
+    if len(forms) < MANY_FORMS:
+        return lambda text: [i for i, f in enumerate(forms) if f in text]
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: [i for i, f in enumerate(forms) if f in text]
+    automaton = ahocorasick.Automaton()
+    for i, f in enumerate(forms):
+        automaton.add_word(f, i)
+    automaton.make_automaton()
+    return lambda text: sorted({i for _, i in automaton.iter(text)})
+
+
+def form_hits(texts: DataFrame, variants: DataFrame, key: str = "doc_id", counted: bool = False) -> DataFrame:
+    """(variant, key, field, weight, n) for each distinct ``variant`` that a field's text holds.
+
+    With ``counted``, n is the number of occurrences that don't overlap, and each text adds a row with
+    the variant null and its length. Variants of initials are compared with initials, others
+    with the other fields. ``PASS_FORMS`` variants are looked for in one pass over the texts.
+    """
+    spark = texts.sparkSession
+    distinct = variants.select("variant").distinct()
+    passes = max(1, -(-distinct.count() // PASS_FORMS))
+    kind = texts.schema[key].dataType.simpleString()
+    out = None
+    for p in range(passes):
+        part = distinct if passes == 1 else distinct.filter(F.pmod(F.xxhash64("variant"), F.lit(passes)) == p)
+        shared = spark.sparkContext.broadcast(sorted(r["variant"] for r in part.collect()))  # about PASS_FORMS short strings
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared, first=p == 0):
+            plain = [v for v in shared.value if not re.fullmatch("[ㄱ-ㅎ]+", v)]
+            jamo = [v for v in shared.value if re.fullmatch("[ㄱ-ㅎ]+", v)]
+            readers = {False: (plain, _reader(plain)), True: (jamo, _reader(jamo))}
+            for pdf in batches:
+                rows = []
+                for k, field, weight, raw in zip(pdf[key], pdf["field"], pdf["weight"], pdf["text"]):
+                    text = "".join(raw.split()).lower()
+                    forms, read = readers[field.startswith("initials:")]
+                    rows += [(forms[i], k, field, weight, text.count(forms[i]) if counted else 1) for i in read(text)]
+                    if counted and first:
+                        rows.append((None, k, field, weight, len(text)))
+                yield pd.DataFrame(rows, columns=["variant", key, "field", "weight", "n"])
+
+        found = texts.mapInPandas(scan, f"variant string, {key} {kind}, field string, weight double, n long")
+        out = found if out is None else out.union(found)
+    return out
 
 
-def search_text(docs: DataFrame, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
-    """(key, field, weight, text): one row per non-empty searched field, in compared form."""
-    each = F.array(*[F.struct(F.lit(name).alias("field"), F.lit(float(w)).alias("weight"), nospace_lower(name).alias("text")) for name, w in fields.items()])
-    return docs.select(key, F.inline(each)).filter("text <> ''")
+def term_hits(texts: DataFrame, terms: DataFrame, key: str = "doc_id", counted: bool = False) -> DataFrame:
+    """(query_id, group_no, term_no, kind, key, field, weight, n) where a variant is in a field's text."""
+    variants = terms.select("query_id", "group_no", "term_no", "kind", F.explode("variants").alias("variant")).filter("variant <> ''").distinct()
+    hits = form_hits(texts, variants, key, counted)
+    joined = hits.join(small(variants), "variant", "left" if counted else "inner")
+    # several variants of one term count as one hit of a field; the sums of their counts are its count
+    name = F.regexp_replace("field", "^initials:", "").alias("field")
+    return joined.groupBy("query_id", "group_no", "term_no", "kind", key, name).agg(F.max("weight").alias("weight"), F.sum("n").alias("n"))
 
 
-def term_hits(texts: DataFrame, terms: DataFrame, key: str = "doc_id", candidates: bool = True) -> DataFrame:
-    """(query_id, group_no, term_no, kind, key, field, weight) where a variant is in a field's text.
+def qualified(found: DataFrame, docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``found`` (query_id, key, …) without the rows that fail a qualifier of their query.
 
-    With ``candidates``, variants of three characters or more are joined on one of their trigrams and
-    then checked; shorter ones are compared with every text. The terms are a stated query set, small
-    beside the texts; a text is only exploded into trigrams that some variant chose.
+    Values of one field are ORed, fields are ANDed; a column that isn't there is empty and fails.
+    Dates bound ``request_date``, whose empty value fails.
     """
-    variants = terms.select("query_id", "group_no", "term_no", "kind", F.explode("variants").alias("variant")).distinct()
-    if not candidates:
-        found = texts.join(F.broadcast(variants), F.col("text").contains(F.col("variant")))
-    else:
-        # the trigram in the middle of a variant stands for it
-        gram = F.expr("substring(variant, 1 + (length(variant) - 3) div 2, 3)")
-        long = variants.filter(F.length("variant") >= 3).withColumn("gram", gram)
-        wanted = long.agg(F.collect_set("gram").alias("wanted"))
-        # the characters are an array of their own, so a place in the text is found in one step
-        chars = texts.withColumn("chars", F.split("text", "")).crossJoin(F.broadcast(wanted))
-        grams = chars.select(key, "field", "weight", "text", F.explode(F.array_intersect(trigrams(F.col("chars")), "wanted")).alias("gram"))
-        by_gram = grams.join(F.broadcast(long), "gram").filter(F.col("text").contains(F.col("variant")))
-        short = texts.join(F.broadcast(variants.filter(F.length("variant") < 3)), F.col("text").contains(F.col("variant")))
-        columns = ["query_id", "group_no", "term_no", "kind", key, "field", "weight"]
-        found = by_gram.select(*columns).union(short.select(*columns))
-    return found.select("query_id", "group_no", "term_no", "kind", key, "field", "weight").distinct()
-
-
-def batch_search(docs: DataFrame, queries: DataFrame, fields: dict[str, float], key: str = "doc_id", synonyms: DataFrame | None = None, candidates: bool = True, k: int | None = None) -> DataFrame:
+    wanted = terms.filter("kind = 'field'").groupBy("query_id", "field").agg(F.collect_set("value").alias("__values"), F.max("value").alias("__last"))
+    if not wanted.limit(1).count():
+        return found
+    have = [c for c in FIELD_COLUMNS if c in docs.columns]
+    pairs = [x for c in have for x in (F.lit(c), nospace_lower(F.col(c).cast("string")))]
+    day = F.coalesce(F.trim(F.col("request_date").cast("string")), F.lit("")) if "request_date" in docs.columns else F.lit("")
+    held = docs.select(key, (F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.lit(""))).alias("__held"), day.alias("__day"))
+    asked = found.join(small(wanted), "query_id").join(held, key)
+    actual = F.coalesce(F.try_element_at("__held", F.col("field")), F.lit(""))
+    ok = (
+        F.when(F.col("field") == "date_from", (F.col("__day") != "") & (F.col("__day") >= F.col("__last")))
+        .when(F.col("field") == "date_to", (F.col("__day") != "") & (F.col("__day") <= F.col("__last")))
+        .when(F.col("field").isin(*WHOLE_FIELDS), F.array_contains("__values", actual))
+        .otherwise(F.exists("__values", lambda v: F.contains(actual, v)))
+    )
+    failed = asked.filter(~ok).select("query_id", key).distinct()
+    return found.join(failed, ["query_id", key], "left_anti")
+
+
+def batch_search(
+    docs: DataFrame,
+    queries: DataFrame,
+    fields: dict[str, float],
+    key: str = "doc_id",
+    synonyms: DataFrame | None = None,
+    k: int | None = None,
+    initials: tuple[str, ...] = (),
+) -> DataFrame:
     """(query_id, key, score) of every match; the ``k`` best of each query if given.
 
-    A row matches if some group has all its terms, every phrase occurs in one field, and no excluded
-    word does. Score: each term hit adds its field's weight, each phrase twice that.
+    A row matches if some group has all its terms, every phrase occurs in one field, no excluded
+    word does, and every qualifier holds. A query of exclusions or qualifiers alone, or an empty
+    one, lists every row that is left, with a score of 0. Score: each term hit, in whatever group,
+    adds its field's weight, each phrase twice that; a field with weight 0 is searched but not scored.
     """
-    terms = query_terms(queries, synonyms).filter("kind <> 'field'")
-    hits = term_hits(search_text(docs, fields, key), terms, key, candidates)
+    spark = docs.sparkSession
+    every = cut(query_terms(queries, synonyms))  # small, and used by every step below
+    terms = every.filter("kind <> 'field'")
+    hits = term_hits(search_text(docs, fields, key, initials), terms, key)
     need = terms.groupBy("query_id", "group_no", "kind").agg(F.count_distinct("term_no").alias("needed"))
     got = hits.groupBy("query_id", "group_no", "kind", key).agg(F.count_distinct("term_no").alias("got"), F.sum("weight").alias("weight"))
-    whole = got.join(F.broadcast(need), ["query_id", "group_no", "kind"])
+    whole = got.join(small(need), ["query_id", "group_no", "kind"])
     per_doc = whole.groupBy("query_id", key).agg(
         F.max((F.col("kind") == "term") & (F.col("got") == F.col("needed"))).alias("some_group"),
         F.max((F.col("kind") == "phrase") & (F.col("got") == F.col("needed"))).alias("all_phrases"),
         F.max(F.col("kind") == "not").alias("excluded"),
         F.sum(F.when(F.col("kind") == "term", F.col("weight")).when(F.col("kind") == "phrase", 2 * F.col("weight")).otherwise(0)).alias("score"),
     )
-    kinds = terms.groupBy("query_id").agg(F.max(F.col("kind") == "term").alias("has_terms"), F.max(F.col("kind") == "phrase").alias("has_phrases"))
+    kinds = queries.select("query_id").join(
+        terms.groupBy("query_id").agg(F.max(F.col("kind") == "term").alias("has_terms"), F.max(F.col("kind") == "phrase").alias("has_phrases")), "query_id", "left"
+    )
+    kinds = kinds.select("query_id", F.coalesce("has_terms", F.lit(False)).alias("has_terms"), F.coalesce("has_phrases", F.lit(False)).alias("has_phrases"))
     found = (
-        per_doc.join(F.broadcast(kinds), "query_id")
+        per_doc.join(small(kinds), "query_id")
         .filter((~F.col("has_terms") | F.col("some_group")) & (~F.col("has_phrases") | F.col("all_phrases")) & ~F.col("excluded"))
         .filter("has_terms or has_phrases")
         .select("query_id", key, F.round("score", 6).alias("score"))
     )
+    listing = kinds.filter("not has_terms and not has_phrases").select("query_id")
+    ids = [r["query_id"] for r in listing.limit(10_001).collect()]
+    if len(ids) > 10_000:
+        raise ValueError("more than 10,000 queries list the whole table; search them in parts")
+    if ids:
+        # the answer of such a query is the table itself, so it is as long as the table
+        kind = queries.schema["query_id"].dataType
+        listed = docs.select(F.explode(F.array(*[F.lit(i).cast(kind) for i in ids])).alias("query_id"), key, F.lit(0.0).alias("score"))
+        out = per_doc.filter("excluded").select("query_id", key)
+        found = found.unionByName(listed.join(out, ["query_id", key], "left_anti"))
+    found = qualified(found, docs, every, key)
     return found if k is None else top_k(found, k, key)
 
 
 def top_k(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """The ``k`` best of each query; Spark limits each task's rows before they are dealt by query."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float], key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, key, score): BM25 over substring hits, fields weighted in the term frequency."""
-    terms = query_terms(queries).filter("kind = 'term'")
-    texts = search_text(docs, fields, key)
-    # the length is taken where the text is, and only for documents with a hit
-    hits = term_hits(texts, terms, key).withColumn("w", F.col("weight"))
-    tf = hits.groupBy("query_id", "term_no", key).agg(F.sum("w").alias("tf"))
-    sizes = texts.groupBy(key).agg(F.sum(F.length("text")).alias("size"))
-    totals = sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
-    df = tf.groupBy("query_id", "term_no").agg(F.count("*").alias("df"))
-    joined = tf.join(F.broadcast(df), ["query_id", "term_no"]).join(sizes, key).crossJoin(F.broadcast(totals))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    """(query_id, key, score): BM25 over substring occurrences, weighted by field in the term frequency.
+
+    Lengths are those of the compared texts; rows without any text count neither in the mean nor in N.
+    """
+    terms = cut(query_terms(queries).filter("kind = 'term'"))
+    counted = term_hits(search_text(docs, fields, key), terms, key, counted=True)
+    counted = counted.withColumn("query", F.col("query_id").isNotNull())
+    tf = counted.filter("query").groupBy("query_id", "group_no", "term_no", key).agg(F.sum(F.col("weight") * F.col("n")).alias("tf"))
+    sizes = counted.filter("not query").groupBy(key).agg(F.sum("n").alias("size"))
+    totals = sizes.agg(F.count("*").alias("N"), F.avg("size").alias("mean"))
+    df = tf.groupBy("query_id", "group_no", "term_no").agg(F.count("*").alias("df"))
+    joined = tf.join(small(df), ["query_id", "group_no", "term_no"]).join(sizes, key).crossJoin(F.broadcast(totals))  # one row
+    idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
     return joined.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def field_filter(rows: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
-    """Values of one field are ORed, fields are ANDed; a column that isn't there fails."""
+def field_filter(rows: DataFrame, wanted: dict[str, list[str]], dates: tuple[str | None, str | None] = (None, None)) -> DataFrame:
+    """Values of one field are ORed, fields are ANDed; a column that isn't there fails. ``dates`` bound request_date."""
     tests = []
-    for field, values in wanted.items():
-        column, whole = FIELDS[field]
+    for name, values in wanted.items():
+        column = FIELDS.get(name, name)
         if column not in rows.columns:
             return rows.filter(F.lit(False))
-        text = nospace_lower(column)
+        text = nospace_lower(F.col(column).cast("string"))
         norm = ["".join(v.split()).lower() for v in values]
-        tests.append(text.isin(norm) if whole else reduce(lambda a, b: a | b, [text.contains(v) for v in norm]))
+        tests.append(text.isin(norm) if column in WHOLE_FIELDS else reduce(lambda a, b: a | b, [text.contains(v) for v in norm]))
+    low, high = dates
+    if low or high:
+        day = F.trim(F.col("request_date").cast("string"))
+        tests += [day != ""] + ([day >= low] if low else []) + ([day <= high] if high else [])
     return rows.filter(reduce(lambda a, b: a & b, tests)) if tests else rows
 
 
-def plan_filter(rows: DataFrame, groups: list[list[str]], fields: list[str], phrases: tuple[str, ...] = (), without: tuple[str, ...] = (), suffixes: bool = True) -> DataFrame:
-    """One query as a filter: OR over groups of AND over terms; an empty plan lists everything."""
-    texts = [nospace_lower(f) for f in fields]
+def department_filter(rows: DataFrame, value: str) -> DataFrame:
+    """Department of a document, or its contact person where the department is unknown."""
+    text = F.coalesce(F.nullif(F.trim("department"), F.lit("")), F.col("contact_person"), F.lit(""))
+    return rows.filter(nospace_lower(text).contains("".join(value.split()).lower()))
+
+
+def plan_filter(rows: DataFrame, groups: list[list[str]], fields: list[str], phrases: tuple[str, ...] = (), without: tuple[str, ...] = (), initials: tuple[str, ...] = ()) -> DataFrame:
+    """One query as a filter: OR over groups of AND over terms; an empty plan lists everything.
+
+    Terms of initials are compared with the initials of the ``initials`` fields. Each field is
+    normalised once a row, inside the condition, so the filter stays in the JVM.
+    """
     norm = lambda t: "".join(t.split()).lower()
-    anywhere = lambda t: reduce(lambda a, b: a | b, [x.contains(t) for x in texts])
-    out = rows
-    for w in without:
-        out = out.filter(~anywhere(norm(w)))
-    for p in phrases:
-        out = out.filter(anywhere(norm(p)))
-    if groups:
-        out = out.filter(reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [anywhere(norm(t)) for t in g]) for g in groups]))
-    return out
+
+    def test(a: Column) -> Column:
+        anywhere = lambda t: F.exists(a[0], lambda x: F.contains(x, F.lit(t)))
+        term = lambda t: F.exists(a[1], lambda x: F.contains(x, F.lit(t))) if re.fullmatch("[ㄱ-ㅎ]+", t) else anywhere(t)
+        tests = [~anywhere(norm(w)) for w in without] + [anywhere(norm(p)) for p in phrases]
+        if groups:
+            tests.append(reduce(lambda x, y: x | y, [reduce(lambda x, y: x & y, [term(norm(t)) for t in g]) for g in groups]))
+        return reduce(lambda x, y: x & y, tests)
+
+    if not (groups or phrases or without):
+        return rows
+    texts = F.array(*[nospace_lower(f) for f in fields])
+    short = F.array(choseong(F.concat_ws(" ", *initials))) if initials else F.array().cast("array<string>")
+    # the array of one element binds the normalised texts to a name, so they are made once
+    return rows.filter(F.exists(F.array(F.array(texts, short)), test))
 
 
 def initials_filter(rows: DataFrame, term: str, fields: list[str]) -> DataFrame:
@@ -191,25 +331,65 @@ def words_filter(rows: DataFrame, keyword: str, columns: list[str], limit: int |
     return rows if limit is None else rows.limit(limit)
 
 
-#: Weight by (column, kind of hit) of the browser's score.
-BROWSER_WEIGHTS = {"title": 35.0, "requester": 30.0, "details": 25.0, "topic_tags": 18.0, "full_markdown": 8.0}
+# Weights of a term, a phrase, initials and a mixed term by column; an exact title counts 60.
+BROWSER_TERM = {"title": 35, "requester": 30, "seq_no": 30, "details": 25, "topic_tags": 18, "party": 15, "key_questions": 15, "note": 12, "table_summary": 10, "full_markdown": 8}
+BROWSER_PHRASE = {"title": 50, "requester": 35, "details": 25, "full_markdown": 20}
+BROWSER_INITIALS = {"title": 35, "requester": 30, "details": 25, "topic_tags": 18, "party": 15, "key_questions": 15, "note": 8}
+BROWSER_MIXED = {"title": 40, "requester": 35, "details": 25, "topic_tags": 10}
+EXACT_TITLE = 60
+
 
+def browser_score(rows: DataFrame, groups: list[list[str]], phrases: tuple[str, ...] = (), columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Score of the best OR group whose terms all occur, plus that of the phrases, which must all occur.
 
-def browser_score(rows: DataFrame, groups: list[list[str]], weights: dict[str, float] | None = None) -> DataFrame:
-    """Score of the best OR group; an exact title adds 60 instead of its weight."""
-    weights = {c: w for c, w in (weights or BROWSER_WEIGHTS).items() if c in rows.columns}
-    per_group = []
-    for g in groups:
-        terms = ["".join(t.split()).lower() for t in g]
-        hit = [reduce(lambda a, b: a | b, [nospace_lower(c).contains(t) for c in weights]) for t in terms]
-        parts = [F.when(nospace_lower(c) == t, 60.0 if c == "title" else w).when(nospace_lower(c).contains(t), w).otherwise(0.0) for t in terms for c, w in weights.items()]
-        per_group.append(F.when(reduce(lambda a, b: a & b, hit), reduce(lambda a, b: a + b, parts)))
-    return rows.withColumn("score", F.greatest(*per_group) if len(per_group) > 1 else per_group[0]).filter("score is not null")
+    An exact title adds ``EXACT_TITLE`` instead of its weight. Terms of initials are compared with
+    initials; terms that mix syllables and initials by pattern. Other rows are left out.
+    """
+    from scribelake.functions.text import hybrid_pattern
+
+    have = columns or tuple(rows.columns)
+    pick = lambda weights: {c: float(w) for c, w in weights.items() if c in have and c in rows.columns}
+    either = lambda tests: reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+    total = lambda parts: reduce(lambda a, b: a + b, parts) if parts else F.lit(0.0)
+    used = sorted(set(pick(BROWSER_TERM)) | set(pick(BROWSER_PHRASE)) | set(pick(BROWSER_MIXED)))
+
+    def score(n: Column) -> Column:
+        def one(t: str):
+            jamo, mixed = re.fullmatch("[ㄱ-ㅎ]+", t), re.search("[ㄱ-ㅎ]", t)
+            weights = pick(BROWSER_INITIALS if jamo else BROWSER_MIXED if mixed else BROWSER_TERM)
+            if jamo:
+                hit = {c: F.contains(choseong(n[c]), F.lit(t)) for c in weights}
+            elif mixed:
+                hit = {c: n[c].rlike(hybrid_pattern(t)) for c in weights}
+            else:
+                hit = {c: F.contains(n[c], F.lit(t)) for c in weights}
+            parts = [F.when(n[c] == t, float(EXACT_TITLE)).when(h, weights[c]).otherwise(0.0) if c == "title" and not mixed else F.when(h, weights[c]).otherwise(0.0) for c, h in hit.items()]
+            return either(list(hit.values())), total(parts)
+
+        norm = lambda t: "".join(t.split()).lower()
+        best = []
+        for g in groups:
+            tests = [one(norm(t)) for t in g]
+            best.append(F.when(reduce(lambda a, b: a & b, [x for x, _ in tests]), total([s for _, s in tests])))
+        of_groups = (F.greatest(*best) if len(best) > 1 else best[0]) if best else F.lit(0.0)
+        weights = pick(BROWSER_PHRASE)
+        for p in map(norm, phrases):
+            hit = {c: F.contains(n[c], F.lit(p)) for c in weights}
+            of_groups = F.when(either([F.contains(n[c], F.lit(p)) for c in used]), of_groups + total([F.when(h, weights[c]).otherwise(0.0) for c, h in hit.items()]))
+        return of_groups
+
+    texts = F.struct(*[nospace_lower(c).alias(c) for c in used])
+    return rows.withColumn("score", F.transform(F.array(texts), score)[0]).filter("score is not null")
 
 
 def with_snippets(found: DataFrame, docs: DataFrame, needles: list[str], body: str, key: str = "doc_id") -> DataFrame:
-    """Joins bodies only after the hits are chosen."""
-    return found.join(docs.select(key, snippet(body, needles).alias("snippet")), key)
+    """Joins bodies only after the hits are chosen; a small result is broadcast, so bodies are not shuffled."""
+    return docs.select(key, col(body).alias("__body")).join(small(found), key).withColumn("snippet", snippet("__body", needles)).drop("__body")
+
+
+def agent_snippets(found: DataFrame, docs: DataFrame, query: str, body: str, key: str = "doc_id") -> DataFrame:
+    """Snippet of the first query word of two characters or more that occurs, with its range."""
+    return docs.select(key, col(body).alias("__body")).join(small(found), key).select(*found.columns, agent_snippet("__body", query).alias("s")).select(*found.columns, "s.*")
 
 
 def query_log(searched: DataFrame, queries: DataFrame, mode: str = "all") -> DataFrame:
@@ -222,11 +402,48 @@ def query_log(searched: DataFrame, queries: DataFrame, mode: str = "all") -> Dat
     )
 
 
-def similar_answers(requests: DataFrame, docs: DataFrame, stop: list[str], fields: dict[str, float], k: int = 5) -> DataFrame:
+def query_insights(log: DataFrame, since=None, popular: int = 10) -> DataFrame:
+    """Reports on a query log (query, result_count, elapsed_ms, searched_at): report, query, n, value.
+
+    popular: the most used queries; empty: those that always found nothing; slow: the slowest runs.
+    """
+    if since is not None:
+        log = log.filter(F.col("searched_at") >= F.lit(since))
+    per = log.groupBy("query").agg(F.count("*").alias("n"), F.max("result_count").alias("most"), F.max("elapsed_ms").alias("slowest"))
+    top = lambda df, name, value, order: df.select(F.lit(name).alias("report"), "query", "n", value.cast("double").alias("value")).orderBy(*order).limit(popular)
+    return (
+        top(per, "popular", F.col("n"), [F.desc("n"), "query"])
+        .unionAll(top(per.filter("most = 0"), "empty", F.col("n"), [F.desc("n"), "query"]))
+        .unionAll(top(per.filter("slowest is not null"), "slow", F.col("slowest"), [F.desc("value"), "query"]))
+    )
+
+
+def recent_queries(log: DataFrame, per_user: int = 8, user: str = "user_id", least: int = 1) -> DataFrame:
+    """Newest distinct queries of each user, of ``least`` characters or more: user, query, rank."""
+    last = log.filter(F.length(F.trim("query")) >= least).groupBy(user, "query").agg(F.max("searched_at").alias("t"))
+    w = Window.partitionBy(user).orderBy(F.desc("t"), "query")
+    return last.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_user).select(user, "query", "rank")
+
+
+def federated(queries: DataFrame, sources: dict[str, tuple[DataFrame, str, dict[str, float], str]], k: int | None = None) -> DataFrame:
+    """Search of several tables at once: (kind, query_id, key, title, score) in one shape.
+
+    ``sources`` maps a kind to (table, key column, field weights, title column).
+    """
+    out = None
+    for kind, (rows, key, fields, title) in sources.items():
+        found = batch_search(rows, queries, fields, key, k=k).select("query_id", key, "score")
+        named = rows.select(key, col(title).alias("title")).join(small(found), key)
+        one = named.select(F.lit(kind).alias("kind"), "query_id", F.col(key).cast("string").alias("key"), "title", "score")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def similar_answers(requests: DataFrame, docs: DataFrame, stop: list[str], fields: dict[str, float], k: int = 5, keywords: int = 4) -> DataFrame:
     """Past documents for each request: up to four keywords each, by keywords hit, then by score."""
     words = F.filter(F.split(F.lower(F.col("title")), r"[^\w가-힣]+"), lambda w: (F.length(w) >= 2) & ~w.isin(stop))
-    keywords = requests.select("request_id", F.posexplode(F.slice(F.array_distinct(words), 1, 4)).alias("term_no", "value"))
-    terms = keywords.select(F.col("request_id").alias("query_id"), F.lit(0).alias("group_no"), "term_no", F.lit("term").alias("kind"), F.array(nospace_lower("value")).alias("variants"))
+    chosen = requests.select("request_id", F.posexplode(F.slice(F.array_distinct(words), 1, keywords)).alias("term_no", "value"))
+    terms = chosen.select(F.col("request_id").alias("query_id"), F.lit(0).alias("group_no"), "term_no", F.lit("term").alias("kind"), F.array(nospace_lower("value")).alias("variants"))
     hits = term_hits(search_text(docs, fields), terms)
     scored = hits.groupBy("query_id", "doc_id").agg(F.count_distinct("term_no").alias("hits"), F.sum("weight").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("hits"), F.desc("score"), "doc_id")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from scribelake.functions.text import empty
 
 from .ledger import DELETED, changed
+from .shared import cut
 
 # Shape of a ledger identifier; identity fields in order of precedence; actions that prove a sheet row.
 ID_SHAPE = r"^REQ-(\d{4})-(\d+)$"
@@ -27,14 +27,6 @@ def _dead(status: Column | str) -> Column:
     return _text(status) == DELETED
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """Checkpoint, so that the branches of a plan with many steps don't each compute what they share."""
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scribelake-"))
-    return rows.checkpoint()
-
-
 def numbered(rows: DataFrame, group: list[str], position: str, name: str, span: int = 65_536) -> DataFrame:
     """Adds 1, 2, ... in each group by a long ``position``, without a task that holds a whole group.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scribelake.functions import metadata as md
 from scribelake.operators import corpus
 
-from .roles import Book, documents, table
+from .roles import AS_OF, Book, documents, table
 
 BOOK = Book()
 
@@ -57,29 +57,74 @@ def body_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.body_blocks(table(spark, sf_dir, "documents"), "source", "doc_id", "text", 200_000)
 
 
-@BOOK.query("""SELECT lang AS tag, count(*)::BIGINT AS n FROM documents GROUP BY 1""")
+_REPORT = """docs AS (SELECT doc_id, lang || ', ' || source || ' , ,x' AS topic_tags, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS requester, CASE WHEN doc_id % 4 = 0 THEN '' ELSE '2020' END AS year,
+  CASE WHEN doc_id % 5 = 0 THEN '' ELSE '2020-01-01' END AS request_date, lang AS institution, CASE WHEN contains(text, '|') THEN 'Y' ELSE 'N' END AS has_tables, text FROM documents)"""
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with metadata of which some is missing."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    blank = lambda n, c: F.when(k % n == 0, "").otherwise(c)
+    return d.select(
+        "doc_id", F.concat("lang", F.lit(", "), "source", F.lit(" , ,x")).alias("topic_tags"), blank(3, F.col("source")).alias("requester"), blank(4, F.lit("2020")).alias("year"),
+        blank(5, F.lit("2020-01-01")).alias("request_date"), F.col("lang").alias("institution"), F.when(F.col("text").contains("|"), "Y").otherwise("N").alias("has_tables"), "text",
+    )
+
+
+@BOOK.query(f"""WITH {_REPORT} SELECT trim(tag) AS tag, count(*)::BIGINT AS n FROM (SELECT unnest(string_split(topic_tags, ',')) AS tag FROM docs) WHERE trim(tag) <> '' GROUP BY 1""")
 def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return docs.select(F.explode(F.split("topic_tags", r"\s*,\s*")).alias("tag")).filter("tag <> ''").groupBy("tag").agg(F.count("*").alias("n"))
+    """Documents by tag, of columns of several tags."""
+    return corpus.topic_counts(_report(spark, sf_dir))
+
+
+@BOOK.query(f"""WITH {_REPORT}, g AS (SELECT doc_id, unnest([CASE WHEN request_date = '' THEN 'no date' END, CASE WHEN requester = '' THEN 'no requester' END, CASE WHEN year = '' THEN 'no year' END, CASE WHEN year = '' AND request_date <> '' THEN 'no year but dated' END]) AS gap FROM docs)
+SELECT gap, count(*)::BIGINT AS n, array_to_string(list_sort(list(doc_id))[1:5], ',') AS samples FROM g WHERE gap IS NOT NULL GROUP BY 1""")
+def metadata_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without date, requester or year, with five samples each."""
+    return corpus.metadata_gaps(_report(spark, sf_dir)).select("gap", "n", F.array_join(F.col("samples").cast("array<string>"), ",").alias("samples"))
 
 
 @BOOK.query("""SELECT 'documents' AS "table", count(*)::BIGINT AS n, sum(length(text))::BIGINT AS chars FROM documents UNION ALL SELECT 'pages', count(*)::BIGINT, sum(length(html))::BIGINT FROM pages UNION ALL SELECT 'conversations', count(*)::BIGINT, sum(length(text))::BIGINT FROM conversations""")
 def character_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [table(spark, sf_dir, t).agg(F.count("*").alias("n"), F.sum(F.length(c)).alias("chars")).select(F.lit(t).alias("table"), "n", "chars") for t, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    """Rows and characters of each table."""
+    return corpus.volumes({t: (table(spark, sf_dir, t), c) for t, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))})
 
 
-@BOOK.query("""SELECT source, count(*)::BIGINT AS documents, count_if(lang = 'en')::BIGINT AS english, count(DISTINCT lang)::BIGINT AS languages, max(n_chars)::BIGINT AS longest FROM documents GROUP BY 1""")
-def kpi_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("lang") == "en").alias("english"), F.count_distinct("lang").alias("languages"), F.max("n_chars").alias("longest"))
+@BOOK.query(f"""WITH {_REPORT}, l AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN '[삭제]' WHEN o_orderstatus = 'F' THEN '완료' ELSE '' END AS status FROM orders)
+SELECT (SELECT count(*) FROM docs)::BIGINT AS documents, (SELECT count(*) FROM docs WHERE has_tables = 'Y')::BIGINT AS with_tables, (SELECT count(DISTINCT institution) FROM docs)::BIGINT AS institutions,
+  (SELECT count(*) FROM conversations WHERE role = 'user')::BIGINT AS questions, count_if(status <> '[삭제]')::BIGINT AS requests, count_if(status = '완료')::BIGINT AS done, count_if(status = '')::BIGINT AS open FROM l""")
+def report_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures at the head of a report."""
+    o = table(spark, sf_dir, "orders")
+    ledger = o.select(F.when(F.col("o_orderkey") % 9 == 0, "[삭제]").when(F.col("o_orderstatus") == "F", "완료").otherwise("").alias("status"))
+    return corpus.indicators(_report(spark, sf_dir), table(spark, sf_dir, "conversations").filter("role = 'user'"), ledger)
+
+
+@BOOK.query("""SELECT conv_id AS doc_id, count_if(role = 'user')::BIGINT AS n_questions, count_if(role = 'user') = 1 AS single, count_if(role = 'user') = 1 AND count(*) > 2 AS suspect FROM conversations GROUP BY 1""")
+def questions_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question counts, and single-question documents whose own list has several lines."""
+    c = table(spark, sf_dir, "conversations")
+    docs = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("n")).select("doc_id", F.when(F.col("n") > 2, "a\n \nb").otherwise("a\n").alias("key_questions"))
+    return corpus.questions_per_document(docs, c.filter("role = 'user'").withColumnRenamed("conv_id", "doc_id"))
+
 
+@BOOK.query(f"""WITH {_REPORT} SELECT doc_id, row_number() OVER (PARTITION BY year ORDER BY doc_id)::BIGINT AS no FROM docs""")
+def report_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbered master list of the report."""
+    d = _report(spark, sf_dir).withColumn("title", F.lit("t")).withColumn("table_summary", F.lit(""))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ledger_id"), F.lit("2020").alias("year"), F.lit("").alias("status"))
+    return corpus.reports(d, table(spark, sf_dir, "conversations"), o)["master"].select("doc_id", "no")
 
-@BOOK.query("""SELECT d.doc_id, CASE WHEN b.hash IS NOT NULL THEN 'skip' ELSE 'copy' END AS action FROM documents d LEFT JOIN (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE source = 'src0') b ON sha256(d.text) = b.hash WHERE d.source <> 'src0'""")
+
+@BOOK.query("""WITH b AS (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE source = 'src0'), p AS (SELECT DISTINCT 'd' || (doc_id // 3) || '.md' AS path FROM documents WHERE source = 'src0'),
+i AS (SELECT doc_id, 'd' || (doc_id // 3) || '.md' AS path, sha256(text) AS hash FROM documents WHERE source <> 'src0')
+SELECT doc_id, CASE WHEN i.hash IN (SELECT hash FROM b) THEN 'skip' WHEN i.path IN (SELECT path FROM p) THEN 'keep_both' ELSE 'copy' END AS action,
+  CASE WHEN i.hash NOT IN (SELECT hash FROM b) AND i.path IN (SELECT path FROM p) THEN replace(i.path, '.md', '') || '_' || left(i.hash, 8) || '.md' ELSE i.path END AS new_path FROM i""")
 def corpus_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One source merged into another: contents that are there already are passed over."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return corpus.merge_plan(d.filter("source = 'src0'"), d.filter("source <> 'src0'")).select("doc_id", "action")
+    """One source merged into another: known contents are passed over, other contents of a known path go beside it."""
+    path = F.concat(F.lit("d"), F.expr("doc_id div 3").cast("string"), F.lit(".md")).alias("path")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text", path)
+    return corpus.merge_plan(d.filter("source = 'src0'"), d.filter("source <> 'src0'"), path="path").select("doc_id", "action", "new_path")
 
 
 @BOOK.query("""SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)""")
@@ -90,26 +135,89 @@ def changed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.unseen(d, seen).select("doc_id")
 
 
-@BOOK.query()
+@BOOK.query("""WITH seen AS (SELECT 'p' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE sha256(text) END AS hash FROM documents WHERE doc_id % 2 = 0),
+now AS (SELECT 'p' || doc_id AS path, sha256(text) AS hash FROM documents)
+SELECT path, 'work' AS state FROM now WHERE (path, hash) NOT IN (SELECT (path, hash) FROM seen) UNION ALL SELECT path, 'carried' FROM seen WHERE (path, hash) IN (SELECT (path, hash) FROM now)""")
+def incremental_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose hash differs from the last run, and rows that are carried over."""
+    now = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("hash"))
+    seen = now.filter("doc_id % 2 = 0").withColumn("hash", F.when(F.col("doc_id") % 3 == 0, "old").otherwise(F.col("hash")))
+    work, carried = corpus.incremental(now, seen)
+    return work.select("path", F.lit("work").alias("state")).unionByName(carried.select("path", F.lit("carried").alias("state")))
+
+
+_NAMED = """m AS (SELECT doc_id, ['250314 ', '2024_', '(0123) ', '홍길동 의원 ', '업무보고 ', ''][1 + doc_id % 6] || ['초안', '수정', '', ''][1 + doc_id % 4] || source || '.hwp' AS name,
+  ['2023/', 'a/대외기관/', '2월 국회/', '', ''][1 + doc_id % 5] AS folder, text AS body FROM documents)"""
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with file names and folders as offices give them."""
+    pick = lambda n, words: F.get(F.array(*[F.lit(w) for w in words]), (F.col("doc_id") % n).cast("int"))
+    name = F.concat(pick(6, ["250314 ", "2024_", "(0123) ", "홍길동 의원 ", "업무보고 ", ""]), pick(4, ["초안", "수정", "", ""]), "source", F.lit(".hwp"))
+    d = table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), pick(5, ["2023/", "a/대외기관/", "2월 국회/", "", ""]).alias("folder"), F.col("text").alias("body"))
+    return d.withColumn("path", F.concat("folder", "name"))
+
+
+@BOOK.query(f"""WITH {_NAMED}, y AS (SELECT *, CASE doc_id % 6 WHEN 0 THEN '2025' WHEN 1 THEN '2024' ELSE CASE doc_id % 5 WHEN 0 THEN '2023' ELSE '' END END AS year FROM m)
+SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN '2025-03-14' WHEN doc_id % 5 = 2 AND year <> '' THEN year || '-02-01' WHEN doc_id % 5 = 2 THEN '2001-02-01' ELSE '' END AS date,
+  CASE WHEN doc_id % 6 = 2 THEN '0123' ELSE '' END AS number,
+  CASE WHEN doc_id % 6 = 3 THEN '국회/홍길동 의원' WHEN doc_id % 6 = 4 THEN '국회보고/업무보고(국회)' WHEN doc_id % 5 = 1 THEN '상급감독기관/상급감독기관' ELSE '기타/미분류' END AS requester,
+  CASE doc_id % 4 WHEN 0 THEN '초안' WHEN 1 THEN '수정본' ELSE '최종/일반' END AS version,
+  (length(body) - length(replace(lower(body), '<table', ''))) // 6 + len(regexp_extract_all(body, '\\|[ -]+\\|[ -]+\\|'))::BIGINT AS tables,
+  concat_ws(',', CASE WHEN contains(lower(body), 'license') OR contains(lower(body), 'copyright') THEN 'license' END, CASE WHEN contains(body, '1') OR contains(body, '2') THEN 'numbers' END) AS tags FROM y""")
 def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates, numbers, tables, tags and questions of each document."""
-    d = documents(spark, sf_dir)
-    body = "full_markdown"
+    """Date, number, requester, version, tables and tags of each document, from name, path and whole body."""
+    d = _named(spark, sf_dir)
+    who = md.institution_and_requester("name", "path", F.lit(""))
     return d.select(
         "doc_id",
-        md.document_date("title", "requester", body).alias("date"),
-        md.document_number("title", "requester").alias("number"),
-        md.table_count(body).alias("tables"),
-        F.array_join(md.topic_tags(body, {"license": ["licensed", "license"], "numbers": ["1", "2"]}), ",").alias("tags"),
-        md.question_list(body).alias("questions"),
-        md.answer_summary(body).alias("summary"),
+        md.document_date("name", "path", F.lit(""), AS_OF).alias("date"),
+        md.document_number("name", "path").alias("number"),
+        F.concat_ws("/", who["institution"], who["requester"]).alias("requester"),
+        md.version_label("name", "path").alias("version"),
+        md.table_count("body").cast("long").alias("tables"),
+        F.array_join(md.topic_tags("body", {"license": ["license", "copyright"], "numbers": ["1", "2"]}), ",").alias("tags"),
     )
 
 
-@BOOK.query()
+@BOOK.query(f"""WITH {_NAMED}, l AS (SELECT doc_id, trim(x, ' ' || chr(9) || chr(13)) AS x, i FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS x, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM m)),
+a AS (SELECT doc_id, i, regexp_replace(trim(regexp_replace(x, '<[^>]+>', '', 'g'), ' ' || chr(9) || chr(13)), '^[\\s○\\-□*]+', '') AS x FROM l WHERE x[1] IN ('○', '-', '□')),
+s AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS joined FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM a WHERE length(x) > 15 AND x[1] <> '【') WHERE k <= 3 GROUP BY 1)
+SELECT doc_id, CASE WHEN length(joined) > 300 THEN left(joined, 297) || '...' ELSE coalesce(joined, '') END AS summary FROM m LEFT JOIN s USING (doc_id)""")
+def answer_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three bullet lines of each body."""
+    return _named(spark, sf_dir).select("doc_id", md.answer_summary("body").alias("summary"))
+
+
+# every user turn is a question line, and what follows its section; letters tell the titles of a conversation apart
+_TURNS = r"""u AS (SELECT conv_id, turn, '질의 ' || (turn // 2 % 9 + 1) || '.' AS mark, repeat(chr((97 + turn // 2 % 26)::INT), (turn // 52 + 1)::INT) || ' ' || trim(regexp_replace(replace(text, '*', ''), '\s+', ' ', 'g')) AS title FROM conversations WHERE role = 'user'),
+s AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS below FROM conversations WHERE role = 'assistant')"""
+
+
+def _with_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents: each user turn is a question line."""
+    flat = F.trim(F.regexp_replace(F.col("text"), r"\s+", " "))
+    n = F.expr("turn div 2")
+    letter = F.repeat(F.chr(F.lit(97) + n % 26), (F.expr("turn div 52") + 1).cast("int"))
+    heading = F.concat(F.lit("**질의 "), (n % 9 + 1).cast("string"), F.lit(". "), letter, F.lit(" "), F.replace(flat, F.lit("*"), F.lit("")), F.lit("**"))
+    line = F.when(F.col("role") == "user", heading).otherwise(F.concat(F.lit("<table>\n1. no question\n</table>\n"), flat))
+    parts = F.sort_array(F.collect_list(F.struct("turn", line.alias("line"))))
+    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("full_markdown"), F.lit("t").alias("title"), F.lit("2020").alias("year"))
+
+
+@BOOK.query(f"""WITH {_TURNS}, q AS (SELECT u.conv_id, u.turn, substr(mark, 4) || ' ' || title AS question_title, row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn) AS q_num,
+  '<table>' || chr(10) || '1. no question' || chr(10) || '</table>' || chr(10) || s.below AS below FROM u LEFT JOIN s ON s.conv_id = u.conv_id AND s.turn = u.turn + 1)
+SELECT conv_id AS doc_id, conv_id || '-Q' || q_num AS qa_id, q_num::INT AS q_num, question_title, coalesce(below, '**질의 ' || question_title || '**') AS answer_markdown, CASE WHEN below IS NULL THEN 'N' ELSE 'Y' END AS has_tables, '2020' AS year FROM q""")
 def split_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents split at lines that begin with a capital and are short, as headings."""
-    return md.split_questions(documents(spark, sf_dir), pattern=r"^(?=\p{Lu}[^.]{1,30}\.$)")
+    """Documents split at their question lines; lines inside tables are none."""
+    return md.split_questions(_with_headings(spark, sf_dir)).select("doc_id", "qa_id", "q_num", "question_title", "answer_markdown", "has_tables", "year")
+
+
+@BOOK.query()
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of all documents, split at short capitalised lines."""
+    plain = md.Splitter(numbered=r"^()(?=[A-ZÀ-Þ])([^.]{1,30}\.)$", boxed=r"(?!)", asked=r"(?!)", no_question=())
+    return md.split_questions(documents(spark, sf_dir), splitter=plain).select("doc_id", "q_num", "question_title", F.length("answer_markdown").alias("n"), "has_tables")
 
 
 @BOOK.query("""SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, try_cast(regexp_extract(url, '/(\\d+)(?:[./?#]|$)', 1) AS BIGINT) AS doc_id FROM pages""")
@@ -118,20 +226,80 @@ def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("host"), F.expr(r"try_cast(nullif(regexp_extract(url, '/(\\d+)(?:[./?#]|$)', 1), '') as bigint)").alias("doc_id"))
 
 
-@BOOK.query("""SELECT count(*)::BIGINT AS n, max(doc_id)::BIGINT AS newest, sum(length(text))::BIGINT AS chars FROM documents""")
+@BOOK.query("""SELECT count(*)::BIGINT AS n, max(doc_id)::BIGINT AS newest, sum(length(text))::BIGINT AS chars, TRUE AS same, TRUE AS differs FROM documents""")
 def dataset_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of a dataset fingerprint; the hash itself is order independent."""
-    return corpus.fingerprint(table(spark, sf_dir, "documents"), "doc_id", "text").select("n", "newest", "chars")
+    """The fingerprint of a dataset: the same whatever the order of rows, another where one text differs."""
+    d = table(spark, sf_dir, "documents")
+    first = corpus.fingerprint(d, "doc_id", "text")
+    again = corpus.fingerprint(d.repartition(7), "doc_id", "text").select(F.col("hash").alias("again"))
+    changed = d.withColumn("text", F.when(F.col("doc_id") == 1, F.reverse("text")).otherwise(F.col("text")))
+    other = corpus.fingerprint(changed, "doc_id", "text").select(F.col("hash").alias("other"))
+    return first.crossJoin(again).crossJoin(other).select("n", "newest", "chars", (F.col("hash") == F.col("again")).alias("same"), (F.col("hash") != F.col("other")).alias("differs"))  # one row each
+
+
+_CITED = """c AS (SELECT doc_id // 20 AS pack_id, doc_id % 20 AS place, doc_id + CASE WHEN doc_id % 7 = 0 THEN 100000000 ELSE 0 END AS source_id, (doc_id % 50)::INT AS "offset", (10 + doc_id % 90)::INT AS "length" FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY pack_id ORDER BY place) AS p FROM c)"""
+
+
+def _cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    cited = d.select(F.expr("doc_id div 20").alias("pack_id"), (k % 20).alias("place"), (k + F.when(k % 7 == 0, 100_000_000).otherwise(0)).alias("source_id"), (k % 50).cast("int").alias("offset"), (k % 90 + 10).cast("int").alias("length"))
+    return cited, d.select(k.alias("source_id"), F.lit("doc").alias("kind"), F.col("text").alias("body"))
+
+
+@BOOK.query(f"""WITH {_CITED} SELECT pack_id, p::INT AS place, source_id, CASE WHEN d.doc_id IS NULL THEN NULL ELSE 'sha256:' || sha256(text) END AS hash, substr(text, "offset" + 1, "length") AS excerpt,
+  CASE WHEN d.doc_id IS NULL THEN 'source_missing' WHEN substr(text, "offset" + 1, "length") = '' THEN 'unverified' ELSE 'source_text_match' END AS state FROM k LEFT JOIN documents d ON d.doc_id = source_id WHERE p <= 10""")
+def evidence_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence for cited sources: hash, excerpt, and whether the text holds it."""
+    return corpus.build_evidence(*_cited(spark, sf_dir), masked=False).select("pack_id", "place", "source_id", "hash", "excerpt", "state")
+
+
+@BOOK.query(f"""WITH {_CITED} SELECT pack_id, source_id, CASE WHEN d.doc_id IS NULL THEN 'source_missing' WHEN source_id % 5 = 0 THEN 'source_stale' WHEN source_id % 3 = 0 THEN 'verification_failed'
+  WHEN source_id % 2 = 0 AND 10 > length(text) THEN 'verification_failed' ELSE 'source_text_match' END AS state FROM c LEFT JOIN documents d ON d.doc_id = source_id""")
+def evidence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cited excerpts against the texts as they are now."""
+    cited, sources = _cited(spark, sf_dir)
+    bodies = sources.select("source_id", F.concat(F.lit("sha256:"), F.sha2("body", 256)).alias("h"), F.left("body", F.lit(5)).alias("piece"))
+    k = F.col("source_id")
+    rows = cited.select("pack_id", "source_id").join(bodies, "source_id", "left").select(
+        "pack_id", "source_id", F.when(k % 5 == 0, "sha256:0").otherwise(F.coalesce("h", F.lit(""))).alias("hash"), F.when(k % 3 == 0, "\x01 no such text").otherwise(F.coalesce("piece", F.lit(""))).alias("excerpt"),
+        F.when(k % 2 == 0, 0).alias("start"), F.when(k % 2 == 0, 10).alias("end"),
+    )
+    return corpus.verify_evidence(rows, sources).select("pack_id", "source_id", "state")
+
+
+_FILES = """f AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '_staging/' ELSE '' END || 'd/' || doc_id // 3 || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '_b.md' ELSE '_c.md' END AS path,
+  CASE WHEN doc_id % 3 > 0 THEN 'd/' || doc_id // 3 || '.hwp' END AS header, TIMESTAMP '2020-01-01 00:00:00' + to_days((doc_id % 3)::INT) AS modified FROM documents),
+src AS (SELECT DISTINCT 'd/' || doc_id // 3 || '.hwp' AS source_path FROM documents WHERE doc_id // 3 % 4 <> 0)"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Markdown files, three of a source, and the listing of the sources that are left."""
+    d, k, n = table(spark, sf_dir, "documents"), F.col("doc_id"), F.expr("doc_id div 3").cast("string")
+    ending = F.when(k % 3 == 0, ".md").when(k % 3 == 1, "_b.md").otherwise("_c.md")
+    path = F.concat(F.when(k % 9 == 0, "_staging/").otherwise(""), F.lit("d/"), n, ending)
+    source = F.concat(F.lit("d/"), n, F.lit(".hwp"))
+    when = F.timestamp_seconds(F.lit(1_577_836_800) + (k % 3) * 86_400)
+    rows = d.select(path.alias("path"), F.when(k % 3 > 0, source).alias("header"), when.alias("modified"))
+    return rows, d.filter("doc_id div 3 % 4 <> 0").select(source.alias("source_path")).distinct()
+
+
+@BOOK.query(f"""WITH {_FILES} SELECT path FROM f WHERE starts_with(path, '_staging/') OR doc_id // 3 % 4 = 0""")
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown files whose source is gone, and staged copies."""
+    return corpus.orphans(*_files(spark, sf_dir)).select("path")
 
 
-@BOOK.query("""SELECT d.doc_id, l.doc_id IS NOT NULL AS labelled, coalesce(toxic = 0 AND quality = 1, FALSE) AS clean FROM documents d LEFT JOIN labels l USING (doc_id)""")
-def flagged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, lab = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels")
-    return d.join(lab, "doc_id", "left").select("doc_id", F.col("toxic").isNotNull().alias("labelled"), F.coalesce((F.col("toxic") == 0) & (F.col("quality") == 1), F.lit(False)).alias("clean"))
+@BOOK.query(f"""WITH {_FILES}, p AS (SELECT 'd/' || doc_id // 3 || '.hwp' AS source_path, path, header IS NULL AS bare, modified FROM f WHERE doc_id // 3 % 4 <> 0)
+SELECT source_path, arg_min(path, (bare, -epoch(modified), path)) AS keep_path, '미분류/' || split_part(source_path, '/', 2) || '.md' AS move_to, count(*)::INT - 1 AS n_drop FROM p GROUP BY 1""")
+def layout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which copy of each source stays, and where it belongs."""
+    return corpus.layout_plan(*_files(spark, sf_dir)).select("source_path", "keep_path", "move_to", F.size("drop_paths").alias("n_drop"))
 
 
-@BOOK.query("""SELECT a.doc_id, b.doc_id AS other, b.rank FROM (SELECT doc_id, source FROM documents WHERE doc_id % 50 = 0) a JOIN (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC)::INT AS rank FROM documents) b USING (source) WHERE a.doc_id <> b.doc_id AND b.rank <= 5""")
+@BOOK.query("""WITH a AS (SELECT doc_id, source FROM documents WHERE doc_id % 50 = 0), c AS (SELECT a.doc_id, b.doc_id AS other, a.source IS DISTINCT FROM b.source AS far FROM a JOIN documents b ON a.doc_id <> b.doc_id)
+SELECT doc_id, other, row_number() OVER (PARTITION BY doc_id ORDER BY far, other DESC)::INT AS rank FROM c QUALIFY rank <= 5""")
 def compare_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest documents of the same source, for a stated set of documents."""
+    """Documents to compare with, of the same source first, then newest, for a stated set of documents."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     return corpus.compare_candidates(d.filter("doc_id % 50 = 0"), d, "source", 5)

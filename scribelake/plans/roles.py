@@ -31,12 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, title, requester, topic_tags, full_markdown."""
+    """doc_id, title (the first line), requester, topic_tags, full_markdown."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.substring("text", 1, 60).alias("title"), F.col("source").alias("requester"), F.col("lang").alias("topic_tags"), F.col("text").alias("full_markdown"))
+    return d.select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("source").alias("requester"), F.col("lang").alias("topic_tags"), F.col("text").alias("full_markdown"))
 
 
-DOCUMENTS_SQL = "docs AS (SELECT doc_id, substr(text, 1, 60) AS title, source AS requester, lang AS topic_tags, text AS full_markdown FROM documents)"
+DOCUMENTS_SQL = "docs AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, source AS requester, lang AS topic_tags, text AS full_markdown FROM documents)"
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

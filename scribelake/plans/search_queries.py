@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribelake.functions import text as tx
 from scribelake.operators import search
+from scribelake.streaming import feeds
 
-from .roles import DOCUMENTS_SQL, QUERIES_SQL, Book, benchmark_queries, documents, table
+from .roles import DOCUMENTS_SQL, LEDGER_SQL, QUERIES_SQL, Book, benchmark_queries, documents, ledger, table
 
 BOOK = Book()
 _FIELDS = {"title": 50.0, "requester": 25.0, "full_markdown": 10.0}
@@ -25,6 +26,7 @@ def _score(field: str, terms: list[str]) -> str:
 
 
 _NORMAL = "n AS (SELECT *, " + ", ".join(f"{_ns(f)} AS n_{f}" for f in _FIELDS) + " FROM docs)"
+_either = lambda t: f"(contains(n_title, '{t}') OR contains(n_full_markdown, '{t}'))"
 _HAS = lambda t: "(" + " OR ".join(f"contains(n_{f}, '{t}')" for f in _FIELDS) + ")"
 
 
@@ -64,16 +66,24 @@ def search_result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.query_log(search.batch_search(documents(spark, sf_dir), q, _FIELDS), q).select("query_id", "result_count")
 
 
-@BOOK.query()
+@BOOK.query(f"""WITH {DOCUMENTS_SQL}, n AS (SELECT doc_id, {_ns('title')} AS n_title, {_ns('full_markdown')} AS n_full_markdown FROM docs), {QUERIES_SQL},
+x AS (SELECT doc_id, 5.0 AS weight, n_title AS x FROM n WHERE n_title <> '' UNION ALL SELECT doc_id, 1.0, n_full_markdown FROM n WHERE n_full_markdown <> ''),
+sizes AS (SELECT doc_id, sum(length(x)) AS size FROM x GROUP BY 1), totals AS (SELECT count(*) AS n, avg(size) AS mean FROM sizes),
+tf AS (SELECT query_id, group_no, term_no, doc_id, sum(weight * ((length(x) - length(replace(x, v, ''))) // length(v))) AS tf FROM x JOIN terms ON contains(x, v) GROUP BY ALL),
+df AS (SELECT query_id, group_no, term_no, count(*) AS df FROM tf GROUP BY ALL),
+s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 4)::DOUBLE AS score
+      FROM tf JOIN df USING (query_id, group_no, term_no) JOIN sizes USING (doc_id) CROSS JOIN totals GROUP BY ALL)
+SELECT query_id, doc_id, score FROM s""")
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 with field weights in the term frequency."""
-    return search.top_k(search.bm25(documents(spark, sf_dir), benchmark_queries(spark, sf_dir), {"title": 5.0, "full_markdown": 1.0}), 10)
+    found = search.bm25(documents(spark, sf_dir), benchmark_queries(spark, sf_dir), {"title": 5.0, "full_markdown": 1.0})
+    return found.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
-@BOOK.query(f"""WITH {DOCUMENTS_SQL}, {_NORMAL} SELECT doc_id, requester FROM n WHERE ((contains(n_title, 'ering') AND contains(n_title, 'the')) OR contains(n_title, 'ation')) AND NOT contains(n_title, 'licensed')""")
+@BOOK.query(f"""WITH {DOCUMENTS_SQL}, {_NORMAL} SELECT doc_id, requester FROM n WHERE (({_either('ering')} AND {_either('theth')}) OR {_either('ation')}) AND NOT {_either('licensed')}""")
 def search_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OR of ANDs with an exclusion as one filter."""
-    return search.plan_filter(documents(spark, sf_dir), [["ering", "the"], ["ation"]], ["title"], without=("licensed",)).select("doc_id", "requester")
+    return search.plan_filter(documents(spark, sf_dir), [["ering", "theth"], ["ation"]], ["title", "full_markdown"], without=("licensed",)).select("doc_id", "requester")
 
 
 @BOOK.query(f"""WITH {DOCUMENTS_SQL}, {_NORMAL} SELECT doc_id FROM n WHERE contains(n_full_markdown, 'ofthe')""")
@@ -82,11 +92,11 @@ def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.plan_filter(documents(spark, sf_dir), [], ["full_markdown"], phrases=("of the",)).select("doc_id")
 
 
-@BOOK.query(f"""WITH {DOCUMENTS_SQL} SELECT doc_id, title FROM docs WHERE requester IN ('src1', 'src2') AND contains({_ns('title')}, 'the')""")
+@BOOK.query(f"""WITH {DOCUMENTS_SQL} SELECT doc_id, title FROM docs WHERE requester IN ('src1', 'src2') AND contains({_ns('full_markdown')}, 'ofthe')""")
 def search_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field qualifiers: whole value for one, substring for the other."""
-    rows = documents(spark, sf_dir).withColumn("status", F.col("requester"))
-    return search.field_filter(rows, {"status": ["src1", "src2"], "title": ["the"]}).select("doc_id", "title")
+    rows = documents(spark, sf_dir).withColumn("status", F.col("requester")).withColumn("department", F.col("full_markdown"))
+    return search.field_filter(rows, {"상태": ["src1", "src2"], "department": ["of the"]}).select("doc_id", "title")
 
 
 @BOOK.query(f"""WITH {DOCUMENTS_SQL}, {_NORMAL}, s AS (SELECT doc_id, CASE WHEN {_HAS('thering')} AND {_HAS('than')} THEN
@@ -94,8 +104,8 @@ def search_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, score::DOUBLE AS score FROM s WHERE score IS NOT NULL""")
 def search_browser_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of the best OR group under the browser's weights."""
-    weights = {"title": 35.0, "requester": 30.0, "full_markdown": 8.0}
-    return search.browser_score(documents(spark, sf_dir), [["thering", "than"]], weights).select("doc_id", "score")
+    found = search.browser_score(documents(spark, sf_dir), [["thering", "than"]], columns=("title", "requester", "full_markdown"))
+    return found.select("doc_id", "score")
 
 
 @BOOK.query("""SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'public')""")
@@ -104,24 +114,101 @@ def search_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.words_filter(documents(spark, sf_dir), "license public", ["title", "full_markdown"], None).select("doc_id")
 
 
-@BOOK.query("""WITH k AS (SELECT conv_id, turn, 'user' AS kind FROM conversations WHERE role = 'user' AND contains(lower(text), 'the')), d AS (SELECT doc_id FROM documents WHERE contains(lower(text), 'the')), b AS (SELECT item_id FROM benchmark WHERE contains(lower(text), 'the'))
-SELECT 'qa' AS kind, count(*)::BIGINT AS n FROM k UNION ALL SELECT 'doc', count(*)::BIGINT FROM d UNION ALL SELECT 'ledger', count(*)::BIGINT FROM b""")
+_KINDS = f"""x AS (SELECT 'qa' AS kind, conv_id || '-' || turn AS key, role AS title, text AS body FROM conversations UNION ALL SELECT 'docs', doc_id::VARCHAR, source, text FROM documents UNION ALL SELECT 'ledger', item_id::VARCHAR, 'item', text FROM benchmark),
+hit AS (SELECT kind, key, title, CASE WHEN contains({_ns('title')}, 'item') THEN 50.0 ELSE 0 END + CASE WHEN contains({_ns('body')}, 'thering') THEN 10.0 ELSE 0 END + CASE WHEN contains({_ns('body')}, 'item') THEN 10.0 ELSE 0 END AS score,
+  contains({_ns('body')}, 'thering') OR contains({_ns('body')}, 'item') OR contains({_ns('title')}, 'item') AS found FROM x)"""
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> dict:
+    q = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), F.col("role").alias("title"), F.col("text").alias("body"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("source").alias("title"), F.col("text").alias("body"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("key"), F.lit("item").alias("title"), F.col("text").alias("body"))
+    return {k: (rows, "key", {"title": 50.0, "body": 10.0}, "title") for k, rows in (("qa", q), ("docs", d), ("ledger", b))}
+
+
+@BOOK.query(f"WITH {_KINDS} SELECT kind, 0 AS query_id, key, title, score::DOUBLE AS score FROM hit WHERE found")
+def search_federated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three kinds of rows searched at once, in one shape."""
+    asked = spark.createDataFrame([(0, "thering OR item")], "query_id int, query string")
+    return search.federated(asked, _kinds(spark, sf_dir))
+
+
+@BOOK.query(f"WITH {_KINDS} SELECT kind, count(*)::BIGINT AS n FROM hit WHERE found GROUP BY 1")
 def search_federated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of one word in three kinds of rows of one shape."""
-    hit = F.lower("text").contains("the")
-    qa = table(spark, sf_dir, "conversations").filter("role = 'user'").filter(hit).select(F.lit("qa").alias("kind"))
-    docs = table(spark, sf_dir, "documents").filter(hit).select(F.lit("doc").alias("kind"))
-    ledger = table(spark, sf_dir, "benchmark").filter(hit).select(F.lit("ledger").alias("kind"))
-    return qa.unionByName(docs).unionByName(ledger).groupBy("kind").agg(F.count("*").alias("n"))
+    """Results of the search of all kinds by kind."""
+    return search_federated(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@BOOK.query()
+@BOOK.query(f"""WITH {DOCUMENTS_SQL}, n AS (SELECT doc_id, {_ns('title')} AS n_title, {_ns('full_markdown')} AS n_full_markdown FROM docs),
+w AS (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^0-9A-Za-z_가-힣]+')) AS word, generate_subscripts(regexp_split_to_array(lower(text), '[^0-9A-Za-z_가-힣]+'), 1) AS i FROM benchmark),
+f AS (SELECT item_id, word, min(i) AS i FROM w WHERE length(word) >= 2 AND word NOT IN ('the', 'and', 'of', 'to', 'in') GROUP BY ALL),
+k AS (SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY i) AS place FROM f QUALIFY place <= 4),
+h AS (SELECT item_id AS query_id, doc_id, count(DISTINCT word)::BIGINT AS hits, sum(CASE WHEN contains(n_title, word) THEN 35.0 ELSE 0 END + CASE WHEN contains(n_full_markdown, word) THEN 8.0 ELSE 0 END)::DOUBLE AS score
+      FROM k JOIN n ON contains(n_title, word) OR contains(n_full_markdown, word) GROUP BY ALL)
+SELECT query_id, doc_id, hits, score, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, score DESC, doc_id)::INT AS rank FROM h QUALIFY rank <= 5""")
 def similar_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Past documents for each test item taken as a request."""
-    requests = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.substring("text", 1, 80).alias("title"))
+    """Past documents for each test item taken as a request (a top-k report)."""
+    requests = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("title"))
     return search.similar_answers(requests, documents(spark, sf_dir), ["the", "and", "of", "to", "in"], {"title": 35.0, "full_markdown": 8.0})
 
 
+_ASKED = ["requester:src1 department:en thering", "department:fr -que", "-the", '"of the" licensed OR thering', "status:없음 the", ""]
+
+
+@BOOK.query(f"""WITH {DOCUMENTS_SQL}, n AS (SELECT doc_id, requester, topic_tags, {_ns('title')} AS t, {_ns('requester')} AS r, {_ns('full_markdown')} AS b FROM docs),
+has AS (SELECT *, contains(b, 'thering') OR contains(r, 'thering') AS thering, contains(b, 'licensed') AS licensed, contains(b, 'ofthe') AS ofthe FROM n)
+SELECT 0 AS query_id, doc_id, (CASE WHEN contains(t, 'thering') THEN 50 ELSE 0 END)::DOUBLE AS score FROM has WHERE thering AND contains(r, 'src1') AND topic_tags = 'en'
+UNION ALL SELECT 1, doc_id, 0 FROM has WHERE topic_tags = 'fr' AND NOT contains(b, 'que')
+UNION ALL SELECT 2, doc_id, 0 FROM has WHERE NOT contains(b, 'the')
+UNION ALL SELECT 3, doc_id, CASE WHEN contains(t, 'ofthe') THEN 100 ELSE 0 END + CASE WHEN contains(t, 'licensed') THEN 50 ELSE 0 END + CASE WHEN contains(t, 'thering') THEN 50 ELSE 0 END FROM has WHERE ofthe AND (licensed OR thering)
+UNION ALL SELECT 5, doc_id, 0 FROM has""")
+def search_qualifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Qualifiers, exclusions alone, phrases with groups, a field that isn't there, and the empty query, over all documents."""
+    docs = documents(spark, sf_dir).withColumn("department", F.col("topic_tags"))
+    asked = spark.createDataFrame(list(enumerate(_ASKED)), "query_id int, query string")
+    return search.batch_search(docs, asked, {"title": 50.0, "requester": 25.0, "full_markdown": 0.0})
+
+
+@BOOK.query(f"""WITH {LEDGER_SQL}, n AS (SELECT *, {_ns('title')} AS t FROM ledger)
+SELECT 0 AS query_id, ledger_id, 50.0::DOUBLE AS score FROM n WHERE contains(t, 'urgent') AND request_date BETWEEN '1995-03-01' AND '1995-05-31'
+UNION ALL SELECT 1, ledger_id, 0 FROM n WHERE request_date >= '1998-01-01' AND party = 'BUILDING'
+UNION ALL SELECT 2, ledger_id, 50 FROM n WHERE contains(t, 'high') AND request_date BETWEEN '1994-01-01' AND '1994-12-31' AND status = '완료'
+UNION ALL SELECT 3, ledger_id, 0 FROM n WHERE seq_no IN ('7', '33')""")
+def search_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Date ranges, open at one end or none, with other qualifiers, over all requests."""
+    asked = ["기간:1995-03..1995.5 urgent", "date:1998.. 정당:building", "일자:1994 상태:완료 high", "연번:7 seq:33"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    return search.batch_search(ledger(spark, sf_dir), q, {"title": 50.0, "requester": 25.0}, "ledger_id")
+
+
+@BOOK.query(f"""WITH {DOCUMENTS_SQL}, p AS (SELECT doc_id, full_markdown AS x, CASE WHEN instr(lower(full_markdown), 'thering') > 0 THEN instr(lower(full_markdown), 'thering') - 1 WHEN instr(lower(full_markdown), 'than') > 0 THEN instr(lower(full_markdown), 'than') - 1 END AS pos,
+  CASE WHEN instr(lower(full_markdown), 'thering') > 0 THEN 7 ELSE 4 END AS n FROM docs WHERE contains(lower(full_markdown), 'licensed')),
+s AS (SELECT doc_id, x, pos, greatest(pos - 60, 0) AS "start", least(pos + n + 60, length(x)) AS "end" FROM p)
+SELECT doc_id, CASE WHEN pos IS NULL THEN left(x, 300) ELSE substr(x, "start" + 1, "end" - "start") END AS snippet, "start"::INT AS "start", CASE WHEN pos IS NOT NULL THEN "end" END::INT AS "end" FROM s""")
+def agent_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets of hits with their ranges."""
+    docs = documents(spark, sf_dir)
+    found = search.words_filter(docs, "licensed", ["full_markdown"], None).select("doc_id")
+    return search.agent_snippets(found, docs, "a thering than", "full_markdown")
+
+
+@BOOK.query("""SELECT doc_id, instr(lower(text), 'lic') > 0 AS hit, CASE WHEN instr(lower(text), 'thering') = 0 AND instr(lower(text), 'licensed') = 0 THEN substr(text, 1, 140) ELSE
+  substr(text, greatest(p - 40, 1)::BIGINT, (p + 100 - greatest(p - 40, 1))::BIGINT) END AS snippet
+FROM (SELECT *, list_min(list_filter([instr(lower(text), 'thering'), instr(lower(text), 'licensed')], lambda x: x > 0)) AS p FROM documents)
+WHERE instr(lower(text), 'thering') > 0 OR instr(lower(text), 'licensed') > 0""")
+def earliest_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text around the earliest of several tokens."""
+    d = table(spark, sf_dir, "documents").filter(F.lower("text").contains("thering") | F.lower("text").contains("licensed"))
+    return d.select("doc_id", (F.instr(F.lower("text"), "lic") > 0).alias("hit"), tx.earliest_snippet("text", ["thering", "licensed"]).alias("snippet"))
+
+
+@BOOK.query("""SELECT doc_id, regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)(?:o\\s*f\\s*t\\s*h\\s*e|licensed|l\\s*i\\s*c\\s*e\\s*n\\s*s\\s*e\\s*d)', '<mark>\\0</mark>', 'g') AS marked FROM documents""")
+def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of a query marked in whole texts."""
+    terms = tx.highlight_terms('"ofthe" licensed -that year:2020 | x')
+    return table(spark, sf_dir, "documents").select("doc_id", tx.highlight("text", terms).alias("marked"))
+
+
 @BOOK.query(f"SELECT doc_id, {_ns('text')} AS normal, length({_ns('text')})::BIGINT AS n FROM documents")
 def text_nospace(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", tx.nospace_lower("text").alias("normal"))
@@ -157,16 +244,39 @@ def match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.match_positions("text", "the")).cast("long").alias("n"))
 
 
-@BOOK.query("""SELECT event_type AS query, count(*)::BIGINT AS n, count_if(value < 1)::BIGINT AS zero, round(max(value), 6) AS slowest FROM events GROUP BY 1""")
-def query_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries by use, empty results and slowest run."""
+_LOG = "log AS (SELECT event_type AS query, floor(value / 4)::BIGINT AS result_count, value AS elapsed_ms, ts AS searched_at, user_id FROM events)"
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a query log."""
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("query")).agg(F.count("*").alias("n"), F.count_if(F.col("value") < 1).alias("zero"), F.round(F.max("value"), 6).alias("slowest"))
+    return e.select(F.col("event_type").alias("query"), F.floor(F.col("value") / 4).alias("result_count"), F.col("value").alias("elapsed_ms"), F.col("ts").alias("searched_at"), "user_id")
+
+
+@BOOK.query(f"""WITH {_LOG}, p AS (SELECT query || ' ' || user_id AS query, result_count, elapsed_ms FROM log WHERE searched_at >= TIMESTAMP '2024-01-05 00:00:00'),
+g AS (SELECT query, count(*)::BIGINT AS n, max(result_count) AS most, max(elapsed_ms) AS slowest FROM p GROUP BY 1)
+SELECT * FROM (SELECT 'popular' AS report, query, n, n::DOUBLE AS value FROM g ORDER BY n DESC, query LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'empty', query, n, n::DOUBLE FROM g WHERE most = 0 ORDER BY n DESC, query LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'slow', query, n, slowest FROM g ORDER BY slowest DESC, query LIMIT 10)""")
+def query_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports on a query log since a day: most used, always empty, slowest (top-k reports)."""
+    log = _log(spark, sf_dir).withColumn("query", F.concat_ws(" ", "query", F.col("user_id").cast("string")))
+    return search.query_insights(log, "2024-01-05 00:00:00")
 
 
-@BOOK.query("""SELECT user_id, query, rank FROM (SELECT user_id, event_type AS query, row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, event_type)::INT AS rank FROM events GROUP BY user_id, event_type) WHERE rank <= 8""")
+@BOOK.query(f"""WITH {_LOG} SELECT user_id, query, rank FROM (SELECT user_id, query, row_number() OVER (PARTITION BY user_id ORDER BY max(searched_at) DESC, query)::INT AS rank FROM log WHERE length(trim(query)) >= 5 GROUP BY user_id, query) WHERE rank <= 3""")
 def recent_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest distinct queries of each user, eight at most."""
-    last = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("query")).agg(F.max("ts").alias("t"))
-    w = Window.partitionBy("user_id").orderBy(F.desc("t"), "query")
-    return last.withColumn("rank", F.row_number().over(w)).filter("rank <= 8").select("user_id", "query", "rank")
+    """Newest different queries of each user, of five characters or more, three at most."""
+    return search.recent_queries(_log(spark, sf_dir), 3, least=5)
+
+
+@BOOK.query(f"""WITH {_LOG} SELECT date_trunc('day', searched_at)::TIMESTAMP AS "start", query, count(*)::BIGINT AS n, count_if(result_count = 0)::BIGINT AS zero, max(elapsed_ms) AS slowest FROM log GROUP BY ALL""")
+def log_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming report on the query log, run over all of it: a row a day and query."""
+    return feeds.log_insights(_log(spark, sf_dir).withColumnRenamed("searched_at", "ts"))
+
+
+@BOOK.query(f"""WITH {_LOG} SELECT query, user_id, result_count FROM log WHERE searched_at >= TIMESTAMP '2024-01-06 00:00:00' OR result_count = 0""")
+def pruned_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of the query log: newer rows, and those without a result."""
+    return feeds.prune_log(_log(spark, sf_dir).withColumnRenamed("searched_at", "ts"), "2024-01-06 00:00:00").select("query", "user_id", "result_count")

@@ -37,15 +37,27 @@ def snapshot_feed(spark: SparkSession, path: str, schema: StructType, apply: Cal
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
-def route_attempts(results: DataFrame) -> dict[str, DataFrame]:
+def route_attempts(results: DataFrame, key: str = "ledger_id") -> dict[str, DataFrame]:
     """Split applied operations into ok, retry and dead letters; a conflict is dead at once.
 
     ``results``: operations with attempts and reason (null: applied). Deleting what isn't there is done.
+    With ``key`` and seq among the columns, what follows the first ordinary failure of a key waits:
+    it is tried again in order, and the wait counts as no attempt.
     """
     done = F.col("reason").isNull() | ((F.col("action") == "delete") & (F.col("reason") == "missing"))
-    dead = ~done & ((F.col("reason") == "conflict") | (F.col("attempts") + 1 >= MAX_ATTEMPTS))
-    tried = results.withColumn("attempts", F.col("attempts") + F.when(done, 0).otherwise(1))
-    return {"ok": tried.filter(done), "retry": tried.filter(~done & ~dead), "dead": tried.filter(dead)}
+    at_once = ~done & (F.col("reason") == "conflict")
+    failed = ~done & ~at_once
+    rows = results
+    waits = F.lit(False)
+    if {key, "seq"} <= set(results.columns):
+        first = results.filter(failed).groupBy(F.col(key).alias("__key")).agg(F.min("seq").alias("__first"))
+        rows = results.join(first, F.col(key) == F.col("__key"), "left").drop("__key")
+        waits = F.coalesce(F.col("seq") > F.col("__first"), F.lit(False))
+    dead = ~waits & (at_once | (failed & (F.col("attempts") + 1 >= MAX_ATTEMPTS)))
+    ok = done & ~waits
+    routed = rows.withColumn("__ok", ok).withColumn("__dead", dead).withColumn("attempts", F.col("attempts") + F.when(ok | waits, 0).otherwise(1))
+    pick = lambda test: routed.filter(test).select(*results.columns)
+    return {"ok": pick("__ok"), "retry": pick("not __ok and not __dead"), "dead": pick("__dead")}
 
 
 def retry_quarantined(dead: DataFrame, ids: list[str]) -> DataFrame:

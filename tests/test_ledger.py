@@ -1,3 +1,6 @@
+import datetime
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +30,39 @@ def test_apply_operations(spark):
     assert {r.action for r in history.collect()} == {"UPDATE", "DELETE", "INSERT"}
 
 
+OPS = "operation_id string, seq long, ledger_id string, action string, item map<string,string>, expected_version string"
+
+
+def test_operations_apply_one_after_the_other(spark):
+    stored = spark.createDataFrame([("A", "t", "작성중", "n", "2026-01-05", "2026", "v1"), ("B", "t", "[삭제]", "x", "", "2026", "v1"), ("C", "t", "작성중", "n", "", "2026", "v1")], "ledger_id string, title string, status string, note string, deadline string, year string, updated_at string")
+    ops = [
+        ("a1", 1, "A", "update", {"title": "t ", "note": " n"}, None), ("a2", 2, "A", "update", {"deadline": "1.5"}, None), ("a3", 3, "A", "update", {"title": "x"}, "v1"), ("a4", 4, "A", "update", {"title": "y"}, "3"), ("a5", 5, "A", "update", {"title": "z"}, "3"),
+        ("a6", 6, "A", "delete", {}, None), ("a7", 7, "A", "update", {"title": "late"}, None), ("a8", 8, "A", "restore", {}, None), ("a9", 9, "A", "update", {"deadline": "2026.2.30"}, None), ("a10", 10, "A", "update", {"status": ""}, None),
+        ("b1", 11, "B", "restore", {}, None), ("c1", 12, "C", "restore", {}, None), ("d1", 13, "D", "insert", {"title": "010-1234-5678", "deadline": "2026.3.4"}, None), ("d2", 14, "D", "insert", {"title": "again"}, None), ("e1", 15, "E", "insert", {"title": ""}, None),
+    ]
+    fields = ["title", "status", "note", "deadline", "year"]
+    table, history, rejects = ledger.apply_operations(stored, spark.createDataFrame(ops, OPS), fields)
+    rows = {r.ledger_id: r for r in table.collect()}
+    assert (rows["A"].title, rows["A"].status, rows["A"].note, rows["A"].deadline, rows["A"].updated_at) == ("y", "작성중", "n", "2026-01-05", "8")
+    assert rows["B"].status == "[삭제]" and rows["C"].updated_at == "v1" and rows["D"].title == "010-****-5678" and rows["D"].deadline == "2026-03-04" and rows["D"].status == "작성중" and "E" not in rows
+    assert {r.operation_id: r.reason for r in rejects.collect()} == {"a5": "conflict", "a7": "deleted", "a9": "invalid", "a10": "invalid", "b1": "invalid", "c1": "not deleted", "d2": "exists", "e1": "invalid"}
+    log = {(r.ledger_id, r.seq): (r.action, json.loads(r.snapshot), r.changed_fields) for r in history.collect()}
+    assert set(log) == {("A", 3), ("A", 4), ("A", 6), ("A", 8), ("D", 13)}
+    assert log["A", 4][1]["title"] == "x" and log["A", 6][1]["title"] == "y" and log["A", 8][1]["status"] == "작성중" and log["A", 3][2] == "title,updated_at" and log["A", 8][2] == "note,status,updated_at"
+    known = spark.createDataFrame([("B", 1, '{"status": "제출", "note": "old"}'), ("B", 2, '{"status": "완료", "note": "last"}')], "ledger_id string, history_id long, snapshot string")
+    back = {r.ledger_id: r for r in ledger.apply_operations(stored, spark.createDataFrame(ops, OPS), fields, deletions=known)[0].collect()}
+    assert back["B"].status == "완료" and back["B"].note == "last"
+
+
+def test_marked_as_submitted(spark):
+    stored = spark.createDataFrame([("A", "t", "작성중", "", "2026", "v1"), ("B", "t", "작성중", "2026-01-01", "2026", "v1")], "ledger_id string, title string, status string, submit_date string, year string, updated_at string")
+    ops = ledger.mark_submitted(stored, datetime.date(2026, 1, 10)).withColumn("seq", F.monotonically_increasing_id()).withColumn("operation_id", F.col("ledger_id"))
+    rows = {r.ledger_id: r for r in ledger.apply_operations(stored, ops, ["title", "status", "submit_date", "year"])[0].collect()}
+    assert (rows["A"].status, rows["A"].submit_date, rows["B"].submit_date) == ("제출", "2026-01-10", "2026-01-01")
+    versions = ledger.with_versions(ops).select("updated_at")
+    assert versions.distinct().count() == 2
+
+
 def test_timeline(spark):
     h = spark.createDataFrame([(1, "A", "INSERT", "s0"), (2, "A", "UPDATE", "s0"), (3, "A", "RESTORE", "sr"), (4, "A", "UPDATE", "s1")], "history_id long, ledger_id string, action string, snapshot string")
     now = spark.createDataFrame([("A", "s2")], "ledger_id string, state string")
@@ -39,6 +75,9 @@ def test_field_changes(spark):
     changes = ledger.field_changes(ledger.parse_snapshot("x"), ledger.parse_snapshot("y"), ["title", "note", "status"])
     got = [[(c.field, c.before, c.after) for c in r[0]] for r in df.coalesce(1).select(changes).collect()]
     assert got == [[("title", "a", "b"), ("note", "n", "")], []]
+    shots = spark.createDataFrame([('{"aide": "010-1234-5678", "title": "010-1234-5678"}',), ("no object 010-1234-5678",)], "s string")
+    masked = [r[0] for r in shots.coalesce(1).select(ledger.mask_snapshot("s")).collect()]
+    assert json.loads(masked[0]) == {"aide": "010-****-5678", "title": "010-1234-5678"} and masked[1] == "no object 010-****-5678"
 
 
 def test_ids(spark):

@@ -24,15 +24,25 @@ CASES = {
     '"차단 현황"': {"D1"},
     "통계를": {"D2", "D3"},
     "없는말": set(),
-    "": set(),
+    "": {"D1", "D2", "D3", "D4"},
+    "-예산": {"D2", "D4"},
+    '"차단 현황" OR': {"D1"},
+    "요구자:의원 예산": {"D1"},
+    "의원:의원": {"D1", "D2"},
+    "연도:2026 예산": set(),
+    "모름:값": set(),
+    "ㅂㅇ": {"D2"},
+    "김철수 | 박민수": {"D1", "D3"},
     "예산 -예산": set(),
 }
 
 
-@pytest.mark.parametrize("candidates", [True, False])
-def test_golden_queries(spark, docs, candidates):
+@pytest.mark.parametrize("forms, many", [(20_000, 400), (3, 1)])
+def test_golden_queries(spark, docs, monkeypatch, forms, many):
+    monkeypatch.setattr(search, "PASS_FORMS", forms)
+    monkeypatch.setattr(search, "MANY_FORMS", many)
     asked = spark.createDataFrame(list(enumerate(CASES)), "query_id int, query string")
-    got = search.batch_search(docs, asked, FIELDS, candidates=candidates).collect()
+    got = search.batch_search(docs, asked, FIELDS, initials=("title", "requester")).collect()
     for i, (query, want) in enumerate(CASES.items()):
         assert {r.doc_id for r in got if r.query_id == i} == want, query
 
@@ -53,5 +63,29 @@ def test_filters(spark, docs):
     assert {r.doc_id for r in search.initials_filter(docs, "ㄱㅊㅅ", ["requester"]).collect()} == {"D1"}
     assert {r.doc_id for r in search.plan_filter(docs, [], ["title"], without=("예산",)).collect()} == {"D1", "D2", "D4"}
     assert search.plan_filter(docs, [], ["title"]).count() == 4
+    assert {r.doc_id for r in search.plan_filter(docs, [["ㅂㅇ"], ["통계", "본문"]], ["title", "body"], initials=("title",)).collect()} == {"D2", "D3"}
     assert search.field_filter(docs, {"year": ["2026"]}).count() == 0
     assert {r.doc_id for r in search.field_filter(docs, {"requester": ["의원"]}).collect()} == {"D1", "D2"}
+
+
+def test_term_frequencies_count(spark):
+    docs = spark.createDataFrame([("a", "가나 가나 가나"), ("b", "가나 다라 마바"), ("c", "다라 마바 사아")], "doc_id string, body string")
+    asked = spark.createDataFrame([(1, "가나")], "query_id int, query string")
+    got = {r.doc_id: r.score for r in search.bm25(docs, asked, {"body": 1.0}).collect()}
+    assert set(got) == {"a", "b"} and got["a"] > got["b"] > 0
+
+
+def test_browser_score(spark):
+    docs = spark.createDataFrame([("a", "예산 현황", "김철수", "본문"), ("b", "현황", "예산실", "예산 본문"), ("c", "예산", "x", "")], "doc_id string, title string, requester string, full_markdown string")
+    score = lambda *args: {r.doc_id: r.score for r in search.browser_score(docs, *args).collect()}
+    assert score([["예산"]]) == {"a": 35.0, "b": 38.0, "c": 60.0}
+    assert score([["예산", "현황"], ["본문"]]) == {"a": 70.0, "b": 98.0}
+    assert score([["ㅇㅅ"]]) == {"a": 35.0, "b": 30.0, "c": 35.0} and score([["예ㅅ"]]) == {"a": 40.0, "b": 35.0, "c": 40.0}
+    assert score([["예산"]], ("산 현",)) == {"a": 85.0}
+
+
+def test_dates_of_queries(spark):
+    rows = spark.createDataFrame([(1, "2026-01-05", "예산"), (2, "2026-02-28", "예산"), (3, "", "예산"), (4, "2025-12-31", "현황")], "ledger_id int, request_date string, title string")
+    asked = ["기간:2026-01..2026-02 예산", "date:..2025", "일자:2026.2", "date:2026.."]
+    got = search.batch_search(rows, spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"), {"title": 50.0}, "ledger_id").collect()
+    assert {i: {r.ledger_id for r in got if r.query_id == i} for i in range(4)} == {0: {1, 2}, 1: {4}, 2: {2}, 3: {1, 2}}
