@@ -27,6 +27,8 @@ K1, B = 1.2, 0.75
 BLOCK = 8
 #: Items that one pass over the documents holds in memory, and their characters.
 PASS_ITEMS, PASS_CHARS = 50_000, 64 << 20
+#: Terms times items up to which impacts are kept as a dense table (8 bytes each) and not as lists.
+DENSE = 1 << 22
 
 _NOISE = re.compile(r"[\W_]+")
 _OTHER_NOISE = re.compile(r"[^\w\x00-\x7f]+")
@@ -119,6 +121,11 @@ class Index:
         self.term_length = np.diff(np.append(self.term_start, len(new)))
         self.term_most = np.maximum.reduceat(self.impact, np.searchsorted(term, np.arange(len(lists)))) if len(lists) else np.empty(0)
         self.blocks = -(-len(ids) // BLOCK)
+        self.dense = self.dense_most = None
+        if len(lists) * len(ids) <= DENSE:
+            self.dense = np.zeros((len(lists), self.blocks * BLOCK))
+            self.dense[term, self.item] = self.impact
+            self.dense_most = self.dense.reshape(len(lists), self.blocks, BLOCK).max(axis=2)
         self.passage = 2 * max([32, *map(len, words)])
         self.seen = self.scored = 0
 
@@ -138,6 +145,11 @@ class Index:
         self.seen += self.blocks
         if self.term_most[terms].sum() < 1 - 1e-9:
             return np.empty(0, dtype=np.int64)
+        if self.dense is not None:
+            pivots = np.flatnonzero(self.dense_most[terms].sum(axis=0) >= 1 - 1e-9)
+            self.scored += len(pivots)
+            items = (pivots[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            return items[self.dense[terms[:, None], items].sum(axis=0) >= 1 - 1e-9]
         parts = _ranges(self.term_start[terms], self.term_length[terms])
         bound = np.bincount(self.part_block[parts], weights=self.part_most[parts], minlength=self.blocks)
         pivot = bound >= 1 - 1e-9
@@ -158,8 +170,9 @@ class Index:
         starts = np.arange(0, max(1, len(terms) - half), half)
         sums = most[np.minimum(starts + self.passage, len(terms))] - most[starts]
         for at in starts[sums >= 1 - 1e-6].tolist():
-            distinct = np.unique(terms[at : at + self.passage])
-            found.update(self.search(distinct[1:] if distinct[0] < 0 else distinct).tolist())
+            t = np.sort(terms[at : at + self.passage])
+            t = t[np.append(t[0] >= 0, (t[1:] != t[:-1]) & (t[1:] >= 0))]
+            found.update(self.search(t).tolist())
         return found
 
 
