@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -33,6 +34,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folder below the application's that tables are written to, innermost last.
+_SCOPES: list[str] = []
+
+
+def new_path(spark: SparkSession, outside: bool = False) -> str:
+    """A path for a table in the shared folder; ``outside`` of the innermost :func:`scratch`, so that it stays."""
+    scopes = _SCOPES[:-1] if outside else _SCOPES
+    return "/".join([shared_dir(spark), "scribelake", spark.sparkContext.applicationId, *scopes, uuid.uuid4().hex])
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that :func:`materialize` writes inside are deleted at the end; only for what is not read afterwards."""
+    path = new_path(spark)
+    _SCOPES.append(path.rsplit("/", 1)[1])
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -43,7 +71,7 @@ def materialize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     if columns:
         df = df.select(*columns)
-    path = f"{shared_dir(spark)}/scribelake/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -61,10 +89,7 @@ def bound_batches(spark: SparkSession, size: int = 2 << 20) -> None:
 
 def release(spark: SparkSession) -> None:
     """Delete everything that :func:`materialize` wrote in this application."""
-    path = f"{shared_dir(spark)}/scribelake/{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    delete(spark, f"{shared_dir(spark)}/scribelake/{spark.sparkContext.applicationId}")
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64
-from .words import _IS_WORD, _VALUES, SEGMENT, _power_tables
+from .words import _IS_WORD, _VALUES, SEGMENT, _power_tables, _segments
 
 K1, B = 1.2, 0.75
 #: Items of one index block.
@@ -48,9 +48,7 @@ def _plain(text: str | None) -> bytes:
     return (text if text.isascii() else _OTHER_NOISE.sub("", text)).encode("utf-8", "surrogatepass")
 
 
-def hash_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the :func:`tokens` of plain texts, end to end, and how many each text has."""
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+def _hash_run(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     raw = raw[_STAYS[raw]]
     word = _IS_WORD[raw]
     first = word.copy()
@@ -63,6 +61,35 @@ def hash_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix64(np.add.reduceat(_VALUES[raw] * powers[0, : len(raw)], starts) * powers[1, starts]), counts
 
 
+def hash_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the :func:`tokens` of plain texts, end to end, and how many each text has; a long text is read in segments."""
+    hashes, counts = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+
+    def add(run: list[bytes], whole: bool) -> None:
+        """Hash a run of texts, or with ``whole`` the segments of one text."""
+        for part in [run] if not whole else [[s] for s in run]:
+            h, c = _hash_run(np.frombuffer(b"\n".join(part) + b"\n", dtype=np.uint8))
+            hashes.append(h)
+            if not whole:
+                counts.append(c)
+        if whole:
+            counts.append(np.array([sum(map(len, hashes[-len(run) :]))]))
+
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > SEGMENT:
+            add(run, False)
+            run, size = [], 0
+        if len(t) > SEGMENT:
+            add(list(_segments(t)), True)
+        else:
+            run.append(t)
+            size += len(t)
+    if run:
+        add(run, False)
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     """Words up to the first question mark or line end, and the rest; halves where there is neither."""
     m = _QUESTION.search(text)

@@ -11,8 +11,8 @@ from .common import mix64
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2**64
 _BACK = pow(_STEP, -1, 1 << 64)
-#: Bytes of text that are hashed at once; a longer text is cut at white space.
-SEGMENT = 1 << 20
+#: Bytes of text that are hashed at once (some 30 bytes of arrays each); a longer text is cut at white space.
+SEGMENT = 1 << 17
 
 _SPACE_BYTES = b" \t\n\x0b\x0c\r"
 _SPACE_RE = re.compile(rb"[ \t\n\x0b\x0c\r]")
@@ -26,7 +26,7 @@ def _power_tables(n: int) -> np.ndarray:
     """Powers of ``_STEP`` and of its inverse, for ``n`` places."""
     global _powers
     if _powers.shape[1] < n:
-        out = np.empty((2, max(n, 1 << 16)), dtype=np.uint64)
+        out = np.empty((2, max(n, SEGMENT + 2)), dtype=np.uint64)
         out[:, 0] = 1
         for row, base in zip(out, (_STEP, _BACK)):
             row[1:] = np.uint64(base)
@@ -89,7 +89,7 @@ def hash_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.empty(0, dtype=np.uint64)), counts
 
 
-def chunks(ids: list, texts: list, words: int = 1 << 18):
+def chunks(ids: list, texts: list, words: int = 1 << 16):
     """Runs of rows of about ``words`` words: (ids, word hashes end to end, words of each row)."""
     limit, start, size, run = words * 6, 0, 0, []
     for i, t in enumerate(texts):
