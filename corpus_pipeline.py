@@ -2,6 +2,9 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame. Between stages the documents are
 written as Parquet and read again, so a stage never depends on the lineage of the one before.
+A row is decided by itself in every stage, also where rows share a doc_id or have none; extra columns pass
+through, and an empty table stays empty. Line dedup stands before the near-copy join, so that the
+join sees documents whose repeated lines are gone: near copies have by then lost what they shared.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scribelake.llm import decontam, langid, linededup, mixing, ngramjoin
-from scribelake.llm.common import bound_batches, materialize
+from scribelake.llm.common import bound_batches, delete, materialize, new_path, scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +57,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs)
-    return docs
+    """The mix of the documents that the stages before it keep.
+
+    What a stage writes for itself, and the stage before it, are deleted once its result is written.
+    An empty table gives no rows.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):
+            after, path = stage(spark, docs, sf_dir), new_path(spark, outside=True)
+            after.write.parquet(path)
+        docs = spark.read.schema(after.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -71,13 +71,13 @@ x AS (SELECT doc_id, 5.0 AS weight, n_title AS x FROM n WHERE n_title <> '' UNIO
 sizes AS (SELECT doc_id, sum(length(x)) AS size FROM x GROUP BY 1), totals AS (SELECT count(*) AS n, avg(size) AS mean FROM sizes),
 tf AS (SELECT query_id, group_no, term_no, doc_id, sum(weight * ((length(x) - length(replace(x, v, ''))) // length(v))) AS tf FROM x JOIN terms ON contains(x, v) GROUP BY ALL),
 df AS (SELECT query_id, group_no, term_no, count(*) AS df FROM tf GROUP BY ALL),
-s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 4)::DOUBLE AS score
+s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 2)::DOUBLE AS score
       FROM tf JOIN df USING (query_id, group_no, term_no) JOIN sizes USING (doc_id) CROSS JOIN totals GROUP BY ALL)
 SELECT query_id, doc_id, score FROM s""")
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 with field weights in the term frequency."""
     found = search.bm25(documents(spark, sf_dir), benchmark_queries(spark, sf_dir), {"title": 5.0, "full_markdown": 1.0})
-    return found.select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    return found.select("query_id", "doc_id", F.round("score", 2).alias("score"))
 
 
 @BOOK.query(f"""WITH {DOCUMENTS_SQL}, {_NORMAL} SELECT doc_id, requester FROM n WHERE (({_either('ering')} AND {_either('theth')}) OR {_either('ation')}) AND NOT {_either('licensed')}""")
@@ -184,12 +184,13 @@ def search_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.query(f"""WITH {DOCUMENTS_SQL}, p AS (SELECT doc_id, full_markdown AS x, CASE WHEN instr(lower(full_markdown), 'thering') > 0 THEN instr(lower(full_markdown), 'thering') - 1 WHEN instr(lower(full_markdown), 'than') > 0 THEN instr(lower(full_markdown), 'than') - 1 END AS pos,
   CASE WHEN instr(lower(full_markdown), 'thering') > 0 THEN 7 ELSE 4 END AS n FROM docs WHERE contains(lower(full_markdown), 'licensed')),
 s AS (SELECT doc_id, x, pos, greatest(pos - 60, 0) AS "start", least(pos + n + 60, length(x)) AS "end" FROM p)
-SELECT doc_id, CASE WHEN pos IS NULL THEN left(x, 300) ELSE substr(x, "start" + 1, "end" - "start") END AS snippet, "start"::INT AS "start", CASE WHEN pos IS NOT NULL THEN "end" END::INT AS "end" FROM s""")
+SELECT doc_id, CASE WHEN pos IS NULL THEN left(x, 300) ELSE substr(x, "start" + 1, "end" - "start") END AS snippet, coalesce("start", -1)::INT AS "start", coalesce(CASE WHEN pos IS NOT NULL THEN "end" END, -1)::INT AS "end" FROM s""")
 def agent_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snippets of hits with their ranges."""
     docs = documents(spark, sf_dir)
     found = search.words_filter(docs, "licensed", ["full_markdown"], None).select("doc_id")
-    return search.agent_snippets(found, docs, "a thering than", "full_markdown")
+    hits = search.agent_snippets(found, docs, "a thering than", "full_markdown")
+    return hits.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("start", "end")})
 
 
 @BOOK.query("""SELECT doc_id, instr(lower(text), 'lic') > 0 AS hit, CASE WHEN instr(lower(text), 'thering') = 0 AND instr(lower(text), 'licensed') = 0 THEN substr(text, 1, 140) ELSE
