@@ -41,6 +41,8 @@ FIELD_COLUMNS = tuple(dict.fromkeys(x for x in FIELDS.values() if x != "date"))
 PASS_FORMS = 20_000
 #: Forms from which an automaton is faster than one look for each.
 MANY_FORMS = 400
+#: Characters from which a form goes into the automaton.
+LONG_FORM = 5
 #: Longest text whose initials are compared.
 INITIALS_LIMIT = 4000
 
@@ -117,11 +119,16 @@ def _reader(forms: list[str]):
         import ahocorasick
     except ImportError:
         return lambda text: [i for i, f in enumerate(forms) if f in text]
+    # short forms are found early in a text or nowhere near it; an automaton would stop at each of their hits
+    short = [(i, f) for i, f in enumerate(forms) if len(f) < LONG_FORM]
     automaton = ahocorasick.Automaton()
     for i, f in enumerate(forms):
-        automaton.add_word(f, i)
+        if len(f) >= LONG_FORM:
+            automaton.add_word(f, i)
     automaton.make_automaton()
-    return lambda text: sorted({i for _, i in automaton.iter(text)})
+    if not len(automaton):
+        return lambda text: [i for i, f in short if f in text]
+    return lambda text: sorted({i for _, i in automaton.iter(text)} | {i for i, f in short if f in text})
 
 
 def form_hits(texts: DataFrame, variants: DataFrame, key: str = "doc_id", counted: bool = False) -> DataFrame:
@@ -384,12 +391,12 @@ def browser_score(rows: DataFrame, groups: list[list[str]], phrases: tuple[str,
 
 def with_snippets(found: DataFrame, docs: DataFrame, needles: list[str], body: str, key: str = "doc_id") -> DataFrame:
     """Joins bodies only after the hits are chosen; a small result is broadcast, so bodies are not shuffled."""
-    return docs.select(key, col(body).alias("__body")).join(small(found), key).withColumn("snippet", snippet("__body", needles)).drop("__body")
+    return docs.select(key, col(body).alias("__body")).join(small(cut(found)), key).withColumn("snippet", snippet("__body", needles)).drop("__body")
 
 
 def agent_snippets(found: DataFrame, docs: DataFrame, query: str, body: str, key: str = "doc_id") -> DataFrame:
     """Snippet of the first query word of two characters or more that occurs, with its range."""
-    return docs.select(key, col(body).alias("__body")).join(small(found), key).select(*found.columns, agent_snippet("__body", query).alias("s")).select(*found.columns, "s.*")
+    return docs.select(key, col(body).alias("__body")).join(small(cut(found)), key).select(*found.columns, agent_snippet("__body", query).alias("s")).select(*found.columns, "s.*")
 
 
 def query_log(searched: DataFrame, queries: DataFrame, mode: str = "all") -> DataFrame:
@@ -432,7 +439,7 @@ def federated(queries: DataFrame, sources: dict[str, tuple[DataFrame, str, dict[
     """
     out = None
     for kind, (rows, key, fields, title) in sources.items():
-        found = batch_search(rows, queries, fields, key, k=k).select("query_id", key, "score")
+        found = cut(batch_search(rows, queries, fields, key, k=k).select("query_id", key, "score"))
         named = rows.select(key, col(title).alias("title")).join(small(found), key)
         one = named.select(F.lit(kind).alias("kind"), "query_id", F.col(key).cast("string").alias("key"), "title", "score")
         out = one if out is None else out.unionByName(one)
