@@ -51,16 +51,15 @@ def mask_phone(c: Column | str) -> Column:
     """Mobile numbers keep their prefix and last four digits.
 
     No digit or hyphen may stand before one and no digit after it; parts are joined by nothing or by
-    one of ``-``, ``.``, white space and, after the prefix, ``)``. The pattern begins with its literal, so
-    the look-behind is only tried at a 0.
+    one of ``-``, ``.``, white space and, after the prefix, ``)``.
     """
-    pattern = rf"0(?<![{_DIGIT}-]0)1([016789])[-.){_GAP}]?{_DIGIT}{{3,4}}[-.{_GAP}]?({_DIGIT}{{4}})(?!{_DIGIT})"
-    return _where(col(c), col(c).contains("01"), F.regexp_replace(col(c), pattern, "01$1-****-$2"))
+    pattern = rf"(?<![{_DIGIT}-])(01[016789])[-.){_GAP}]?{_DIGIT}{{3,4}}[-.{_GAP}]?({_DIGIT}{{4}})(?!{_DIGIT})"
+    return _where(col(c), col(c).contains("01"), F.regexp_replace(col(c), pattern, "$1-****-$2"))
 
 
 def mask_resident_number(c: Column | str) -> Column:
     """Six digits, a separator or none, and seven digits of which the first, 1 to 4, stays."""
-    pattern = rf"({_DIGIT}(?<![{_DIGIT}-]{_DIGIT}){_DIGIT}{{5}})[-.{_GAP}]?([1-4]){_DIGIT}{{6}}(?!{_DIGIT})"
+    pattern = rf"(?<![{_DIGIT}-])({_DIGIT}{{6}})[-.{_GAP}]?([1-4]){_DIGIT}{{6}}(?!{_DIGIT})"
     return F.regexp_replace(col(c), pattern, "$1-$2******")
 
 
@@ -71,7 +70,7 @@ _OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 def mask_email(c: Column | str) -> Column:
     """One or two characters before the sign leave the first; more leave two."""
     local, domain = "[A-Za-z0-9._%+-]", r"[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-    text = F.regexp_replace(col(c), f"({local}(?<!{local}{local}){local}*+)@({domain})(?![A-Za-z0-9-])", f"{_OPEN}$1{_CLOSE}@$2")
+    text = F.regexp_replace(col(c), f"(?<!{local})({local}++)@({domain})(?![A-Za-z0-9-])", f"{_OPEN}$1{_CLOSE}@$2")
     text = F.regexp_replace(text, f"{_OPEN}(.).?{_CLOSE}", "$1*")
     return _where(col(c), col(c).contains("@"), F.regexp_replace(text, f"{_OPEN}(..).+?{_CLOSE}", "$1***"))
 
