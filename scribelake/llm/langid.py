@@ -78,8 +78,8 @@ class LanguageModel:
     hashes: int
 
     def false_positive_rates(self) -> np.ndarray:
-        rates = [np.unpackbits(p[:, None], axis=1, bitorder="little").mean(axis=0) for p in self.planes]
-        return (np.concatenate(rates)[: len(self.languages)] if rates else np.empty(0)) ** self.hashes
+        rates = [np.count_nonzero(p & np.uint8(1 << b)) / len(p) for p in self.planes for b in range(8)]
+        return np.array(rates[: len(self.languages)]) ** self.hashes
 
     def masks(self, h: np.ndarray) -> np.ndarray:
         """Byte planes x n-grams: the languages that contain each n-gram."""

@@ -29,8 +29,10 @@ from .words import _MULT, chunks, grams, inside
 
 #: Members of a bucket or group that one block holds at most on average.
 BLOCK = 512
-#: Shingles that one block holds at most on average, and that are compared at once.
+#: Shingles that one block holds at most on average.
 BLOCK_SHINGLES = 400_000
+#: Shingles of pairs that are compared at once (some 60 bytes of arrays each).
+AT_ONCE = 100_000
 #: Rows (some 100 bytes each) up to which a side of a join is broadcast.
 BROADCAST_ROWS = 250_000
 #: Words of a batch whose hashes are held at once.
@@ -145,7 +147,7 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     keep = shared[col]
     row, col = row[keep], (np.cumsum(shared) - 1)[col[keep]]
     out = np.zeros((n, n), dtype=np.float32)
-    step, width = 8192, int(col[-1]) + 1 if len(col) else 0
+    step, width = 1024, int(col[-1]) + 1 if len(col) else 0
     for lo in range(0, width, step):  # col is sorted
         i, j = np.searchsorted(col, (lo, lo + step))
         m = np.zeros((n, min(step, width - lo)), dtype=np.float32)
@@ -155,13 +157,13 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _pair_intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Intersection size of each pair of sets, some ``BLOCK_SHINGLES`` at a time."""
+    """Intersection size of each pair of sets, some ``AT_ONCE`` shingles at a time."""
     out = np.zeros(len(i), dtype=np.int64)
     sizes = np.array([len(s) for s in sets])
     load = np.cumsum(sizes[i] + sizes[j])
     at = 0
     while at < len(i):
-        end = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + BLOCK_SHINGLES)))
+        end = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + AT_ONCE)))
         both = np.concatenate([x for a, b in zip(i[at:end], j[at:end]) for x in (sets[a], sets[b])])
         pair = np.repeat(np.arange(at, end), sizes[i[at:end]] + sizes[j[at:end]])
         key = mix64(both + pair.astype(np.uint64) * _SALT)
@@ -323,11 +325,14 @@ def _verified(docs: DataFrame, coarse: DataFrame, width: int, threshold: float)
             right.append(j[ok])
         for g in np.flatnonzero(members > FEW):
             at = np.flatnonzero(group == g)
-            i, j = np.nonzero(np.triu(linked(_intersections([sets[k] for k in at]).astype(np.float64), size[at], np.arange(len(at))[:, None], np.arange(len(at))[None, :]), 1))
-            i, j = at[i], at[j]
-            apart = sides[i] != sides[j]
-            left.append(i[apart])
-            right.append(j[apart])
+            both, every = _intersections([sets[k] for k in at]), np.arange(len(at))
+            for k in range(0, len(at), 64):  # rows at a time, so that the tests of all pairs aren't held at once
+                some = every[k : k + 64]
+                i, j = np.nonzero(linked(both[some].astype(np.float64), size[at], some[:, None], every[None, :]) & (some[:, None] < every[None, :]))
+                i, j = at[some[i]], at[j]
+                apart = sides[i] != sides[j]
+                left.append(i[apart])
+                right.append(j[apart])
         i, j = (np.concatenate(x) if x else np.zeros(0, dtype=int) for x in (left, right))
         copies, node = pdf["copies"].to_numpy(), pdf["node"].to_numpy()
         links = np.bincount(i, weights=copies[j], minlength=len(pdf)) + np.bincount(j, weights=copies[i], minlength=len(pdf))
