@@ -87,6 +87,21 @@ def bound_batches(spark: SparkSession, size: int = 2 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, size: int):
+    """Inside, Python workers get batches of about ``size`` bytes; only for what is written inside."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def release(spark: SparkSession) -> None:
     """Delete everything that :func:`materialize` wrote in this application."""
     delete(spark, f"{shared_dir(spark)}/scribelake/{spark.sparkContext.applicationId}")

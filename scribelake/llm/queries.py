@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, decontam, langid, linededup, mixing, ngramjoin, rules, substring, tokencount, toxicity
+from . import cotrain, decontam, langid, linededup, mixing, ngramjoin, rules, substring, tokencount, topk, toxicity
 from .common import held_out, materialize
 
 
@@ -74,7 +74,12 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_tokens, op5_langid, op6_rules, rule_ablations, op7_decontam, op8_linededup, op9_substring, op10_jaccard)}
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.scaled(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_tokens, op5_langid, op6_rules, rule_ablations, op7_decontam, op8_linededup, op9_substring, op10_jaccard, op11_topk)}
 
 # Rule bits and thresholds are those of rules.RULES.
 _OP6 = r"""
@@ -139,4 +144,14 @@ SELECT policy, rule, count_if(failed & bit <> 0)::BIGINT AS fails, count_if(fail
 FROM f CROSS JOIN p JOIN m USING (policy) GROUP BY policy, rule
 """
 
-ORACLE_SQL = {"op6_rules": _OP6, "op8_linededup": _OP8, "rule_ablations": _ABLATIONS}
+_OP11 = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id OR q.v <> c.v WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20
+"""
+
+ORACLE_SQL = {"op11_topk": _OP11, "op6_rules": _OP6, "op8_linededup": _OP8, "rule_ablations": _ABLATIONS}
