@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, decontam, langid, linededup, mixing, ngramjoin, rules, substring, tokencount, topk, toxicity
+from . import cotrain, decontam, divergence, langid, linededup, mixing, ngramjoin, rules, substring, tokencount, topk, toxicity
 from .common import held_out, materialize
 
 
@@ -79,7 +79,11 @@ def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_tokens, op5_langid, op6_rules, rule_ablations, op7_decontam, op8_linededup, op9_substring, op10_jaccard, op11_topk)}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_tokens, op5_langid, op6_rules, rule_ablations, op7_decontam, op8_linededup, op9_substring, op10_jaccard, op11_topk, op13_divergence)}
 
 # Rule bits and thresholds are those of rules.RULES.
 _OP6 = r"""
@@ -154,4 +158,39 @@ WITH v AS (
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20
 """
 
-ORACLE_SQL = {"op11_topk": _OP11, "op6_rules": _OP6, "op8_linededup": _OP8, "rule_ablations": _ABLATIONS}
+_OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), w AS (
+  SELECT doc, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM w WHERE term <> '' GROUP BY lang, term HAVING count(DISTINCT doc) >= 30
+), v AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL
+), l AS (
+  SELECT lang, sum(total) AS total FROM g GROUP BY lang
+), p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)::HUGEINT) // (total + 5 * v)::HUGEINT AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)::HUGEINT) // (any_value(total) + 5 * any_value(v))::HUGEINT AS q
+  FROM c JOIN l USING (lang) JOIN v USING (lang) GROUP BY lang, term
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(pa.p - pb.p)), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p pa ON pa.lang = a.lang AND pa.source = a.source LEFT JOIN p pb ON pb.lang = b.lang AND pb.source = b.source AND pb.term = pa.term
+  GROUP BY ALL
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 50
+"""
+
+ORACLE_SQL = {"op11_topk": _OP11, "op13_divergence": _OP13, "op6_rules": _OP6, "op8_linededup": _OP8, "rule_ablations": _ABLATIONS}
