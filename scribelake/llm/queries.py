@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, decontam, divergence, langid, linededup, mixing, ngramjoin, rules, substring, tokencount, topk, toxicity
+from . import collocation, cotrain, decontam, divergence, langid, linededup, mixing, ngramjoin, rules, substring, tokencount, topk, toxicity
 from .common import held_out, materialize
 
 
@@ -79,11 +79,15 @@ def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(_table(spark, sf_dir, "documents")).drop("k")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_tokens, op5_langid, op6_rules, rule_ablations, op7_decontam, op8_linededup, op9_substring, op10_jaccard, op11_topk, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality, op4_tokens, op5_langid, op6_rules, rule_ablations, op7_decontam, op8_linededup, op9_substring, op10_jaccard, op11_topk, op12_collocations, op13_divergence)}
 
 # Rule bits and thresholds are those of rules.RULES.
 _OP6 = r"""
@@ -158,6 +162,32 @@ WITH v AS (
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20
 """
 
+_OP12 = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS piece, lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), g AS (
+  SELECT lang, s, array_to_string(w[i:i + s - 1], ' ') AS g FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM p CROSS JOIN (VALUES (1), (2), (3)) t(s) WHERE len(w) >= s)
+), f AS MATERIALIZED (
+  SELECT lang, s, g, count(*) AS f FROM g GROUP BY ALL
+), t AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE s = 1 GROUP BY lang
+), c AS MATERIALIZED (
+  SELECT lang, s, g, f AS a, string_split(g, ' ') AS w FROM f WHERE s > 1 AND f >= 10
+), gone AS (
+  SELECT DISTINCT c.lang, c.g FROM c JOIN (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS g FROM c WHERE s = 3) b ON c.lang = b.lang AND c.g = b.g WHERE 100 * b.a >= 50 * c.a
+), sides AS MATERIALIZED (
+  SELECT *, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, s)) AS k FROM c)
+), cuts AS (
+  SELECT i.lang, i.g, i.a, k, x.f AS l, y.f AS r, ((1000000::HUGEINT * i.a * i.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM sides i JOIN f x ON x.lang = i.lang AND x.g = i.x JOIN f y ON y.lang = i.lang AND y.g = i.y
+), best AS (
+  SELECT * FROM cuts ANTI JOIN gone USING (lang, g) QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
+FROM best JOIN t USING (lang) QUALIFY rank <= 2000
+"""
+
 _OP13 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -193,4 +223,4 @@ SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PAR
 FROM r QUALIFY part = 'pair' OR rank <= 50
 """
 
-ORACLE_SQL = {"op11_topk": _OP11, "op13_divergence": _OP13, "op6_rules": _OP6, "op8_linededup": _OP8, "rule_ablations": _ABLATIONS}
+ORACLE_SQL = {"op11_topk": _OP11, "op12_collocations": _OP12, "op13_divergence": _OP13, "op6_rules": _OP6, "op8_linededup": _OP8, "rule_ablations": _ABLATIONS}
