@@ -33,7 +33,7 @@ BLOCK = 512
 BLOCK_SHINGLES = 400_000
 #: Shingles of pairs that are compared at once (some 60 bytes of arrays each).
 AT_ONCE = 100_000
-#: Rows (some 100 bytes each) up to which a side of a join is broadcast.
+#: Rows up to which a side of a join is broadcast, and a hundredth of its bytes.
 BROADCAST_ROWS = 250_000
 #: Words of a batch whose hashes are held at once.
 CHUNK_WORDS = 1 << 16
@@ -192,8 +192,11 @@ def _blocked(rows: DataFrame, count, size_column: str | None = None) -> DataFram
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a table for broadcast when a count of at most ``rows`` + 1 of its rows shows that it is small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Marks a table for broadcast when its first ``rows`` + 1 rows show that it has no more, nor 100 bytes for each of these."""
+    wide = [F.coalesce(F.octet_length(f.name) if f.dataType.typeName() in ("string", "binary") else F.size(f.name) * 8, F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary", "array")]
+    size = F.sum(sum(wide, F.lit(16 * len(df.columns))).cast("long"))
+    count, held = df.limit(rows + 1).agg(F.count("*"), size).head()
+    return F.broadcast(df) if count <= rows and (held or 0) <= 100 * rows else df
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rows: int = 5, recall: float = 0.9995) -> tuple[DataFrame, DataFrame]:

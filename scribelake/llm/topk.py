@@ -4,8 +4,8 @@
    more are kept, whatever number of copies there is (a group limit before the shuffle).
 2. Classes are dealt by range of (components, length descending) and packed into buckets of
    ``BUCKET`` neighbours in length; the classes of query rows are packed the same way into blocks.
-3. Each block meets the bucket of the longest vectors first. The score of its (k + 1)-th class
-   is a bound that an answer must reach.
+3. Each block meets the longest vectors first (``SEED`` components of them). The score of its
+   (k + 1)-th class is a bound that an answer must reach.
 4. Buckets form stripes. A block goes through a stripe from long to short and keeps the best
    classes of each query, so its bounds rise on the way. The bound divided by the lengths of the
    query and of the bucket is the local cosine threshold: over 1 the bucket is skipped for this
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import batches_of, materialize
 from .neardup import broadcast_if_small
 
-#: Components of a bucket and of a block of queries (1 and 0.5 MB), and buckets of a stripe.
-BUCKET, BLOCK, STRIPE = 1 << 17, 1 << 16, 16
+#: Components of a bucket, of a block of queries and of the first buckets (1, 0.5 and 4 MB), and buckets of a stripe.
+BUCKET, BLOCK, SEED, STRIPE = 1 << 17, 1 << 16, 1 << 19, 16
 #: Local cosine threshold from which coordinates prune, and how many of them are looked at.
 COSINE, FOCUS = 0.85, 3
 _PACK = "dim int, longest double, n int, nodes binary, ids binary, vectors binary"
@@ -171,33 +171,35 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     asked = materialize(queries.select("vec_id", "v").join(known.select("node", "v"), "v").select("vec_id", "node").distinct())
     blocks = _packed(known.join(asked.select("node").distinct(), "node", "left_semi"), BLOCK)
     blocks = blocks.select(F.col("pack").alias("block"), *[F.col(c).alias(f"q_{c}") for c in ("dim", "n", "nodes", "vectors")])
-    first = buckets.groupBy("dim").agg(F.min("pack").alias("pack"))
-    longest = broadcast_if_small(materialize(buckets.join(first, ["dim", "pack"])), 4)
+    ahead = F.coalesce(F.sum(F.col("n") * F.col("dim")).over(Window.partitionBy("dim").orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = buckets.select("dim", "pack", ahead.alias("ahead")).filter(F.col("ahead") < SEED).drop("ahead")
+    longest = broadcast_if_small(materialize(buckets.join(first, ["dim", "pack"])), 1 << 17)
 
-    def bounds(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                best = _Best(row, k)
-                best.meet(row)
-                out.append(best.bound.tobytes())
-            yield pd.DataFrame({"block": pdf["block"], "q_bound": out})
-
-    def search(batches):
+    def runs(batches):
+        """Blocks with what they have met; pairs come block by block, another order only costs rows."""
         key, best = None, None
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                if (row.stripe, row.block) != key:  # pairs come block by block; another order only costs rows
+                if (row.stripe, row.block) != key:
                     if best is not None:
-                        yield best.hits()
+                        yield key[1], best
                     key, best = (row.stripe, row.block), _Best(row, k)
                 best.meet(row)
         if best is not None:
+            yield key[1], best
+
+    def bounds(batches):
+        for block, best in runs(batches):
+            yield pd.DataFrame({"block": [block], "q_bound": [best.bound.tobytes()]})
+
+    def search(batches):
+        for _, best in runs(batches):
             yield best.hits()
 
     with batches_of(rows.sparkSession, 8 << 20):
-        pairs = blocks.withColumn("q_bound", F.lit(None).cast("binary")).join(longest, F.col("q_dim") == F.col("dim"))
-        ready = blocks.join(materialize(pairs.mapInPandas(bounds, "block long, q_bound binary")), "block")
+        pairs = blocks.withColumn("q_bound", F.lit(None).cast("binary")).withColumn("stripe", F.lit(0)).join(longest, F.col("q_dim") == F.col("dim"))
+        bound = materialize(pairs.mapInPandas(bounds, "block long, q_bound binary"))
+        ready = blocks.join(bound.groupBy("block").agg(F.first("q_bound").alias("q_bound")), "block")
         # packs are numbered from a multiple of 2^33 on in each partition, so neighbours share a stripe
         stripes = buckets.withColumn("stripe", F.floor(F.col("pack") / STRIPE))
         touched = broadcast_if_small(materialize(stripes.select("stripe", F.col("dim").alias("of_dim")).distinct()))
