@@ -3,7 +3,7 @@
 Strings are materialized late:
 
 1. one pass over the texts writes partial counts (lang, source, digest, count, documents), with the
-   term in a column of its own that the counting never reads;
+   term, once a flush, in a column of its own that the counting never reads;
 2. only digests are shuffled and counted; a language keeps those in enough of its documents;
 3. the least and the greatest term of each kept digest are taken, one row a digest and flush. Where they
    differ, digests collide: their rows, and no others, are counted again by term, and split;
@@ -28,8 +28,9 @@ from .neardup import broadcast_if_small
 
 #: Terms and sources of a block of the pair sums.
 TERMS, SOURCES = 2000, 256
-#: Entries of partial counts that a task holds before it hands them on, and bytes of a text that are split at once.
-HELD, SEGMENT = 200_000, 1 << 20
+#: Entries of partial counts (some 200 bytes each) that a task holds before it hands them on, and bytes of a text that are split at once.
+HELD, SEGMENT = 500_000, 1 << 20
+_DOCUMENT = 1 << 40  # an entry is so many times its documents, plus its occurrences
 
 _LETTERS = {*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)}
 #: Bytes: A-Z lower-cased, all that is in no term a blank.
@@ -52,31 +53,37 @@ def _terms(data: bytes):
 
 
 def partial_counts(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """lang, source, digest, n, docs, and the texts: term, and head, which is the term in one row of it a flush and language."""
+    """lang, source, digest, n, docs, and the texts: term, and head, which is the term in one row of it a flush and language.
+
+    A task hands on its counts after 2^20 documents at the latest, which keeps them apart from occurrences.
+    """
 
     def scan(batches):
         held: dict = {}
+        documents = 0
 
         def rows():
             named = set()
-            for (lang, source), (count, documents) in held.items():
+            for (lang, source), count in held.items():
                 head = [None if (lang, t) in named else t for t in count]
                 named.update((lang, t) for t in count)
                 text = [[lang] * len(count), [source] * len(count), list(count), head]
                 text = [pa.array(x, pa.binary()).cast(pa.string(), safe=False) for x in text]
-                yield pa.record_batch([*text, pa.array(count.values(), pa.int64()), pa.array([documents[t] for t in count], pa.int64())], schema=_ARROW)
+                both = np.fromiter(count.values(), dtype=np.int64, count=len(count))
+                yield pa.record_batch([*text, pa.array(both % _DOCUMENT), pa.array(both // _DOCUMENT)], schema=_ARROW)
 
         for batch in batches:
             for i, (text, lang, source) in enumerate(zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in ("text", "lang", "source")))):
-                count, documents = held.setdefault((lang, source), (Counter(), Counter()))
-                own = set()
+                count, own = held.setdefault((lang, source), Counter()), set()
                 for terms in _terms(text):
                     count.update(terms)
                     own.update(terms)
-                documents.update(own)
-                if i % 64 == 0 and sum(len(c) for c, _ in held.values()) > HELD:
+                for t in own:
+                    count[t] += _DOCUMENT
+                documents += 1
+                if documents >> 20 or i % 64 == 0 and sum(map(len, held.values())) > HELD:
                     yield from rows()
-                    held = {}
+                    held, documents = {}, 0
         yield from rows()
 
     found = _named(docs).mapInArrow(scan, _PARTIAL)
@@ -88,23 +95,24 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
-def kept_counts(partials: DataFrame, at_least: int) -> tuple[DataFrame, DataFrame]:
+def kept_counts(docs: DataFrame, at_least: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """(counts, names) of the terms in at least so many documents of their language.
 
     counts: lang, source, digest, part, n; names: lang, digest, part, term. part is 0, or tells terms
     with one digest apart.
     """
-    counted = materialize(partials.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    enough = materialize(counted.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= at_least).select("lang", "digest"))
+    partials = materialize(partial_counts(docs, bits).drop("term"))
+    enough = materialize(partials.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= at_least).select("lang", "digest"))
     some = broadcast_if_small(enough)
     ends = partials.filter("head is not null").join(some, ["lang", "digest"], "left_semi").groupBy("lang", "digest")
     ends = materialize(ends.agg(F.min("head").alias("term"), F.max("head").alias("last")))
     names = ends.filter("term = last").select("lang", "digest", F.lit(0).alias("part"), "term")
-    counts = counted.join(broadcast_if_small(materialize(names.select("lang", "digest", "part"))), ["lang", "digest"]).select("lang", "source", "digest", "part", "n")
+    counts = partials.join(broadcast_if_small(names.select("lang", "digest")), ["lang", "digest"], "left_semi").groupBy("lang", "source", "digest")
+    counts = counts.agg(F.sum("n").alias("n")).select("lang", "source", "digest", F.lit(0).alias("part"), "n")
     collided = ends.filter("term <> last").select("lang", "digest")
     if not collided.limit(1).count():
         return materialize(counts), names
-    own = partials.join(broadcast_if_small(collided), ["lang", "digest"], "left_semi").groupBy("lang", "source", "digest", "term")
+    own = partial_counts(docs, bits).join(broadcast_if_small(collided), ["lang", "digest"], "left_semi").groupBy("lang", "source", "digest", "term")
     own = materialize(own.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     apart = own.groupBy("lang", "digest", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= at_least)
     part = F.row_number().over(Window.partitionBy("lang", "digest").orderBy("term"))
@@ -165,7 +173,7 @@ def audit(docs: DataFrame, at_least: int = 30, top: int = 50, bits: int = 64) ->
     go to the lesser item (UTF-8). A group without terms has its pairs; a lone source has none. An empty
     table gives no rows; extra columns are ignored. ``bits`` is the width of digests.
     """
-    counts, names = kept_counts(materialize(partial_counts(docs, bits)), at_least)
+    counts, names = kept_counts(docs, at_least, bits)
     sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     vocabulary = names.groupBy("lang").agg(F.count("*").alias("terms"))
     groups = _named(docs).select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(vocabulary, "lang", "left")
