@@ -324,5 +324,5 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
         ranked = ranked.join(text.select(F.col("code").alias(c), F.col("word").alias(f"{c}_text")), c, "left")
     phrase = F.concat_ws(" ", "w1_text", "w2_text", "w3_text")
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    listed = ranked.withColumn("phrase", phrase).withColumn("rank", order.cast("long")).filter(F.col("rank") <= top)
-    return listed.join(broadcast_if_small(total), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "k")
+    listed = ranked.withColumn("phrase", phrase).withColumn("rank", order).filter(F.col("rank") <= top)  # each task keeps as many at most
+    return listed.join(broadcast_if_small(total), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", "k")
