@@ -202,5 +202,5 @@ def audit(docs: DataFrame, at_least: int = 30, top: int = 50, bits: int = 64) ->
     typical = typical.join(names, ["lang", "digest", "part"]).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
 
     order = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    listed = pairs.unionByName(typical).withColumn("rank", order.cast("int"))
-    return listed.filter((F.col("part") == "pair") | (F.col("rank") <= top)).select("lang", "source", "part", "item", "value", "rank")
+    listed = pairs.withColumn("rank", order).unionByName(typical.withColumn("rank", order).filter(F.col("rank") <= top))
+    return listed.select("lang", "source", "part", "item", "value", "rank")
