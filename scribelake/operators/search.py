@@ -20,6 +20,7 @@ from scribelake.functions.dates import normalize_date
 from scribelake.functions.text import agent_snippet, choseong, clean_term, col, nospace_lower, snippet, strip_suffix
 
 from .shared import cut, small
+from .trigrams import TrigramIndex, occurrences
 
 # Names of field qualifiers and the column that each stands for.
 FIELDS = {
@@ -43,6 +44,10 @@ PASS_FORMS = 20_000
 MANY_FORMS = 400
 #: Characters from which a form goes into the automaton.
 LONG_FORM = 5
+#: Forms up to which texts are read without leaving the JVM.
+FEW_FORMS = 48
+#: A form of initials.
+JAMO = "^[ㄱ-ㅎ]+$"
 #: Longest text whose initials are compared.
 INITIALS_LIMIT = 4000
 
@@ -131,6 +136,20 @@ def _reader(forms: list[str]):
     return lambda text: sorted({i for _, i in automaton.iter(text)} | {i for i, f in short if f in text})
 
 
+def _few_hits(texts: DataFrame, forms: list[str], key: str, counted: bool) -> DataFrame:
+    """:func:`form_hits` as SQL expressions: each text is normalised once and asked for each form."""
+    x, initials = F.col("x"), F.col("field").startswith("initials:")
+    hit = lambda v: F.contains(x, F.lit(v)) & (initials if re.search(JAMO, v) else ~initials)
+    n = lambda v: occurrences(x, F.lit(v)) if counted else F.lit(1).cast("long")
+    row = "struct<variant:string,n:bigint>"
+    found = [F.when(hit(v), F.struct(F.lit(v).alias("variant"), n(v).alias("n")).cast(row)) for v in forms]
+    if counted:
+        found.append(F.struct(F.lit(None).cast("string").alias("variant"), F.length(x).cast("long").alias("n")).cast(row))
+    hits = F.array_compact(F.array(*found)) if found else F.array().cast(f"array<{row}>")
+    norm = texts.select(key, "field", "weight", nospace_lower("text").alias("x"))
+    return norm.select(F.inline(hits), key, "field", "weight").select("variant", key, "field", "weight", "n")
+
+
 def form_hits(texts: DataFrame, variants: DataFrame, key: str = "doc_id", counted: bool = False) -> DataFrame:
     """(variant, key, field, weight, n) for each distinct ``variant`` that a field's text holds.
 
@@ -140,6 +159,9 @@ def form_hits(texts: DataFrame, variants: DataFrame, key: str = "doc_id", counte
     """
     spark = texts.sparkSession
     distinct = variants.select("variant").distinct()
+    few = [r["variant"] for r in distinct.limit(FEW_FORMS + 1).collect()]
+    if len(few) <= FEW_FORMS:
+        return _few_hits(texts, sorted(few), key, counted)
     passes = max(1, -(-distinct.count() // PASS_FORMS))
     kind = texts.schema[key].dataType.simpleString()
     out = None
@@ -166,10 +188,10 @@ def form_hits(texts: DataFrame, variants: DataFrame, key: str = "doc_id", counte
     return out
 
 
-def term_hits(texts: DataFrame, terms: DataFrame, key: str = "doc_id", counted: bool = False) -> DataFrame:
-    """(query_id, group_no, term_no, kind, key, field, weight, n) where a variant is in a field's text."""
+def term_hits(texts: DataFrame | TrigramIndex, terms: DataFrame, key: str = "doc_id", counted: bool = False) -> DataFrame:
+    """(query_id, group_no, term_no, kind, key, field, weight, n) where a variant is in a field's text, which is scanned or looked up."""
     variants = terms.select("query_id", "group_no", "term_no", "kind", F.explode("variants").alias("variant")).filter("variant <> ''").distinct()
-    hits = form_hits(texts, variants, key, counted)
+    hits = texts.hits(variants, counted) if isinstance(texts, TrigramIndex) else form_hits(texts, variants, key, counted)
     joined = hits.join(small(variants), "variant", "left" if counted else "inner")
     # several variants of one term count as one hit of a field; the sums of their counts are its count
     name = F.regexp_replace("field", "^initials:", "").alias("field")
@@ -209,6 +231,7 @@ def batch_search(
     synonyms: DataFrame | None = None,
     k: int | None = None,
     initials: tuple[str, ...] = (),
+    index: TrigramIndex | None = None,
 ) -> DataFrame:
     """(query_id, key, score) of every match; the ``k`` best of each query if given.
 
@@ -216,11 +239,12 @@ def batch_search(
     word does, and every qualifier holds. A query of exclusions or qualifiers alone, or an empty
     one, lists every row that is left, with a score of 0. Score: each term hit, in whatever group,
     adds its field's weight, each phrase twice that; a field with weight 0 is searched but not scored.
+    With an ``index`` over the same fields the texts are read for candidates only; the rows are the same.
     """
     spark = docs.sparkSession
     every = cut(query_terms(queries, synonyms))  # small, and used by every step below
     terms = every.filter("kind <> 'field'")
-    hits = term_hits(search_text(docs, fields, key, initials), terms, key)
+    hits = term_hits(index or search_text(docs, fields, key, initials), terms, key)
     need = terms.groupBy("query_id", "group_no", "kind").agg(F.count_distinct("term_no").alias("needed"))
     got = hits.groupBy("query_id", "group_no", "kind", key).agg(F.count_distinct("term_no").alias("got"), F.sum("weight").alias("weight"))
     whole = got.join(small(need), ["query_id", "group_no", "kind"])
@@ -260,13 +284,13 @@ def top_k(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float], key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float], key: str = "doc_id", k1: float = 1.2, b: float = 0.75, index: TrigramIndex | None = None) -> DataFrame:
     """(query_id, key, score): BM25 over substring occurrences, weighted by field in the term frequency.
 
     Lengths are those of the compared texts; rows without any text count neither in the mean nor in N.
     """
     terms = cut(query_terms(queries).filter("kind = 'term'"))
-    counted = term_hits(search_text(docs, fields, key), terms, key, counted=True)
+    counted = term_hits(index or search_text(docs, fields, key), terms, key, counted=True)
     counted = counted.withColumn("query", F.col("query_id").isNotNull())
     tf = counted.filter("query").groupBy("query_id", "group_no", "term_no", key).agg(F.sum(F.col("weight") * F.col("n")).alias("tf"))
     sizes = counted.filter("not query").groupBy(key).agg(F.sum("n").alias("size"))
@@ -304,25 +328,21 @@ def department_filter(rows: DataFrame, value: str) -> DataFrame:
 def plan_filter(rows: DataFrame, groups: list[list[str]], fields: list[str], phrases: tuple[str, ...] = (), without: tuple[str, ...] = (), initials: tuple[str, ...] = ()) -> DataFrame:
     """One query as a filter: OR over groups of AND over terms; an empty plan lists everything.
 
-    Terms of initials are compared with the initials of the ``initials`` fields. Each field is
-    normalised once a row, inside the condition, so the filter stays in the JVM.
+    Terms of initials are compared with the initials of the ``initials`` fields. The normalised fields
+    are columns of their own, so the filter is generated code.
     """
     norm = lambda t: "".join(t.split()).lower()
 
-    def test(a: Column) -> Column:
-        anywhere = lambda t: F.exists(a[0], lambda x: F.contains(x, F.lit(t)))
-        term = lambda t: F.exists(a[1], lambda x: F.contains(x, F.lit(t))) if re.fullmatch("[ㄱ-ㅎ]+", t) else anywhere(t)
-        tests = [~anywhere(norm(w)) for w in without] + [anywhere(norm(p)) for p in phrases]
-        if groups:
-            tests.append(reduce(lambda x, y: x | y, [reduce(lambda x, y: x & y, [term(norm(t)) for t in g]) for g in groups]))
-        return reduce(lambda x, y: x & y, tests)
-
     if not (groups or phrases or without):
         return rows
-    texts = F.array(*[nospace_lower(f) for f in fields])
-    short = F.array(choseong(F.concat_ws(" ", *initials))) if initials else F.array().cast("array<string>")
-    # the array of one element binds the normalised texts to a name, so they are made once
-    return rows.filter(F.exists(F.array(F.array(texts, short)), test))
+    texts = {f"__n{i}": nospace_lower(f) for i, f in enumerate(fields)}
+    either = lambda names, t: reduce(lambda x, y: x | y, [F.contains(n, F.lit(t)) for n in names]) if names else F.lit(False)
+    short = {"__initials": choseong(F.concat_ws(" ", *initials))} if initials and any(re.search(JAMO, norm(t)) for g in groups for t in g) else {}
+    term = lambda t: either(short, t) if re.search(JAMO, t) else either(texts, t)
+    tests = [~either(texts, norm(w)) for w in without] + [either(texts, norm(p)) for p in phrases]
+    if groups:
+        tests.append(reduce(lambda x, y: x | y, [reduce(lambda x, y: x & y, [term(norm(t)) for t in g]) for g in groups]))
+    return rows.withColumns(texts | short).filter(reduce(lambda x, y: x & y, tests)).drop(*texts, *short)
 
 
 def initials_filter(rows: DataFrame, term: str, fields: list[str]) -> DataFrame:
@@ -446,12 +466,12 @@ def federated(queries: DataFrame, sources: dict[str, tuple[DataFrame, str, dict[
     return out
 
 
-def similar_answers(requests: DataFrame, docs: DataFrame, stop: list[str], fields: dict[str, float], k: int = 5, keywords: int = 4) -> DataFrame:
+def similar_answers(requests: DataFrame, docs: DataFrame, stop: list[str], fields: dict[str, float], k: int = 5, keywords: int = 4, index: TrigramIndex | None = None) -> DataFrame:
     """Past documents for each request: up to four keywords each, by keywords hit, then by score."""
     words = F.filter(F.split(F.lower(F.col("title")), r"[^\w가-힣]+"), lambda w: (F.length(w) >= 2) & ~w.isin(stop))
     chosen = requests.select("request_id", F.posexplode(F.slice(F.array_distinct(words), 1, keywords)).alias("term_no", "value"))
     terms = chosen.select(F.col("request_id").alias("query_id"), F.lit(0).alias("group_no"), "term_no", F.lit("term").alias("kind"), F.array(nospace_lower("value")).alias("variants"))
-    hits = term_hits(search_text(docs, fields), terms)
+    hits = term_hits(index or search_text(docs, fields), terms)
     scored = hits.groupBy("query_id", "doc_id").agg(F.count_distinct("term_no").alias("hits"), F.sum("weight").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("hits"), F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

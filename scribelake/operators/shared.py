@@ -3,30 +3,45 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows (some 100 bytes each) up to which a side of a join is broadcast.
+#: Rows up to which a side of a join is broadcast, and a hundredth of its bytes.
 BROADCAST_ROWS = 250_000
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which the session names in ``spark.checkpoint.dir``."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and spark.sparkContext.master.startswith("local"):
+        path = tempfile.mkdtemp(prefix="scribelake-")  # one machine: its own folder is shared
+        spark.conf.set("spark.checkpoint.dir", path)
+    if not path:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return "/".join([shared_dir(spark), "scribelake", spark.sparkContext.applicationId, uuid.uuid4().hex])
+
+
 def cut(rows: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of ``spark.checkpoint.dir``, so that branches of a plan don't each compute what they share."""
+    """Checkpoint in the shared folder, so that branches of a plan don't each compute what they share."""
     spark = rows.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and spark.sparkContext.master.startswith("local"):
-            path = tempfile.mkdtemp(prefix="scribelake-")  # one machine: its own folder is shared
-        if not path:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(path)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return rows.checkpoint()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a table for broadcast when a count of at most ``rows`` + 1 of its rows shows that it is small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Marks a table for broadcast when its first ``rows`` + 1 rows show that it has no more, nor 100 bytes for each of these."""
+    wide = [F.coalesce(F.octet_length(f.name) if f.dataType.typeName() in ("string", "binary") else F.size(f.name) * 8, F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary", "array", "map")]
+    size = F.sum(sum(wide, F.lit(16 * len(df.columns))).cast("long"))
+    count, held = df.limit(rows + 1).agg(F.count("*"), size).head()
+    return F.broadcast(df) if count <= rows and (held or 0) <= 100 * rows else df
 
 
 def ranked(rows: DataFrame, group: list[str], order: list[Column | str], name: str) -> DataFrame:

@@ -1,6 +1,9 @@
+import random
+import re
+
 import pytest
 
-from scribelake.operators import search
+from scribelake.operators import search, trigrams
 
 DOCS = [
     ("D1", "접속 차단 현황", "김철수 의원", "본문 예산 자료"),
@@ -37,9 +40,11 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("forms, many", [(20_000, 400), (3, 1)])
-def test_golden_queries(spark, docs, monkeypatch, forms, many):
+@pytest.mark.parametrize("forms, many, few", [(20_000, 400, 0), (3, 1, 0), (20_000, 400, 500)])
+def test_golden_queries(spark, docs, monkeypatch, forms, many, few):
+    """By Python workers with and without an automaton, and by SQL expressions."""
     monkeypatch.setattr(search, "PASS_FORMS", forms)
+    monkeypatch.setattr(search, "FEW_FORMS", few)
     monkeypatch.setattr(search, "MANY_FORMS", many)
     asked = spark.createDataFrame(list(enumerate(CASES)), "query_id int, query string")
     got = search.batch_search(docs, asked, FIELDS, initials=("title", "requester")).collect()
@@ -89,3 +94,42 @@ def test_dates_of_queries(spark):
     asked = ["기간:2026-01..2026-02 예산", "date:..2025", "일자:2026.2", "date:2026.."]
     got = search.batch_search(rows, spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"), {"title": 50.0}, "ledger_id").collect()
     assert {i: {r.ledger_id for r in got if r.query_id == i} for i in range(4)} == {0: {1, 2}, 1: {4}, 2: {2}, 3: {1, 2}}
+
+
+INITIALS = ("title", "requester")
+
+
+def test_index_gives_the_rows_of_a_scan(spark, docs, tmp_path):
+    asked = spark.createDataFrame(list(enumerate([*CASES, "차단 현황을", '"기록과 통계"', "접속차단기록과통계", "a", "예산 통계 OR ㅈㅅㅊㄷ"])), "query_id int, query string")
+    index = trigrams.TrigramIndex.build(search.search_text(docs, FIELDS, initials=INITIALS), str(tmp_path / "index"), parts=3)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(search.batch_search(docs, asked, FIELDS, initials=INITIALS, index=index)) == key(search.batch_search(docs, asked, FIELDS, initials=INITIALS))
+    index = trigrams.TrigramIndex.build(search.search_text(docs, FIELDS), str(tmp_path / "plain"), parts=3)
+    assert key(search.bm25(docs, asked, FIELDS, index=index)) == key(search.bm25(docs, asked, FIELDS))
+
+
+def test_index_against_plain_search(spark, tmp_path, monkeypatch):
+    """Random texts over a small alphabet, so that grams are shared, repeated and astral, and forms overlap themselves."""
+    rng, letters = random.Random(7), "abA \u3000\U0001F600가"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(120)]
+    forms = {"".join(rng.choice("ab\U0001F600가") for _ in range(rng.randint(1, 6))) for _ in range(150)}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, body string")
+    index = trigrams.TrigramIndex.build(search.search_text(docs, {"body": 2.0}), str(tmp_path / "index"), parts=5)
+    norm = ["".join(t.split()).lower() for t in texts]
+    want = sorted((f, i, n.count(f)) for f in forms for i, n in enumerate(norm) if f in n)
+    asked = spark.createDataFrame([(f,) for f in forms], "variant string")
+    got = sorted((r.variant, r.doc_id, r.n) for r in index.hits(asked, counted=True).filter("variant is not null").collect())
+    assert got == want
+    monkeypatch.setattr(trigrams, "NAMED", 3)
+    monkeypatch.setattr(trigrams, "RAREST", 1)
+    assert sorted((r.variant, r.doc_id, r.n) for r in index.hits(asked, counted=True).filter("variant is not null").collect()) == want
+    assert index.hits(asked.limit(0)).count() == 0
+
+
+def test_candidates_read_few_partitions(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i:04d} common text") for i in range(400)], "doc_id int, body string")
+    index = trigrams.TrigramIndex.build(search.search_text(docs, {"body": 1.0}), str(tmp_path / "index"), parts=16)
+    hits = index.hits(spark.createDataFrame([("word0123",)], "variant string"))
+    files = hits._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[\(?part#\d+ (=|IN \()", files) or re.search(r"PartitionFilters: \[isnotnull\(part#\d+\), \(part#\d+ = \d+\)", files), files
+    assert [(r.variant, r.doc_id) for r in hits.collect()] == [("word0123", 123)]
