@@ -12,7 +12,7 @@ from scribelake.functions.metadata import target_year
 from scribelake.functions.text import cell_text, col, content_hash, empty, mask_pii, nonblank
 
 from .ledger import active
-from .shared import ranked, running_before
+from .shared import cut, ranked, running_before
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
@@ -35,8 +35,8 @@ def answers_by_reference(qa: DataFrame, bodies: DataFrame, key: str) -> DataFram
 
 
 def rebuild_answers(slim: DataFrame, bodies: DataFrame, key: str) -> DataFrame:
-    cut = F.expr("substring(body, start + 1, n)")
-    return slim.join(bodies, key).select(key, "turn", "start", "n", F.coalesce("inline", cut).alias("rebuilt"))
+    inside = F.expr("substring(body, start + 1, n)")
+    return slim.join(bodies, key).select(key, "turn", "start", "n", F.coalesce("inline", inside).alias("rebuilt"))
 
 
 def body_blocks(rows: DataFrame, part: str, key: str, body: str, size: int, threshold: int = 0) -> DataFrame:
@@ -84,10 +84,46 @@ def incremental(listing: DataFrame, previous: DataFrame, key: str = "path", forc
     return listing.join(previous.select(key, "hash"), [key, "hash"], "left_anti"), previous.join(same, [key, "hash"], "left_semi")
 
 
-def fingerprint(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """n, newest, chars, hash: an order-independent digest without a global sort."""
-    h = rows.agg(F.count("*").alias("n"), F.max(key).alias("newest"), F.sum(F.length(body)).alias("chars"), F.bit_xor(F.xxhash64(key, body)).alias("x"))
-    return h.select("n", "newest", "chars", F.sha2(F.concat_ws("|", "n", "newest", "chars", "x"), 256).alias("hash"))
+#: Rows are added up modulo this prime.
+_PRIME = (1 << 61) - 1
+
+
+def multiset_hash(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row (n, h1, h2): a hash of the rows as a multiset, whatever their order; repeated rows count.
+
+    Each row gives two numbers below 2^61 - 1 that are added up modulo that prime, so hashes of parts add up to
+    that of the whole (:func:`merged_hash`). Nulls are told from empty values.
+    """
+    values = [F.struct(F.lit(i), F.col(c).isNull(), F.col(c)) for i, c in enumerate(columns or sorted(rows.columns))]
+    part = lambda seed: F.pmod(F.xxhash64(F.lit(seed), *values), F.lit(_PRIME)).cast("decimal(20,0)")
+    total = lambda seed: F.coalesce(F.sum(part(seed)) % F.lit(_PRIME).cast("decimal(20,0)"), F.lit(0)).cast("long")
+    return rows.agg(F.count("*").alias("n"), total(1).alias("h1"), total(2).alias("h2"))
+
+
+def merged_hash(state: DataFrame, added: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """``state`` with the hash of ``added`` rows added and that of ``removed`` ones taken away; all are rows of :func:`multiset_hash`."""
+    signs = [state.withColumn("sign", F.lit(1)), added.withColumn("sign", F.lit(1))] + ([removed.withColumn("sign", F.lit(-1))] if removed is not None else [])
+    every = reduce(lambda a, b: a.unionByName(b), signs)
+    h = lambda c: F.pmod(F.sum(F.col(c).cast("decimal(20,0)") * F.col("sign")), F.lit(_PRIME).cast("decimal(20,0)")).cast("long").alias(c)
+    return every.agg(F.sum(F.col("n") * F.col("sign")).alias("n"), h("h1"), h("h2"))
+
+
+def fingerprint(tables: dict[str, DataFrame], newest: dict[str, str] | None = None) -> DataFrame:
+    """A row for each table (table, n, newest, h1, h2, hash) and one for all of them (table '').
+
+    ``newest`` names a column of a table whose greatest value belongs to its hash. The hash of all covers
+    the names and hashes of the tables. No global sort; each table is read once.
+    """
+    of = newest or {}
+    each = []
+    for name, rows in sorted(tables.items()):
+        top = rows.agg(F.max(of[name]).cast("string").alias("newest")) if name in of else rows.sparkSession.range(1).select(F.lit(None).cast("string").alias("newest"))
+        each.append(multiset_hash(rows).crossJoin(top).select(F.lit(name).alias("table"), "n", "newest", "h1", "h2"))  # one row each
+    every = reduce(lambda a, b: a.unionByName(b), each)
+    hashed = cut(every.withColumn("hash", F.sha2(F.concat_ws("|", "table", "n", F.coalesce("newest", F.lit("-")), "h1", "h2"), 256)))
+    whole = hashed.agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(F.concat_ws(":", "table", "hash")))), 256).alias("hash"))  # a row a table
+    null = F.lit(None)
+    return hashed.unionByName(whole.select(F.lit("").alias("table"), "n", null.cast("string").alias("newest"), null.cast("long").alias("h1"), null.cast("long").alias("h2"), "hash"))
 
 
 def compare_candidates(asked: DataFrame, docs: DataFrame, group: str, k: int) -> DataFrame:

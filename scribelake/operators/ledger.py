@@ -525,22 +525,38 @@ def next_numbers(existing: DataFrame, fresh: DataFrame, order: list[str], prefix
     return out.withColumn(key, F.concat_ws("-", F.lit(prefix), "year", F.when(F.col("__n") < 1000, F.lpad(F.col("__n").cast("string"), 3, "0")).otherwise(F.col("__n").cast("string")))).drop("__k", "__n", "top")
 
 
+def greedy_match(claims: DataFrame, taker: str, taken: str, order: list[str]) -> DataFrame:
+    """(taker, taken): what is left when claims are served one after the other in ``order``, each to a free taker and a free prize.
+
+    ``order`` tells all claims apart. In rounds, a claim wins when it is the first of its taker's and the first
+    of its prize's open claims, for then no other can take either away; claims of winners and of what
+    they won go. Each round is a minimum by taker and by prize (combined before the shuffle) and joins, and is
+    written, so lineage stays short. Claims that hang on one another in a chain need a round a link.
+    """
+    live = cut(claims.select(taker, taken, F.struct(*order).alias("__turn")).filter(F.col(taker).isNotNull() & F.col(taken).isNotNull()))
+    won = None
+    while live.limit(1).count():
+        first = live.groupBy(taker).agg(F.min(F.struct("__turn", taken)).alias("__c")).select(taker, f"__c.{taken}", "__c.__turn")
+        wanted = live.groupBy(taken).agg(F.min("__turn").alias("__first"))
+        now = cut(first.join(wanted, taken).filter("__turn = __first").select(taker, taken))
+        won = now if won is None else won.unionByName(now)
+        live = cut(live.join(now.select(taker), taker, "left_anti").join(now.select(taken), taken, "left_anti"))
+    return won if won is not None else claims.select(taker, taken).limit(0)
+
+
 def reuse_ids(fresh: DataFrame, known: DataFrame, kinds: list[str]) -> DataFrame:
-    """Give each fresh row an old id by the first key kind that finds a free one.
+    """Give fresh rows the ids that their keys had before; adds old_id, null where there is none.
 
-    ``fresh``: path and a column per kind. ``known``: kind, value, old_id. Kinds are taken in turn;
-    an old id goes to its first claimant in path order. Rows without a claim have a null old_id.
+    ``fresh``: path and a column per kind of key. ``known``: kind, value, old_id. Rows take turns in the order of
+    path, and each takes the first of its kinds whose id is still free. A row's keys stand for that row
+    from its turn on, whatever id it got, so a key that several rows hold serves the first of them only.
     """
-    left, given = fresh, None
-    for kind in kinds:
-        claims = left.select("path", F.col(kind).alias("value")).filter(F.col("value").isNotNull()).join(known.filter(F.col("kind") == kind).select("value", "old_id"), "value")
-        if given is not None:
-            claims = claims.join(given.select("old_id"), "old_id", "left_anti")
-        one = claims.withColumn("a", F.row_number().over(Window.partitionBy("old_id").orderBy("path"))).filter("a = 1")
-        one = one.withColumn("b", F.row_number().over(Window.partitionBy("path").orderBy("old_id"))).filter("b = 1").select("path", "old_id")
-        given = one if given is None else given.unionByName(one)
-        left = left.join(one.select("path"), "path", "left_anti")
-    return fresh.join(given, "path", "left")
+    keys = F.array(*[F.struct(F.lit(i).alias("__rank"), F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for i, k in enumerate(kinds)])
+    held = fresh.select("path", F.inline(keys)).filter("value is not null and value <> ''")
+    first = held.groupBy("kind", "value").agg(F.min(F.struct("path", "__rank")).alias("c")).select("kind", "value", "c.*")
+    one = known.groupBy("kind", F.col("value").cast("string").alias("value")).agg(F.max("old_id").alias("old_id"))
+    claims = first.join(one, ["kind", "value"]).groupBy("path", "old_id").agg(F.min("__rank").alias("__rank"))
+    return fresh.join(greedy_match(claims, "path", "old_id", ["path", "__rank"]), "path", "left")
 
 
 # --- gates ---------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -226,15 +228,26 @@ def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("host"), F.expr(r"try_cast(nullif(regexp_extract(url, '/(\\d+)(?:[./?#]|$)', 1), '') as bigint)").alias("doc_id"))
 
 
-@BOOK.query("""SELECT count(*)::BIGINT AS n, max(doc_id)::BIGINT AS newest, sum(length(text))::BIGINT AS chars, TRUE AS same, TRUE AS differs FROM documents""")
+_VERSION = [("benchmark", "item_id"), ("conversations", "conv_id"), ("documents", "doc_id"), ("events", "event_id"), ("labels", "doc_id"), ("pages", "page_id")]
+
+
+@BOOK.query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*)::BIGINT AS n, max({k})::VARCHAR AS newest, TRUE AS same, TRUE AS differs, TRUE AS merges FROM {t}" for t, k in _VERSION)
+            + f" UNION ALL SELECT '', ({' + '.join(f'(SELECT count(*) FROM {t})' for t, _ in _VERSION)})::BIGINT, NULL, TRUE, TRUE, NULL")
 def dataset_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fingerprint of a dataset: the same whatever the order of rows, another where one text differs."""
-    d = table(spark, sf_dir, "documents")
-    first = corpus.fingerprint(d, "doc_id", "text")
-    again = corpus.fingerprint(d.repartition(7), "doc_id", "text").select(F.col("hash").alias("again"))
-    changed = d.withColumn("text", F.when(F.col("doc_id") == 1, F.reverse("text")).otherwise(F.col("text")))
-    other = corpus.fingerprint(changed, "doc_id", "text").select(F.col("hash").alias("other"))
-    return first.crossJoin(again).crossJoin(other).select("n", "newest", "chars", (F.col("hash") == F.col("again")).alias("same"), (F.col("hash") != F.col("other")).alias("differs"))  # one row each
+    """Fingerprints of tables, and of all: the same whatever the order of rows, others where two rows are swapped for two equal ones; parts add up."""
+    tables, newest = {t: table(spark, sf_dir, t) for t, _ in _VERSION}, dict(_VERSION)
+    first = corpus.fingerprint(tables, newest)
+    again = corpus.fingerprint({t: d.repartition(7) for t, d in tables.items()}, newest).select("table", F.col("hash").alias("again"))
+    # a pair of equal rows more, of one row or of another: a xor of hashes wouldn't see either
+    low, high = ({t: d.unionByName(x).unionByName(x) for t, d in tables.items() for x in [d.orderBy(*([F.asc(k) if up else F.desc(k) for k in sorted(d.columns)])).limit(1)]} for up in (True, False))
+    one, other = (corpus.fingerprint(x).select("table", F.col("hash").alias(c)) for x, c in ((low, "one"), (high, "other")))
+    merged = []
+    for t, d in tables.items():
+        parts = [corpus.multiset_hash(d.filter(F.pmod(F.xxhash64(newest[t]), F.lit(2)) == i)) for i in (0, 1)]
+        merged.append(corpus.merged_hash(*parts).select(F.lit(t).alias("table"), F.col("h1").alias("m1"), F.col("h2").alias("m2")))
+    every = first.join(again, "table").join(one, "table").join(other, "table").join(reduce(lambda a, b: a.unionByName(b), merged), "table", "left")
+    merges = (F.col("h1") == F.col("m1")) & (F.col("h2") == F.col("m2"))
+    return every.select("table", "n", "newest", (F.col("hash") == F.col("again")).alias("same"), (F.col("one") != F.col("other")).alias("differs"), merges.alias("merges"))
 
 
 _CITED = """c AS (SELECT doc_id // 20 AS pack_id, doc_id % 20 AS place, doc_id + CASE WHEN doc_id % 7 = 0 THEN 100000000 ELSE 0 END AS source_id, (doc_id % 50)::INT AS "offset", (10 + doc_id % 90)::INT AS "length" FROM documents),

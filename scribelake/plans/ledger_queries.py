@@ -399,3 +399,25 @@ def requester_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = F.array(*[F.lit(x) for x in ("의원", " 처", "실", "팀", " 관", "")])
     named = table(spark, sf_dir, "customer").select(F.concat("c_name", F.get(ends, (F.col("c_custkey") % 6).cast("int"))).alias("name"))
     return named.groupBy(requester_stem("name").alias("stem")).agg(F.count("*").alias("n"))
+
+
+# Old keys: a document's first line was its own, the hash of its text that of the document before it, for two in five.
+_KEYS = """k AS (SELECT doc_id, lpad(doc_id::VARCHAR, 12, '0') AS path, nullif(split_part(text, chr(10), 1), '') AS line, md5(text) AS hash FROM documents WHERE doc_id IS NOT NULL),
+old AS (SELECT 'line' AS kind, line AS value, max('OLD-' || path) AS old_id FROM k WHERE doc_id % 7 <> 3 GROUP BY ALL UNION ALL
+  SELECT 'hash', hash, max('OLD-' || lpad((doc_id + 1)::VARCHAR, 12, '0')) FROM k WHERE doc_id % 5 < 2 GROUP BY ALL),
+held AS (SELECT path, 0 AS r, 'line' AS kind, line AS value FROM k WHERE line IS NOT NULL UNION ALL SELECT path, 1, 'hash', hash FROM k WHERE hash IS NOT NULL),
+claims AS (SELECT path, list(old_id ORDER BY r) AS ids FROM (SELECT kind, value, min(path) AS path, any_value(r) AS r FROM held GROUP BY kind, value) JOIN old USING (kind, value) GROUP BY path),
+turns AS (SELECT *, row_number() OVER (ORDER BY path) AS i FROM claims)"""
+
+
+@BOOK.query(f"""WITH RECURSIVE {_KEYS}, s AS (
+  SELECT 0::BIGINT AS i, ''::VARCHAR AS path, []::VARCHAR[] AS taken, NULL::VARCHAR AS got
+  UNION ALL
+  SELECT t.i, t.path, CASE WHEN x IS NULL THEN taken ELSE list_append(taken, x) END, x FROM (SELECT t.i, t.path, s.taken, list_filter(t.ids, lambda y: NOT list_contains(s.taken, y))[1] AS x FROM s JOIN turns t ON t.i = s.i + 1) t)
+SELECT k.path, s.got AS old_id FROM k LEFT JOIN s USING (path)""")
+def reused_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of documents whose keys had ids before, taken in path order."""
+    k = table(spark, sf_dir, "documents").filter("doc_id is not null").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.nullif(F.substring_index("text", "\n", 1), F.lit("")).alias("line"), F.md5("text").alias("hash"))
+    lines = k.filter("doc_id % 7 <> 3 and line is not null").select(F.lit("line").alias("kind"), F.col("line").alias("value"), F.concat(F.lit("OLD-"), "path").alias("old_id"))
+    hashes = k.filter("doc_id % 5 < 2 and hash is not null").select(F.lit("hash").alias("kind"), F.col("hash").alias("value"), F.concat(F.lit("OLD-"), F.lpad((F.col("doc_id") + 1).cast("string"), 12, "0")).alias("old_id"))
+    return op.reuse_ids(k.select("path", "line", "hash"), lines.unionByName(hashes), ["line", "hash"]).select("path", "old_id")

@@ -1,5 +1,6 @@
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,47 @@ def test_ids(spark):
     assert got == {"a": "DOC-1", "b": "DOC-2", "c": None, "d": None}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ids_are_reused_as_a_plain_loop_does(spark, seed):
+    """Random claims over few values, so that ids, keys and rows compete, and one long chain."""
+    rng = random.Random(seed)
+    kinds = ["md", "source", "hash"]
+    old = {(k, f"{k}{v}"): f"DOC-{rng.randint(0, 25)}" for k in kinds for v in range(30)}
+    rows = [(f"p{i:02d}", *[rng.choice([None, "", f"{k}{rng.randint(0, 39)}"]) for k in kinds]) for i in range(50)]
+    chain = [(f"q{i}", f"c{i}", f"c{i + 1}", None) for i in range(6)]  # each takes what the one before left
+    rows, old = rows + chain, old | {("md", f"c{i}"): f"C-{max(i - 1, 0)}" for i in range(6)} | {("source", f"c{i}"): f"C-{i}" for i in range(8)}
+    now, taken, want = dict(old), set(), {}
+    for path, *values in sorted(rows):
+        keys = [(k, v) for k, v in zip(kinds, values) if v]
+        got = next((now[k] for k in keys if k in now and now[k] not in taken), None)
+        for k in keys:
+            now[k] = got or path
+        taken |= {got or path}
+        want[path] = got
+    fresh = spark.createDataFrame(rows, "path string, md string, source string, hash string").repartition(3)
+    known = spark.createDataFrame([(*k, v) for k, v in old.items()], "kind string, value string, old_id string")
+    assert {r.path: r.old_id for r in ledger.reuse_ids(fresh, known, kinds).collect()} == want
+    assert ledger.reuse_ids(fresh, known.limit(0), kinds).filter("old_id is not null").count() == 0
+
+
+def test_source_of_a_later_row_does_not_go_before_the_hash_of_an_earlier(spark):
+    fresh = spark.createDataFrame([("a", None, "h"), ("b", "s", None)], "path string, source string, hash string")
+    known = spark.createDataFrame([("hash", "h", "X"), ("source", "s", "X")], "kind string, value string, old_id string")
+    assert {r.path: r.old_id for r in ledger.reuse_ids(fresh, known, ["source", "hash"]).collect()} == {"a": "X", "b": None}
+
+
+def test_fingerprints(spark):
+    rows = lambda *x: spark.createDataFrame([(v,) for v in x], "v string")
+    hash_of = lambda *x: corpus.multiset_hash(rows(*x)).head()
+    assert hash_of("a", "bb", "bb") != hash_of("a", "cc", "cc")
+    assert hash_of("a", "bb", None) == hash_of(None, "a", "bb") != hash_of("a", "bb", "")
+    whole, more, less = (corpus.multiset_hash(rows(*x)) for x in (("a", "b", "b"), ("c",), ("b",)))
+    assert corpus.merged_hash(whole, more, less).head() == hash_of("a", "b", "c")
+    both = {r.table: r.hash for r in corpus.fingerprint({"x": rows("a"), "y": rows()}, {"x": "v"}).collect()}
+    swapped = {r.table: r.hash for r in corpus.fingerprint({"x": rows(), "y": rows("a")}, {"y": "v"}).collect()}
+    assert set(both) == {"x", "y", ""} and both[""] != swapped[""]
+
+
 def test_links_and_gates(spark):
     led = spark.createDataFrame([("L1", "2026", "12", "김철수 의원", "2026-01-01"), ("L2", "2026", "", "이영희 의원", "2026-01-02"), ("L3", "2026", "1", "x", "")], "ledger_id string, year string, seq_no string, requester string, request_date string")
     docs = spark.createDataFrame([("D1", 1, "2026", "0012", "y", "", "a/112.md"), ("D2", 2, "2026", "7", "이영희", "2026-01-02", "a/12.md")], "doc_id string, doc_order int, year string, doc_number string, requester string, request_date string, original_path string")
