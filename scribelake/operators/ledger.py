@@ -347,7 +347,8 @@ def apply_operations(
     fields: list[str],
     key: str = "ledger_id",
     deletions: DataFrame | None = None,
-    as_of: datetime.date = datetime.date(2026, 1, 1),
+    *,
+    as_of: datetime.date,
     defaults: dict[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply a batch of inserts, updates, deletes and restores. Returns (table, history, rejects).
@@ -356,7 +357,7 @@ def apply_operations(
     operation_id counts once. Per key the operations apply one after the other in order of seq, each to
     the state that the one before left. Values are compared as they are stored (trimmed, masked, dates
     coerced): an update that changes nothing writes nothing. An update may carry the version it
-    expects; each write gives a new one, its seq. Deletion is a tombstone; a restore takes status and note
+    expects; each write gives a new one, its seq. Years of two digits are read as of ``as_of``. Deletion is a tombstone; a restore takes status and note
     from the latest deletion, of this batch or of ``deletions`` (key, snapshot). Inserts get ``defaults``.
 
     History: key, action, seq, snapshot (JSON; the state before an update or deletion, after an insert

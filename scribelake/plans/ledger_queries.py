@@ -9,10 +9,10 @@ from scribelake.functions.dates import days_left, due_label, due_rank, due_state
 from scribelake.functions.text import requester_stem
 from scribelake.operators import ledger as op
 from scribelake.operators import listing
-from scribelake.operators.shared import ranked
-from scribelake.streaming import feeds
+from scribelake.operators.shared import ranked, shared_path
+from scribelake.streaming import feeds, stores
 
-from .roles import AS_OF, DUE_SQL, HISTORY_SQL, LEDGER_SQL, Book, history, ledger, table
+from .roles import AS_OF, DUE_SQL, HISTORY_SQL, LEDGER_SQL, Book, history, ledger, streamed, table
 
 BOOK = Book()
 
@@ -250,23 +250,45 @@ writes AS (SELECT seq, ledger_id, 'UPDATE' AS action, before AS title, 'title,up
   UNION ALL SELECT o.seq, o.ledger_id, 'DELETE', coalesce((SELECT arg_max(event_type, seq) FROM live v WHERE v.ledger_id = o.ledger_id), l.title), '' FROM o JOIN ledger l USING (ledger_id) WHERE o.seq = o.dead)"""
 
 
+def _operations(e: DataFrame) -> DataFrame:
+    """Events as updates and deletions of the ledger."""
+    action = F.when(F.col("event_type") == "error", "delete").otherwise("update")
+    item = F.create_map(F.lit("title"), F.col("event_type"))
+    return e.select(F.col("event_id").cast("string").alias("operation_id"), F.col("event_id").alias("seq"), F.col("user_id").alias("ledger_id"), action.alias("action"), item.alias("item"), F.lit(None).cast("string").alias("expected_version"))
+
+
 def _applied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A batch of updates and deletions from the event feed, applied to the ledger."""
     stored = ledger(spark, sf_dir).withColumn("updated_at", F.lit("v0"))
-    e = table(spark, sf_dir, "events")
-    action = F.when(F.col("event_type") == "error", "delete").otherwise("update")
-    item = F.create_map(F.lit("title"), F.col("event_type"))
-    ops = e.select(F.col("event_id").cast("string").alias("operation_id"), F.col("event_id").alias("seq"), F.col("user_id").alias("ledger_id"), action.alias("action"), item.alias("item"), F.lit(None).cast("string").alias("expected_version"))
-    return op.apply_operations(stored, ops, ["title", "status", "requester"])
+    return op.apply_operations(stored, _operations(table(spark, sf_dir, "events")), ["title", "status", "requester"], as_of=AS_OF)
+
+
+_APPLIED_STATE = f"""WITH {_APPLIED} SELECT l.ledger_id, coalesce((SELECT arg_max(event_type, seq) FROM live v WHERE v.ledger_id = l.ledger_id), l.title) AS title,
+  CASE WHEN l.ledger_id IN (SELECT ledger_id FROM o WHERE dead IS NOT NULL) THEN '[삭제]' ELSE status END AS status, requester, coalesce((SELECT max(seq)::VARCHAR FROM writes w WHERE w.ledger_id = l.ledger_id), 'v0') AS updated_at FROM ledger l"""
 
 
-@BOOK.query(f"""WITH {_APPLIED} SELECT l.ledger_id, coalesce((SELECT arg_max(event_type, seq) FROM live v WHERE v.ledger_id = l.ledger_id), l.title) AS title,
-  CASE WHEN l.ledger_id IN (SELECT ledger_id FROM o WHERE dead IS NOT NULL) THEN '[삭제]' ELSE status END AS status, requester, coalesce((SELECT max(seq)::VARCHAR FROM writes w WHERE w.ledger_id = l.ledger_id), 'v0') AS updated_at FROM ledger l""")
+@BOOK.query(_APPLIED_STATE)
 def applied_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table after the batch; each key's operations apply in order."""
     return _applied(spark, sf_dir)[0].select("ledger_id", "title", "status", "requester", "updated_at")
 
 
+@BOOK.query(_APPLIED_STATE)
+def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operations as a stream into a bucketed ledger, whose micro-batches rewrite the buckets they touch: the same table."""
+    at, schema = shared_path(spark), "ledger_id long, title string, status string, requester string, updated_at string"
+    store = stores.BucketedTable(spark, f"{at}/ledger", schema, "ledger_id", buckets=8)
+    store.merge(ledger(spark, sf_dir).withColumn("updated_at", F.lit("v0")), list(range(8)), "load", 0)
+    ops = _operations(streamed(spark, sf_dir, "events", f"{at}/events"))
+    logs = {
+        "receipts": stores.OnceTable(spark, f"{at}/receipts", "operation_id string, seq long", order="seq", buckets=8),
+        "history": stores.OnceTable(spark, f"{at}/history", "ledger_id long, action string, seq long, snapshot string, changed_fields string, event string", id="event", buckets=8),
+        "rejects": stores.OnceTable(spark, f"{at}/rejects", "ledger_id long, operation_id string, seq long, action string, reason string, event string", id="event", buckets=8),
+    }
+    feeds.ledger_feed(ops, store, fields=["title", "status", "requester"], as_of=AS_OF, checkpoint=f"{at}/checkpoint", **logs).awaitTermination()
+    return store.read()
+
+
 @BOOK.query(f"WITH {_APPLIED} SELECT ledger_id, action, seq, title AS before_title, changed_fields FROM writes")
 def applied_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History rows of the batch: the state before each change, and no row where nothing changed."""

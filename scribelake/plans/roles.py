@@ -30,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str, folder: str) -> DataFrame:
+    """A table as a stream of files; a stream reads a folder, so the table is laid down in ``folder`` first."""
+    rows = table(spark, sf_dir, name)
+    rows.write.parquet(folder)
+    return spark.readStream.schema(rows.schema).parquet(folder)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, title (the first line), requester, topic_tags, full_markdown."""
     d = table(spark, sf_dir, "documents")

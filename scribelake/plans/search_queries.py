@@ -9,9 +9,9 @@ from scribelake.functions import text as tx
 from scribelake.operators import search
 from scribelake.operators.shared import shared_path
 from scribelake.operators.trigrams import TrigramIndex
-from scribelake.streaming import feeds
+from scribelake.streaming import feeds, stores
 
-from .roles import DOCUMENTS_SQL, LEDGER_SQL, QUERIES_SQL, Book, benchmark_queries, documents, ledger, table
+from .roles import DOCUMENTS_SQL, LEDGER_SQL, QUERIES_SQL, Book, benchmark_queries, documents, ledger, streamed, table
 
 BOOK = Book()
 _FIELDS = {"title": 50.0, "requester": 25.0, "full_markdown": 10.0}
@@ -299,6 +299,19 @@ def log_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.log_insights(_log(spark, sf_dir).withColumnRenamed("searched_at", "ts"))
 
 
+@BOOK.query(f"""WITH {_LOG}, d AS (SELECT date_trunc('day', searched_at)::DATE AS "day", query, count(*) AS n, count_if(coalesce(result_count, 0) = 0) AS zero, count(elapsed_ms) AS timed, sum(elapsed_ms) AS total, max(elapsed_ms) AS slowest, max(searched_at) AS last FROM log WHERE searched_at IS NOT NULL GROUP BY 1, 2)
+SELECT "day"::VARCHAR AS "day", query, (sum(n) OVER w)::BIGINT AS n, (sum(zero) OVER w)::BIGINT AS zero, round(sum(total) OVER w / sum(timed) OVER w, 4) AS mean_ms, max(slowest) OVER w AS slowest, max(last) OVER w AS last
+FROM d WINDOW w AS (PARTITION BY query ORDER BY "day" RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)""")
+def rolling_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week's report up to each day, from daily parts that a stream over the log keeps."""
+    at = shared_path(spark)
+    rows = streamed(spark, sf_dir, "events", f"{at}/events")
+    log = rows.select(F.col("event_type").alias("query"), F.floor(F.col("value") / 4).alias("result_count"), F.col("value").alias("elapsed_ms"), F.col("ts").cast("timestamp").alias("ts"))
+    parts = stores.BucketedTable(spark, f"{at}/parts", feeds.DAILY, "part", buckets=8)
+    feeds.insights_feed(log, parts, f"{at}/checkpoint").awaitTermination()
+    return feeds.rolling_insights(parts.read(), 7).withColumn("day", F.col("day").cast("string")).withColumn("mean_ms", F.round("mean_ms", 4)).withColumn("last", F.col("last").cast("timestamp_ntz"))
+
+
 @BOOK.query(f"""WITH {_LOG} SELECT query, user_id, result_count FROM log WHERE searched_at >= TIMESTAMP '2024-01-06 00:00:00' OR result_count = 0""")
 def pruned_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of the query log: newer rows, and those without a result."""

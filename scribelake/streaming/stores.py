@@ -67,6 +67,15 @@ class OnceTable:
         live = self._live()
         return self.spark.createDataFrame([], self.schema) if live is None else live.select(*self.schema.names)
 
+    def unseen(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        """The rows whose id no other batch has brought; the batch itself, if it was committed, doesn't count."""
+        live = self._live()
+        if live is None:
+            return rows
+        bucket = F.pmod(F.xxhash64(self.id), F.lit(self.buckets)).cast("int")
+        touched = [r[0] for r in rows.select(bucket).distinct().collect()]  # ``buckets`` at most
+        return rows.join(live.filter(F.col("bucket").isin(touched) & (F.col("batch") != batch_id)).select(self.id), self.id, "left_anti")
+
     def append(self, rows: DataFrame, batch_id: int) -> None:
         """Add the rows whose id is new; of rows with one id the first by ``order``."""
         if batch_id in self.batches():

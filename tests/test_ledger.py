@@ -9,6 +9,8 @@ from scribelake.operators import corpus, ledger
 from scribelake.sources import readers, sinks
 from scribelake.streaming import feeds
 
+DAY = datetime.date(2026, 1, 1)
+
 
 def test_apply_operations(spark):
     stored = spark.createDataFrame([("A", "t", "작성중", "v1"), ("B", "t", "[삭제]", "v1"), ("C", "t", "작성중", "v1")], "ledger_id string, title string, status string, updated_at string")
@@ -24,7 +26,7 @@ def test_apply_operations(spark):
         ],
         "operation_id string, seq long, ledger_id string, action string, item map<string,string>, expected_version string",
     )
-    table, history, rejects = ledger.apply_operations(stored, ops, ["title", "status"])
+    table, history, rejects = ledger.apply_operations(stored, ops, ["title", "status"], as_of=DAY)
     rows = {r.ledger_id: r for r in table.collect()}
     assert rows["A"].title == "x" and rows["C"].status == "[삭제]" and rows["D"].title == "new" and "E" not in rows
     assert {(r.operation_id, r.reason) for r in rejects.collect()} == {("o2", "conflict"), ("o3", "deleted"), ("o6", "missing")}
@@ -42,7 +44,7 @@ def test_operations_apply_one_after_the_other(spark):
         ("b1", 11, "B", "restore", {}, None), ("c1", 12, "C", "restore", {}, None), ("d1", 13, "D", "insert", {"title": "010-1234-5678", "deadline": "2026.3.4"}, None), ("d2", 14, "D", "insert", {"title": "again"}, None), ("e1", 15, "E", "insert", {"title": ""}, None),
     ]
     fields = ["title", "status", "note", "deadline", "year"]
-    table, history, rejects = ledger.apply_operations(stored, spark.createDataFrame(ops, OPS), fields)
+    table, history, rejects = ledger.apply_operations(stored, spark.createDataFrame(ops, OPS), fields, as_of=DAY)
     rows = {r.ledger_id: r for r in table.collect()}
     assert (rows["A"].title, rows["A"].status, rows["A"].note, rows["A"].deadline, rows["A"].updated_at) == ("y", "작성중", "n", "2026-01-05", "8")
     assert rows["B"].status == "[삭제]" and rows["C"].updated_at == "v1" and rows["D"].title == "010-****-5678" and rows["D"].deadline == "2026-03-04" and rows["D"].status == "작성중" and "E" not in rows
@@ -51,14 +53,14 @@ def test_operations_apply_one_after_the_other(spark):
     assert set(log) == {("A", 3), ("A", 4), ("A", 6), ("A", 8), ("D", 13)}
     assert log["A", 4][1]["title"] == "x" and log["A", 6][1]["title"] == "y" and log["A", 8][1]["status"] == "작성중" and log["A", 3][2] == "title,updated_at" and log["A", 8][2] == "note,status,updated_at"
     known = spark.createDataFrame([("B", 1, '{"status": "제출", "note": "old"}'), ("B", 2, '{"status": "완료", "note": "last"}')], "ledger_id string, history_id long, snapshot string")
-    back = {r.ledger_id: r for r in ledger.apply_operations(stored, spark.createDataFrame(ops, OPS), fields, deletions=known)[0].collect()}
+    back = {r.ledger_id: r for r in ledger.apply_operations(stored, spark.createDataFrame(ops, OPS), fields, deletions=known, as_of=DAY)[0].collect()}
     assert back["B"].status == "완료" and back["B"].note == "last"
 
 
 def test_marked_as_submitted(spark):
     stored = spark.createDataFrame([("A", "t", "작성중", "", "2026", "v1"), ("B", "t", "작성중", "2026-01-01", "2026", "v1")], "ledger_id string, title string, status string, submit_date string, year string, updated_at string")
     ops = ledger.mark_submitted(stored, datetime.date(2026, 1, 10)).withColumn("seq", F.monotonically_increasing_id()).withColumn("operation_id", F.col("ledger_id"))
-    rows = {r.ledger_id: r for r in ledger.apply_operations(stored, ops, ["title", "status", "submit_date", "year"])[0].collect()}
+    rows = {r.ledger_id: r for r in ledger.apply_operations(stored, ops, ["title", "status", "submit_date", "year"], as_of=DAY)[0].collect()}
     assert (rows["A"].status, rows["A"].submit_date, rows["B"].submit_date) == ("제출", "2026-01-10", "2026-01-01")
     versions = ledger.with_versions(ops).select("updated_at")
     assert versions.distinct().count() == 2
@@ -178,9 +180,9 @@ def test_feed_equals_batch(spark, tmp_path):
     def save(table, history, rejects, batch):
         saved[batch] = ([tuple(r) for r in table.collect()], history.count())
 
-    q = feeds.change_feed(spark.readStream.schema(schema).parquet(str(tmp_path / "ops")), lambda: stored, save, ["title", "status"], str(tmp_path / "cp"))
+    q = feeds.change_feed(spark.readStream.schema(schema).parquet(str(tmp_path / "ops")), lambda: stored, save, ["title", "status"], str(tmp_path / "cp"), DAY)
     q.awaitTermination(60)
-    want = [tuple(r) for r in ledger.apply_operations(stored, ops, ["title", "status"])[0].collect()]
+    want = [tuple(r) for r in ledger.apply_operations(stored, ops, ["title", "status"], as_of=DAY)[0].collect()]
     assert saved[0] == (want, 2)
 
 
