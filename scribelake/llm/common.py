@@ -76,8 +76,12 @@ def materialize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What makes Python workers give freed memory back at once instead of keeping it for later batches.
+_LEAN = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def bound_batches(spark: SparkSession, size: int = 2 << 20) -> None:
-    """Hand rows to Python workers in batches of about ``size`` bytes, where the session doesn't set it.
+    """Hand rows to Python workers in batches of about ``size`` bytes, where the session doesn't set it, and keep the workers lean.
 
     By default a batch holds 10,000 rows however long they are. Several operators that run one after
     the other share an executor with the workers of all of them, so there each should stay small.
@@ -85,6 +89,8 @@ def bound_batches(spark: SparkSession, size: int = 2 << 20) -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not spark.conf.get(key, None):
         spark.conf.set(key, str(size))
+    env = spark.sparkContext.environment
+    env.update({k: v for k, v in _LEAN.items() if k not in env})
 
 
 @contextlib.contextmanager
