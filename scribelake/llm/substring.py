@@ -3,9 +3,10 @@
 A passage may be pasted anywhere, so paragraphs are not lines but all windows of ``SPREAD + LENGTH - 1``
 words. The MinHash of a paragraph is its least five-word shingle of ``SPREAD`` neighbouring ones; the
 band key is the ``LENGTH`` words that begin there. Neighbouring paragraphs mostly share a MinHash, so
-it is stored once, as an anchor. One band of one row is tuned to a recall of 1: two documents that
-share a paragraph word for word always share an anchor, and a passage of 50 words or more that agrees
-with another in 0.8 of its five-word shingles holds such a paragraph.
+it is stored once, as an anchor. There are two bands. The first keys an anchor by ``LENGTH`` words and has
+a recall of 1 for paragraphs that agree word for word: a passage of 50 words or more that agrees with
+another in 0.8 of its five-word shingles holds one. The second keys by ``LONG`` words, and a passage of 51
+words holds one of its anchors: what short pieces elsewhere can't answer for it is found by these.
 
 1. anchors of all documents; those that several documents hold collide (:func:`places`);
 2. collisions in a row with one document are aligned, and verified and extended word for word on
@@ -30,8 +31,8 @@ from .components import connected_components
 from .neardup import broadcast_if_small
 from .words import _MULT, chunks, folded, grams, hash_texts, inside
 
-#: Words of a shingle, shingles whose least one is an anchor, and words of its band key.
-SHINGLE, SPREAD, LENGTH = 5, 12, 12
+#: Words of a shingle, shingles whose least one is an anchor, and words of the band keys: LONG + SPREAD - 1 is 51.
+SHINGLE, SPREAD, LENGTH, LONG = 5, 12, 12, 40
 #: Words that an aligned part is extended by at most on either side.
 CONTEXT = 60
 #: Of anchors that repeat within ``LENGTH`` words (a b a b ...), one in so many words is followed.
@@ -40,11 +41,11 @@ STRIDE = 40
 GAP = 16
 
 
-def anchors(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and band keys of the paragraphs' MinHashes."""
-    key, ok = grams(words, LENGTH), inside(owner, LENGTH)
+def anchors(words: np.ndarray, owner: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Places and band keys of ``length`` words of the paragraphs' MinHashes."""
+    key, ok = grams(words, length), inside(owner, length)
     least = grams(words, SHINGLE)[: len(key)].copy()
-    whole = inside(owner, LENGTH + SPREAD - 1)
+    whole = inside(owner, length + SPREAD - 1)
     if not len(whole):
         return np.empty(0, dtype=np.int64), key[:0]
     low = np.minimum.reduce([least[k : k + len(whole)] for k in range(SPREAD)])
@@ -62,7 +63,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """Anchors that several doc_ids hold: doc_id, row_hash, pos, and the least place: low, low_hash, at."""
+    """Anchors that several doc_ids hold: doc_id, row_hash, pos, length (of its band key), and the least place: low, low_hash, at."""
     rows = _rows(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -71,11 +72,12 @@ def places(docs: DataFrame) -> DataFrame:
             ids, marks = objects(pdf["doc_id"]), pdf["row_hash"].to_numpy()
             for run, words, counts in chunks(list(range(len(pdf))), list(pdf["text"])):
                 owner = np.repeat(np.array(run), counts)
-                at, key = anchors(words, owner)
                 first = np.repeat(np.cumsum(counts) - counts, counts)
-                yield pd.DataFrame({"h": key.view(np.int64), "doc_id": ids[owner[at]], "row_hash": marks[owner[at]], "pos": (at - first[at]).astype(np.int32)})
+                for length in (LENGTH, LONG):
+                    at, key = anchors(words, owner, length)
+                    yield pd.DataFrame({"h": key.view(np.int64), "doc_id": ids[owner[at]], "row_hash": marks[owner[at]], "pos": (at - first[at]).astype(np.int32), "length": np.full(len(at), length, dtype=np.int16)})
 
-    held = materialize(rows.mapInPandas(scan, f"h long, doc_id {kind}, row_hash long, pos int"))
+    held = materialize(rows.mapInPandas(scan, f"h long, doc_id {kind}, row_hash long, pos int, length short"))
     shared = held.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("__last")).filter("low < __last").drop("__last")
     found = materialize(held.join(materialize(shared), "h"))  # written first, so that the join can split a key that very many documents hold
     least = found.filter("doc_id = low").groupBy("h").agg(F.min(F.struct("row_hash", "pos")).alias("l"))
@@ -86,25 +88,26 @@ def places(docs: DataFrame) -> DataFrame:
 def aligned(docs: DataFrame) -> DataFrame:
     """Stretches that two documents hold word for word: doc_id, row_hash, start, n, low, low_hash, at.
 
-    A chain of shared anchors at most ``LENGTH`` words apart covers its stretch without a hole. It
+    A chain of shared anchors of a band, at most its key's words apart, covers its stretch without a hole. It
     is compared as a whole and extended as far as both texts agree, ``CONTEXT`` words at most on either
     side.
     """
-    row = Window.partitionBy("doc_id", "row_hash").orderBy("pos")
+    row = Window.partitionBy("doc_id", "row_hash", "length").orderBy("pos")
     before = lambda c: F.lag(c).over(row)
-    near = (F.col("pos") - before("pos") <= LENGTH) & (F.col("low") == before("low")) & (F.col("low_hash") == before("low_hash"))
+    near = (F.col("pos") - before("pos") <= F.col("length")) & (F.col("low") == before("low")) & (F.col("low_hash") == before("low_hash"))
     # anchors that stand for one and the same place again and again: follow one in STRIDE words
     again = F.coalesce(near & (F.col("at") == before("at")), F.lit(False))
     p = places(docs).withColumn("again", again).withColumn("turn", F.sum((~F.col("again")).cast("long")).over(row))
-    turn = Window.partitionBy("doc_id", "row_hash", "turn").orderBy("pos")
+    turn = Window.partitionBy("doc_id", "row_hash", "length", "turn").orderBy("pos")
     p = p.withColumn("step", F.floor((F.col("pos") - F.first("pos").over(turn)) / STRIDE))
     p = p.withColumn("moved", F.coalesce(F.col("step") != F.lag("step").over(turn), F.lit(True))).filter("moved")
     joined = F.coalesce(near & (F.col("pos") - F.col("at") == before(F.col("pos") - F.col("at"))), F.lit(False))
     chains = p.withColumn("joined", joined).withColumn("chain", F.sum((~F.col("joined")).cast("long")).over(row))
     chains = materialize(
-        chains.groupBy("doc_id", "row_hash", "chain", "low", "low_hash").agg(
-            F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + LENGTH).cast("int").alias("n"), F.min("at").alias("at")
-        )
+        chains.groupBy("doc_id", "row_hash", "length", "chain", "low", "low_hash")
+        .agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + F.col("length")).cast("int").alias("n"), F.min("at").alias("at"))
+        .drop("length", "chain")
+        .distinct()
     )
     asked = chains.select("doc_id", "row_hash", "start", "n").union(chains.select("low", "low_hash", "at", "n")).distinct()
     seen = _contexts(docs, asked)
@@ -133,7 +136,14 @@ def aligned(docs: DataFrame) -> DataFrame:
             yield out
 
     grown = both.mapInPandas(extend, f"doc_id {kind}, row_hash long, start int, n int, low {kind}, low_hash long, at int")
-    return grown.groupBy("doc_id", "row_hash", "start", "low", "low_hash", "at").agg(F.max("n").alias("n"))
+    # the bands find the same stretches: what overlaps on one diagonal is one
+    line = ["doc_id", "row_hash", "low", "low_hash", "shift"]
+    grown = grown.withColumn("shift", F.col("at") - F.col("start"))
+    order = Window.partitionBy(*line).orderBy("start", F.desc("n"))
+    reach = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    grown = grown.withColumn("apart", F.coalesce(F.col("start") > reach, F.lit(True))).withColumn("isle", F.sum(F.col("apart").cast("long")).over(order))
+    grown = grown.groupBy(*line, "isle").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start")).cast("int").alias("n"))
+    return grown.select("doc_id", "row_hash", "start", "n", "low", "low_hash", (F.col("start") + F.col("shift")).cast("int").alias("at"))
 
 
 def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -176,14 +186,12 @@ def repeated_runs(docs: DataFrame, least: int = 51, similar: float = 0.8) -> Dat
     pair = Window.partitionBy("doc_id", "row_hash", "low", "low_hash").orderBy("start", "at")
     last = lambda c: F.lag(c).over(pair)
     here, there = F.col("start") - last(F.col("start") + F.col("n")), F.col("at") - last(F.col("at") + F.col("n"))
-    # parts that only CONTEXT kept apart overlap in one alignment
-    on = F.coalesce((here.between(0, GAP) & there.between(0, GAP)) | ((here < 0) & (here == there)), F.lit(False))
-    runs = a.withColumn("on", on).withColumn("fresh", F.when(F.col("on"), F.col("n") + F.least(here, F.lit(0))).otherwise(F.col("n")))
-    runs = runs.withColumn("run", F.sum((~F.col("on")).cast("long")).over(pair))
+    on = F.coalesce(here.between(0, GAP) & there.between(0, GAP), F.lit(False))
+    runs = a.withColumn("on", on).withColumn("run", F.sum((~F.col("on")).cast("long")).over(pair))
     found = runs.groupBy("doc_id", "row_hash", "low", "low_hash", "run").agg(
         F.min("start").alias("start"),
         (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n_words"),
-        F.sum("fresh").alias("matched"),
+        F.sum("n").alias("matched"),
         F.min("at").alias("at"),
         (F.max(F.col("at") + F.col("n")) - F.min("at")).alias("low_words"),
     )
@@ -195,9 +203,11 @@ def substring_dedup(docs: DataFrame, min_words: int = 51, similar: float = 0.8)
 
     Words are runs of characters other than ASCII white space, lower-cased. A passage counts when
     another document (another doc_id) holds ``min_words`` of its words in the same order, and these are
-    ``similar`` of the passage on both sides. Every passage that a document shares word for word with
-    the least document holding one of its paragraphs is found in full length but for passages that
-    repeat themselves within a dozen words, which may end ``CONTEXT`` words early.
+    ``similar`` of the passage on both sides. A place is compared with the least document that holds its
+    anchor, in each of two bands. So every passage that a document shares word for word with the least
+    document holding one of its anchors is found in full length, but for passages that repeat themselves
+    within a dozen words, which may end ``CONTEXT`` words early. Missed is only a passage each of whose
+    anchors of ``LONG`` words some earlier document holds that shares no 51 words with it.
 
     Returns one row per passage: doc_id, row_hash (xxhash64 of the text; rows that share a doc_id but
     not a text are decided apart), start (number of its first word), n_words, matched, cluster_id (of

@@ -103,6 +103,30 @@ def test_found_passages_equal_brute_force(spark):
     assert len(here - want) <= 0.1 * len(want)
 
 
+def test_passages_are_found_behind_pieces_in_earlier_documents(spark):
+    """Two documents hold a passage of which earlier ones hold pieces of 45 words, or of 15 to 50 words all over it."""
+    rng, rows, wanted = random.Random(9), [], []
+
+    def add(part):
+        rows.append((len(rows), " ".join(words(rng, 20) + part + words(rng, 20))))
+
+    for k in range(25):
+        passage = words(rng, rng.randint(51, 200) if k else 200)
+        for i in range(10):
+            n = 45 if k == 0 else rng.randint(15, 50)
+            at = i * (len(passage) - n) // 9 if k == 0 else rng.randint(0, len(passage) - n)
+            add(passage[at : at + n])
+        wanted.append((len(rows), len(passage)))
+        add(passage)
+        add(passage)
+    got = {}
+    for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert sum(r.n_words for r in got[wanted[0][0] + 1]) >= 200 and got[wanted[0][0] + 1][0].kept_in == wanted[0][0]
+    found = sum(any(r.removed and r.n_words >= 51 for r in got.get(d + 1, [])) for d, _ in wanted)
+    assert found >= 0.95 * len(wanted)
+
+
 def test_word_hashes(monkeypatch):
     rng = random.Random(1)
     texts = [" ".join(words(rng, rng.randint(0, 50))) + rng.choice(["", "\n", " \t"]) for _ in range(200)] + ["", "é " * 10, "z" * 5000]
