@@ -1,10 +1,10 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, block-max WAND, verification.
 
 The test items are indexed in blocks of bounded size. Impacts are divided by the threshold of their
-item, so an item is retrieved when its impacts sum to 1. Every passage of every document is a query: it
-is passed over when the maxima of its terms don't sum to 1; else the pivots are the blocks where the
+item, so an item is retrieved when its impacts sum to 1. Items are indexed by length class, and every
+passage of a class's length of every document is a query (passages overlap by half): it is passed over when the maxima of its terms don't sum to 1; else the pivots are the blocks where the
 terms' block maxima do, all other blocks are skipped, and only the pivots' postings are scored. Items
-that are retrieved are verified on their word windows, question and answer apart.
+that are retrieved are verified on their word windows inside the passage, question and answer apart.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from .words import _IS_WORD, _VALUES, SEGMENT, _power_tables, _segments
 K1, B = 1.2, 0.75
 #: Items of one index block.
 BLOCK = 8
+#: Words of the least length class; each further one is twice as long. A passage is two of its class.
+CLASS = 64
 #: Items that one pass over the documents holds in memory, and their characters.
 PASS_ITEMS, PASS_CHARS = 50_000, 64 << 20
 #: Terms times items up to which impacts are kept as a dense table (8 bytes each) and not as lists.
@@ -112,19 +114,21 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
 
 
+def statistics(words: list[list[str]]) -> tuple:
+    """(items, mean words, {term: items that hold it})."""
+    return len(words), sum(map(len, words)) / max(1, len(words)), Counter(t for w in words for t in set(w))
+
+
 class Index:
     """Impacts of the test items by term, and their maxima by term and block of ``BLOCK`` items."""
 
-    def __init__(self, ids: list, texts: list[str], share: float, stats: tuple | None = None):
-        """``share`` of the score that an item gives itself is its threshold.
+    def __init__(self, words: list[list[str]], share: float, stats: tuple | None = None, size: int = CLASS):
+        """``words`` of each item; ``share`` of the score that an item gives itself is its threshold.
 
-        ``stats`` are (items, mean words, {term: items that hold it}) of all passes; without it those of these items.
+        ``stats`` are (items, mean words, {term: items that hold it}) of all items; without it those of these.
+        No item may have more than ``size`` words.
         """
-        self.ids, self.items = ids, [question_and_answer(t) for t in texts]
-        words = [q + a for q, a in self.items]
-        if stats is None:
-            stats = len(words), sum(map(len, words)) / max(1, len(words)), Counter(t for w in words for t in set(w))
-        n, mean, df = stats
+        n, mean, df = stats or statistics(words)
         mean = max(1.0, mean)
         by_term: dict[str, list[tuple[int, float]]] = {}
         for i, w in enumerate(words):
@@ -147,13 +151,13 @@ class Index:
         self.term_start = np.searchsorted(term[new], np.arange(len(lists)))
         self.term_length = np.diff(np.append(self.term_start, len(new)))
         self.term_most = np.maximum.reduceat(self.impact, np.searchsorted(term, np.arange(len(lists)))) if len(lists) else np.empty(0)
-        self.blocks = -(-len(ids) // BLOCK)
+        self.blocks = -(-len(words) // BLOCK)
         self.dense = self.dense_most = None
-        if len(lists) * len(ids) <= DENSE:
+        if len(lists) * len(words) <= DENSE:
             self.dense = np.zeros((len(lists), self.blocks * BLOCK))
             self.dense[term, self.item] = self.impact
             self.dense_most = self.dense.reshape(len(lists), self.blocks, BLOCK).max(axis=2)
-        self.passage = 2 * max([32, *map(len, words)])
+        self.passage = 2 * size
         self.seen = self.scored = 0
 
     def terms(self, hashes: np.ndarray) -> np.ndarray:
@@ -186,21 +190,22 @@ class Index:
         item, where = np.unique(self.item[at], return_inverse=True)
         return item[np.bincount(where, weights=self.impact[at], minlength=len(item)) >= 1 - 1e-9]
 
-    def find(self, terms: np.ndarray) -> set[int]:
-        """Items that some passage of a document retrieves; ``terms`` has -1 for words that no item has.
+    def find(self, terms: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(first word, items) of each passage of a document that retrieves items; ``terms`` has -1 for words that no item has.
 
         Passages overlap by half, so one of them holds any item whole. A passage whose words' maxima,
         repeats included, don't sum to 1 can retrieve nothing.
         """
-        half, found = self.passage // 2, set()
+        half = self.passage // 2
         most = np.append(0.0, np.cumsum(np.append(self.term_most, 0.0)[terms]))  # the last entry is for -1
         starts = np.arange(0, max(1, len(terms) - half), half)
         sums = most[np.minimum(starts + self.passage, len(terms))] - most[starts]
         for at in starts[sums >= 1 - 1e-6].tolist():
             t = np.sort(terms[at : at + self.passage])
             t = t[np.append(t[0] >= 0, (t[1:] != t[:-1]) & (t[1:] >= 0))]
-            found.update(self.search(t).tolist())
-        return found
+            found = self.search(t).tolist()
+            if found:
+                yield at, found
 
 
 def _passes(benchmark: DataFrame):
@@ -234,19 +239,28 @@ class Matcher:
     """Verified test items of texts."""
 
     def __init__(self, ids: list, texts: list[str], stats: tuple | None, threshold: float, overlap: float, width: int):
-        self.index, self.overlap, self.width = Index(ids, texts, threshold, stats), overlap, width
+        self.ids, self.items, self.overlap, self.width = ids, [question_and_answer(t) for t in texts], overlap, width
         self.parts: dict[int, tuple] = {}
-
-    def _verified(self, text: str, found: set[int]) -> list[tuple]:
-        grams, out = _windows(tokens(text), self.width), []
-        for i in sorted(found):
-            if i not in self.parts:
-                q, a = self.index.items[i]
-                self.parts[i] = (_windows(q, self.width), _windows(a, self.width), _windows(q + a, self.width))
-            q, a, both = (len(x & grams) / len(x) if x else 0.0 for x in self.parts[i])
-            if both >= self.overlap and max(q, a) >= self.overlap:
-                out.append((self.index.ids[i], q, a, both))
-        return out
+        words = [q + a for q, a in self.items]
+        stats = stats or statistics(words)
+        by_class: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_class.setdefault(CLASS << max(0, math.ceil(math.log2(max(1, len(w)) / CLASS))), []).append(i)
+        self.indexes = [(members, Index([words[i] for i in members], threshold, stats, size)) for size, members in sorted(by_class.items())]
+
+    def _verified(self, text: str, found: list[tuple[int, int, list[int]]]) -> list[tuple]:
+        """Items of passages (first word, words, items), with their overlaps in the passage that holds most of them."""
+        words, best = tokens(text), {}
+        for at, length, items in found:
+            grams = _windows(words[at : at + length], self.width)
+            for i in items:
+                if i not in self.parts:
+                    q, a = self.items[i]
+                    self.parts[i] = (_windows(q, self.width), _windows(a, self.width), _windows(q + a, self.width))
+                q, a, both = (len(x & grams) / len(x) if x else 0.0 for x in self.parts[i])
+                if both >= self.overlap and max(q, a) >= self.overlap:
+                    best[i] = max(best.get(i, (0.0, 0.0, 0.0)), (both, q, a))
+        return [(self.ids[i], q, a, both) for i, (both, q, a) in sorted(best.items())]
 
     def __call__(self, texts: list[str | None]) -> Iterator[list[tuple]]:
         """Per text (item_id, question, answer and whole overlap); texts are hashed ``SEGMENT`` bytes at a time."""
@@ -256,9 +270,13 @@ class Matcher:
             size += len(run[-1])
             if size >= SEGMENT or k == len(texts) - 1:
                 hashes, counts = hash_tokens(run)
-                terms, ends = self.index.terms(hashes), np.cumsum(counts)
+                terms, ends = [index.terms(hashes) for _, index in self.indexes], np.cumsum(counts)
                 for j, (end, n) in enumerate(zip(ends.tolist(), counts.tolist())):
-                    found = self.index.find(terms[end - n : end]) if n else None
+                    found = [
+                        (at, index.passage, [members[i] for i in items])
+                        for (members, index), t in zip(self.indexes, terms if n else [])
+                        for at, items in index.find(t[end - n : end])
+                    ]
                     yield self._verified(texts[start + j], found) if found else []
                 run, size, start = [], 0, k + 1
 
@@ -272,12 +290,13 @@ def contaminated(
 ) -> DataFrame:
     """Documents that hold test items.
 
-    ``benchmark`` has item_id and text. A passage retrieves every item that scores ``threshold`` of
-    what the item scores itself; the pair is then verified: the share of the item's ``width``-word
-    windows that the document holds must reach ``overlap`` in all, and in the question or the answer. A
-    document that holds only a smaller part, such as a short question without its long answer, is not
+    ``benchmark`` has item_id and text. Passages are twice as long as the length class of an item (64 words,
+    128, ...), which depends on no other item, and overlap by half. A passage retrieves every item that scores
+    ``threshold`` of what the item scores itself; the pair is then verified: the share of the item's
+    ``width``-word windows that the passage holds must reach ``overlap`` in all, and in the question or the
+    answer, so parts of an item that lie further apart don't count together. A document that holds only a smaller part, such as a short question without its long answer, is not
     reported. Items of fewer words than ``width`` have one window, all their words.
-    Returns doc_id, item_id, question_overlap, answer_overlap, overlap, one row per pair found
+    Returns doc_id, item_id, question_overlap, answer_overlap, overlap (in the passage that holds most), one row per pair found
     (repeated rows of a document repeat it). Null and empty texts and items without words find nothing;
     rows with a null doc_id have no row here, but :func:`drop_contaminated` decides them by their text.
 

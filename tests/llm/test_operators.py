@@ -360,7 +360,7 @@ def test_block_max_search_equals_full_scoring_and_skips_blocks():
     rng = random.Random(3)
     words = [f"w{i}" for i in range(1500)]
     texts = [" ".join(rng.choices(words, k=12)) for _ in range(400)] + ["", "two words"]
-    index = decontam.Index(list(range(len(texts))), texts, 0.4)
+    index = decontam.Index([decontam.tokens(t) for t in texts], 0.4)
     score, own = _bm25(texts)
     hits = 0
     for n in range(60):
@@ -383,30 +383,30 @@ def test_tokens_are_hashed_as_they_are_read():
 def test_contaminated_equals_brute_force_in_one_pass_or_several(spark, monkeypatch):
     rng = random.Random(21)
     vocabulary = [f"v{i}" for i in range(150)]
-    items = [" ".join(rng.choices(vocabulary, k=rng.randint(6, 24))) for _ in range(30)]
+    items = [" ".join(rng.choices(vocabulary, k=k)) for k in [rng.randint(6, 24) for _ in range(22)] + [5, 64, 65, 90, 129, 300, 600, 1000]]
     rows = []
     for i in range(80):
-        text = " ".join(rng.choices(vocabulary, k=rng.randint(0, 120))).split()
+        text = " ".join(rng.choices(vocabulary, k=rng.randint(0, 120) if i % 5 else 900)).split()
         if i % 2:
             part = items[i % 30].split()
             a = rng.randrange(len(part))
             at = rng.randint(0, len(text))
-            text[at:at] = part[a : a + rng.randint(3, len(part))]
+            text[at:at] = part if i % 4 == 1 else part[a : a + rng.randint(3, len(part))]
         rows.append((i, " ".join(text), None, None, 0, None, None))
     score, own = _bm25(items)
+    share = lambda x, grams: len(decontam._windows(x, 3) & grams) / len(decontam._windows(x, 3)) if x else 0.0
     want = set()
     for d, t, *_ in rows:
         w = decontam.tokens(t)
-        size = 2 * max(32, max(len(x.split()) for x in items))
-        found = set()
-        for at in range(0, max(1, len(w) - size // 2), size // 2):
-            found |= {k for k, s in enumerate(score(set(w[at : at + size]))) if s >= 0.4 * own[k] - 1e-9}
-        grams = decontam._windows(w, 3)
-        share = lambda x: len(decontam._windows(x, 3) & grams) / len(decontam._windows(x, 3)) if x else 0.0
-        for k in found:
-            q, a = decontam.question_and_answer(items[k])
-            if share(q + a) >= 0.5 and max(share(q), share(a)) >= 0.5:
-                want.add((d, k))
+        for size in (64, 128, 256, 512, 1024):
+            mine = [k for k, x in enumerate(items) if (size // 2 if size > 64 else 0) < len(x.split()) <= size]
+            for at in range(0, max(1, len(w) - size), size):
+                passage = w[at : at + 2 * size]
+                scores, grams = score(set(passage)), decontam._windows(passage, 3)
+                for k in mine:
+                    q, a = decontam.question_and_answer(items[k])
+                    if scores[k] >= 0.4 * own[k] - 1e-9 and share(q + a, grams) >= 0.5 and max(share(q, grams), share(a, grams)) >= 0.5:
+                        want.add((d, k))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     for most in (50_000, 7):
         monkeypatch.setattr(decontam, "PASS_ITEMS", most)
@@ -422,6 +422,19 @@ def test_one_part_alone_is_reported_only_if_it_is_half_of_the_item(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == {(2, 2), (3, 1)}
 
 
+def test_other_items_of_any_length_change_nothing(spark):
+    """An item in three parts 300 words apart is not in one passage, whatever other items there are."""
+    rng = random.Random(2)
+    text = lambda n, c: " ".join(f"{c}{rng.randint(0, 10_000)}" for _ in range(n))
+    item, whole, other = text(30, "x"), text(40, "z"), text(1000, "y")
+    w = item.split()
+    apart = " ".join([*w[:10], text(300, "u"), *w[10:20], text(300, "u"), *w[20:]])
+    docs = frame(spark, [(1, apart, None, None, 0, None, None), (2, f"{text(500, 'u')} {whole} {text(500, 'u')}", None, None, 0, None, None)])
+    alone = spark.createDataFrame([(1, item), (3, whole)], "item_id long, text string")
+    more = alone.union(spark.createDataFrame([(2, other)], alone.schema))
+    assert [{(r.doc_id, r.item_id) for r in decontam.contaminated(docs, b).collect()} for b in (alone, more)] == [{(2, 3)}] * 2
+
+
 # --- 8 lines
 
 
