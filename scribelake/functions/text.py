@@ -187,20 +187,26 @@ def snippet(c: Column | str, needles: list[str], around: int = 60, fallback: int
 
 
 def agent_snippet(c: Column | str, query: str, limit: int = 300, around: int = 60) -> Column:
-    """struct(snippet, start, end): text around the first query word of two characters or more that occurs.
+    """struct(snippet, start, end, truncated): text around the first query word of two characters or more that occurs.
 
-    Without a hit it is the start of the text; a snippet cut at ``limit`` or without a hit has no range.
+    The snippet is stripped and has an ellipsis where text is left out. Without a hit it is the start of the
+    text. start and end are the range it covers; a snippet without a hit or cut at ``limit`` has none.
     """
     text = F.coalesce(col(c), F.lit(""))
-    low = F.lower(text)
+    low, long = F.lower(text), F.length(text)
+    strip = lambda x: F.regexp_replace(x, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
     words = [w for w in query.split() if len(w) >= 2]
     hits = [F.when(F.instr(low, w.lower()) > 0, F.struct(F.instr(low, w.lower()).alias("at"), F.lit(len(w)).alias("n"))) for w in words]
     hit = F.coalesce(*hits) if hits else F.lit(None).cast("struct<at:int,n:int>")
     start = F.greatest(hit["at"] - 1 - around, F.lit(0))
-    end = F.least(hit["at"] - 1 + hit["n"] + around, F.length(text))
-    fits = hit.isNotNull() & (end - start <= limit)
-    body = F.when(hit.isNull(), F.left(text, F.lit(limit))).otherwise(F.left(F.substring(text, start + 1, end - start), F.lit(limit)))
-    return F.struct(body.alias("snippet"), F.when(fits, start).alias("start"), F.when(fits, end).alias("end"))
+    end = F.least(hit["at"] - 1 + hit["n"] + around, long)
+    head = strip(F.left(text, F.lit(limit)))
+    part = F.concat(F.when(start > 0, "…").otherwise(""), strip(F.substring(text, start + 1, end - start)), F.when(end < long, "…").otherwise(""))
+    fits = hit.isNotNull() & (F.length(part) <= limit)
+    body = F.when(hit.isNull(), F.concat(head, F.when(long > F.length(head), "…").otherwise(""))).when(fits, part).otherwise(F.concat(F.left(part, F.lit(limit)), F.lit("…")))
+    truncated = F.when(hit.isNull(), long > F.length(head)).when(fits, end < long).otherwise(True)
+    covered = F.least(end, start + F.length(part))
+    return F.struct(body.alias("snippet"), F.when(fits, start).alias("start"), F.when(fits, covered).alias("end"), truncated.alias("truncated"))
 
 
 def earliest_snippet(c: Column | str, tokens: list[str], before: int = 40, after: int = 100) -> Column:

@@ -203,14 +203,16 @@ def search_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.batch_search(ledger(spark, sf_dir), q, {"title": 50.0, "requester": 25.0}, "ledger_id")
 
 
-@BOOK.query(f"""WITH {DOCUMENTS_SQL}, p AS (SELECT doc_id, full_markdown AS x, CASE WHEN instr(lower(full_markdown), 'thering') > 0 THEN instr(lower(full_markdown), 'thering') - 1 WHEN instr(lower(full_markdown), 'than') > 0 THEN instr(lower(full_markdown), 'than') - 1 END AS pos,
-  CASE WHEN instr(lower(full_markdown), 'thering') > 0 THEN 7 ELSE 4 END AS n FROM docs WHERE contains(lower(full_markdown), 'licensed')),
-s AS (SELECT doc_id, x, pos, greatest(pos - 60, 0) AS "start", least(pos + n + 60, length(x)) AS "end" FROM p)
-SELECT doc_id, CASE WHEN pos IS NULL THEN left(x, 300) ELSE substr(x, "start" + 1, "end" - "start") END AS snippet, coalesce("start", -1)::INT AS "start", coalesce(CASE WHEN pos IS NOT NULL THEN "end" END, -1)::INT AS "end" FROM s""")
+@BOOK.query(f"""WITH {DOCUMENTS_SQL}, p AS (SELECT doc_id, coalesce(full_markdown, '') AS x, CASE WHEN instr(lower(full_markdown), 'thering') > 0 THEN instr(lower(full_markdown), 'thering') - 1 WHEN instr(lower(full_markdown), 'than') > 0 THEN instr(lower(full_markdown), 'than') - 1 END AS pos,
+  CASE WHEN instr(lower(full_markdown), 'thering') > 0 THEN 7 ELSE 4 END AS n FROM docs WHERE contains(lower(full_markdown), 'the')),
+s AS (SELECT *, CASE WHEN pos IS NOT NULL THEN greatest(pos - 60, 0) END AS a, CASE WHEN pos IS NOT NULL THEN least(pos + n + 60, length(x)) END AS z, regexp_replace(left(x, 300), '^{_SPACES}+|{_SPACES}+$', '', 'g') AS head FROM p),
+e AS (SELECT *, (CASE WHEN a > 0 THEN '…' ELSE '' END) || regexp_replace(substr(x, a + 1, z - a), '^{_SPACES}+|{_SPACES}+$', '', 'g') || (CASE WHEN z < length(x) THEN '…' ELSE '' END) AS part FROM s)
+SELECT doc_id, CASE WHEN pos IS NULL THEN head || (CASE WHEN length(x) > length(head) THEN '…' ELSE '' END) ELSE part END AS snippet, coalesce(a, -1)::INT AS "start",
+  coalesce(CASE WHEN pos IS NOT NULL THEN least(z, a + length(part)) END, -1)::INT AS "end", CASE WHEN pos IS NULL THEN length(x) > length(head) ELSE z < length(x) END AS truncated FROM e""")
 def agent_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snippets of hits with their ranges."""
     docs = documents(spark, sf_dir)
-    found = search.words_filter(docs, "licensed", ["full_markdown"], None).select("doc_id")
+    found = search.words_filter(docs, "the", ["full_markdown"], None).select("doc_id")
     hits = search.agent_snippets(found, docs, "a thering than", "full_markdown")
     return hits.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("start", "end")})
 

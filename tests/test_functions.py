@@ -56,7 +56,9 @@ def test_positions_and_snippet(spark):
     assert values(spark, text.match_positions("c", "ab"), ["xABab", "", None, many]) == [[1, 3], [], [], list(range(0, 1500, 3))]
     assert values(spark, text.earliest_snippet("c", ["zz", "nee dle"]), ["x" * 50 + "NEE  DLE tail"])[0].startswith("x" * 40 + "NEE  DLE")
     got = values(spark, text.agent_snippet("c", "a needle x2"), ["y" * 100 + "Needle" + "z" * 100, "none", None])
-    assert [tuple(r) for r in got] == [("y" * 60 + "Needle" + "z" * 60, 40, 166), ("none", None, None), ("", None, None)]
+    assert [tuple(r) for r in got] == [("…" + "y" * 60 + "Needle" + "z" * 60 + "…", 40, 166, True), ("none", None, None, False), ("", None, None, False)]
+    got = values(spark, text.agent_snippet("c", "needle", limit=100), [" " * 70 + "needle ", "x" * 101, " \u3000x ", "q" * 60 + "needle" + "q" * 60])
+    assert [tuple(r) for r in got] == [("…needle", 10, 17, False), ("x" * 100 + "…", None, None, True), ("x…", None, None, True), ("q" * 60 + "needle" + "q" * 34 + "…", None, None, True)]
     assert text.highlight_terms('"a b" -no OR word year:2020 ㅇㅅ x') == ["a b", "word"]
     assert values(spark, text.snippet("c", ["needle"], 3), ["0123456789 Needle tail"]) == ["…89 Needle ta…"]
     assert values(spark, text.snippet("c", ["none"], 3, 4), ["0123456789"]) == ["0123"]
