@@ -116,10 +116,15 @@ class QualityModel:
     meta: np.ndarray
     combine: np.ndarray
 
+    @property
+    def decides(self) -> bool:
+        """Whether anything was learned."""
+        return bool(self.text.any() or self.meta.any() or self.combine.any())
+
     @classmethod
     def empty(cls) -> QualityModel:
-        """With too few labels every document gets 0.5 and is kept; a warning says so."""
-        warnings.warn("too few labels of both kinds to train on: every document gets 0.5", stacklevel=3)
+        """With too few labels every document gets 0.5 and no decision (kept is null); a warning says so."""
+        warnings.warn("too few labels of both kinds to train on: every document gets 0.5 and is neither kept nor dropped", stacklevel=3)
         return cls(np.zeros(TEXT_HASHED + SHAPE + 1), np.zeros(META_HASHED + META_SHAPE + 1), np.zeros(3))
 
 
@@ -214,7 +219,7 @@ def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, rounds: int = 4, grow:
 def score_quality(docs: DataFrame, pages: DataFrame, model: QualityModel) -> DataFrame:
     """Score of every document by the calibrated views together.
 
-    Returns doc_id, text_score, meta_score, score (0 to 1, higher: better), kept (score >= 0.5), one
+    Returns doc_id, text_score, meta_score, score (0 to 1, higher: better), kept (score >= 0.5; null where nothing was learned), one
     row per row of ``docs``. The text view is scored where the text is read; only its number is
     joined with the page records. Null and empty texts have a score too.
     """
@@ -241,4 +246,4 @@ def score_quality(docs: DataFrame, pages: DataFrame, model: QualityModel) -> Dat
     clip = lambda name: F.greatest(F.lit(-8.0), F.least(F.lit(8.0), F.col(name)))
     one = lambda e: 1 / (1 + F.exp(-e))
     score = one(clip("tz") * a + clip("mz") * b + c)
-    return z.select("doc_id", one(clip("tz")).alias("text_score"), one(clip("mz")).alias("meta_score"), score.alias("score")).withColumn("kept", F.col("score") >= 0.5)
+    return z.select("doc_id", one(clip("tz")).alias("text_score"), one(clip("mz")).alias("meta_score"), score.alias("score")).withColumn("kept", F.when(F.lit(model.decides), F.col("score") >= 0.5))

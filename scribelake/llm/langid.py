@@ -105,8 +105,9 @@ def train(
     """Fit on a seeded sample of labelled documents, taken from each language apart.
 
     ``sample_rows`` are shared out evenly, but each language gives ``floor`` documents or all it has, so a
-    rare language is learned in a corpus of any size. An n-gram is put into a language's filter if at
-    least ``least`` of its sampled documents hold it (one where it has under 100 of them) and its document
+    rare language is learned in a corpus of any size; one with fewer than ``least`` documents has no n-gram.
+    An n-gram is put into a language's filter if at least ``least`` of its sampled documents hold it, in a
+    sample of any size, and its document
     rate is at least ``relative`` of the highest among the languages. Rows with a null or empty lang, a
     null text, or in the held-out ``fold`` (parts, part) are not used; equal rows count each; an empty
     table gives a model without languages. ``slots`` must be a power of two; with the number of
@@ -149,11 +150,10 @@ def train(
     sampled = materialize(joined.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")), F.lit(1_000_000)) < F.col("share")).select("text", "number"))
     per_lang = {r["number"]: r["n"] for r in sampled.groupBy("number").agg(F.count("*").alias("n")).collect()}
     rows = [max(1, per_lang.get(i, 0)) for i in range(len(languages))]
-    needed = F.array(*[F.lit(least if n >= 100 else 1) for n in rows])
     of = F.array(*[F.lit(float(n)) for n in rows])
     counted = sampled.mapInPandas(grams, "h long, lang int, n long").groupBy("h", "lang").agg(F.sum("n").alias("n"))
     by_gram = counted.select("h", "lang", "n", (F.col("n") / F.get(of, F.col("lang"))).alias("rate")).groupBy("h").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "n", "rate")).alias("langs"))
-    chosen = F.filter("langs", lambda x: (x["n"] >= F.get(needed, x["lang"])) & (x["rate"] >= relative * F.col("top")))
+    chosen = F.filter("langs", lambda x: (x["n"] >= least) & (x["rate"] >= relative * F.col("top")))
     bit = lambda p: lambda acc, x: acc.bitwiseOR(F.when(F.floor(x["lang"] / 8) == p, F.pow(F.lit(2), x["lang"] % 8).cast("int")).otherwise(0))
     bits = by_gram.select("h", chosen.alias("langs")).filter("size(langs) > 0")
     first, step = F.col("h").bitwiseAND(F.lit(slots - 1)), F.shiftrightunsigned("h", 32).bitwiseOR(F.lit(1))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, materialize, objects
+from .common import ASCII_SPACE, materialize, objects, unused
 from .neardup import broadcast_if_small
 
 
@@ -112,11 +112,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     return lost.select("doc_id", "row_hash", F.size("gone").cast("long").alias("n_dropped"), packed("gone").alias("bitmap"))
 
 
-def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Joins bitmaps to their rows; where few documents lose lines no text is shuffled."""
-    marks = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("row_hash").alias("__hash"), F.col("bitmap").alias("__bitmap"))
+def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> tuple[DataFrame, str]:
+    """Joins bitmaps to their rows, under a name that is returned; where few documents lose lines no text is shuffled."""
+    doc, mark, bitmap = unused(docs, "__doc", "__hash", "__bitmap")
+    marks = bitmaps.select(F.col("doc_id").alias(doc), F.col("row_hash").alias(mark), F.col("bitmap").alias(bitmap))
     marks = broadcast_if_small(materialize(marks), 200_000)
-    return docs.join(marks, (F.col("doc_id") == F.col("__doc")) & (_row_id() == F.col("__hash")), "left")
+    return docs.join(marks, (F.col("doc_id") == F.col(doc)) & (_row_id() == F.col(mark)), "left"), bitmap
 
 
 def _kept_text(text: str | None, bitmap: bytes | None) -> tuple[str, int, int]:
@@ -139,8 +140,8 @@ def digest(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
             out.append((n, gone, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()))
         return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept_sha256"])
 
-    joined = _with_bitmaps(docs.select("doc_id", "text"), bitmaps)
-    return joined.select("doc_id", "__bitmap", kept("text", "__bitmap").alias("k")).select("doc_id", "k.n_lines", "k.n_dropped", "k.kept_sha256", F.col("__bitmap").alias("keep_bitmap"))
+    joined, bitmap = _with_bitmaps(docs.select("doc_id", "text"), bitmaps)
+    return joined.select("doc_id", bitmap, kept("text", bitmap).alias("k")).select("doc_id", "k.n_lines", "k.n_dropped", "k.kept_sha256", F.col(bitmap).alias("keep_bitmap"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, drop_empty: bool = True) -> DataFrame:
@@ -153,7 +154,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, drop_empty: bool = True)
     def kept(texts: pd.Series, bitmaps: pd.Series) -> pd.Series:
         return pd.Series([t if b is None else _kept_text(t, b)[0] for t, b in zip(texts, bitmaps)], dtype="object")
 
-    out = _with_bitmaps(docs, bitmaps).withColumn("text", kept("text", "__bitmap"))
+    joined, bitmap = _with_bitmaps(docs, bitmaps)
+    out = joined.withColumn("text", kept("text", bitmap))
     if drop_empty:
-        out = out.filter(F.col("__bitmap").isNull() | (F.btrim("text", F.lit(ASCII_SPACE)) != ""))
+        out = out.filter(F.col(bitmap).isNull() | (F.btrim("text", F.lit(ASCII_SPACE)) != ""))
     return out.select(*docs.columns)

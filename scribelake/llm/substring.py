@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, materialize, objects
+from .common import WORD_RE, materialize, objects, unused
 from .components import connected_components
 from .neardup import broadcast_if_small
 from .words import _MULT, chunks, folded, grams, hash_texts, inside
@@ -249,7 +249,8 @@ def substring_dedup(docs: DataFrame, min_words: int = 51, similar: float = 0.8)
 
 def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents with the removed passages cut out of ``text``; other columns stay."""
-    gone = found.filter("removed").groupBy(F.col("doc_id").alias("__doc"), F.col("row_hash").alias("__row")).agg(F.collect_set(F.struct("start", "n_words")).alias("__gone"))
+    doc, mark, ranges = unused(docs, "__doc", "__row", "__gone")
+    gone = found.filter("removed").groupBy(F.col("doc_id").alias(doc), F.col("row_hash").alias(mark)).agg(F.collect_set(F.struct("start", "n_words")).alias(ranges))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
@@ -266,5 +267,5 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype="object")
 
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__row")), "left")
-    return joined.withColumn("text", without("text", "__gone")).select(*docs.columns)
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(mark)), "left")
+    return joined.withColumn("text", without("text", ranges)).select(*docs.columns)

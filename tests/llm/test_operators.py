@@ -204,7 +204,7 @@ def test_cotraining_without_labels(spark, docs):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     model = cotrain.train(docs, pages, spark.createDataFrame([], "doc_id long, quality int"))
     got = cotrain.score_quality(docs, pages, model).collect()
-    assert len(got) == len(ROWS) and all(r.kept for r in got)
+    assert len(got) == len(ROWS) and all(r.kept is None and r.score == 0.5 for r in got)
     assert cotrain.train(empty(spark), pages, spark.createDataFrame([], "doc_id long, quality int")).text.sum() == 0
 
 
@@ -474,6 +474,19 @@ def test_bitmap_round_trip():
         assert len(stays) == n and sorted(np.flatnonzero(~stays)) == dropped
 
 
+def test_columns_with_the_names_of_helpers(spark):
+    from scribelake.llm import substring
+
+    same = " ".join(f"word{i}" for i in range(60)) + " that several documents hold"
+    rows = [(1, same + "\nown one", 7, 7, 7, 7, 7), (2, same + "\nown two", 8, 8, 8, 8, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __doc int, __row int, __hash int, __bitmap int, __gone int")
+    got = {r.doc_id: r for r in linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs)).collect()}
+    assert got[2].text == "own two" and got[2]["__bitmap"] == 8 and got[1].text == rows[0][1]
+    cut = {r.doc_id: r for r in substring.cut(docs, substring.substring_dedup(docs)).collect()}
+    assert cut[2].text.split() == ["two"] and cut[2]["__gone"] == 8
+    assert {r.doc_id for r in ngramjoin.keep_one(docs).collect()} == {1}
+
+
 # --- 9 and 10
 
 
