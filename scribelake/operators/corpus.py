@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +53,69 @@ def body_blocks(rows: DataFrame, part: str, key: str, body: str, size: int, thre
     return running_before(sized, [part], [key], "n", "before").select(key, part, F.expr(f"before div {size}").alias("block"))
 
 
+def greedy_blocks(rows: DataFrame, order: list[str], key: str, body: str, chunk: int = 3_000_000, threshold: int = 4_000_000) -> DataFrame:
+    """(key, n, block): rows in ``order`` fill blocks; one closes once it holds ``chunk`` characters, and the next starts anew.
+
+    Up to ``threshold`` characters in all there is one block, 0. Lengths are shuffled, not bodies. Where a block
+    closes depends on all rows before, but of a range of rows only two things matter to what follows: how many
+    blocks it closed and how full the open one is. Each range says both for any fill it may start with (a
+    step for each row that could close the first block); these functions are applied one after the
+    other, range by range, and then every range numbers its rows. ``order`` and ``key`` tell rows apart.
+    """
+    sized = rows.select(*dict.fromkeys([*order, key]), F.coalesce(F.length(body), F.lit(0)).cast("long").alias("n"))
+    if (sized.agg(F.sum("n")).head()[0] or 0) <= threshold:
+        return sized.select(key, "n", F.lit(0).cast("long").alias("block"))
+    dealt = cut(sized.repartitionByRange(*order, key).sortWithinPartitions(*order, key).withColumn("__part", F.spark_partition_id()))
+
+    def summary(batches):
+        held = [(pdf["n"].to_numpy(dtype=np.int64), pdf["__part"].iat[0]) for pdf in batches if len(pdf)]
+        if not held:
+            return
+        n = np.concatenate([x for x, _ in held])
+        ends = np.append(0, np.cumsum(n))
+        closes = np.searchsorted(ends[1:], ends[:-1] + chunk)  # the row at which a block that starts at each row closes
+        count, left = np.zeros(len(n) + 1, dtype=np.int64), np.zeros(len(n) + 1, dtype=np.int64)
+        for i in range(len(n) - 1, -1, -1):
+            j = int(closes[i])
+            count[i], left[i] = (count[j + 1] + 1, left[j + 1]) if j < len(n) else (0, ends[-1] - ends[i])
+        first = np.flatnonzero((ends[:-1] < chunk) & (n > 0))  # only these can close the block that was open before
+        yield pd.DataFrame({"part": [int(held[0][1])], "total": [int(ends[-1])], "ends": [ends[first + 1].tolist()], "count": [(count[first + 1] + 1).tolist()], "left": [left[first + 1].tolist()]})
+
+    # the walk over the ranges keeps one number for each; rows without characters never close a block
+    starts, block, fill = {}, 0, 0
+    steps = dealt.select("n", "__part").mapInPandas(summary, "part int, total long, ends array<long>, count array<long>, left array<long>")
+    for r in cut(steps).orderBy("part").toLocalIterator():
+        starts[r["part"]] = (block, fill)
+        i = bisect.bisect_left(r["ends"], chunk - fill)
+        if i < len(r["ends"]):
+            block, fill = block + r["count"][i], r["left"][i]
+        else:
+            fill += r["total"]
+    kind = rows.schema[key].dataType.simpleString()
+
+    def number(batches):
+        block, fill, begun = 0, 0, False
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if not begun:
+                (block, fill), begun = starts[int(pdf["__part"].iat[0])], True
+            out = []
+            for n in pdf["n"].to_list():
+                out.append(block)
+                fill += n
+                if fill >= chunk:
+                    block, fill = block + 1, 0
+            yield pd.DataFrame({key: pdf[key], "n": pdf["n"], "block": np.array(out, dtype=np.int64)})
+
+    return dealt.select(key, "n", "__part").mapInPandas(number, f"{key} {kind}, n long, block long")
+
+
+def write_blocks(rows: DataFrame, blocks: DataFrame, path: str, key: str, body: str) -> None:
+    """A JSON-lines folder for each block, with the bodies of its rows."""
+    rows.select(key, body).join(blocks.select(key, "block"), key).repartition("block").write.mode("overwrite").partitionBy("block").json(path)
+
+
 def merge_plan(stored: DataFrame, incoming: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """Incoming rows with action: skip where the content is stored already, else copy.
 

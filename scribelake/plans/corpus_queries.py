@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scribelake.functions import metadata as md
 from scribelake.operators import corpus
+from scribelake.operators.shared import shared_path
 
 from .roles import AS_OF, Book, documents, table
 
@@ -59,6 +60,17 @@ def body_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.body_blocks(table(spark, sf_dir, "documents"), "source", "doc_id", "text", 200_000)
 
 
+@BOOK.query("""WITH RECURSIVE o AS (SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST) AS i FROM documents),
+s AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, 0::BIGINT AS n, 0::BIGINT AS block, 0::BIGINT AS fill
+  UNION ALL SELECT o.i, o.doc_id, o.n, s.block + CASE WHEN s.fill >= 50000 THEN 1 ELSE 0 END, CASE WHEN s.fill >= 50000 THEN 0 ELSE s.fill END + o.n FROM s JOIN o ON o.i = s.i + 1)
+SELECT doc_id, n, block FROM s WHERE i > 0""")
+def body_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies in files by block, read back: a block closes once it holds 50,000 characters."""
+    docs, path = table(spark, sf_dir, "documents"), shared_path(spark)
+    corpus.write_blocks(docs, corpus.greedy_blocks(docs, ["source", "doc_id"], "doc_id", "text", 50_000, 0), path, "doc_id", "text")
+    return spark.read.schema("doc_id long, text string, block long").json(path).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), "block")
+
+
 _REPORT = """docs AS (SELECT doc_id, lang || ', ' || source || ' , ,x' AS topic_tags, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS requester, CASE WHEN doc_id % 4 = 0 THEN '' ELSE '2020' END AS year,
   CASE WHEN doc_id % 5 = 0 THEN '' ELSE '2020-01-01' END AS request_date, lang AS institution, CASE WHEN contains(text, '|') THEN 'Y' ELSE 'N' END AS has_tables, text FROM documents)"""
 

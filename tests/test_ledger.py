@@ -121,6 +121,22 @@ def test_source_of_a_later_row_does_not_go_before_the_hash_of_an_earlier(spark):
     assert {r.path: r.old_id for r in ledger.reuse_ids(fresh, known, ["source", "hash"]).collect()} == {"a": "X", "b": None}
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 100, 10_000])
+def test_blocks_close_as_in_a_plain_loop(spark, chunk):
+    rng = random.Random(chunk)
+    rows = [(i, "x" * rng.choice([0, 0, 1, 5, 40, 150])) for i in range(300)] + [(300, None)]
+    want, block, fill = {}, 0, 0
+    for i, body in rows:
+        want[i] = block
+        fill += len(body or "")
+        if fill >= chunk:
+            block, fill = block + 1, 0
+    docs = spark.createDataFrame(rows, "id long, body string").repartition(7)
+    assert {r.id: r.block for r in corpus.greedy_blocks(docs, ["id"], "id", "body", chunk, 10).collect()} == want
+    assert {r.block for r in corpus.greedy_blocks(docs, ["id"], "id", "body", chunk, 10**9).collect()} == {0}
+    assert corpus.greedy_blocks(docs.limit(0), ["id"], "id", "body", chunk, 0).count() == 0
+
+
 def test_fingerprints(spark):
     rows = lambda *x: spark.createDataFrame([(v,) for v in x], "v string")
     hash_of = lambda *x: corpus.multiset_hash(rows(*x)).head()
