@@ -52,25 +52,33 @@ JAMO = "^[ㄱ-ㅎ]+$"
 INITIALS_LIMIT = 4000
 
 
-def query_terms(queries: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+def query_terms(queries: DataFrame, synonyms: DataFrame | None = None, browser: bool = False) -> DataFrame:
     """(query_id, query) -> (query_id, group_no, term_no, kind, field, value, variants).
 
     Groups are separated by OR or ``|``; inside one, terms are ANDed. ``"…"`` is a phrase, ``-x`` an
     exclusion, ``field:value`` a qualifier where the field is known; those three belong to the whole
     query (group -1). ``date:a..b`` gives the qualifiers date_from and date_to. A term's variants are
     itself, its stem and the ``synonyms`` (word, variant) of both; a term of initials has only itself.
+
+    The ``browser``'s grammar differs: OR and ``|`` part groups only between spaces and are words elsewhere, words
+    and exclusions keep their punctuation, stems under two characters are no variants, and a group without a
+    term asks for the phrases alone, so then no other group's terms are needed (they get the kind ``extra``).
     """
     known = "|".join(FIELDS)
     q = queries.select("query_id", F.coalesce("query", F.lit("")).alias("q"))
+    if browser:
+        q = q.select("query_id", F.regexp_replace("q", r"(?U)^\s+|\s+$", "").alias("q"))
     phrases = q.select("query_id", F.posexplode(F.regexp_extract_all("q", F.lit('"([^"]*)"'), 1)).alias("term_no", "value")).select(
         "query_id", F.lit(-1).alias("group_no"), "term_no", F.lit("phrase").alias("kind"), F.lit("").alias("field"), nospace_lower("value").alias("value")
     )
     rest = F.regexp_replace("q", '"[^"]*"', " ")
-    groups = q.select("query_id", F.posexplode(F.split(rest, r"(?U)\s+(?:OR|or|\|)\s+|\s*\|\s*")).alias("group_no", "g"))
-    words = groups.select("query_id", "group_no", F.posexplode(F.split("g", r"(?U)\s+")).alias("term_no", "w")).filter("w <> '' and upper(w) <> 'OR'")
+    parted = r"(?U)\s+(?:OR|or|\|)\s+" if browser else r"(?U)\s+(?:OR|or|\|)\s+|\s*\|\s*"
+    groups = q.select("query_id", F.posexplode(F.split(rest, parted)).alias("group_no", "g"))
+    words = groups.select("query_id", "group_no", F.posexplode(F.split("g", r"(?U)\s+")).alias("term_no", "w")).filter("w <> ''" if browser else "w <> '' and upper(w) <> 'OR'")
+    clean = F.lower if browser else clean_term
     qualifier = F.col("w").rlike(f"(?i)^(?:{known}):")
     kind = F.when(F.col("w").rlike("^-."), "not").when(qualifier, "field").otherwise("term")
-    value = F.when(kind == "not", clean_term(F.substring("w", 2, 10_000))).when(kind == "field", F.btrim(F.regexp_replace("w", "^[^:]*:", ""), F.lit('"'))).otherwise(clean_term("w"))
+    value = F.when(kind == "not", clean(F.substring("w", 2, 10_000))).when(kind == "field", F.btrim(F.regexp_replace("w", "^[^:]*:", ""), F.lit('"'))).otherwise(clean("w"))
     names = F.create_map(*[F.lit(x) for pair in FIELDS.items() for x in pair])
     parsed = words.select(
         "query_id",
@@ -90,6 +98,12 @@ def query_terms(queries: DataFrame, synonyms: DataFrame | None = None) -> DataFr
     parsed = parsed.select("query_id", "group_no", "term_no", "kind", F.inline(F.when(F.col("field") == "date", ends).otherwise(plain)).alias("field", "value"))
     terms = parsed.unionByName(phrases).filter("value <> ''")
     stem = strip_suffix("value")
+    if browser:
+        stem = F.when(F.length(stem) >= 2, stem).otherwise(F.col("value"))
+        # groups of exclusions and qualifiers only, in queries with phrases
+        blocks = words.select("query_id", F.col("group_no").alias("block"), (kind == "term").alias("own")).groupBy("query_id", "block").agg(F.max("own").alias("own"))
+        alone = blocks.filter("not own").select("query_id").distinct().join(phrases.filter("value <> ''").select("query_id").distinct(), "query_id").withColumn("alone", F.lit(True))
+        terms = terms.join(alone, "query_id", "left").withColumn("kind", F.when(F.col("alone") & (F.col("kind") == "term"), "extra").otherwise(F.col("kind"))).drop("alone")
     initials = F.col("value").rlike("^[ㄱ-ㅎ]+$")
     forms = F.when((F.col("kind") == "term") & ~initials, F.array_distinct(F.array(F.col("value"), stem))).otherwise(F.array("value"))
     terms = terms.withColumn("variants", forms)
@@ -232,6 +246,7 @@ def batch_search(
     k: int | None = None,
     initials: tuple[str, ...] = (),
     index: TrigramIndex | None = None,
+    browser: bool = False,
 ) -> DataFrame:
     """(query_id, key, score) of every match; the ``k`` best of each query if given.
 
@@ -239,11 +254,11 @@ def batch_search(
     word does, and every qualifier holds. A query of exclusions or qualifiers alone, or an empty
     one, lists every row that is left, with a score of 0. Score: each term hit, in whatever group,
     adds its field's weight, each phrase twice that; a field with weight 0 is searched but not scored.
-    With an ``index`` over the same fields the texts are read for candidates only; the rows are the same.
+    ``browser`` reads the queries by its grammar. With an ``index`` over the same fields the texts are read for candidates only; the rows are the same.
     """
     spark = docs.sparkSession
-    every = cut(query_terms(queries, synonyms))  # small, and used by every step below
-    terms = every.filter("kind <> 'field'")
+    every = cut(query_terms(queries, synonyms, browser))  # small, and used by every step below
+    terms = every.filter("kind not in ('field', 'extra')")
     hits = term_hits(index or search_text(docs, fields, key, initials), terms, key)
     need = terms.groupBy("query_id", "group_no", "kind").agg(F.count_distinct("term_no").alias("needed"))
     got = hits.groupBy("query_id", "group_no", "kind", key).agg(F.count_distinct("term_no").alias("got"), F.sum("weight").alias("weight"))

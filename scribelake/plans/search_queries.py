@@ -318,3 +318,18 @@ def rolling_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pruned_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of the query log: newer rows, and those without a result."""
     return feeds.prune_log(_log(spark, sf_dir).withColumnRenamed("searched_at", "ts"), "2024-01-06 00:00:00").select("query", "user_id", "result_count")
+
+
+_BROWSER = ["thering OR than", "the|of", "thering | licensed", '"of the" OR thering', '"of the" -licensed. OR zzz', "than -re,", "OR than"]
+
+
+@BOOK.query(f"""WITH {DOCUMENTS_SQL}, n AS (SELECT doc_id, {_ns('title')} AS t, {_ns('full_markdown')} AS b FROM docs), q(query_id, one, two, phrase, without) AS (VALUES
+  (0, 'thering', 'than', NULL, NULL), (1, 'the|of', NULL, NULL, NULL), (2, 'thering', 'licensed', NULL, NULL), (3, 'thering', NULL, 'ofthe', NULL), (4, NULL, NULL, 'ofthe', 'licensed.'), (5, 'than', NULL, NULL, 're,'), (6, 'than', NULL, NULL, NULL)),
+h AS (SELECT query_id, doc_id, contains(t, one) AS t1, contains(t, two) AS t2, contains(t, phrase) AS tp, contains(b, one) OR contains(t, one) AS h1, contains(b, two) OR contains(t, two) AS h2, contains(b, phrase) OR contains(t, phrase) AS hp,
+  contains(b, without) OR contains(t, without) AS hw, contains(b, 'or') OR contains(t, 'or') AS h_or, contains(t, 'or') AS t_or, one IS NULL AS none FROM q CROSS JOIN n)
+SELECT query_id, doc_id, (CASE WHEN t1 THEN 50 ELSE 0 END + CASE WHEN t2 THEN 50 ELSE 0 END + CASE WHEN tp THEN 100 ELSE 0 END + CASE WHEN query_id = 6 AND t_or THEN 50 ELSE 0 END)::DOUBLE AS score
+FROM h WHERE (none OR h1 OR coalesce(h2, FALSE)) AND coalesce(hp, TRUE) AND NOT coalesce(hw, FALSE) AND (query_id <> 6 OR h_or)""")
+def search_browser_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries read by the browser's grammar, over all documents."""
+    asked = spark.createDataFrame(list(enumerate(_BROWSER)), "query_id int, query string")
+    return search.batch_search(documents(spark, sf_dir), asked, {"title": 50.0, "full_markdown": 0.0}, browser=True)

@@ -133,3 +133,18 @@ def test_candidates_read_few_partitions(spark, tmp_path):
     files = hits._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[\(?part#\d+ (=|IN \()", files) or re.search(r"PartitionFilters: \[isnotnull\(part#\d+\), \(part#\d+ = \d+\)", files), files
     assert [(r.variant, r.doc_id) for r in hits.collect()] == [("word0123", 123)]
+
+
+def test_browser_grammar(spark):
+    asked = ["통계를 OR 본문", "가를 x", "a|b", '"차단 현황" -x. | 예산', "x-y, -z!", "OR 통계", "요구자:김 통계"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    got = {}
+    for r in search.query_terms(q, browser=True).collect():
+        got.setdefault(r.query_id, set()).add((r.group_no, r.kind, r.value, tuple(sorted(r.variants))))
+    assert got[0] == {(0, "term", "통계를", ("통계", "통계를")), (1, "term", "본문", ("본문",))}
+    assert got[1] == {(0, "term", "가를", ("가를",)), (0, "term", "x", ("x",))}  # a stem of one character is none
+    assert got[2] == {(0, "term", "a|b", ("a|b",))}
+    assert {x[1:3] for x in got[3]} == {("phrase", "차단현황"), ("not", "x."), ("extra", "예산")}
+    assert {x[1:3] for x in got[4]} == {("term", "x-y,"), ("not", "z!")}
+    assert {x[1:3] for x in got[5]} == {("term", "or"), ("term", "통계")}
+    assert {x[1:3] for x in got[6]} == {("field", "김"), ("term", "통계")}
