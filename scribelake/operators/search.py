@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scribelake.functions.dates import normalize_date
-from scribelake.functions.text import agent_snippet, choseong, clean_term, col, nospace_lower, snippet, strip_suffix
+from scribelake.functions.text import INITIALS, PER_INITIAL, agent_snippet, choseong, clean_term, col, nospace_lower, snippet, strip_suffix
 
 from .shared import cut, small
 from .trigrams import TrigramIndex, occurrences
@@ -202,10 +202,79 @@ def form_hits(texts: DataFrame, variants: DataFrame, key: str = "doc_id", counte
     return out
 
 
-def term_hits(texts: DataFrame | TrigramIndex, terms: DataFrame, key: str = "doc_id", counted: bool = False) -> DataFrame:
-    """(query_id, group_no, term_no, kind, key, field, weight, n) where a variant is in a field's text, which is scanned or looked up."""
-    variants = terms.select("query_id", "group_no", "term_no", "kind", F.explode("variants").alias("variant")).filter("variant <> ''").distinct()
-    hits = texts.hits(variants, counted) if isinstance(texts, TrigramIndex) else form_hits(texts, variants, key, counted)
+#: Fields in which terms that mix syllables and initials are looked for.
+MIXED_FIELDS = ("title", "requester", "details", "topic_tags")
+#: A form of syllables or other characters and initials.
+MIXED = "^(?=.*[ㄱ-ㅎ])(?=.*[^ㄱ-ㅎ]).+$"
+
+
+def _mixed_reader(forms: list[str]):
+    """Function text -> numbers of the mixed forms in it, in two stages.
+
+    The initials of a form are looked for in the initials of the text, for all forms at once; only at
+    the places found are the form's syllables compared with the text's.
+    """
+    table = {0xAC00 + i: INITIALS[i // PER_INITIAL] for i in range(len(INITIALS) * PER_INITIAL)}
+    by_initials: dict[str, list[int]] = {}
+    for i, f in enumerate(forms):
+        by_initials.setdefault(f.translate(table), []).append(i)
+    rough = list(by_initials)
+    fixed = [[(j, c) for j, c in enumerate(f) if c not in INITIALS] for f in forms]
+    read = _reader(rough)
+
+    def found(text: str) -> list[int]:
+        short, out = text.translate(table), []
+        for r in read(short):
+            open_forms, at = by_initials[rough[r]], short.find(rough[r])
+            while at >= 0 and open_forms:
+                hit = [i for i in open_forms if all(text[at + j] == c for j, c in fixed[i])]
+                out += hit
+                open_forms = [i for i in open_forms if i not in hit] if hit else open_forms
+                at = short.find(rough[r], at + 1)
+        return out
+
+    return found
+
+
+def mixed_hits(texts: DataFrame, variants: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(variant, key, field, weight, n) for each mixed ``variant`` in a field of ``MIXED_FIELDS``; n is 1.
+
+    An initial stands for itself and for all syllables that begin with it. ``PASS_FORMS`` are looked for in a pass.
+    """
+    spark = texts.sparkSession
+    distinct = cut(variants.select("variant").distinct())
+    passes = max(1, -(-distinct.count() // PASS_FORMS))
+    kind = texts.schema[key].dataType.simpleString()
+    asked = texts.filter(F.col("field").isin(*MIXED_FIELDS))
+    out = None
+    for p in range(passes):
+        shared = spark.sparkContext.broadcast(sorted(r["variant"] for r in distinct.filter(F.pmod(F.xxhash64("variant"), F.lit(passes)) == p).collect()))
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared):
+            forms = shared.value
+            read = _mixed_reader(forms)
+            for pdf in batches:
+                rows = [(forms[i], k, field, weight, 1) for k, field, weight, raw in zip(pdf[key], pdf["field"], pdf["weight"], pdf["text"]) for i in read("".join(raw.split()).lower())]
+                yield pd.DataFrame(rows, columns=["variant", key, "field", "weight", "n"])
+
+        found = asked.mapInPandas(scan, f"variant string, {key} {kind}, field string, weight double, n long")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def term_hits(texts: DataFrame | TrigramIndex, terms: DataFrame, key: str = "doc_id", counted: bool = False, mixed: bool = False) -> DataFrame:
+    """(query_id, group_no, term_no, kind, key, field, weight, n) where a variant is in a field's text, which is scanned or looked up.
+
+    With ``mixed``, terms of syllables and initials are matched as :func:`mixed_hits` does, else as plain text.
+    """
+    variants = terms.select("query_id", "group_no", "term_no", "kind", F.posexplode("variants").alias("place", "variant")).filter("variant <> ''")
+    variants = variants.groupBy("query_id", "group_no", "term_no", "kind", "variant").agg(F.min("place").alias("place"))
+    both = (F.col("kind") == "term") & (F.col("place") == 0) & F.col("variant").rlike(MIXED)  # the term itself, not its stem
+    some = variants.filter(both) if mixed else None
+    plain = variants.filter(~both) if mixed else variants
+    hits = texts.hits(plain, counted) if isinstance(texts, TrigramIndex) else form_hits(texts, plain, key, counted)
+    if mixed and some.limit(1).count():
+        hits = hits.unionByName(mixed_hits(texts.texts() if isinstance(texts, TrigramIndex) else texts, some, key)).distinct()
     joined = hits.join(small(variants), "variant", "left" if counted else "inner")
     # several variants of one term count as one hit of a field; the sums of their counts are its count
     name = F.regexp_replace("field", "^initials:", "").alias("field")
@@ -254,12 +323,12 @@ def batch_search(
     word does, and every qualifier holds. A query of exclusions or qualifiers alone, or an empty
     one, lists every row that is left, with a score of 0. Score: each term hit, in whatever group,
     adds its field's weight, each phrase twice that; a field with weight 0 is searched but not scored.
-    ``browser`` reads the queries by its grammar. With an ``index`` over the same fields the texts are read for candidates only; the rows are the same.
+    ``browser`` reads the queries by its grammar and matches mixed terms. With an ``index`` over the same fields the texts are read for candidates only; the rows are the same.
     """
     spark = docs.sparkSession
     every = cut(query_terms(queries, synonyms, browser))  # small, and used by every step below
     terms = every.filter("kind not in ('field', 'extra')")
-    hits = term_hits(index or search_text(docs, fields, key, initials), terms, key)
+    hits = term_hits(index or search_text(docs, fields, key, initials), terms, key, mixed=browser)
     need = terms.groupBy("query_id", "group_no", "kind").agg(F.count_distinct("term_no").alias("needed"))
     got = hits.groupBy("query_id", "group_no", "kind", key).agg(F.count_distinct("term_no").alias("got"), F.sum("weight").alias("weight"))
     whole = got.join(small(need), ["query_id", "group_no", "kind"])

@@ -148,3 +148,26 @@ def test_browser_grammar(spark):
     assert {x[1:3] for x in got[4]} == {("term", "x-y,"), ("not", "z!")}
     assert {x[1:3] for x in got[5]} == {("term", "or"), ("term", "통계")}
     assert {x[1:3] for x in got[6]} == {("field", "김"), ("term", "통계")}
+
+
+def test_mixed_terms_equal_a_pattern_for_each_pair(spark, tmp_path, monkeypatch):
+    """Random terms of syllables, initials and letters against random texts, by a scan and beside an index."""
+    from scribelake.functions.text import PARTICLES, hybrid_pattern
+
+    rng = random.Random(11)
+    letters = "가각나낙다닥까a B"
+    rows = [(i, *["".join(rng.choice(letters + "ㄱㄴ") for _ in range(rng.randint(0, 14))) for _ in range(2)]) for i in range(80)]
+    terms = sorted({"".join(rng.choice("가나다까aㄱㄴㄷㄲ") for _ in range(rng.randint(2, 4))) for _ in range(120)})
+    terms = [t for t in terms if re.search("[ㄱ-ㅎ]", t) and re.search("[^ㄱ-ㅎ]", t) and not any(t.endswith(p) for p in PARTICLES)]  # no stems
+    docs = spark.createDataFrame(rows, "doc_id int, title string, body string")
+    fields = {"title": 2.0, "body": 1.0}
+    asked = spark.createDataFrame(list(enumerate(terms)), "query_id int, query string")
+    plain = lambda t: re.compile("(?i)" + "".join(re.escape(x) if x else y for x, y in re.findall(r"\\Q(.*?)\\E|(\[[^]]*\])", hybrid_pattern(t))))
+    want = sorted((q, i) for q, t in enumerate(terms) for i, title, _ in rows if plain(t).search("".join(title.split())))
+    assert len(want) > 100
+    for most in (48, 0):
+        monkeypatch.setattr(search, "MANY_FORMS", most)
+        got = sorted((r.query_id, r.doc_id) for r in search.batch_search(docs, asked, fields, browser=True).collect())
+        assert got == want
+    index = trigrams.TrigramIndex.build(search.search_text(docs, fields), str(tmp_path / "index"), parts=3)
+    assert sorted((r.query_id, r.doc_id) for r in search.batch_search(docs, asked, fields, browser=True, index=index).collect()) == want
