@@ -155,12 +155,15 @@ def link_by_token(ledger: DataFrame, docs: DataFrame) -> DataFrame:
 def link_by_contained(ledger: DataFrame, docs: DataFrame) -> DataFrame:
     """(ledger_id, doc_id): documents of the same day whose requester holds the stem; the years agree unless one is empty.
 
-    Of several documents the least counts.
+    Of several documents the least counts. Rows meet by day and the first two characters of the stem, which are
+    looked for among all neighbouring characters of the requester, so a busy day is no group of all its pairs.
     """
-    asked = ledger.select("ledger_id", F.col("year").alias("l_year"), "request_date", requester_stem("requester").alias("stem")).filter("stem <> '' and coalesce(request_date, '') <> ''")
-    there = docs.select("doc_id", F.col("year").alias("d_year"), "request_date", "requester").filter("coalesce(request_date, '') <> ''")
+    asked = ledger.select("ledger_id", F.col("year").alias("l_year"), "request_date", requester_stem("requester").alias("stem")).filter("stem <> '' and coalesce(request_date, '') <> ''").withColumn("head", F.left("stem", F.lit(2)))
+    places = F.sequence(F.lit(1), F.length("requester"))
+    heads = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(F.substring("requester", i, F.lit(1)), F.substring("requester", i, F.lit(2))))))
+    there = docs.filter("coalesce(request_date, '') <> '' and requester <> ''").select("doc_id", F.col("year").alias("d_year"), "request_date", "requester", F.explode(heads).alias("head"))
     year = empty("l_year") | empty("d_year") | (F.col("l_year") == F.col("d_year"))
-    found = asked.join(there, "request_date").filter(F.contains(F.col("requester"), F.col("stem")) & year)
+    found = asked.join(there, ["request_date", "head"]).filter(F.contains(F.col("requester"), F.col("stem")) & year)
     return found.groupBy("ledger_id").agg(F.min("doc_id").alias("doc_id"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from scribelake.functions import dates as dt
 from scribelake.functions import text as tx
 from scribelake.operators import ledger as op
+from scribelake.operators.shared import shared_path
 from scribelake.operators import listing
 from scribelake.sources import readers, sinks
 from scribelake.streaming import feeds
@@ -175,27 +175,11 @@ def ledger_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("year", "seq_no", "title", "requester", "deadline")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one of the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scribelake-")
-    return f"{root}/{name}-{spark.sparkContext.applicationId}-{next(_COUNT)}"
-
-
-def _counter():
-    n = 0
-    while True:
-        n += 1
-        yield n
-
-
-_COUNT = _counter()
-
-
 @BOOK.query("""SELECT doc_id, text AS full_markdown, source, lang FROM documents WHERE doc_id % 20 < 5""")
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents exported as JSON lines and read back."""
     d = table(spark, sf_dir, "documents").filter("doc_id % 20 < 5").select("doc_id", F.col("text").alias("full_markdown"), "source", "lang")
-    path = _scratch(spark, "export")
+    path = shared_path(spark)
     ledger_rows = ledger(spark, sf_dir).limit(1)
     sinks.export_json(d, d.withColumnRenamed("doc_id", "qa_id"), ledger_rows, path)
     return spark.read.schema(d.schema).json(f"{path}/documents")
@@ -205,7 +189,7 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archived_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of a history after the planned rows were archived and read back."""
     h = table(spark, sf_dir, "events").select(F.col("event_id").alias("history_id"), "event_type")
-    path = _scratch(spark, "archive")
+    path = shared_path(spark)
     sinks.archive(h, h.filter("history_id % 3 = 0"), f"{path}/old", f"{path}/kept")
     return spark.read.parquet(f"{path}/kept")
 
@@ -213,7 +197,7 @@ def archived_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.query("""SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 10 <> 0""")
 def published_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live version after one more passed its gate and one failed it."""
-    o, path = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), _scratch(spark, "published")
+    o, path = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), shared_path(spark)
     gate = lambda old, new: old is None or op.shrink_gate(old, new)
     sinks.publish(o, path, gate)
     sinks.publish(o.filter("o_orderkey % 10 <> 0"), path, gate)
@@ -242,7 +226,7 @@ def last_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.query("""SELECT lower(c_mktsegment) AS word, lower(c_mktsegment) AS variant FROM customer UNION SELECT lower(c_mktsegment), 'v' || c_nationkey FROM customer""")
 def synonym_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary of JSON lines as (word, variant) rows."""
-    path = _scratch(spark, "synonyms")
+    path = shared_path(spark)
     c = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("word")).agg(F.collect_set(F.concat(F.lit("V"), F.col("c_nationkey").cast("string"))).alias("variants"))
     c.write.json(path)
     return readers.synonym_file(spark, path)
