@@ -91,7 +91,7 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 _LEAN = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
-def bound_batches(spark: SparkSession, size: int = 2 << 20) -> None:
+def bound_batches(spark: SparkSession, size: int = 1 << 20) -> None:
     """Hand rows to Python workers in batches of about ``size`` bytes, where the session doesn't set it, and keep the workers lean.
 
     By default a batch holds 10,000 rows however long they are. Several operators that run one after
