@@ -503,29 +503,47 @@ def agent_snippets(found: DataFrame, docs: DataFrame, query: str, body: str, key
     return docs.select(key, col(body).alias("__body")).join(small(cut(found)), key).select(*found.columns, agent_snippet("__body", query).alias("s")).select(*found.columns, "s.*")
 
 
-def query_log(searched: DataFrame, queries: DataFrame, mode: str = "all") -> DataFrame:
-    """One log row per non-empty query with its result count."""
+def query_log(searched: DataFrame, queries: DataFrame, mode: str = "all", runs: DataFrame | None = None) -> DataFrame:
+    """One log row per non-empty query with its result count.
+
+    ``runs`` (query_id, elapsed_ms, used_index, searched_at) tells how and when each was searched; those columns
+    follow. A query without a run has them null.
+    """
     counts = searched.groupBy("query_id").agg(F.count("*").alias("result_count"))
-    return (
+    rows = (
         queries.filter(F.trim("query") != "")
         .join(counts, "query_id", "left")
         .select("query_id", F.left("query", F.lit(300)).alias("query"), F.lit(mode).alias("mode"), F.coalesce("result_count", F.lit(0)).alias("result_count"))
     )
+    if runs is None:
+        return rows
+    how = runs.select("query_id", F.col("elapsed_ms").cast("long").alias("elapsed_ms"), F.col("used_index").cast("boolean").alias("used_index"), F.date_trunc("second", "searched_at").alias("searched_at"))
+    return rows.join(how, "query_id", "left")
 
 
 def query_insights(log: DataFrame, since=None, popular: int = 10) -> DataFrame:
-    """Reports on a query log (query, result_count, elapsed_ms, searched_at): report, query, n, value.
+    """Reports on a query log (query, result_count, elapsed_ms, searched_at, used_index): report, query, n, value, mean_ms, index_hits, last_at.
 
-    popular: the most used queries; empty: those that always found nothing; slow: the slowest runs.
+    popular: the most used queries, value their uses; empty: those that most often found nothing, n and value how often,
+    last_at the last time, newest first among equals; slow: the slowest runs, with mean and the runs that an index answered.
     """
     if since is not None:
         log = log.filter(F.col("searched_at") >= F.lit(since))
-    per = log.groupBy("query").agg(F.count("*").alias("n"), F.max("result_count").alias("most"), F.max("elapsed_ms").alias("slowest"))
-    top = lambda df, name, value, order: df.select(F.lit(name).alias("report"), "query", "n", value.cast("double").alias("value")).orderBy(*order).limit(popular)
+    zero = F.coalesce(F.col("result_count"), F.lit(0)) == 0
+    indexed = F.count_if("used_index") if "used_index" in log.columns else F.lit(0).cast("long")
+    per = log.groupBy("query").agg(
+        F.count("*").alias("n"), F.count_if(zero).alias("zero"), F.max("elapsed_ms").cast("double").alias("slowest"), F.avg("elapsed_ms").alias("mean_ms"),
+        indexed.alias("index_hits"), F.max("searched_at").alias("last_at"), F.max(F.when(zero, F.col("searched_at"))).alias("last_zero"),
+    )
+
+    def top(rows: DataFrame, name: str, n: str, value: str, last: str, order: list) -> DataFrame:
+        shown = rows.orderBy(*order).limit(popular)
+        return shown.select(F.lit(name).alias("report"), "query", F.col(n).alias("n"), F.col(value).cast("double").alias("value"), "mean_ms", "index_hits", F.col(last).alias("last_at"))
+
     return (
-        top(per, "popular", F.col("n"), [F.desc("n"), "query"])
-        .unionAll(top(per.filter("most = 0"), "empty", F.col("n"), [F.desc("n"), "query"]))
-        .unionAll(top(per.filter("slowest is not null"), "slow", F.col("slowest"), [F.desc("value"), "query"]))
+        top(per, "popular", "n", "n", "last_at", [F.desc("n"), "query"])
+        .unionAll(top(per.filter("zero > 0"), "empty", "zero", "zero", "last_zero", [F.desc("zero"), F.desc("last_zero"), "query"]))
+        .unionAll(top(per.filter("slowest is not null"), "slow", "n", "slowest", "last_at", [F.desc("slowest"), "query"]))
     )
 
 

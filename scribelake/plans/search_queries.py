@@ -278,15 +278,15 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_type").alias("query"), F.floor(F.col("value") / 4).alias("result_count"), F.col("value").alias("elapsed_ms"), F.col("ts").alias("searched_at"), "user_id")
 
 
-@BOOK.query(f"""WITH {_LOG}, p AS (SELECT query || ' ' || user_id AS query, result_count, elapsed_ms FROM log WHERE searched_at >= TIMESTAMP '2024-01-05 00:00:00'),
-g AS (SELECT query, count(*)::BIGINT AS n, max(result_count) AS most, max(elapsed_ms) AS slowest FROM p GROUP BY 1)
-SELECT * FROM (SELECT 'popular' AS report, query, n, n::DOUBLE AS value FROM g ORDER BY n DESC, query LIMIT 10)
-UNION ALL SELECT * FROM (SELECT 'empty', query, n, n::DOUBLE FROM g WHERE most = 0 ORDER BY n DESC, query LIMIT 10)
-UNION ALL SELECT * FROM (SELECT 'slow', query, n, slowest FROM g ORDER BY slowest DESC, query LIMIT 10)""")
+@BOOK.query(f"""WITH {_LOG}, p AS (SELECT query || ' ' || user_id AS query, result_count, elapsed_ms, searched_at, user_id % 2 = 0 AS used_index FROM log WHERE searched_at >= TIMESTAMP '2024-01-05 00:00:00'),
+g AS (SELECT query, count(*)::BIGINT AS n, count_if(coalesce(result_count, 0) = 0)::BIGINT AS zero, max(elapsed_ms) AS slowest, round(avg(elapsed_ms), 4) AS mean_ms, count_if(used_index)::BIGINT AS index_hits, max(searched_at) AS last_at, max(searched_at) FILTER (WHERE coalesce(result_count, 0) = 0) AS last_zero FROM p GROUP BY 1)
+SELECT * FROM (SELECT 'popular' AS report, query, n, n::DOUBLE AS value, mean_ms, index_hits, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_at FROM g ORDER BY n DESC, query LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'empty', query, zero, zero::DOUBLE, mean_ms, index_hits, strftime(last_zero, '%Y-%m-%d %H:%M:%S') FROM g WHERE zero > 0 ORDER BY zero DESC, last_zero DESC, query LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'slow', query, n, slowest, mean_ms, index_hits, strftime(last_at, '%Y-%m-%d %H:%M:%S') FROM g WHERE slowest IS NOT NULL ORDER BY slowest DESC, query LIMIT 10)""")
 def query_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports on a query log since a day: most used, always empty, slowest (top-k reports)."""
-    log = _log(spark, sf_dir).withColumn("query", F.concat_ws(" ", "query", F.col("user_id").cast("string")))
-    return search.query_insights(log, "2024-01-05 00:00:00")
+    """Reports on a query log since a day: most used, most often empty, slowest (top-k reports)."""
+    log = _log(spark, sf_dir).withColumn("query", F.concat_ws(" ", "query", F.col("user_id").cast("string"))).withColumn("used_index", F.col("user_id") % 2 == 0)
+    return search.query_insights(log, "2024-01-05 00:00:00").withColumns({"mean_ms": F.round("mean_ms", 4), "last_at": F.date_format("last_at", "yyyy-MM-dd HH:mm:ss")})
 
 
 @BOOK.query(f"""WITH {_LOG} SELECT user_id, query, rank FROM (SELECT user_id, query, row_number() OVER (PARTITION BY user_id ORDER BY max(searched_at) DESC, query)::INT AS rank FROM log WHERE length(trim(query)) >= 5 GROUP BY user_id, query) WHERE rank <= 3""")
