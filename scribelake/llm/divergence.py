@@ -28,8 +28,8 @@ from .neardup import broadcast_if_small
 
 #: Terms and sources of a block of the pair sums.
 TERMS, SOURCES = 2000, 256
-#: Entries of partial counts (some 200 bytes each) that a task holds before it hands them on, and bytes of a text that are split at once.
-HELD, SEGMENT = 500_000, 1 << 20
+#: Entries of partial counts (some 150 bytes each) that a task holds before it hands them on, and bytes of a text that are split at once.
+HELD, SEGMENT = 1_000_000, 1 << 20
 _DOCUMENT = 1 << 40  # an entry is so many times its documents, plus its occurrences
 
 _LETTERS = {*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -63,12 +63,13 @@ def partial_counts(docs: DataFrame, bits: int = 64) -> DataFrame:
         documents = 0
 
         def rows():
-            named = set()
+            named: dict = {}
             for (lang, source), count in held.items():
-                head = [None if (lang, t) in named else t for t in count]
-                named.update((lang, t) for t in count)
-                text = [[lang] * len(count), [source] * len(count), list(count), head]
-                text = [pa.array(x, pa.binary()).cast(pa.string(), safe=False) for x in text]
+                known = named.setdefault(lang, set())
+                head = [None if t in known else t for t in count]
+                known.update(count)
+                text = [pa.repeat(pa.scalar(x, pa.binary()), len(count)) for x in (lang, source)]
+                text = [x.cast(pa.string(), safe=False) for x in (*text, pa.array(list(count), pa.binary()), pa.array(head, pa.binary()))]
                 both = np.fromiter(count.values(), dtype=np.int64, count=len(count))
                 yield pa.record_batch([*text, pa.array(both % _DOCUMENT), pa.array(both // _DOCUMENT)], schema=_ARROW)
 
