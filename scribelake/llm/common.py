@@ -100,6 +100,10 @@ def bound_batches(spark: SparkSession, size: int = 1 << 20) -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not spark.conf.get(key, None):
         spark.conf.set(key, str(size))
+    # columns of long texts are read some hundred rows at a time, so their arrays stay small on the JVM's side too
+    rows = "spark.sql.parquet.columnarReaderBatchSize"
+    if spark.conf.get(rows) == "4096":
+        spark.conf.set(rows, "512")
     env = spark.sparkContext.environment
     env.update({k: v for k, v in _LEAN.items() if k not in env})
 
