@@ -148,8 +148,10 @@ def link_by_token(ledger: DataFrame, docs: DataFrame) -> DataFrame:
     tokens = docs.select("year", "doc_id", F.explode(runs).alias("token"))
     whole = F.regexp_replace(F.coalesce("seq_no", F.lit("")), r"\D", "")
     variants = ledger.select("ledger_id", "year", F.explode(F.array_distinct(F.array(whole, digits("seq_no")))).alias("token")).filter("token <> ''")
-    found = variants.join(tokens, ["year", "token"]).groupBy("ledger_id").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("doc_id"))
-    return found.filter("n = 1").select("ledger_id", "doc_id")
+    # one row a token before the join: how many documents show it, and which, is in the least and the greatest
+    shown = tokens.groupBy("year", "token").agg(F.min("doc_id").alias("__least"), F.max("doc_id").alias("__most"))
+    found = variants.join(shown, ["year", "token"]).groupBy("ledger_id").agg(F.min("__least").alias("doc_id"), F.max("__most").alias("__most"))
+    return found.filter("doc_id = __most").select("ledger_id", "doc_id")
 
 
 def link_by_contained(ledger: DataFrame, docs: DataFrame) -> DataFrame:
