@@ -157,15 +157,27 @@ def link_by_token(ledger: DataFrame, docs: DataFrame) -> DataFrame:
 def link_by_contained(ledger: DataFrame, docs: DataFrame) -> DataFrame:
     """(ledger_id, doc_id): documents of the same day whose requester holds the stem; the years agree unless one is empty.
 
-    Of several documents the least counts. Rows meet by day and the first two characters of the stem, which are
-    looked for among all neighbouring characters of the requester, so a busy day is no group of all its pairs.
+    Of several documents the least counts. Each requester is laid out as its pieces of the lengths that the stems of
+    its day have, and the least document of each piece is kept, so a row meets one piece: rows, not pairs, are joined.
     """
-    asked = ledger.select("ledger_id", F.col("year").alias("l_year"), "request_date", requester_stem("requester").alias("stem")).filter("stem <> '' and coalesce(request_date, '') <> ''").withColumn("head", F.left("stem", F.lit(2)))
-    places = F.sequence(F.lit(1), F.length("requester"))
-    heads = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(F.substring("requester", i, F.lit(1)), F.substring("requester", i, F.lit(2))))))
-    there = docs.filter("coalesce(request_date, '') <> '' and requester <> ''").select("doc_id", F.col("year").alias("d_year"), "request_date", "requester", F.explode(heads).alias("head"))
-    year = empty("l_year") | empty("d_year") | (F.col("l_year") == F.col("d_year"))
-    found = asked.join(there, ["request_date", "head"]).filter(F.contains(F.col("requester"), F.col("stem")) & year)
+    asked = ledger.select("ledger_id", F.col("year").alias("__year"), "request_date", requester_stem("requester").alias("stem")).filter("stem <> '' and coalesce(request_date, '') <> ''")
+    lengths = asked.groupBy("request_date").agg(F.collect_set(F.length("stem")).alias("__lengths"))  # no more than the longest stem has characters
+    there = docs.filter("coalesce(request_date, '') <> '' and requester <> ''").groupBy("request_date", F.col("year").alias("__year"), "requester").agg(F.min("doc_id").alias("doc_id"))
+    sized = there.join(lengths, "request_date").withColumn("__n", F.explode("__lengths")).filter(F.length("requester") >= F.col("__n"))
+    places = sized.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length("requester") - F.col("__n") + 1)))
+    # a document is found under its year, or as one without, and by requests without a year
+    of = lambda kind, year: F.struct(F.lit(kind).alias("__kind"), year.alias("__year"))
+    year = F.col("__year")
+    none, any_year = (of(kind, F.lit(None).cast(docs.schema["year"].dataType)) for kind in ("none", "any"))
+    held = F.array(any_year, F.when(empty("__year"), none).otherwise(of("own", year)))
+    pieces = places.select("request_date", F.substring("requester", F.col("__at"), F.col("__n")).alias("stem"), F.inline(held), "doc_id")
+    least = pieces.groupBy("request_date", "stem", "__kind", "__year").agg(F.min("doc_id").alias("doc_id"))
+    no_year = F.lit(None).cast(ledger.schema["year"].dataType)
+    wanted = F.when(empty("__year"), F.array(of("any", no_year))).otherwise(F.array(of("none", no_year), of("own", year)))
+    asked = asked.select("ledger_id", "request_date", "stem", F.inline(wanted))
+    a, b = asked.alias("a"), least.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("request_date", "stem", "__kind")]
+    found = a.join(b, [*same, F.col("a.__year").eqNullSafe(F.col("b.__year"))])
     return found.groupBy("ledger_id").agg(F.min("doc_id").alias("doc_id"))
 
 

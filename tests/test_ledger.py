@@ -1,6 +1,7 @@
 import datetime
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,3 +210,51 @@ def test_attempts_and_intake(spark):
     files = spark.createDataFrame([("in/a.pdf",), ("in/~$a.xlsx",), ("in/b.exe",)], "path string")
     ok, bad = feeds.intake(files)
     assert [r.path for r in ok.collect()] == ["in/a.pdf"] and [r.path for r in bad.collect()] == ["in/b.exe"]
+
+
+def most_rows(df):
+    """The largest number of rows that a step of the executed plan gave."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        inner = node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan() if kind.endswith("QueryStageExec") else None
+        children = node.children()
+        todo += [inner] if inner is not None else [children.apply(i) for i in range(children.size())]
+        rows = node.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+    return most
+
+
+LINKED = "ledger_id int, year string, seq_no string, requester string, request_date string"
+LINKABLE = "doc_id int, year string, doc_number string, original_path string, requester string, request_date string"
+
+
+def test_busy_numbers_and_days_make_no_pairs(spark):
+    n = 400
+    led = spark.createDataFrame([(i, "2026", "7", f"Customer#{i:04d}", "2026-01-01") for i in range(n)], LINKED)
+    docs = spark.createDataFrame([(i, "2026", "7", f"in/{i}a", f"Customer#{i:04d}", "2026-01-01") for i in range(n)], LINKABLE)
+    token, contained = ledger.link_by_token(led, docs), ledger.link_by_contained(led, docs)
+    assert most_rows(token) <= 10 * n and most_rows(contained) <= 10 * n
+    assert token.count() == 0 and sorted(map(tuple, contained.collect())) == [(i, i) for i in range(n)]
+
+
+def test_links_against_all_pairs(spark):
+    rng = random.Random(3)
+    text = lambda k: "".join(rng.choice("abc ") for _ in range(rng.randint(0, k)))
+    year, day = lambda: rng.choice(["2025", "2026", "", None, " "]), lambda: rng.choice(["2026-01-01", "2026-01-02", "", None])
+    led = [(rng.choice([i, i, i // 2, None]), year(), rng.choice(["1", "02", "", None]), rng.choice([text(3), None]), day()) for i in range(120)]
+    docs = [(rng.choice([i, i, None]), year(), rng.choice(["1", "2", "x", None]), f"in/{rng.randint(1, 4)}", rng.choice([text(6), None]), day()) for i in range(60)]
+    got = lambda f: sorted(map(tuple, f(spark.createDataFrame(led, LINKED), spark.createDataFrame(docs, LINKABLE)).collect()), key=str)
+    blank = lambda x: not (x or "").strip()
+    held, shown = {}, {}
+    for key, y, seq, who, on in led:
+        for d, dy, number, path, name, don in docs:
+            stem = (who or "").strip()
+            if stem and on and on == don and name and stem in name and (blank(y) or blank(dy) or y == dy):
+                held.setdefault(key, set()).add(d)
+            if y is not None and y == dy and {seq or "", (seq or "").lstrip("0")} & set(re.findall(r"\d+", f"{number or ''} {path}")) - {""}:
+                shown.setdefault(key, set()).add(d)
+    assert got(ledger.link_by_contained) == sorted(((k, min(v - {None}, default=None)) for k, v in held.items()), key=str)
+    assert got(ledger.link_by_token) == sorted(((k, *(v - {None})) for k, v in shown.items() if len(v - {None}) == 1), key=str)
