@@ -7,8 +7,9 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -297,65 +298,96 @@ def normal_items(operations: DataFrame, stored: DataFrame, fields: list[str], as
     return rows.select(*operations.columns, F.when(blank, empty_map).otherwise(values).alias("values"), F.when(blank, empty_map).otherwise(dates).alias("dates"))
 
 
-#: Fields of history rows and rejects of one key.
+#: Fields of history rows and rejects.
 HISTORY, REJECT = ("action", "seq", "snapshot", "changed_fields"), ("operation_id", "seq", "action", "reason")
 
 
-def _fold(state: dict | None, deleted: dict | None, ops: list, fields: list[str], defaults: dict) -> tuple:
-    """Apply one row's operations in order: (state, history, rejects)."""
-    history, rejects = [], []
-    for o in ops:
-        values, dates = dict(o["values"] or {}), dict(o["dates"] or {})
-        action, reason, after, named = o["action"], None, None, ""
-        alive = state is not None and (state.get("status") or "").strip() != DELETED
-        if action == "insert":
-            bad = next((f for f in ("title", "requester") if f in fields and not values.get(f)), None) or next((f for f in dates if dates[f] is None), None)
-            if state is not None:
-                reason = "exists"
-            elif bad:
-                reason = "invalid"
-            else:
-                filled = {k: v for k, v in defaults.items() if k in fields and (k not in values or (k != "request_type" and not values[k]))}
-                after = {f: "" for f in fields} | values | dates | filled
-        elif state is None:
-            reason = "missing"
-        elif action == "restore":
-            if alive:
-                reason = "not deleted"
-            elif not deleted or (deleted.get("status") or "").strip() in ("", DELETED):
+#: Rows of a batch that are Python objects at a time.
+AT_ONCE = 1000
+
+
+def _step(state: dict | None, deleted: dict | None, o: dict, fields: list[str], defaults: dict) -> tuple:
+    """Apply one operation to a row: (state, deleted, history row or null, reject or null)."""
+    values, dates = dict(o["values"] or ()), dict(o["dates"] or ())
+    action, reason, after, named = o["action"], None, None, ""
+    alive = state is not None and (state.get("status") or "").strip() != DELETED
+    if action == "insert":
+        bad = next((f for f in ("title", "requester") if f in fields and not values.get(f)), None) or next((f for f in dates if dates[f] is None), None)
+        if state is not None:
+            reason = "exists"
+        elif bad:
+            reason = "invalid"
+        else:
+            filled = {k: v for k, v in defaults.items() if k in fields and (k not in values or (k != "request_type" and not values[k]))}
+            after = {f: "" for f in fields} | values | dates | filled
+    elif state is None:
+        reason = "missing"
+    elif action == "restore":
+        if alive:
+            reason = "not deleted"
+        elif not deleted or (deleted.get("status") or "").strip() in ("", DELETED):
+            reason = "invalid"
+        else:
+            after = state | {f: (deleted.get(f) or "").strip() for f in ("status", "note") if f in fields}
+            named = ",".join(sorted([f for f in ("note", "status") if f in fields] + ["updated_at"]))
+    elif not alive:
+        reason = "missing" if action == "delete" else "deleted"
+    elif action == "delete":
+        after = state | {"status": DELETED}
+    else:
+        changes = {}
+        for f, v in values.items():
+            now = (state.get(f) or "").strip()
+            if v == now:
+                continue
+            v = dates.get(f) if f in dates else v
+            if v is None or (f in ("title", "requester", "status") and not v) or (f == "year" and not re.fullmatch(r"\d{4}", v)):
                 reason = "invalid"
-            else:
-                after = state | {f: (deleted.get(f) or "").strip() for f in ("status", "note") if f in fields}
-                named = ",".join(sorted([f for f in ("note", "status") if f in fields] + ["updated_at"]))
-        elif not alive:
-            reason = "missing" if action == "delete" else "deleted"
-        elif action == "delete":
-            after = state | {"status": DELETED}
+            elif v != now:
+                changes[f] = v
+        if o["expected_version"] is not None and o["expected_version"].strip() != (state.get("updated_at") or "").strip():
+            reason = "conflict"
+        if reason is None and changes:
+            after, named = state | changes, ",".join(sorted([*changes, "updated_at"]))
+    if reason:
+        return state, deleted, None, (o["operation_id"], o["seq"], action, reason)
+    if after is None:
+        return state, deleted, None, None
+    after = after | {"updated_at": o["version"]}
+    shown = state if action in ("update", "delete") else after
+    row = (action.upper(), o["seq"], json.dumps({k: v for k, v in shown.items() if v is not None}, ensure_ascii=False, sort_keys=True), named)
+    return after, state if action == "delete" else deleted, row, None
+
+
+def _folded(rows: Iterator[dict], key: str, fields: list[str], defaults: dict) -> Iterator[dict]:
+    """Results of rows that are sorted by key and turn: the stored states of a key, its latest deletion, its operations.
+
+    Between two rows only the states of one key are held. A key without operations gives nothing.
+    """
+    begun, now, applied, states, last = False, None, False, [], None
+
+    def closed() -> Iterator[dict]:
+        yield from ({key: now, "state": [*s.items()]} for s, _ in states if applied and s is not None)
+
+    for o in rows:
+        if not begun or o[key] != now:
+            yield from closed()
+            begun, now, applied, states, last = True, o[key], False, [], None
+        if o["turn"] == 0:
+            states.append((dict(o["values"]), None))
+        elif o["turn"] == 1:
+            last = dict(o["values"])
         else:
-            changes = {}
-            for f, v in values.items():
-                now = (state.get(f) or "").strip()
-                if v == now:
-                    continue
-                v = dates.get(f) if f in dates else v
-                if v is None or (f in ("title", "requester", "status") and not v) or (f == "year" and not re.fullmatch(r"\d{4}", v)):
-                    reason = "invalid"
-                elif v != now:
-                    changes[f] = v
-            if o["expected_version"] is not None and o["expected_version"].strip() != (state.get("updated_at") or "").strip():
-                reason = "conflict"
-            if reason is None and changes:
-                after, named = state | changes, ",".join(sorted([*changes, "updated_at"]))
-        if reason:
-            rejects.append((o["operation_id"], o["seq"], action, reason))
-        elif after is not None:
-            after = after | {"updated_at": o["version"]}
-            shown = state if action in ("update", "delete") else after
-            history.append((action.upper(), o["seq"], json.dumps({k: v for k, v in shown.items() if v is not None}, ensure_ascii=False, sort_keys=True), named))
-            if action == "delete":
-                deleted = state
-            state = after
-    return state, history, rejects
+            if not applied:
+                applied, states = True, [(s, last) for s, _ in states] or [(None, last)]
+            for i, (state, deleted) in enumerate(states):
+                state, deleted, row, refused = _step(state, deleted, o, fields, defaults)
+                states[i] = state, deleted
+                if row:
+                    yield {key: now, "history": dict(zip(HISTORY, row))}
+                if refused:
+                    yield {key: now, "reject": dict(zip(REJECT, refused))}
+    yield from closed()
 
 
 def apply_operations(
@@ -379,47 +411,56 @@ def apply_operations(
 
     History: key, action, seq, snapshot (JSON; the state before an update or deletion, after an insert
     or restore), changed_fields. Rejects have a reason: exists, missing, deleted, not deleted, conflict, invalid.
-    The operations of one key are read together, those of different keys wherever Spark deals them.
+    The operations of one key are read in one task, one by one; those of different keys wherever Spark deals them.
     """
     once = operations.withColumn("__n", F.row_number().over(Window.partitionBy("operation_id").orderBy("seq"))).filter("__n = 1").drop("__n")
     wanted = list(dict.fromkeys([*fields, "updated_at"]))
     text = {f: F.col(f).cast("string") for f in wanted if f in stored.columns}
-    op = F.struct("seq", "operation_id", "action", "expected_version", F.col("seq").cast("string").alias("version"), F.map_entries("values").alias("values"), F.map_entries("dates").alias("dates"))
-    grouped = normal_items(once, stored, fields, as_of, key).groupBy(key).agg(F.sort_array(F.collect_list(op)).alias("ops"))
-    states = stored.select(F.col(key), F.map_from_arrays(F.array(*[F.lit(f) for f in text]), F.array(*text.values())).alias("state"))
-    joined = grouped.join(states, key, "left")
-    last = F.lit(None).cast("map<string,string>")
+    kind = stored.schema[key].dataType.simpleString()
+    normal = normal_items(once, stored, fields, as_of, key).withColumn("version", F.col("seq").cast("string"))
+    given = {c: normal.schema[c].dataType for c in ("seq", "operation_id", "action", "expected_version", "version", "values", "dates")}
+
+    def turn(df: DataFrame, number: int, columns: dict[str, Column]) -> DataFrame:
+        each = [columns[c].alias(c) if c in columns else F.lit(None).cast(t).alias(c) for c, t in given.items()]
+        return df.select(F.col(key).cast(kind).alias(key), F.lit(number).alias("turn"), *each)
+
+    asked = operations.select(F.col(key).cast(kind).alias(key)).distinct()
+    state = F.map_from_arrays(F.array(*[F.lit(f) for f in text]), F.array(*text.values()))
+    rows = turn(stored.join(asked, key, "left_semi"), 0, {"values": state}).unionByName(turn(normal, 2, {c: F.col(c) for c in given}))
     if deletions is not None:
         order = "history_id" if "history_id" in deletions.columns else "snapshot"
-        newest = deletions.groupBy(key).agg(F.max_by("snapshot", order).alias("__deleted"))
-        joined = joined.join(newest, key, "left")
-        last = parse_snapshot("__deleted")
-    kind = stored.schema[key].dataType.simpleString()
-    rows = joined.select(key, F.map_entries("state").alias("state"), F.map_entries(last).alias("deleted"), "ops")
-    schema = f"{key} {kind}, state map<string,string>, history array<struct<action:string,seq:long,snapshot:string,changed_fields:string>>, rejects array<struct<operation_id:string,seq:long,action:string,reason:string>>"
+        newest = deletions.join(asked, key, "left_semi").groupBy(key).agg(F.max_by("snapshot", order).alias("__deleted"))
+        rows = rows.unionByName(turn(newest, 1, {"values": parse_snapshot("__deleted")}))
+    # an operation a row, so that a batch is small however many of them a key has; dealt by a hash, because Spark takes
+    # a union of parts that are dealt by the key for dealt already, and may yet deal the parts otherwise as it runs
+    dealt = rows.repartition(F.xxhash64(key)).sortWithinPartitions(key, "turn", "seq", "operation_id", "action", "expected_version", "version", F.map_entries("values"), F.map_entries("dates"))
+    schema = f"{key} {kind}, state map<string,string>, history struct<action:string,seq:long,snapshot:string,changed_fields:string>, reject struct<operation_id:string,seq:long,action:string,reason:string>"
     filled = DEFAULTS if defaults is None else defaults
 
-    def pairs(entries) -> dict | None:
-        return None if entries is None else {x["key"]: x["value"] for x in entries}
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape: list[pa.Schema] = []
+
+        def each() -> Iterator[dict]:
+            for batch in batches:
+                if not shape:
+                    row = lambda names: pa.struct([(n, pa.int64() if n == "seq" else pa.string()) for n in names])
+                    shape.append(pa.schema([(key, batch.schema.field(key).type), ("state", pa.map_(pa.string(), pa.string())), ("history", row(HISTORY)), ("reject", row(REJECT))]))
+                for start in range(0, batch.num_rows, AT_ONCE):
+                    yield from batch.slice(start, AT_ONCE).to_pylist()
 
-    def fold(batches: Iterator[pd.DataFrame]):
-        for pdf in batches:
-            out = []
-            for k, state, deleted, ops in zip(pdf[key], pdf["state"], pdf["deleted"], pdf["ops"]):
-                steps = [dict(o) | {"values": pairs(o["values"]), "dates": pairs(o["dates"])} for o in ops]
-                now, history, rejects = _fold(pairs(state), pairs(deleted), steps, fields, filled)
-                out.append((k, now, [dict(zip(HISTORY, h)) for h in history], [dict(zip(REJECT, r)) for r in rejects]))
-            yield pd.DataFrame(out, columns=[key, "state", "history", "rejects"])
+        results = _folded(each(), key, fields, filled)
+        while some := [*islice(results, AT_ONCE)]:
+            yield pa.RecordBatch.from_pylist(some, shape[0])
 
-    folded = cut(rows.mapInPandas(fold, schema))
+    folded = cut(dealt.mapInArrow(fold, schema))
     new = folded.filter("state is not null").select(key, *[F.element_at("state", F.lit(f)).alias(f) for f in wanted])
-    kept = stored.join(folded.select(key), key, "left_anti").select(key, *[(F.col(f) if f in stored.columns else F.lit(None)).cast("string").alias(f) for f in wanted])
+    kept = stored.join(new.select(key), key, "left_anti").select(key, *[(F.col(f) if f in stored.columns else F.lit(None)).cast("string").alias(f) for f in wanted])
     others = [c for c in stored.columns if c not in (key, *wanted)]
     table = kept.unionByName(new)
     if others:
         table = table.join(stored.select(key, *others), key, "left")
-    history = folded.select(key, F.inline("history"))
-    rejects = folded.select(key, F.inline("rejects"))
+    history = folded.filter("history is not null").select(key, "history.*")
+    rejects = folded.filter("reject is not null").select(key, "reject.*")
     return table, history, rejects.select(key, "operation_id", "seq", "action", "reason")
 
 

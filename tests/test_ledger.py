@@ -258,3 +258,56 @@ def test_links_against_all_pairs(spark):
                 shown.setdefault(key, set()).add(d)
     assert got(ledger.link_by_contained) == sorted(((k, min(v - {None}, default=None)) for k, v in held.items()), key=str)
     assert got(ledger.link_by_token) == sorted(((k, *(v - {None})) for k, v in shown.items() if len(v - {None}) == 1), key=str)
+
+
+def test_operations_of_a_key_are_read_one_by_one(spark, monkeypatch):
+    """Keys that repeat or are null, operations over many small batches: as if each stored row took its key's operations in turn."""
+    rng = random.Random(5)
+    keys = [*"ABCDE", None]
+    stored = [(k, f"t{i}", "작성중", "v1") for i, k in enumerate([*"ABCD", "B", None])]
+    ops = [(f"o{i}", i, rng.choice(keys), rng.choice(["update", "update", "delete", "restore", "insert"]), {"title": rng.choice("xyz"), "requester": "r"}, rng.choice([None, "v1"])) for i in range(300)]
+    plans = []
+    monkeypatch.setattr(ledger, "cut", lambda df, old=ledger.cut: plans.append(df._jdf.queryExecution().toString()) or old(df))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ledger.apply_operations(spark.createDataFrame(stored, "ledger_id string, title string, status string, updated_at string"), spark.createDataFrame(ops, OPS), ["title", "status"], as_of=DAY)
+        table, history, rejects = ([tuple(r) for r in df.collect()] for df in got)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert plans and not any("collect_list" in p for p in plans)  # no row holds the operations of a key
+    rows, writes, refused = [], [], []
+    for key in keys:
+        mine = [{"title": t, "status": s, "updated_at": v} for k, t, s, v in stored if k == key is not None] or [None]
+        rows += [r for r in stored if r[0] is None] if key is None else []
+        for state in mine:
+            dead = None
+            for o, seq, k, action, item, expected in ops:
+                if k != key:
+                    continue
+                alive, reason = state is not None and state["status"] != "[삭제]", None
+                after = None
+                if action == "insert":
+                    reason = "exists" if state else None
+                    after = None if state else {"title": item["title"], "status": "작성중"}
+                elif state is None:
+                    reason = "missing"
+                elif action == "restore":
+                    reason = "not deleted" if alive else None if dead else "invalid"
+                    after = None if reason else state | {"status": dead}
+                elif not alive:
+                    reason = "missing" if action == "delete" else "deleted"
+                elif action == "delete":
+                    after, dead = state | {"status": "[삭제]"}, state["status"]
+                elif expected not in (None, state["updated_at"]):
+                    reason = "conflict"
+                elif item["title"] != state["title"]:
+                    after = state | {"title": item["title"]}
+                if reason:
+                    refused.append((key, o, seq, action, reason))
+                elif after:
+                    state = after | {"updated_at": str(seq)}
+                    writes.append((key, action.upper(), seq))
+            if state:
+                rows.append((key, *state.values()))
+    same = lambda a, b: sorted(a, key=str) == sorted(b, key=str)
+    assert same(table, rows) and same([h[:3] for h in history], writes) and same(rejects, refused)
