@@ -272,7 +272,8 @@ def term_hits(texts: DataFrame | TrigramIndex, terms: DataFrame, key: str = "doc
     both = (F.col("kind") == "term") & (F.col("place") == 0) & F.col("variant").rlike(MIXED)  # the term itself, not its stem
     some = variants.filter(both) if mixed else None
     plain = variants.filter(~both) if mixed else variants
-    hits = texts.hits(plain, counted) if isinstance(texts, TrigramIndex) else form_hits(texts, plain, key, counted)
+    # what is looked up is written, so that branches of a plan don't each read the candidates
+    hits = cut(texts.hits(plain, counted)) if isinstance(texts, TrigramIndex) else form_hits(texts, plain, key, counted)
     if mixed and some.limit(1).count():
         hits = hits.unionByName(mixed_hits(texts.texts() if isinstance(texts, TrigramIndex) else texts, some, key)).distinct()
     joined = hits.join(small(variants), "variant", "left" if counted else "inner")

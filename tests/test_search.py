@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from scribelake.operators import search, trigrams
@@ -171,3 +173,32 @@ def test_mixed_terms_equal_a_pattern_for_each_pair(spark, tmp_path, monkeypatch)
         assert got == want
     index = trigrams.TrigramIndex.build(search.search_text(docs, fields), str(tmp_path / "index"), parts=3)
     assert sorted((r.query_id, r.doc_id) for r in search.batch_search(docs, asked, fields, browser=True, index=index).collect()) == want
+
+
+def test_index_has_lists_and_its_hits_are_read_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"thequickbrownfoxjumpsoverthelazydog{i:03d}") for i in range(500)], "doc_id int, body string")
+    index = trigrams.TrigramIndex.build(search.search_text(docs, {"body": 1.0}), str(tmp_path / "index"), parts=2)
+    assert index.postings().count() <= 4 * spark.read.parquet(str(tmp_path / "index" / "grams")).count()  # a row a gram and block, not a row a gram and text
+    asked = spark.createDataFrame([(0, "lazydog quick"), (1, "dog499")], "query_id int, query string")
+    found = search.bm25(docs, asked, {"body": 1.0}, index=index)
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()  # its branches share what was looked up
+    assert found.groupBy("query_id").count().orderBy("query_id").collect() == [(0, 500), (1, 1)]
+
+
+def test_lookups_in_passes_and_pieces(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abc\U0001F600가") for _ in range(rng.randint(0, 30))) for _ in range(90)]
+    forms = sorted({"".join(rng.choice("abc\U0001F600가") for _ in range(rng.randint(3, 5))) for _ in range(60)})
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, body string")
+    index = trigrams.TrigramIndex.build(search.search_text(docs, {"body": 1.0}), str(tmp_path / "index"), parts=3)
+    monkeypatch.setattr(search, "PASS_FORMS", 10)
+    hits = index.hits(spark.createDataFrame([(f,) for f in forms], "variant string"))
+    assert sorted((r.variant, r.doc_id) for r in hits.collect()) == sorted((f, i) for f in forms for i, t in enumerate(texts) if f in t)
+    monkeypatch.setattr(trigrams, "GRAMS_AT_ONCE", 40)
+    rows = [(i % 2, i // 20, i % 20, t) for i, t in sorted(enumerate(texts), key=lambda x: (x[0] % 2, x[0] // 20))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[s : s + 7]), (pa.int32(), pa.int64(), pa.int32(), pa.string()))], ["part", "block", "place", "text"]) for s in range(0, len(rows), 7)]
+    pieces = [r for b in trigrams._postings(iter(batches)) for r in b.to_pylist()]
+    code = lambda g: ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2])
+    got = sorted((r["gram"], r["part"], r["block"], int(p)) for r in pieces for p in np.frombuffer(r["places"], "<u2"))
+    assert got == sorted((code(g), part, block, place) for part, block, place, t in rows for g in {t[i : i + 3] for i in range(len(t) - 2)})
+    assert all(r["texts"] * 2 == len(r["places"]) for r in pieces)
